@@ -25,21 +25,29 @@ from pyspark.sql import functions as F
 
 from .common import bounded_sample
 
-BUCKETS, TERMS, FACTORS, MAX_ROWS, EPOCHS = 1 << 18, 1024, 4, 12_000, 6
-LEAST_DOCS, LEAST_ERRORS, MEMO = 8, 3.0, 400_000
+BUCKETS, TERMS, FACTORS, MAX_ROWS, EPOCHS = 1 << 22, 1024, 4, 20_000, 6
+LEAST_DOCS, LEAST_ERRORS, MEMO = 8, 5.0, 200_000
 _WORD = re.compile(r"\w+")
 
 
-def hashed_terms(text: str, memo: dict[str, int], buckets: int = BUCKETS) -> set[int]:
-    """The buckets of the lower-cased words in the whole text."""
+def buckets_of(word: str) -> tuple[int, ...]:
+    """Buckets of a word and of its beginnings of 3 to 8 characters, which also stand for forms of it that were never seen."""
+    data = [word, *(f"{word[:n]}-" for n in range(3, 9) if len(word) > n)]
+    return tuple(zlib.crc32(x.encode("utf-8", "surrogatepass")) % BUCKETS for x in data)
+
+
+def hashed_terms(text: str, memo: dict[str, tuple], places: dict[int, int] | None = None) -> set[int]:
+    """Buckets of the lower-cased words in the whole text; with ``places``, the places of those that it holds."""
     if len(memo) > MEMO:
         memo.clear()
-    out = set()
+    out: set[int] = set()
     for word in set(_WORD.findall(text.lower())):
-        at = memo.get(word)
-        if at is None:
-            at = memo[word] = zlib.crc32(word.encode("utf-8", "surrogatepass")) % buckets
-        out.add(at)
+        found = memo.get(word)
+        if found is None:
+            found = buckets_of(word)
+            found = memo[word] = found if places is None else tuple(places[b] for b in found if b in places)
+        if found:
+            out.update(found)
     return out
 
 
@@ -104,7 +112,7 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     """Fits on at most ``max_rows`` rows of ``labelled``, equal texts counting once; their hashed terms, not their texts, go to the driver."""
 
     def hashed(batches):
-        memo: dict[str, int] = {}
+        memo: dict[str, tuple] = {}
         for batch in batches:
             found = [np.array(sorted(hashed_terms(t.as_py() or "", memo)), np.int32).tobytes() for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), batch.column(1)], ["x", "y"])
@@ -118,21 +126,9 @@ def scored(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col:
     """(doc_id, score) of every row."""
 
     def scores(batches):
-        rows_of: dict[str, int] = {}
-        inputs = machine.inputs
+        memo: dict[str, tuple] = {}
         for batch in batches:
-            out = []
-            for text in batch.column(1):
-                if len(rows_of) > MEMO:
-                    rows_of.clear()
-                found = set()
-                for word in set(_WORD.findall((text.as_py() or "").lower())):
-                    at = rows_of.get(word)
-                    if at is None:
-                        at = rows_of[word] = inputs.get(zlib.crc32(word.encode("utf-8", "surrogatepass")) % BUCKETS, -1)
-                    if at >= 0:
-                        found.add(at)
-                out.append(machine.score(sorted(found)))
+            out = [machine.score(sorted(hashed_terms(text.as_py() or "", memo, machine.inputs))) for text in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], ["doc_id", "score"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(scores, "doc_id long, score double")
