@@ -8,7 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, language, media, pieces, secrets, simhash, toxicity
+from . import exact, language, lines, media, mixing, pieces, secrets, simhash, toxicity, urls
 from .common import table
 
 
@@ -24,6 +24,30 @@ def tokenizer_path(spark: SparkSession, name: str) -> str:
     return os.path.join("/opt/tokenizers", name)
 
 
+def op1_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "line_count", "exact_dropped", "near_dropped", F.sha2("text", 256).alias("text_sha256"))
+
+
+#: Beginnings or endings of 8 characters agree in any two lines of 20 or more that are one edit apart.
+OP1_SQL = r"""
+WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, i - 1 AS pos, ls[i] AS line FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM d)),
+f AS (SELECT line, min({'d': doc_id, 'p': pos}) AS at, length(line) AS n FROM l WHERE regexp_matches(line, '[^ 	
+]') GROUP BY line),
+c AS (
+  SELECT a.line AS x, a.at AS xa, b.line AS y, b.at AS ya FROM f a JOIN f b ON left(a.line, 8) = left(b.line, 8) AND abs(a.n - b.n) <= 1 AND b.at < a.at WHERE a.n >= 20 AND b.n >= 20
+  UNION SELECT a.line, a.at, b.line, b.at FROM f a JOIN f b ON right(a.line, 8) = right(b.line, 8) AND abs(a.n - b.n) <= 1 AND b.at < a.at WHERE a.n >= 20 AND b.n >= 20),
+near AS (SELECT DISTINCT x FROM c WHERE levenshtein(x, y) <= 1),
+s AS (SELECT l.*, NOT regexp_matches(l.line, '[^ 	
+]') AS blank, f.at = {'d': l.doc_id, 'p': l.pos} AS first, near.x IS NOT NULL AS goes
+      FROM l LEFT JOIN f ON f.line = l.line LEFT JOIN near ON near.x = l.line),
+g AS (SELECT doc_id, count(*) AS line_count, count(*) FILTER (WHERE NOT blank AND NOT first) AS exact_dropped, count(*) FILTER (WHERE first AND goes) AS near_dropped,
+      coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE blank OR (first AND NOT goes)), '') AS t FROM s GROUP BY doc_id)
+SELECT documents.doc_id, coalesce(line_count, 0) AS line_count, coalesce(exact_dropped, 0) AS exact_dropped, coalesce(near_dropped, 0) AS near_dropped,
+  CASE WHEN text IS NOT NULL THEN sha256(t) END AS text_sha256 FROM documents LEFT JOIN g USING (doc_id)"""
+
+
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = secrets.scan(docs, secrets.train(docs))
@@ -31,6 +55,10 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, secrets.KINDS[:3]), F.sha2(secrets.joined("base"), 256).alias("base_sha256"), secrets.joined("spans").alias("spans"))
 
 
+def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"), urls.rule_table(spark))
+
+
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read_back(media.store(table(spark, sf_dir, "documents")))
 
@@ -58,10 +86,23 @@ def op8_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", F.col("sha256").alias("text_sha256"))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").select("doc_id", mixing.domain_of(F.col("quality"), F.col("toxic")).alias("domain"))
+    found, domains = mixing.rates(table(spark, sf_dir, "documents").select("doc_id", "text"), labels)
+    return found.select("doc_id", "tokens", F.array(*map(F.lit, domains)).alias("domains"), F.transform("p", lambda x: F.round(x, 6)).alias("posteriors"), F.round("rate", 6).alias("rate"), "copies")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_secrets, op4_media, op5_pieces, op6_toxicity, op7_language, op8_exact, op10_simhash)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_lines, op2_secrets, op3_urls, op4_media, op5_pieces, op6_toxicity, op7_language, op8_exact, op9_mixing, op10_simhash)}
+
+OP8_SQL = r"""
+WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS points, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS t FROM documents),
+k AS (SELECT t, count(*) AS group_size, max(points) AS most FROM n GROUP BY t),
+m AS (SELECT n.t, min(doc_id) AS keep_id FROM n JOIN k ON n.t = k.t AND n.points = k.most GROUP BY n.t)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(n.t) AS text_sha256 FROM n JOIN k USING (t) JOIN m USING (t)"""
+
+ORACLES: dict[str, str] = {"op1_lines": OP1_SQL, "op3_urls": urls.oracle(), "op8_exact": OP8_SQL}
