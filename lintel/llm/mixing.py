@@ -94,8 +94,9 @@ def fit_rates(rows: DataFrame, domains: list[str], targets: dict[str, float], st
 
     def sums(r: Column) -> tuple[float, list[float], np.ndarray]:
         """All tokens; each domain's share of them at rate r; the cross products of the documents that are not at rate 0."""
-        held = F.when(r > 0, t).otherwise(0.0)
-        got = rows.agg(F.sum(t).alias("all"), *(F.sum(r * t * p[d]).alias(f"s{d}") for d in k), *(F.sum(held * p[d] * p[e]).alias(f"h{d}_{e}") for d, e in cross)).first()
+        at = rows.select(t.alias("t"), "p", r.alias("r"))  # the rate is computed once a row
+        held = F.when(F.col("r") > 0, F.col("t")).otherwise(0.0)
+        got = at.agg(F.sum("t").alias("all"), *(F.sum(F.col("r") * F.col("t") * p[d]).alias(f"s{d}") for d in k), *(F.sum(held * p[d] * p[e]).alias(f"h{d}_{e}") for d, e in cross)).first()
         total = got["all"] or 0.0
         part = lambda x: (got[x] or 0.0) / total if total else 0.0
         return total, [part(f"s{d}") for d in k], np.array([part(f"h{d}_{e}") for d, e in cross]).reshape(len(k), len(k))
