@@ -146,5 +146,22 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     return rows.mapInArrow(predicted, "doc_id long, lang_pred string, score double, ambiguous boolean")
 
 
+def keep_known(docs: DataFrame, model: Model | None, text_col: str = "text", margin: float = MARGIN, buckets: int = BUCKETS) -> DataFrame:
+    """The rows of ``docs`` whose language can be told: neither ``und`` nor ambiguous. Judged row by row, without a join."""
+
+    @F.arrow_udf("boolean")
+    def known(texts: pa.Array) -> pa.Array:
+        values = [t.as_py() or "" for t in texts]
+        out = [False] * len(values)
+        lettered = [i for i, t in enumerate(values) if model and has_letter(t)]
+        for at in range(0, len(lettered), 256):
+            part = lettered[at : at + 256]
+            for i, apart in zip(part, model.decode(np.array([features(values[i], buckets) for i in part]))[2], strict=True):
+                out[i] = bool(apart >= margin)
+        return pa.array(out, pa.bool_())
+
+    return docs.filter(known(F.col(text_col).cast("string")))
+
+
 def held_out(id_col: str = "doc_id", folds: int = 5, fold: int = 0) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % folds == fold, F.lit(False))

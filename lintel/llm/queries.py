@@ -34,13 +34,15 @@ OP1_SQL = r"""
 WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
 l AS (SELECT doc_id, i - 1 AS pos, ls[i] AS line FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM d)),
 f AS (SELECT line, min({'d': doc_id, 'p': pos}) AS at, length(line) AS n FROM l WHERE regexp_matches(line, '[^ 	
-]') GROUP BY line),
+
+]') GROUP BY line),
 c AS (
   SELECT a.line AS x, a.at AS xa, b.line AS y, b.at AS ya FROM f a JOIN f b ON left(a.line, 8) = left(b.line, 8) AND abs(a.n - b.n) <= 1 AND b.at < a.at WHERE a.n >= 20 AND b.n >= 20
   UNION SELECT a.line, a.at, b.line, b.at FROM f a JOIN f b ON right(a.line, 8) = right(b.line, 8) AND abs(a.n - b.n) <= 1 AND b.at < a.at WHERE a.n >= 20 AND b.n >= 20),
 near AS (SELECT DISTINCT x FROM c WHERE levenshtein(x, y) <= 1),
 s AS (SELECT l.*, NOT regexp_matches(l.line, '[^ 	
-]') AS blank, f.at = {'d': l.doc_id, 'p': l.pos} AS first, near.x IS NOT NULL AS goes
+
+]') AS blank, f.at = {'d': l.doc_id, 'p': l.pos} AS first, near.x IS NOT NULL AS goes
       FROM l LEFT JOIN f ON f.line = l.line LEFT JOIN near ON near.x = l.line),
 g AS (SELECT doc_id, count(*) AS line_count, count(*) FILTER (WHERE NOT blank AND NOT first) AS exact_dropped, count(*) FILTER (WHERE first AND goes) AS near_dropped,
       coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE blank OR (first AND NOT goes)), '') AS t FROM s GROUP BY doc_id)
@@ -86,9 +88,13 @@ def op8_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", F.col("sha256").alias("text_sha256"))
 
 
+def domains_of(labels: DataFrame) -> DataFrame:
+    """(doc_id, domain) of the labelled table."""
+    return labels.select("doc_id", mixing.domain_of(F.col("quality"), F.col("toxic")).alias("domain"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = table(spark, sf_dir, "labels").select("doc_id", mixing.domain_of(F.col("quality"), F.col("toxic")).alias("domain"))
-    found, domains = mixing.rates(table(spark, sf_dir, "documents").select("doc_id", "text"), labels)
+    found, domains = mixing.rates(table(spark, sf_dir, "documents").select("doc_id", "text"), domains_of(table(spark, sf_dir, "labels")))
     return found.select("doc_id", "tokens", F.array(*map(F.lit, domains)).alias("domains"), F.transform("p", lambda x: F.round(x, 6)).alias("posteriors"), F.round("rate", 6).alias("rate"), "copies")
 
 
