@@ -1,6 +1,6 @@
-"""All registered queries and their SQL twins."""
+"""All queries of the engine and their SQL twins."""
 
-from __future__ import annotations
+from . import searching, statistics  # noqa: F401  (they register their queries)
+from .registry import ORACLES, QUERIES
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
