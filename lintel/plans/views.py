@@ -32,6 +32,28 @@ SELECT s_suppkey AS poi_id, CASE s_suppkey % 4 WHEN 0 THEN 'stop' WHEN 1 THEN 'r
 SELECT m.*, a.area_id, g.segment FROM market m JOIN property p USING (property_id)
 CROSS JOIN LATERAL (VALUES (CAST(0 AS BIGINT)), (p.county_id), (p.settlement_id)) a(area_id)
 CROSS JOIN LATERAL (VALUES ('all'), (CASE WHEN m.is_new THEN 'new' ELSE 'second_hand' END)) g(segment)""",
+    "register": """
+SELECT sale_id + 2 + more AS line_no, CASE WHEN sale_id % 211 = 0 THEN '31/02/2020' ELSE strftime(sale_date, '%d/%m/%Y') END AS raw_date, address AS raw_address,
+  CASE WHEN sale_id % 223 = 0 THEN 'Antrim' ELSE upper(county) END AS raw_county,
+  CASE WHEN sale_id % 5 = 0 THEN '' ELSE routing_key || ' ' || lpad(CAST(sale_id % 9999 AS VARCHAR), 4, '0') END AS raw_eircode,
+  CASE WHEN sale_id % 227 = 0 THEN '100000' ELSE '€' || format('{:,}', cents // 100) || '.' || lpad(CAST(cents % 100 AS VARCHAR), 2, '0') END AS raw_price,
+  CASE WHEN not_full_market THEN 'Yes' ELSE 'No' END AS raw_nfmp, CASE WHEN sale_id % 229 = 0 THEN 'Perhaps' WHEN vat_exclusive THEN 'Yes' ELSE 'No' END AS raw_vat,
+  CASE WHEN sale_id % 233 = 0 THEN 'Castle' WHEN is_new THEN CASE WHEN sale_id % 2 = 0 THEN 'New Dwelling house /Apartment' ELSE 'Teach/Árasán Cónaithe Nua' END ELSE 'Second-Hand Dwelling house /Apartment' END AS raw_description,
+  CASE WHEN sale_id % 239 = 0 THEN 'huge' WHEN sale_id % 4 = 0 THEN 'less than 38 sq metres' WHEN sale_id % 4 = 1 THEN 'greater than or equal to 38 sq metres and less than 125 sq metres' WHEN sale_id % 4 = 2 THEN 'greater than 125 sq metres' ELSE '' END AS raw_size
+FROM sale JOIN property USING (property_id) JOIN (VALUES (0), (10000000)) v(more) ON more = 0 OR sale_id % 50 = 0""",
+    "parsed": """
+SELECT *, CASE WHEN regexp_full_match(trim(raw_date), '[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}') THEN CAST(try_strptime(trim(raw_date), '%d/%m/%Y') AS DATE) END AS sale_date,
+  CASE WHEN lower(trim(raw_county)) IN ('africa', 'america', 'asia', 'europe', 'middle east') THEN lower(trim(raw_county)) END AS county,
+  CASE WHEN regexp_full_match(trim(raw_price), '€[0-9,]+\\.[0-9]{2}') THEN TRY_CAST(regexp_replace(trim(raw_price), '[€,.]', '', 'g') AS BIGINT) END AS cents,
+  CASE WHEN contains(lower(raw_description), 'second-hand') THEN false WHEN starts_with(lower(raw_description), 'new ') OR ends_with(lower(raw_description), ' nua') THEN true END AS is_new,
+  CASE WHEN raw_size = '' THEN '' WHEN contains(raw_size, '38') AND contains(raw_size, '125') THEN '38_to_125' WHEN contains(raw_size, '125') THEN 'gte_125' WHEN contains(raw_size, '38') THEN 'lt_38' END AS band,
+  CASE WHEN sale_date IS NULL THEN 'bad date' WHEN county IS NULL THEN 'unknown county' WHEN cents IS NULL THEN 'bad price' WHEN raw_nfmp NOT IN ('Yes', 'No') OR raw_vat NOT IN ('Yes', 'No') THEN 'bad flag'
+    WHEN is_new IS NULL THEN 'unknown description' WHEN band IS NULL THEN 'unknown size' END AS error FROM register""",
+    "filed": r"""
+SELECT *, row_number() OVER (PARTITION BY raw_date, lower(address), raw_price ORDER BY line_no) > 1 AS possible_duplicate,
+  row_number() OVER (PARTITION BY raw_date, raw_address, raw_county, raw_eircode, raw_price, raw_nfmp, raw_vat, raw_description, raw_size ORDER BY line_no) - 1 AS occurrence,
+  sha256(concat_ws(chr(31), raw_date, address, raw_county, raw_eircode, raw_price, raw_nfmp, raw_vat, raw_description, raw_size, CAST(occurrence AS VARCHAR))) AS row_hash
+FROM (SELECT *, trim(regexp_replace(raw_address, '\s+', ' ', 'g')) AS address FROM parsed WHERE error IS NULL)""",
     "price_index": """
 SELECT n_regionkey AS series, CAST(date_trunc('month', l_shipdate) AS DATE) AS period,
   CAST(sum(CAST(floor(l_extendedprice * 100 + 0.5) AS BIGINT)) // count(*) AS BIGINT) AS value

@@ -83,3 +83,32 @@ def price_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     suppliers = read(spark, sf_dir, "supplier").join(read(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_regionkey")
     lines = read(spark, sf_dir, "lineitem").select("l_suppkey", F.trunc(F.col("l_shipdate").cast("date"), "MM").alias("period"), cents("l_extendedprice").alias("cents"))
     return lines.join(suppliers, F.col("l_suppkey") == F.col("s_suppkey")).groupBy(F.col("n_regionkey").alias("series"), "period").agg(F.expr("sum(cents) div count(*)").alias("value"))
+
+
+def register_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """line_no and nine text fields as a register's file holds them; some are bad, and every 50th row is filed twice."""
+    sale, places = sales(spark, sf_dir), properties(spark, sf_dir)
+    euros, rest = F.expr("cents div 100"), F.lpad((F.col("cents") % 100).cast("string"), 2, "0")
+    key = F.col("sale_id")
+    yes = lambda c: F.when(F.col(c), "Yes").otherwise("No")
+    rows = sale.join(places, "property_id").select(
+        (key + 2).alias("line_no"),
+        F.when(key % 211 == 0, "31/02/2020").otherwise(F.date_format("sale_date", "dd/MM/yyyy")).alias("raw_date"),
+        F.col("address").alias("raw_address"),
+        F.when(key % 223 == 0, "Antrim").otherwise(F.upper("county")).alias("raw_county"),
+        F.when(key % 5 == 0, "").otherwise(F.concat("routing_key", F.lit(" "), F.lpad((key % 9999).cast("string"), 4, "0"))).alias("raw_eircode"),
+        F.when(key % 227 == 0, "100000").otherwise(F.concat(F.lit("€"), F.format_number(euros, 0), F.lit("."), rest)).alias("raw_price"),
+        yes("not_full_market").alias("raw_nfmp"),
+        F.when(key % 229 == 0, "Perhaps").otherwise(yes("vat_exclusive")).alias("raw_vat"),
+        F.when(key % 233 == 0, "Castle").when(F.col("is_new"), F.when(key % 2 == 0, "New Dwelling house /Apartment").otherwise("Teach/Árasán Cónaithe Nua")).otherwise("Second-Hand Dwelling house /Apartment").alias("raw_description"),
+        F.when(key % 239 == 0, "huge").when(key % 4 == 0, "less than 38 sq metres").when(key % 4 == 1, "greater than or equal to 38 sq metres and less than 125 sq metres").when(key % 4 == 2, "greater than 125 sq metres").otherwise("").alias("raw_size"),
+    )
+    again = F.array(F.lit(0), F.when((F.col("line_no") - 2) % 50 == 0, 10_000_000))
+    return rows.withColumn("more", F.explode(F.array_compact(again))).withColumn("line_no", F.col("line_no") + F.col("more")).drop("more")
+
+
+def sales_by_place(spark: SparkSession, sf_dir: str, bucket: int = 2_500_000) -> DataFrame:
+    """Sales with county and locality; prices rounded down to a bucket (no two orders share day and exact price)."""
+    places = properties(spark, sf_dir).select("property_id", "county", F.element_at(F.split(F.lower("address"), ", "), -2).alias("locality"))
+    held = sales(spark, sf_dir).filter("not withdrawn").withColumn("cents", F.col("cents") - F.col("cents") % bucket)
+    return held.join(places, "property_id").select("sale_id", "property_id", "sale_date", "cents", "county", "locality")
