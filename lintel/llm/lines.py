@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-LEAST = 20
+LEAST, FILTER_BITS = 20, 1 << 24
 
 
 def split_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -64,6 +64,19 @@ def _met(rows: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     return rows.join(keys, "key")
 
 
+def _in_filter(docs: DataFrame, wanted: DataFrame, key: Column, wanted_key: Column, bits: int = FILTER_BITS) -> DataFrame:
+    """The rows of ``docs`` whose key may be one of ``wanted``: a bit map of fixed size, bits / 32768 rows of 4 KB, is all that is sent.
+
+    It only spares the others the shuffle of the join that follows; when it is full, all rows travel.
+    """
+    place = lambda k: F.pmod(F.xxhash64(k), F.lit(bits)) + 1
+    held = wanted.select(place(wanted_key).alias("at")).groupBy(F.expr("bitmap_bucket_number(at)").alias("_part")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(at))").alias("_map"))
+    rows = docs.withColumn("_at", place(key)).withColumn("_part", F.expr("bitmap_bucket_number(_at)")).withColumn("_bit", F.expr("bitmap_bit_position(_at)"))
+    byte = F.conv(F.hex(F.expr("substring(_map, cast(_bit div 8 + 1 as int), 1)")), 16, 10).cast("int")
+    found = rows.join(F.broadcast(held), "_part").filter(F.getbit(byte, F.expr("cast(_bit % 8 as int)")) == 1)
+    return found.drop("_part", "_map", "_at", "_bit")
+
+
 def near_lines(docs: DataFrame, distinct: DataFrame, scratch: Scratch, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, pos, by_doc, by_pos): distinct lines with the earliest line before them that is one edit away."""
     listed = distinct.filter("k0 is not null").select(
@@ -72,6 +85,7 @@ def near_lines(docs: DataFrame, distinct: DataFrame, scratch: Scratch, id_col: s
     halves = scratch.keep(_met(listed.select("doc_id", "pos", "x.*"), scratch, "halves"), "halves")
     wanted = halves.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "role", "half", "key")).alias("picks")).withColumnRenamed("doc_id", "_doc")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    texts = _in_filter(texts, halves.select("doc_id"), F.col("doc_id"), F.col("doc_id"))
     picked = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("_doc"))).select("doc_id", F.split("text", "\n", -1).alias("lines"), F.explode("picks").alias("x"))
     rest = picked.select("doc_id", "x.pos", "x.role", "x.half", "x.key", F.get("lines", F.col("x.pos")).alias("line"))
     n = F.char_length("line")
