@@ -1,6 +1,6 @@
 """All queries of the engine and their SQL twins."""
 
-from . import places, register, searching, statistics  # noqa: F401  (they register their queries)
+from . import estimating, places, records, register, searching, statistics  # noqa: F401  (they register their queries)
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
