@@ -5,16 +5,20 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def kept(df: DataFrame, name: str = "step") -> DataFrame:
-    """``df`` written as Parquet under ``spark.checkpoint.dir`` (a folder of our own only where that is unset) and read again."""
-    spark = df.sparkSession
+def root_of(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; a folder of our own only where that is unset (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         root = f"file://{tempfile.mkdtemp(prefix='lintel-')}"
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def kept(df: DataFrame, name: str = "step") -> DataFrame:
+    """``df`` written as Parquet in the shared folder and read again."""
+    path = f"{root_of(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
