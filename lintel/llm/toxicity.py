@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample
+from .common import Scratch, bounded_sample
 
 BUCKETS, TERMS, FACTORS, MAX_ROWS, EPOCHS = 1 << 22, 1024, 4, 20_000, 6
 LEAST_DOCS, LEAST_ERRORS, MEMO = 8, 5.0, 200_000
@@ -67,29 +67,33 @@ class Machine:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def select_inputs(rows: list[np.ndarray], labels: np.ndarray, terms: int) -> list[int]:
-    """Buckets whose document rates differ between the labels by LEAST_ERRORS standard errors or more; the most distinct first."""
-    n1, n0 = labels.sum(), (1 - labels).sum()
-    with_1 = np.bincount(np.concatenate([np.zeros(0, np.int64), *(r for r, y in zip(rows, labels, strict=True) if y)]), minlength=1)
-    with_0 = np.bincount(np.concatenate([np.zeros(0, np.int64), *(r for r, y in zip(rows, labels, strict=True) if not y)]), minlength=1)
-    size = max(len(with_1), len(with_0))
-    with_1, with_0 = np.pad(with_1, (0, size - len(with_1))), np.pad(with_0, (0, size - len(with_0)))
-    p = (with_1 + with_0) / (n1 + n0)
-    errors = np.abs(with_1 / n1 - with_0 / n0) / np.sqrt(np.maximum(p * (1 - p) * (1 / n1 + 1 / n0), 1e-12))
-    errors[with_1 + with_0 < LEAST_DOCS] = 0
-    return [int(i) for i in np.argsort(-errors, kind="stable")[:terms] if errors[i] >= LEAST_ERRORS]
+def select_inputs(rows: DataFrame, terms: int) -> list[int]:
+    """Buckets whose document rates differ between the labels by LEAST_ERRORS standard errors or more; the most distinct first, ``terms`` at most.
 
+    ``rows``: x (array of buckets), y. Counted by Spark: only the chosen buckets come to the driver.
+    """
+    n = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    n1, n0 = n.get(1, 0), n.get(0, 0)
+    if not n1 or not n0:
+        return []
+    counts = rows.select("y", F.explode("x").alias("bucket")).groupBy("bucket").agg(F.sum("y").alias("k"), F.count("*").alias("docs")).filter(F.col("docs") >= LEAST_DOCS)
+    p = F.col("docs") / (n1 + n0)
+    spread = F.sqrt(F.greatest(p * (1 - p) * (1 / n1 + 1 / n0), F.lit(1e-12)))
+    errors = F.abs(F.col("k") / n1 - (F.col("docs") - F.col("k")) / n0) / spread
+    best = counts.select("bucket", errors.alias("errors")).filter(F.col("errors") >= LEAST_ERRORS).orderBy(F.desc("errors"), "bucket").limit(terms)
+    return [r["bucket"] for r in best.collect()]
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, terms: int = TERMS, factors: int = FACTORS, epochs: int = EPOCHS, seed: int = 5) -> Machine:
+
+def fit(x: list[np.ndarray], labels: np.ndarray, chosen: list[int], factors: int = FACTORS, epochs: int = EPOCHS, seed: int = 5) -> Machine:
+    """``x``: for each row the places in ``chosen`` of the buckets it holds."""
     share = float(labels.mean()) if len(labels) else 0.0
     bias = float(np.log(max(share, 1e-9) / max(1 - share, 1e-9)))
     if not 0 < share < 1:
         return Machine({}, bias, np.zeros(0), np.zeros((0, factors)))
-    inputs = {b: i for i, b in enumerate(select_inputs(rows, labels, terms))}
+    inputs = {b: i for i, b in enumerate(chosen)}
     rng = np.random.default_rng(seed)
     w, v = np.zeros(len(inputs)), rng.normal(0, 0.05, (len(inputs), factors))
     gw, gv, gb = np.full(len(w), 1e-2), np.full(v.shape, 1e-2), 1e-2
-    x = [np.array([inputs[b] for b in r if b in inputs], int) for r in rows]
     for _ in range(epochs):  # one adaptive gradient step a row; the decay keeps terms of few rows small
         for i in rng.permutation(len(x)):
             at = x[i]
@@ -108,18 +112,31 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, terms: int = TERMS, factors:
     return Machine(inputs, float(bias), w, v)
 
 
-def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_ROWS) -> Machine:
-    """Fits on at most ``max_rows`` rows of ``labelled``, equal texts counting once; their hashed terms, not their texts, go to the driver."""
+def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_ROWS, terms: int = TERMS) -> Machine:
+    """Fits on at most ``max_rows`` rows of ``labelled``, equal texts counting once. What comes to the driver are the chosen buckets, and for each
+    row the places of those that it holds."""
 
     def hashed(batches):
         memo: dict[str, tuple] = {}
         for batch in batches:
-            found = [np.array(sorted(hashed_terms(t.as_py() or "", memo)), np.int32).tobytes() for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), batch.column(1)], ["x", "y"])
+            found = [sorted(hashed_terms(t.as_py() or "", memo)) for t in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), batch.column(1)], ["x", "y"])
 
     rows = labelled.filter(F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("int").alias("y"))
-    got = bounded_sample(rows, "id", max_rows).select("text", "y").mapInArrow(hashed, "x binary, y int").toPandas().drop_duplicates().sort_values(["x", "y"])
-    return fit([np.frombuffer(v, np.int32).astype(np.int64) for v in got["x"]], got["y"].to_numpy(float))
+    scratch = Scratch(labelled.sparkSession, "toxicity")
+    held = scratch.keep(bounded_sample(rows, "id", max_rows).select("text", "y").mapInArrow(hashed, "x array<int>, y int"), "terms")
+    once = held.groupBy(F.xxhash64("x"), "y").agg(F.first("x").alias("x")).select("x", "y")
+    chosen = select_inputs(once, terms)
+    places = {b: i for i, b in enumerate(chosen)}
+
+    def placed(batches):
+        for batch in batches:
+            found = [sorted(places[b] for b in r if b in places) for r in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([np.array(r, np.int32).tobytes() for r in found], pa.binary()), batch.column(1)], ["x", "y"])
+
+    got = once.select("x", "y").mapInArrow(placed, "x binary, y int").toPandas().sort_values(["x", "y"])
+    scratch.drop(held)
+    return fit([np.frombuffer(v, np.int32).astype(np.int64) for v in got["x"]], got["y"].to_numpy(float), chosen)
 
 
 def scored(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
