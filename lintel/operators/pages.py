@@ -32,7 +32,7 @@ def headlines(rolling: DataFrame, sales: DataFrame, areas: DataFrame, index: Dat
     last = index.groupBy("area_id").agg(F.max("period").alias("period"))
     moved = last.join(index, ["area_id", "period"]).select("area_id", "value", F.add_months("period", -12).alias("period")).join(index.withColumnRenamed("value", "value_before"), ["area_id", "period"])
     moved = moved.select("area_id", change_permille(F.col("value"), F.col("value_before")).alias("index_change"))
-    met = areas.join(now, "area_id", "left").join(before, "area_id", "left").join(F.broadcast(moved), "area_id", "left").join(country)
+    met = areas.join(now, "area_id", "left").join(before, "area_id", "left").join(moved, "area_id", "left").join(country)
     return met.select("area_id", "kind", "name", F.date_sub(F.add_months("end", 1), 1).alias("window_end"), "n", "median", "national", change_permille(F.col("median"), F.col("median_before")).alias("change"), "index_change")
 
 

@@ -113,7 +113,7 @@ def summaries(properties: DataFrame, sales: DataFrame, area_stats: DataFrame, ar
     stats = area_stats.filter("segment = 'all' and median is not null").join(areas.select("area_id", "name", "kind"), "area_id")
     latest = stats.select("area_id", F.struct("name", "kind", "median", "n").alias("a"))
     near, wide = (latest.select(F.col("area_id").alias(k), F.col("a").alias(f"{k}_a")) for k in ("settlement_id", "county_id"))
-    met = properties.join(F.broadcast(near), "settlement_id", "left").join(F.broadcast(wide), "county_id", "left").join(lists, "property_id", "left").join(vicinity, "property_id", "left")
+    met = properties.join(near, "settlement_id", "left").join(wide, "county_id", "left").join(lists, "property_id", "left").join(vicinity, "property_id", "left")
     payload = F.struct(
         F.col("property_id").alias("id"),
         "address",

@@ -223,9 +223,13 @@ def candidate_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.pick(candidates(spark, sf_dir)).select("query_id", "candidate_id", F.col("level").cast("int").alias("level"))
 
 
-@query()
+@query(
+    r"""WITH b AS (SELECT property_id, replace(regexp_replace(regexp_replace(regexp_replace(address, '^Apt [0-9]+, ', ''), ', Co\. .*$', ''), '\s+', ' ', 'g'), 'Rd.,', 'Rd,') AS whole FROM property)
+SELECT property_id, 0 AS step, whole AS query, string_split(whole, ', ')[1] AS part FROM b UNION ALL SELECT property_id, 1, string_split(whole, ', ')[2], string_split(whole, ', ')[2] FROM b""",
+    "property",
+)
 def query_ladders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The queries asked for each address, from whole to town; unit tests hold the rules."""
+    """The queries asked for each address, from whole to town; unit tests hold the other rules."""
     parts = B.properties(spark, sf_dir).select("property_id", "county", G.query_parts(F.col("address"), F.col("county")).alias("parts"))
     steps = parts.select("property_id", F.posexplode(G.ladder(F.col("parts"), F.col("county"))).alias("step", "s"))
     return steps.select("property_id", "step", "s.query", "s.part")

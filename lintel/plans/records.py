@@ -25,13 +25,23 @@ def now() -> object:
     return F.lit("2024-02-01 00:00:00").cast("timestamp")
 
 
-@query()
+@query(
+    """WITH RECURSIVE e AS (SELECT event_id, user_id, event_type, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS rn FROM events),
+w AS (SELECT user_id, event_type, rn, event_id, us AS last, true AS kept FROM e WHERE rn = 1
+  UNION ALL SELECT e.user_id, e.event_type, e.rn, e.event_id, CASE WHEN e.us - w.last > 21600000000 THEN e.us ELSE w.last END, e.us - w.last > 21600000000 FROM w JOIN e ON e.user_id = w.user_id AND e.event_type = w.event_type AND e.rn = w.rn + 1)
+SELECT event_id AS view_id, kept FROM w"""
+)
 def view_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Views of a user and kind of page, kept if none that counts lies within 30 minutes before; sequential, so a test walks it in Python."""
+    """Views of a user and kind of page, kept if none that counts lies within six hours before: sequential, so the twin recurses row by row."""
     return R.kept_views(events(spark, sf_dir).select(F.col("event_id").alias("view_id"), "user_id", F.col("event_type").alias("item"), "ts"), gap_s=6 * 3600)
 
 
-@query()
+@query(
+    """WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+w AS (SELECT user_id, rn, event_id, us, us AS begun, 1 AS n FROM e WHERE rn = 1
+  UNION ALL SELECT e.user_id, e.rn, e.event_id, e.us, CASE WHEN e.us - w.begun >= 86400000000 THEN e.us ELSE w.begun END, CASE WHEN e.us - w.begun >= 86400000000 THEN 1 ELSE w.n + 1 END FROM w JOIN e ON e.user_id = w.user_id AND e.rn = w.rn + 1)
+SELECT event_id AS call_id, n > 5 AS refused, CASE WHEN n > 5 THEN greatest(1, 86400 - (us - begun) // 1000000) ELSE 0 END AS retry_s FROM w"""
+)
 def rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calls refused in windows that begin with a user's first call; sequential too."""
     return R.limited(events(spark, sf_dir).select(F.col("event_id").alias("call_id"), "user_id", "ts"), most=5, window_s=24 * 3600)
