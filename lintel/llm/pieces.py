@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MARK, MEMO = "▁", 400_000
+MARK, MEMO, CHUNK = "▁", 400_000, 1 << 20
 
 
 class CharacterMap:
@@ -133,6 +134,21 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def _chunks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with CHUNK bytes of text or a single row."""
+    sizes = np.array([len(t.as_buffer()) if t.is_valid else 0 for t in batch.column(1)])
+    at = 0
+    while at < len(sizes):
+        n = max(1, int(np.searchsorted(np.cumsum(sizes[at:]), CHUNK, side="right")))
+        yield batch.slice(at, n)
+        at += n
+
+
+def _lists(rows: list[np.ndarray], kind: type) -> pa.Array:
+    offsets = np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows) if rows else np.zeros(0, kind)))
+
+
 def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", with_pieces: bool = True) -> DataFrame:
     """Per row: doc_id, n_tokens, ids_sha256, decoded_sha256, spans_sha256 and, if asked for, ids and starts (source bytes; one more than ids)."""
 
@@ -140,11 +156,19 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
         one = encoder(model)
         digest = lambda data: hashlib.sha256(data).hexdigest()
         for batch in batches:
-            rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids, n, decoded, starts = one.encode(text.as_py() or "")
-                rows.append((doc, n, digest(ids.encode()), digest(decoded.encode("utf-8", "surrogatepass")), digest(starts.astype("<i8").tobytes())) + (([*map(int, ids.split(","))] if ids else [], starts.tolist()) if with_pieces else ()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), fields, strict=True)] if rows else [pa.array([], f.type) for f in fields], [f.name for f in fields])
+            for texts in _chunks(batch):  # what leaves at once stays small, however many pieces a batch has
+                ids, columns = [], [[], [], [], []]
+                starts = []
+                for value in texts.column(1):
+                    found, n, decoded, at = one.encode(value.as_py() or "")
+                    for column, x in zip(columns, (n, digest(found.encode()), digest(decoded.encode("utf-8", "surrogatepass")), digest(at.astype("<i8").tobytes())), strict=True):
+                        column.append(x)
+                    if with_pieces:
+                        ids.append(np.array(found.split(","), np.int32) if found else np.zeros(0, np.int32))
+                        starts.append(at.astype(np.int64))
+                lists = [_lists(ids, np.int32), _lists(starts, np.int64)] if with_pieces else []
+                arrays = [texts.column(0), *(pa.array(c, f.type) for c, f in zip(columns, fields[1:], strict=False)), *lists]
+                yield pa.RecordBatch.from_arrays(arrays, [f.name for f in fields])
 
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     fields = [pa.field("doc_id", pa.int64()), pa.field("n_tokens", pa.int64()), *(pa.field(f"{x}_sha256", pa.string()) for x in ("ids", "decoded", "spans"))]
