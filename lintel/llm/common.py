@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -51,18 +51,29 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
-def bucket_of(*cols: Column, salt: str = "") -> Column:
-    """0 to 2**20 - 1, a hash of the columns."""
-    return F.pmod(F.xxhash64(F.lit(salt), *cols), F.lit(1 << 20))
-
-
 def bounded_sample(df: DataFrame, key: str, limit: int, salt: str = "sample") -> DataFrame:
-    """At most ``limit`` rows, chosen by a hash of ``key``: the same rows on every run. Used only to fit classifiers."""
-    n = df.count()
-    if n <= limit:
-        return df
-    cut = int((1 << 20) * limit / n) + 1
-    return df.filter(bucket_of(F.col(key), salt=salt) < cut).limit(limit)
+    """At most ``limit`` rows, chosen by a hash of ``key``: the same rows on every run. Used only to fit classifiers.
+
+    The hash is cut into 1024 ranges, whose rows are counted; ranges are taken in order as long as they fit, so the bound holds
+    without gathering the sample in one task. Where every range is too large, the smallest is cut again.
+    """
+    at, low, bits, rows = F.xxhash64(F.lit(salt), key).bitwiseAND(F.lit((1 << 60) - 1)), 0, 60, df
+    while bits:
+        bits -= 10
+        part = F.shiftright(at - low, bits)
+        counts = {r["part"]: r["n"] for r in rows.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()}  # 1024 rows at most
+        if bits == 50 and sum(counts.values()) <= limit:
+            return df
+        chosen, held = [], 0
+        for k in sorted(counts):
+            if held + counts[k] <= limit:
+                chosen, held = [*chosen, k], held + counts[k]
+        if chosen:
+            return rows.filter(part.isin(chosen))
+        least = min(counts, key=lambda k: (counts[k], k))
+        low += least << bits
+        rows = rows.filter(part == least)
+    return rows.limit(limit)  # a single key with more rows than that
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
