@@ -123,3 +123,46 @@ def test_distinct_fingerprints_of_all_widths(documents):
     docs = documents((1, "a b c d e"), (2, "A B C D E"), (3, "a\tb  c\x0bd e"))
     assert docs.select(F.count("*")).first()[0] == 3
     assert len({r["fp"] for r in simhash.fingerprints(docs, width=5).collect()}) == 1
+
+
+def test_near_copies_against_brute_jaccard(spark, documents, awkward, clashing):
+    """Texts around the bound, and a group whose blocks are large; most linked pairs differ in more than two bits."""
+    rnd = random.Random(8)
+    word = lambda: f"w{rnd.randrange(10**6)}"
+    texts = []
+    for size in (6, 12, 30, 60, 120, 300):
+        for _ in range(4):
+            base = [word() for _ in range(size)]
+            for changes in (0, 0, 1, 1, 2, 3, 5):
+                copy = list(base)
+                for _ in range(changes):
+                    copy[rnd.randrange(size)] = word()
+                texts.append(" ".join(copy))
+    base = [word() for _ in range(200)]
+    for _ in range(90):
+        texts.append(" ".join([*base[: 200 - rnd.randrange(12)], word()]))
+    docs = awkward.unionByName(documents(*((100 + i, t) for i, t in enumerate(texts))))
+
+    def shingles(text):
+        words = text.lower().split()
+        return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} or ({tuple(words)} if words else set())
+
+    sets = {r["doc_id"]: shingles(r["text"] or "") for r in docs.collect() if r["doc_id"] is not None}
+    parent = {i: i for i in sets}
+
+    def top(i):
+        return i if parent[i] == i else top(parent[i])
+
+    far = 0
+    for a in sets:
+        for b in sets:
+            if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                x, y = sorted((top(a), top(b)))
+                parent[y] = x
+                far += sets[a] != sets[b] and bin(brute_fingerprint(texts[a - 100]) ^ brute_fingerprint(texts[b - 100])).count("1") > 2
+    assert far > 100
+    found = simhash.near_copies(clashing(docs), 0.8).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found if r["doc_id"] is not None} == {i: top(i) for i in sets}
+    kept = simhash.keep_one(clashing(docs), least=0.8)
+    assert sorted({r["doc_id"] for r in kept.filter("doc_id is not null").collect()}) == sorted(i for i in sets if top(i) == i)
+    assert simhash.keep_one(docs.limit(0), least=0.8).count() == 0
