@@ -2,7 +2,8 @@
 
 1. A classifier fitted on the labelled table gives every document a probability for each domain: naive Bayes over hashed
    words and two shape features (share of distinct words, share of letters), counted by Spark over at most ``max_rows`` labelled
-   documents. Of the buckets only those speak of which some domain's document rate is ``LEAST_RATIO`` times that of all, by ``LEAST_ERRORS`` standard errors.
+   documents. Of the buckets only those speak whose document rate in some domain and that in all others together differ
+   ``LEAST_RATIO`` times, up or down, and by ``LEAST_ERRORS`` standard errors: a bound that does not depend on a domain's share.
    Both the presence and the absence of such a bucket count.
 2. Each document gets a rate r, 0 <= r <= ``MOST_RATE``, how often it should be read. Projected gradient descent, scaled by the domains' cross
    products (domains x domains), minimises the squared distance between the expected domain totals, sum of r * tokens * P(domain),
@@ -46,6 +47,14 @@ def featured(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFra
     return rows.select("doc_id", *more, "tokens", F.concat(words, shapes).alias("buckets"))
 
 
+def _speaks(k: int, m: int, others: int, rest: int) -> bool:
+    """Whether k of a domain's m documents and ``others`` of the ``rest`` have clearly different rates."""
+    if not rest:
+        return False
+    share, a, b = (k + others) / (m + rest), k / m, others / rest
+    return abs(a - b) >= LEAST_ERRORS * math.sqrt(max(share * (1 - share) * (1 / m + 1 / rest), 1e-12)) and max(a, b) >= LEAST_RATIO * min(a, b)
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS) -> tuple[list[str], list[float], list[list[float]]]:
     """(domains, for each domain the log-probability of a text with no bucket, and what each bucket adds). ``labels``: doc_id, domain."""
     chosen = bounded_sample(labels.filter("domain is not null"), "doc_id", max_rows)
@@ -61,8 +70,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     for r in counts:
         n = [r[d] for d in sizes]
         share = sum(n) / total
-        spread = [(k / m - share) / math.sqrt(max(share * (1 - share) / m, 1e-12)) for k, m in zip(n, sizes.values(), strict=True)]
-        if any(e >= LEAST_ERRORS and k / m >= LEAST_RATIO * share for e, k, m in zip(spread, n, sizes.values(), strict=True)):
+        if any(_speaks(k, m, sum(n) - k, total - m) for k, m in zip(n, sizes.values(), strict=True)):
             for i, (k, m) in enumerate(zip(n, sizes.values(), strict=True)):
                 rate = (k + SMOOTH * share) / (m + SMOOTH)
                 base[i] += math.log1p(-min(rate, 1 - 1e-6))

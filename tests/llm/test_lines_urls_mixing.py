@@ -137,6 +137,23 @@ def test_mixing_meets_reachable_targets(spark, documents):
     assert all(0 <= r["rate"] <= mixing.MOST_RATE and abs(r["copies"] - r["rate"]) < 1 for r in got)
 
 
+@pytest.mark.parametrize("domains", [("high", "low"), ("high", "low", "toxic")])
+def test_mixing_of_balanced_domains(spark, documents, domains):
+    """Domains of equal size, told by words that two of three may share, still have words that speak."""
+    words = {"high": "fine plain", "low": "poor plain", "toxic": "nasty"}
+    of = lambda i: domains[i % len(domains)]
+    docs = documents(*((i, f"some text of {words[of(i)]} words") for i in range(600)))
+    labels = spark.createDataFrame([(i, of(i)) for i in range(600)], "doc_id long, domain string")
+    targets = dict(zip(domains, (0.9, 0.07, 0.03), strict=False))
+    found, names = mixing.rates(docs, labels, targets)
+    got = found.collect()
+    assert all(r["p"][names.index(of(r["doc_id"]))] > 0.9 for r in got)
+    total = sum(r["tokens"] for r in got)
+    for d, aim in targets.items():
+        share = sum(r["rate"] * r["tokens"] for r in got if of(r["doc_id"]) == d) / total
+        assert abs(share - aim / sum(targets.values())) < 0.02
+
+
 def test_mixing_awkward_rows(spark, awkward, clashing):
     labels = spark.createDataFrame([], "doc_id long, domain string")
     found, domains = mixing.rates(clashing(awkward), labels)
