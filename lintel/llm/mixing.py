@@ -5,9 +5,10 @@
    documents. Of the buckets only those speak whose document rate in some domain and that in all others together differ
    ``LEAST_RATIO`` times, up or down, and by ``LEAST_ERRORS`` standard errors: a bound that does not depend on a domain's share.
    Both the presence and the absence of such a bucket count.
-2. Each document gets a rate r, 0 <= r <= ``MOST_RATE``, how often it should be read. Projected gradient descent, scaled by the domains' cross
+2. Each document gets a rate r >= 0 (at most ``most_rate`` where the caller names one), how often it should be read. Projected gradient descent, scaled by the domains' cross
    products (domains x domains), minimises the squared distance between the expected domain totals, sum of r * tokens * P(domain),
    and the targets. A step is one aggregate over the documents; the rates themselves never leave the executors.
+   A domain whose reached share misses its target is logged as a warning with both figures.
 3. copies = floor(rate + u), u in [0, 1) a hash of the identifier: the expected number of copies is the rate.
 
 Defined cases: null counts as empty; texts without words have no tokens and the prior as posterior, rate as any other
@@ -18,6 +19,7 @@ identifier hashes like a value of its own. Other columns pass through ``mixed``
 
 from __future__ import annotations
 
+import logging
 import math
 
 import numpy as np
@@ -27,7 +29,10 @@ from pyspark.sql import functions as F
 from .common import Scratch, bounded_sample
 
 BUCKETS, SHAPES, MAX_ROWS, LEAST_ERRORS, LEAST_RATIO, SMOOTH = 1 << 16, 22, 20_000, 8.0, 4.0, 1.0
-STEPS, CLOSE, RIDGE, MOST_RATE = 20, 1e-3, 0.01, 8.0
+STEPS, CLOSE, RIDGE, MOST_RATE = 20, 1e-3, 0.01, math.inf
+#: A domain whose cross product is below 1 / RIDGE_REACH gets a smaller ridge in proportion.
+RIDGE_REACH = 50.0
+LOG = logging.getLogger(__name__)
 #: The share of all tokens that each domain should have.
 TARGETS = {"high": 0.90, "low": 0.07, "toxic": 0.03}
 
@@ -93,8 +98,8 @@ def posteriors(docs: DataFrame, model: tuple, id_col: str = "doc_id", text_col:
     return rows.select("doc_id", "tokens", F.transform("e", lambda x: x / F.aggregate("e", F.lit(0.0), lambda a, b: a + b)).alias("p"))
 
 
-def fit_rates(rows: DataFrame, domains: list[str], targets: dict[str, float], steps: int = STEPS, close: float = CLOSE) -> Column:
-    """The rate as a Column over (tokens, p): the history of steps holds one number a domain and step."""
+def fit_rates(rows: DataFrame, domains: list[str], targets: dict[str, float], steps: int = STEPS, close: float = CLOSE, most_rate: float = MOST_RATE) -> Column:
+    """The rate as a Column over (tokens, p): the history of steps holds one number a domain and step. Unmet targets are logged."""
     k, t = range(len(domains)), F.col("tokens").cast("double")
     p = [F.get("p", F.lit(d)) for d in k]
     rate = F.lit(1.0)
@@ -119,25 +124,33 @@ def fit_rates(rows: DataFrame, domains: list[str], targets: dict[str, float], st
         if np.abs(gaps).max() < close:
             break
         # a document's gradient is tokens * sum of gap * p; scaled by its tokens and by the domains' cross products
-        move = np.linalg.solve(products + RIDGE * np.eye(len(k)), gaps)
-        rate = F.least(F.lit(MOST_RATE), F.greatest(F.lit(0.0), rate - sum((F.lit(float(move[d])) * p[d] for d in k), F.lit(0.0))))
+        # the ridge follows a domain's own product, so that a rare domain moves as fast as a common one
+        move = np.linalg.solve(products + RIDGE * np.diag(np.minimum(1.0, RIDGE_REACH * np.diag(products))) + 1e-9 * np.eye(len(k)), gaps)
+        rate = F.greatest(F.lit(0.0), rate - sum((F.lit(float(move[d])) * p[d] for d in k), F.lit(0.0)))
+        rate = rate if math.isinf(most_rate) else F.least(F.lit(most_rate), rate)
         _, now, products = sums(rate)
+    wanted = {n: targets.get(n, 0.0) for n in {*domains, *targets}}
+    scale = sum(wanted.values())
+    for name in sorted(wanted):
+        got = now[domains.index(name)] if name in domains else 0.0
+        if abs(got - wanted[name] / scale) >= close:
+            LOG.warning("mixing: domain %s reaches %.4f of the tokens, target %.4f", name, got, wanted[name] / scale)
     return rate
 
 
-def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS) -> tuple[DataFrame, list[str]]:
+def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS, most_rate: float = MOST_RATE) -> tuple[DataFrame, list[str]]:
     """((doc_id, tokens, p, rate, copies) of every row, the domains of p)."""
     scratch = Scratch(docs.sparkSession, "mixing")
     model = fit(docs, labels, id_col, text_col, max_rows)
     rows = scratch.keep(posteriors(docs, model, id_col, text_col), "posteriors")
-    rate = fit_rates(rows, model[0], TARGETS if targets is None else targets)
+    rate = fit_rates(rows, model[0], TARGETS if targets is None else targets, most_rate=most_rate)
     u = F.pmod(F.xxhash64(F.lit("mixing"), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     return rows.withColumn("rate", rate).withColumn("copies", F.floor(F.col("rate") + u).cast("long")), model[0]
 
 
-def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS) -> DataFrame:
+def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS, most_rate: float = MOST_RATE) -> DataFrame:
     """``docs`` with each row as often as its copies say: the mixture itself."""
-    found, _ = rates(docs, labels, targets, id_col, text_col, max_rows)
+    found, _ = rates(docs, labels, targets, id_col, text_col, max_rows, most_rate)
     copies = found.groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").cast("int").alias("_copies")).filter("_copies > 0")
     joined = docs.join(copies, F.col(id_col).eqNullSafe(F.col("_id")))
     return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_id", "_copies", "_copy")

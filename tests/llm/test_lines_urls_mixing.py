@@ -154,6 +154,24 @@ def test_mixing_of_balanced_domains(spark, documents, domains):
         assert abs(share - aim / sum(targets.values())) < 0.02
 
 
+def test_mixing_of_a_rare_domain(spark, documents, caplog):
+    """A domain with 0.2 % of the tokens reaches 3 %; under an upper bound of the rate the gap is logged."""
+    of = lambda i: "toxic" if i % 500 == 0 else "high"
+    docs = documents(*((i, "nasty nasty mean words" if of(i) == "toxic" else "good fine plain words") for i in range(2000)))
+    labels = spark.createDataFrame([(i, of(i)) for i in range(2000)], "doc_id long, domain string")
+    for most, met in ((None, True), (8.0, False)):
+        caplog.clear()
+        found, names = mixing.rates(docs, labels, {"high": 0.97, "toxic": 0.03}, **({"most_rate": most} if most else {}))
+        got = found.collect()
+        share = sum(r["rate"] * r["tokens"] * r["p"][names.index("toxic")] for r in got) / sum(r["tokens"] for r in got)
+        assert (abs(share - 0.03) < 2e-3) == met
+        assert ("domain toxic reaches" in caplog.text) != met
+        assert max(r["rate"] for r in got) > 8 if met else max(r["rate"] for r in got) <= 8
+    caplog.clear()
+    mixing.rates(docs, labels, {"high": 0.9, "low": 0.1})
+    assert "domain low reaches 0.0000 of the tokens, target 0.1000" in caplog.text
+
+
 def test_mixing_awkward_rows(spark, awkward, clashing):
     labels = spark.createDataFrame([], "doc_id long, domain string")
     found, domains = mixing.rates(clashing(awkward), labels)
