@@ -2,36 +2,46 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lintel.sources.scratch import root_of
+
+#: A bit map's least and most bits; the most are 16 MB, the largest that is ever sent to every task.
+LEAST_BITS, MOST_BITS, BITS_A_KEY = 1 << 15, 1 << 27, 16
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; one of our own only where ``spark.checkpoint.dir`` is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='lintel-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+def row_key(id_col: str, text_col: str) -> Column:
+    """16 bytes that stand for a row's identifier, of any type, and text; missing values count as values of their own."""
+    mark = lambda c: F.coalesce(F.concat(F.lit("="), F.col(f"`{c}`").cast("string")), F.lit("-"))
+    return F.unhex(F.md5(F.concat(mark(id_col), F.lit("\0"), mark(text_col))))
+
+
+def free_name(name: str, columns: list[str]) -> str:
+    """``name``, with as many ``_`` behind it as it takes to clash with none of ``columns``."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 class Scratch:
     """Parquet tables in the shared folder that cut lineage and survive lost executors.
 
     ``keep`` writes a frame and returns it as read back; ``drop`` removes a table that nothing needs any more.
-    Whatever the returned result still reads stays, like checkpoint files do.
+    Whatever the returned result still reads stays until the session's end, when the folder goes.
     """
 
     def __init__(self, spark: SparkSession, name: str) -> None:
-        self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        self._paths: dict[int, str] = {}
+        self.spark, self.root = spark, f"{root_of(spark)}/{name}-{uuid.uuid4().hex}"
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.root)  # noqa: SLF001
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)  # noqa: SLF001
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
@@ -40,7 +50,6 @@ class Scratch:
         path = self.path(name)
         df.write.options(**options).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self._paths[id(out)] = path
         out._lintel_path = path  # noqa: SLF001
         return out
 
@@ -76,6 +85,72 @@ def bounded_sample(df: DataFrame, key: str, limit: int, salt: str = "sample") ->
     return rows.limit(limit)  # a single key with more rows than that
 
 
+def quotas(totals: dict, limit: int) -> dict:
+    """Shares of ``limit`` for groups of the given sizes: small groups whole, what they leave in equal parts to the others."""
+    out, left = {}, limit
+    for i, k in enumerate(sorted(totals, key=lambda k: (totals[k], str(k)))):
+        out[k] = min(totals[k], left // (len(totals) - i))
+        left -= out[k]
+    return out
+
+
+def stratified_sample(df: DataFrame, key: str, stratum: str, limit: int, salt: str = "sample") -> tuple[DataFrame, dict]:
+    """(at most ``limit`` rows, the share taken of each value of ``stratum``): rare values are taken whole before common ones share what is left.
+
+    Rows of a value are chosen by a hash of ``key``, the same ones on every run. One count of 1024 ranges a value comes to the driver.
+    """
+    part = F.shiftright(F.xxhash64(F.lit(salt), key).bitwiseAND(F.lit((1 << 60) - 1)), 50)
+    counts: dict = {}
+    for r in df.groupBy(F.col(stratum).alias("s"), part.alias("part")).agg(F.count("*").alias("n")).collect():
+        counts.setdefault(r["s"], {})[r["part"]] = r["n"]
+    totals = {s: sum(c.values()) for s, c in counts.items()}
+    shares, cuts, alone = quotas(totals, limit), {}, []
+    taken = {}
+    for s, ranges in counts.items():
+        held, cuts[s] = 0, 0
+        for k in sorted(ranges):
+            if held + ranges[k] > shares[s]:
+                break
+            held, cuts[s] = held + ranges[k], k + 1
+        if shares[s] == totals[s]:
+            cuts[s] = 1024
+        elif not held and shares[s]:
+            alone.append(s)
+        taken[s] = held / totals[s]
+    if not cuts:
+        return df, {}
+    bound = F.lit(0)
+    for s, cut in cuts.items():
+        bound = F.when(F.col(stratum).eqNullSafe(F.lit(s)), F.lit(cut)).otherwise(bound)
+    out = df.filter(part < bound)
+    for s in alone:  # a value whose first range is over its share already: a single hot key, say
+        more = bounded_sample(df.filter(F.col(stratum).eqNullSafe(F.lit(s))), key, shares[s], salt)
+        out, taken[s] = out.unionByName(more), shares[s] / totals[s]
+    return out, taken
+
+
+def flagged(rows: DataFrame, wanted: DataFrame, key: Column, wanted_key: Column, flag: str, bits: int | None = None) -> DataFrame:
+    """``rows`` with the boolean ``flag``: whether the key may be one of ``wanted``. Only a bit map is sent, bits / 32768 rows of 4 KB.
+
+    The map has 16 bits a wanted row, counted, and 16 MB at most; the fuller it is, the more rows are flagged for nothing.
+    """
+    if bits is None:
+        bits = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_A_KEY * max(wanted.count(), 1) - 1).bit_length()))
+    at, part, bit, bitmap = (free_name(n, rows.columns) for n in ("_at", "_part", "_bit", "_map"))
+    place = lambda k: F.pmod(F.xxhash64(k), F.lit(bits)) + 1
+    held = wanted.select(place(wanted_key).alias(at)).groupBy(F.expr(f"bitmap_bucket_number({at})").alias(part)).agg(F.expr(f"bitmap_construct_agg(bitmap_bit_position({at}))").alias(bitmap))
+    rows = rows.withColumn(at, place(key)).withColumn(part, F.expr(f"bitmap_bucket_number({at})")).withColumn(bit, F.expr(f"bitmap_bit_position({at})"))
+    byte = F.conv(F.hex(F.expr(f"substring({bitmap}, cast({bit} div 8 + 1 as int), 1)")), 16, 10).cast("int")
+    known = F.coalesce(F.getbit(byte, F.expr(f"cast({bit} % 8 as int)")) == 1, F.lit(False))
+    return rows.join(F.broadcast(held), part, "left").withColumn(flag, known).drop(part, bitmap, at, bit)
+
+
+def in_filter(rows: DataFrame, wanted: DataFrame, key: Column, wanted_key: Column, bits: int | None = None) -> DataFrame:
+    """The ``rows`` that ``flagged`` lets through. It only spares the others the shuffle of the join that follows."""
+    flag = free_name("_flag", rows.columns)
+    return flagged(rows, wanted, key, wanted_key, flag, bits).filter(F.col(flag)).drop(flag)
+
+
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """Connected components of the undirected ``edges`` (a, b): one row (node, label), the label being the smallest node.
 

@@ -17,8 +17,10 @@ member. Each link is verified by the edit distance of the two segments. That is
 line the earliest line within one edit.
 
 Defined cases: null text stays null and has no lines; an empty text stays empty; a text of which every line goes becomes empty, its
-row stays. A null doc_id counts as smallest. Rows that repeat a doc_id with the same text share one fate. Other columns
-pass through untouched. An empty table gives an empty result.
+row stays. Identifiers may be of any type that can be ordered; a null one counts as smallest. A place is (doc_id, digest of identifier and text, position),
+so rows that repeat an identifier with other texts are rows of their own, in the order of their digests; rows equal in both share one
+fate. Other columns pass through untouched whatever their names; where one is called line_count, exact_dropped or near_dropped, the new column
+gets a ``_`` behind its name. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,15 +28,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, free_name, in_filter, row_key
 
-LEAST, FILTER_BITS = 20, 1 << 24
+LEAST = 20
+_PLACE = ("doc_id", "row_key", "pos")
 
 
 def split_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, pos, line) of every line."""
-    text = F.col(text_col).cast("string")
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"))
+    """(doc_id, row_key, pos, line) of every line."""
+    text = F.col(f"`{text_col}`").cast("string")
+    return docs.select(F.col(f"`{id_col}`").alias("doc_id"), row_key(id_col, text_col).alias("row_key"), F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"))
 
 
 def _halves(line: Column, n: Column) -> Column:
@@ -53,9 +56,9 @@ def distinct_lines(docs: DataFrame, id_col: str, text_col: str, least: int) -> D
     lines = split_lines(docs, id_col, text_col).filter(F.col("line").rlike(r"\S"))
     n = F.char_length("line")
     keys = F.when(n >= least, F.transform(_halves(F.col("line"), n), lambda x: x["key"]))
-    rows = lines.select("doc_id", "pos", F.unhex(F.md5("line")).alias("digest"), *(F.get(keys, F.lit(i)).alias(f"k{i}") for i in range(4)))
-    first = rows.groupBy("digest").agg(F.min(F.struct("doc_id", "pos")).alias("at"), *(F.first(f"k{i}").alias(f"k{i}") for i in range(4)))
-    return first.select("at.doc_id", "at.pos", *(f"k{i}" for i in range(4)))
+    rows = lines.select(*_PLACE, F.unhex(F.md5("line")).alias("digest"), *(F.get(keys, F.lit(i)).alias(f"k{i}") for i in range(4)))
+    first = rows.groupBy("digest").agg(F.min(F.struct(*_PLACE)).alias("at"), *(F.first(f"k{i}").alias(f"k{i}") for i in range(4)))
+    return first.select("at.*", *(f"k{i}" for i in range(4)))
 
 
 def _met(rows: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -64,41 +67,27 @@ def _met(rows: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     return rows.join(keys, "key")
 
 
-def _in_filter(docs: DataFrame, wanted: DataFrame, key: Column, wanted_key: Column, bits: int = FILTER_BITS) -> DataFrame:
-    """The rows of ``docs`` whose key may be one of ``wanted``: a bit map of fixed size, bits / 32768 rows of 4 KB, is all that is sent.
-
-    It only spares the others the shuffle of the join that follows; when it is full, all rows travel.
-    """
-    place = lambda k: F.pmod(F.xxhash64(k), F.lit(bits)) + 1
-    held = wanted.select(place(wanted_key).alias("at")).groupBy(F.expr("bitmap_bucket_number(at)").alias("_part")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(at))").alias("_map"))
-    rows = docs.withColumn("_at", place(key)).withColumn("_part", F.expr("bitmap_bucket_number(_at)")).withColumn("_bit", F.expr("bitmap_bit_position(_at)"))
-    byte = F.conv(F.hex(F.expr("substring(_map, cast(_bit div 8 + 1 as int), 1)")), 16, 10).cast("int")
-    found = rows.join(F.broadcast(held), "_part").filter(F.getbit(byte, F.expr("cast(_bit % 8 as int)")) == 1)
-    return found.drop("_part", "_map", "_at", "_bit")
-
-
 def near_lines(docs: DataFrame, distinct: DataFrame, scratch: Scratch, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, pos, by_doc, by_pos): distinct lines with the earliest line before them that is one edit away."""
+    """(row_key, pos) of the distinct lines that have an earlier line one edit away."""
     listed = distinct.filter("k0 is not null").select(
-        "doc_id", "pos", F.explode(F.array(*(F.struct(F.lit(i // 2).alias("role"), F.lit(i % 2).alias("half"), F.col(f"k{i}").alias("key")) for i in range(4)))).alias("x")
+        *_PLACE, F.explode(F.array(*(F.struct(F.lit(i // 2).alias("role"), F.lit(i % 2).alias("half"), F.col(f"k{i}").alias("key")) for i in range(4)))).alias("x")
     )
-    halves = scratch.keep(_met(listed.select("doc_id", "pos", "x.*"), scratch, "halves"), "halves")
-    wanted = halves.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "role", "half", "key")).alias("picks")).withColumnRenamed("doc_id", "_doc")
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    texts = _in_filter(texts, halves.select("doc_id"), F.col("doc_id"), F.col("doc_id"))
-    picked = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("_doc"))).select("doc_id", F.split("text", "\n", -1).alias("lines"), F.explode("picks").alias("x"))
-    rest = picked.select("doc_id", "x.pos", "x.role", "x.half", "x.key", F.get("lines", F.col("x.pos")).alias("line"))
+    halves = scratch.keep(_met(listed.select(*_PLACE, "x.*"), scratch, "halves"), "halves")
+    wanted = halves.groupBy(F.col("row_key").alias("_key")).agg(F.collect_list(F.struct("pos", "role", "half", "key")).alias("picks"))
+    texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), row_key(id_col, text_col).alias("row_key"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    texts = in_filter(texts, halves.select("row_key"), F.col("row_key"), F.col("row_key"))
+    picked = texts.join(wanted, F.col("row_key") == F.col("_key")).select("doc_id", "row_key", F.split("text", "\n", -1).alias("lines"), F.explode("picks").alias("x"))
+    rest = picked.select("doc_id", "row_key", "x.*", F.get("lines", F.col("x.pos")).alias("line"))
     n = F.char_length("line")
     size, half = n + F.col("role"), F.floor((n + F.col("role")) / 2).cast("int")
-    rest = rest.select("doc_id", "pos", "role", "key", (size - half).alias("m"), F.when(F.col("half") == 0, F.col("line").substr(half + 1, n - half)).otherwise(F.col("line").substr(F.lit(1), n - half)).alias("rest"))
+    rest = rest.select(*_PLACE, "role", "key", (size - half).alias("m"), F.when(F.col("half") == 0, F.col("line").substr(half + 1, n - half)).otherwise(F.col("line").substr(F.lit(1), n - half)).alias("rest"))
     width = F.ceil(F.sqrt("m")).cast("int")
-    cut = rest.withColumn("w", width).select("doc_id", "pos", "role", "key", "m", "w", "rest", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("m") / F.col("w")) - 1).cast("int"))).alias("s"))
+    cut = rest.withColumn("w", width).select(*_PLACE, "role", "key", "m", "w", "rest", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("m") / F.col("w")) - 1).cast("int"))).alias("s"))
     left = F.col("s") * F.col("w")
     right = F.greatest(F.col("m") - left - F.col("w"), F.lit(0))
     middle = F.col("m") - F.col("role") - left - right
     segments = cut.select(
-        "doc_id",
-        "pos",
+        *_PLACE,
         "role",
         F.xxhash64("key", "s", F.col("rest").substr(F.lit(1), left), F.col("rest").substr(F.col("m") - F.col("role") - right + 1, right)).alias("key"),
         F.col("rest").substr(left + 1, middle).alias("part"),
@@ -107,21 +96,20 @@ def near_lines(docs: DataFrame, distinct: DataFrame, scratch: Scratch, id_col: s
     met = scratch.keep(_met(segments, scratch, "segments"), "met")
     scratch.drop(halves, segments)
 
-    place = F.sequence(F.lit(1), F.char_length("part"))
-    long = met.filter("role = 0").select("doc_id", "pos", "key", "part", F.explode(place).alias("i"))
+    at = F.sequence(F.lit(1), F.char_length("part"))
+    long = met.filter("role = 0").select(*_PLACE, "key", "part", F.explode(at).alias("i"))
     long = long.withColumn("without", F.concat(F.col("part").substr(F.lit(1), F.col("i") - 1), F.col("part").substr(F.col("i") + 1, F.char_length("part"))))
-    replaced = long.select(F.xxhash64("key", "i", "without").alias("v"), F.lit(0).alias("role"), "doc_id", "pos", "part")
-    shorter = long.select(F.xxhash64("key", F.lit(0), "without").alias("v"), F.lit(1).alias("role"), "doc_id", "pos", "part").distinct()
-    short = met.filter("role = 1").select(F.xxhash64("key", F.lit(0), "part").alias("v"), F.lit(2).alias("role"), "doc_id", "pos", "part")
+    replaced = long.select(F.xxhash64("key", "i", "without").alias("v"), F.lit(0).alias("role"), *_PLACE, "part")
+    shorter = long.select(F.xxhash64("key", F.lit(0), "without").alias("v"), F.lit(1).alias("role"), *_PLACE, "part").distinct()
+    short = met.filter("role = 1").select(F.xxhash64("key", F.lit(0), "part").alias("v"), F.lit(2).alias("role"), *_PLACE, "part")
     variants = scratch.keep(replaced.unionByName(shorter).unionByName(short), "variants")
-    at = F.struct("doc_id", "pos", "part")
-    first = lambda role: F.min(F.when(F.col("role") == role, at)).alias(f"first{role}")
+    place = F.struct(*_PLACE, "part")
+    first = lambda role: F.min(F.when(F.col("role") == role, place)).alias(f"first{role}")
     groups = scratch.keep(variants.groupBy("v").agg(*map(first, range(3)), F.count("*").alias("n")).filter("n > 1 and (first0 is not null or first2 is not null and first1 is not null)"), "groups")
     linked = variants.join(groups, "v").withColumn("by", F.when(F.col("role") == 1, F.col("first2")).when(F.col("role") == 2, F.col("first1")).otherwise(F.col("first0")))
-    before = F.struct(F.col("by.doc_id"), F.col("by.pos")) < F.struct("doc_id", "pos")
+    before = F.struct(*(F.col(f"by.{c}") for c in _PLACE)) < F.struct(*_PLACE)
     linked = linked.filter(F.col("by").isNotNull() & before & (F.levenshtein("part", F.col("by.part"), 1) >= 0))
-    near = linked.groupBy("doc_id", "pos").agg(F.min(F.struct(F.col("by.doc_id").alias("doc_id"), F.col("by.pos").alias("pos"))).alias("by"))
-    out = scratch.keep(near.select("doc_id", "pos", F.col("by.doc_id").alias("by_doc"), F.col("by.pos").alias("by_pos")), "near")
+    out = scratch.keep(linked.select("row_key", "pos").distinct(), "near")
     scratch.drop(met, variants, groups)
     return out
 
@@ -131,17 +119,17 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     scratch = Scratch(docs.sparkSession, "lines")
     distinct = scratch.keep(distinct_lines(docs, id_col, text_col, least), "distinct")
     near = near_lines(docs, distinct, scratch, id_col, text_col)
-    places = distinct.select("doc_id", "pos", F.lit(False).alias("goes")).unionByName(near.select("doc_id", "pos", F.lit(True).alias("goes")))
-    by_doc = places.groupBy(F.col("doc_id").alias("_doc")).agg(
-        F.collect_list(F.when(~F.col("goes"), F.col("pos"))).alias("_first"), F.collect_list(F.when(F.col("goes"), F.col("pos"))).alias("_near")
-    )
-    lines = F.split(F.col(text_col).cast("string"), "\n", -1)
-    joined = docs.join(by_doc, F.col(id_col).cast("long").eqNullSafe(F.col("_doc")), "left").withColumn("_lines", lines)
+    places = distinct.select("row_key", "pos", F.lit(False).alias("goes")).unionByName(near.select("row_key", "pos", F.lit(True).alias("goes")))
+    own = ("_doc", "_key", "_first", "_near", "_lines", "_kept", "_n", "_goes")
+    doc, key, first, goes, lines, kept, n, gone = names = [free_name(x, docs.columns) for x in own]
+    by_doc = places.groupBy(F.col("row_key").alias(doc)).agg(F.collect_list(F.when(~F.col("goes"), F.col("pos"))).alias(first), F.collect_list(F.when(F.col("goes"), F.col("pos"))).alias(goes))
+    text = F.col(f"`{text_col}`").cast("string")
+    joined = docs.withColumn(key, row_key(id_col, text_col)).join(by_doc, F.col(key) == F.col(doc), "left").withColumn(lines, F.split(text, "\n", -1))
     empty = F.array().cast("array<int>")
-    blank = F.filter(F.transform("_lines", lambda x, i: F.when(~x.rlike(r"\S"), i)), lambda i: i.isNotNull())
-    kept = F.sort_array(F.concat(blank, F.array_except(F.coalesce("_first", empty), F.coalesce("_near", empty))))
-    joined = joined.withColumn("_kept", kept).withColumn("_n", F.size("_lines")).withColumn("_goes", F.coalesce(F.size("_near"), F.lit(0)))
-    text = F.array_join(F.filter(F.transform("_kept", lambda i: F.get("_lines", i)), lambda x: x.isNotNull()), "\n")
-    count = lambda x: F.when(F.col("_lines").isNull(), F.lit(0)).otherwise(x).cast("long")
-    out = {text_col: text, "line_count": count(F.col("_n")), "near_dropped": count(F.col("_goes")), "exact_dropped": count(F.col("_n") - F.size("_kept") - F.col("_goes"))}
-    return joined.withColumns(out).drop("_doc", "_first", "_near", "_lines", "_kept", "_n", "_goes")
+    blank = F.filter(F.transform(lines, lambda x, i: F.when(~x.rlike(r"\S"), i)), lambda i: i.isNotNull())
+    stays = F.sort_array(F.concat(blank, F.array_except(F.coalesce(first, empty), F.coalesce(goes, empty))))
+    joined = joined.withColumn(kept, stays).withColumn(n, F.size(lines)).withColumn(gone, F.coalesce(F.size(goes), F.lit(0)))
+    text = F.array_join(F.filter(F.transform(kept, lambda i: F.get(lines, i)), lambda x: x.isNotNull()), "\n")
+    count = lambda x: F.when(F.col(lines).isNull(), F.lit(0)).otherwise(x).cast("long")
+    counts = {"line_count": count(F.col(n)), "near_dropped": count(F.col(gone)), "exact_dropped": count(F.col(n) - F.size(kept) - F.col(gone))}
+    return joined.withColumns({text_col: text} | {free_name(c, docs.columns): x for c, x in counts.items()}).drop(*names)

@@ -94,7 +94,7 @@ def domains_of(labels: DataFrame) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, domains = mixing.rates(table(spark, sf_dir, "documents").select("doc_id", "text"), domains_of(table(spark, sf_dir, "labels")))
+    found, domains, _ = mixing.rates(table(spark, sf_dir, "documents").select("doc_id", "text"), domains_of(table(spark, sf_dir, "labels")))
     return found.select("doc_id", "tokens", F.array(*map(F.lit, domains)).alias("domains"), F.transform("p", lambda x: F.round(x, 6)).alias("posteriors"), F.round("rate", 6).alias("rate"), "copies")
 
 

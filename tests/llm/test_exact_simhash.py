@@ -74,7 +74,7 @@ def test_simhash_awkward_rows(spark, awkward, clashing):
     assert by_id[4]["component_id"] == by_id[5]["component_id"] == 4
     kept = simhash.keep_one(clashing(awkward))
     assert kept.columns == clashing(awkward).columns
-    assert sorted(r["doc_id"] for r in kept.filter("doc_id is not null").collect()) == [1, 4, 4, 6, 7]
+    assert sorted(r["doc_id"] for r in kept.filter("doc_id is not null").collect()) == [1, 4, 6, 7]
     assert simhash.near_duplicates(awkward.limit(0)).count() == 0
 
 
@@ -111,12 +111,48 @@ def test_repeat_filter_when_full(spark, documents):
     assert [r["group_size"] for r in found[:3]] == [3, 3, 3] and sum(r["kept"] for r in found) == 40
 
 
-def test_index_merges_several_flushes(spark, documents):
-    index = exact.MergeIndex(spark, 2)
-    a, b = (exact.digests(documents(*((i, f"t{i % 3}") for i in ids))) for ids in (range(6), range(6, 12)))
-    index.flush(a)
-    index.flush(b)
-    assert sorted((r["keep_id"], r["group_size"]) for r in index.compact().collect()) == [(0, 4), (1, 4), (2, 4)]
+def test_index_levels_and_probes(spark, documents):
+    """Flushes pile up in levels, runs are sorted, and probes meet only rows that a segment's filter lets through."""
+    index = exact.MergeIndex(spark, 4, fanout=2, bits=32768)
+    parts = [exact.digests(documents(*((i, f"t{i % 9}") for i in range(k, 60, 5)))).cache() for k in range(5)]
+    shapes = []
+    for part in parts:
+        index.add(part)
+        for segment in index.levels[0]:
+            for (run,) in segment.select("run").distinct().collect():
+                found = [r["digest"] for r in segment.filter(F.col("run") == run).collect()]
+                assert found and len(set(found)) <= 4 * 4
+        shapes.append([len(level) for level in index.levels])
+    assert shapes == [[1], [0, 1], [1, 1], [0, 0, 1], [1, 0, 1]]
+    asked = exact.digests(documents((100, "t3"), (101, "x1"), (102, "x2"), (103, "t8 ")))
+    hits = index.probe(asked).groupBy("doc_id").agg(F.sum("held").alias("n"), F.min("keep_id").alias("keep")).collect()
+    assert {(r["doc_id"], r["n"], r["keep"]) for r in hits} == {(100, 7, 3), (103, 6, 8)}
+    from lintel.llm.common import flagged
+
+    for segment in (s for level in index.levels for s in level):
+        passed = flagged(asked, segment.select("digest"), F.col("digest"), F.col("digest"), "maybe", 32768).filter("maybe").count()
+        assert passed <= 2  # the two strangers skip every segment
+    merged = index.merged()
+    assert sorted((r["doc_id"], r["n"]) for r in merged.collect()) == [(i, len(range(i, 60, 9))) for i in range(9)]
+    assert [len(level) for level in index.levels][-1] == 1
+
+
+def test_exact_ids_of_other_types(spark):
+    docs = spark.createDataFrame([("u-2", "a b"), ("u-1", "ab"), (None, "a b"), ("u-3", "c")], "doc_id string, text string")
+    found = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in exact.exact_duplicates(docs).collect()}
+    assert found == {"u-2": ("u-2", 3, True), "u-1": ("u-2", 3, False), None: ("u-2", 3, False), "u-3": ("u-3", 1, True)}
+
+
+def test_keep_one_of_null_and_repeated_ids(spark, documents):
+    """A null id gets its text's component; rows of one id are rows of their own; the operator's own names may be taken."""
+    docs = documents((1, "p q r"), (None, "p q r"), (None, "z z y"), (7, "one two"), (7, "three four"), (8, "one two"))
+    taken = docs.withColumns({c: F.lit("clash") for c in ("_kept", "_key", "_row", "row_key", "component", "component_id", "node")})
+    for least in (None, 0.8):
+        kept = simhash.keep_one(taken, least=least)
+        assert kept.columns == taken.columns
+        assert sorted(((r["doc_id"] or 0, r["text"]) for r in kept.collect())) == [(0, "z z y"), (1, "p q r"), (7, "one two"), (7, "three four")]
+    texts = spark.createDataFrame([("u-2", "a b"), ("u-1", "A b")], "doc_id string, text string")
+    assert {(r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(texts).collect()} == {("u-2", "u-1"), ("u-1", "u-1")}
 
 
 def test_distinct_fingerprints_of_all_widths(documents):

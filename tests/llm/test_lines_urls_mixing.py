@@ -73,17 +73,31 @@ def test_lines_against_brute_force(spark, documents, clashing, seed):
     assert found.filter("key = 'clash' and n = 'clash'").count() == len(rows)
 
 
-def test_lines_with_a_full_filter(spark, documents):
+def test_lines_with_a_full_filter(spark, documents, monkeypatch):
+    from lintel.llm import common
+
+    monkeypatch.setattr(common, "MOST_BITS", 32768)
     rows = [(i, f"the same beginning of a line number {i % 7} and its end") for i in range(60)]
-    docs = documents(*rows)
-    old, lines.FILTER_BITS = lines.FILTER_BITS, 32768
-    try:
-        got = sorted(((r["doc_id"], r["text"], r["line_count"], r["exact_dropped"], r["near_dropped"]) for r in lines.dedup_lines(docs).collect()), key=lambda r: r[0])
-    finally:
-        lines.FILTER_BITS = old
+    got = sorted(((r["doc_id"], r["text"], r["line_count"], r["exact_dropped"], r["near_dropped"]) for r in lines.dedup_lines(documents(*rows)).collect()), key=lambda r: r[0])
     assert got == brute_lines(rows)
 
 
+def test_lines_of_repeated_and_null_ids(spark, documents):
+    found = lines.dedup_lines(documents((1, "aaa"), (2, "bbb"), (2, "aaa"), (None, "ccc"), (None, "ddd"), (3, "ccc"))).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in found) == [(0, "ccc"), (0, "ddd"), (1, "aaa"), (2, ""), (2, "bbb"), (3, "")]
+    texts = spark.createDataFrame([("u-2", "a\nb"), ("u-1", "b")], "doc_id string, text string")
+    assert {r["doc_id"]: r["text"] for r in lines.dedup_lines(texts).collect()} == {"u-1": "b", "u-2": "a"}
+
+
+def test_lines_keep_columns_of_any_name(spark, documents):
+    names = ("_doc", "_key", "_n", "_kept", "_lines", "_first", "_near", "_goes", "_at", "_map", "row_key", "line_count", "Near_Dropped")
+    docs = documents((1, "x\nx"), (2, "x")).withColumns({c: F.lit("clash") for c in names})
+    found = lines.dedup_lines(docs)
+    assert found.columns == [*docs.columns, "line_count_", "near_dropped_", "exact_dropped"]
+    assert found.filter(" and ".join(f"`{c}` = 'clash'" for c in names)).count() == 2
+    assert {r["doc_id"]: (r["text"], r["line_count_"]) for r in found.collect()} == {1: ("x", 2), 2: ("", 1)}
+
+
 def test_lines_empty_and_repeated_rows(spark, documents):
     assert lines.dedup_lines(documents((1, "x")).limit(0)).count() == 0
     twice = lines.dedup_lines(documents((4, "one line\nanother"), (4, "one line\nanother"), (None, "another"))).collect()
@@ -129,11 +143,12 @@ def test_mixing_meets_reachable_targets(spark, documents):
     rows = [(i, "good fine words here and there" if i % 10 else "BAD bad %%% %%% nasty nasty nasty stuff") for i in range(400)]
     docs = documents(*rows)
     labels = spark.createDataFrame([(i, "high" if i % 10 else "low") for i in range(400)], "doc_id long, domain string")
-    found, domains = mixing.rates(docs, labels, {"high": 0.8, "low": 0.2})
+    found, domains, reached = mixing.rates(docs, labels, {"high": 0.8, "low": 0.2})
     got = found.collect()
     total = sum(r["tokens"] for r in got)
     share = {d: sum(r["rate"] * r["tokens"] * r["p"][k] for r in got) / total for k, d in enumerate(domains)}
     assert abs(share["high"] - 0.8) < 2e-3 and abs(share["low"] - 0.2) < 2e-3
+    assert all(abs(reached[d][0] - share[d]) < 1e-6 for d in domains) and reached["low"][1] == 0.2
     assert all(0 <= r["rate"] <= mixing.MOST_RATE and abs(r["copies"] - r["rate"]) < 1 for r in got)
 
 
@@ -145,7 +160,7 @@ def test_mixing_of_balanced_domains(spark, documents, domains):
     docs = documents(*((i, f"some text of {words[of(i)]} words") for i in range(600)))
     labels = spark.createDataFrame([(i, of(i)) for i in range(600)], "doc_id long, domain string")
     targets = dict(zip(domains, (0.9, 0.07, 0.03), strict=False))
-    found, names = mixing.rates(docs, labels, targets)
+    found, names, reached = mixing.rates(docs, labels, targets)
     got = found.collect()
     assert all(r["p"][names.index(of(r["doc_id"]))] > 0.9 for r in got)
     total = sum(r["tokens"] for r in got)
@@ -161,7 +176,7 @@ def test_mixing_of_a_rare_domain(spark, documents, caplog):
     labels = spark.createDataFrame([(i, of(i)) for i in range(2000)], "doc_id long, domain string")
     for most, met in ((None, True), (8.0, False)):
         caplog.clear()
-        found, names = mixing.rates(docs, labels, {"high": 0.97, "toxic": 0.03}, **({"most_rate": most} if most else {}))
+        found, names, reached = mixing.rates(docs, labels, {"high": 0.97, "toxic": 0.03}, **({"most_rate": most} if most else {}))
         got = found.collect()
         share = sum(r["rate"] * r["tokens"] * r["p"][names.index("toxic")] for r in got) / sum(r["tokens"] for r in got)
         assert (abs(share - 0.03) < 2e-3) == met
@@ -174,10 +189,11 @@ def test_mixing_of_a_rare_domain(spark, documents, caplog):
 
 def test_mixing_awkward_rows(spark, awkward, clashing):
     labels = spark.createDataFrame([], "doc_id long, domain string")
-    found, domains = mixing.rates(clashing(awkward), labels)
+    found, domains, reached = mixing.rates(clashing(awkward), labels)
     assert domains == ["all"] and {r["rate"] for r in found.collect()} == {1.0}
-    out = mixing.mixed(clashing(awkward), labels)
-    assert out.columns == clashing(awkward).columns and out.count() == awkward.count()
+    taken = clashing(awkward).withColumns({c: F.lit("clash") for c in ("_id", "_copies", "_copy", "row", "u", "copies")})
+    out = mixing.mixed(taken, labels)
+    assert out.columns == taken.columns and sorted(map(str, out.collect())) == sorted(map(str, taken.collect()))
     assert mixing.mixed(awkward.limit(0), labels).count() == 0
 
 
