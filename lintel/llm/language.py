@@ -5,10 +5,10 @@ Every language gets a codeword of bits. One binary classifier a bit (logistic re
 its classifier did on rows that it wasn't fitted on, and takes the nearest codeword. The score is the share of
 exp(-loss) that the winner has; a document is flagged ambiguous where the runner-up is too near.
 
-Fitting uses at most ``max_rows`` labelled rows (chosen by a hash of the identifier), everything else reads all rows and whole texts.
+Fitting uses at most ``max_rows`` labelled rows (rare languages first, by a hash of the identifier), everything else reads all rows and whole texts.
 
 Defined cases: a null text, or one without any letter, is ``und`` with score 0; one learned language gives that language
-with score 1; no labelled row at all gives ``und`` everywhere. A null identifier counts as not held out. Other columns
+with score 1; no labelled row at all gives ``und`` everywhere. A null identifier counts as not held out. Identifiers may be of any type; other columns
 are not read. An empty table gives an empty result.
 """
 
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample
+from .common import stratified_sample
 
 BUCKETS, MAX_ROWS, STEPS, MARGIN = 2048, 4000, 150, 0.2
 _A, _B, _C = (np.uint32(x) for x in (2654435761, 2246822519, 3266489917))
@@ -120,7 +120,7 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), batch.column(1)], ["x", "lang"])
 
     rows = labelled.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    rows = bounded_sample(rows.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")), "id", max_rows)
+    rows, _ = stratified_sample(rows.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")), "id", "lang", max_rows)
     got = rows.select("text", "lang").mapInArrow(featured, "x binary, lang string").toPandas().sort_values(["lang", "x"])
     x = np.array([np.frombuffer(v, np.float32) for v in got["x"]]).reshape(-1, buckets)
     order = np.random.default_rng(11).permutation(len(x))
@@ -142,8 +142,8 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
                     langs[i], scores[i], doubt[i] = model.langs[k], float(s), bool(a < margin)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs), pa.array(scores), pa.array(doubt)], ["doc_id", "lang_pred", "score", "ambiguous"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(predicted, "doc_id long, lang_pred string, score double, ambiguous boolean")
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    return rows.mapInArrow(predicted, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double, ambiguous boolean")
 
 
 def keep_known(docs: DataFrame, model: Model | None, text_col: str = "text", margin: float = MARGIN, buckets: int = BUCKETS) -> DataFrame:

@@ -7,7 +7,7 @@ The feature is a perceptual hash: the decoded image's box means on a 32 x 32 gri
 and one bit for each of the 8 x 8 lowest frequencies: above the median or not.
 
 Defined cases: null counts as empty, an image of 64 zero samples; texts of any length are stored whole; equal texts give
-equal values; a damaged image raises an error that names the chunk. Other columns are not read. Empty table: empty result.
+equal values; a damaged image raises an error that names the chunk. Identifiers may be of any type; other columns are not read. Empty table: empty result.
 """
 
 from __future__ import annotations
@@ -122,7 +122,7 @@ def cosine_hash(samples: np.ndarray) -> str:
     return np.packbits(low > np.median(low)).tobytes().hex()
 
 
-COLUMNS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+COLUMNS = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
 def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -133,7 +133,8 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             texts = [t.as_py() or b"" for t in batch.column(1).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array([encode(payload_of(t)) for t in texts], pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(stored, "doc_id long, n_bytes long, media binary")
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    return rows.mapInArrow(stored, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary")
 
 
 def read_back(stored: DataFrame) -> DataFrame:
@@ -149,6 +150,6 @@ def read_back(stored: DataFrame) -> DataFrame:
                 rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(image), hashlib.sha256(image).hexdigest(), cosine_hash(samples)))
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             columns = zip(*rows, strict=True) if rows else [[] for _ in kinds]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True))], [c.split()[0] for c in COLUMNS.split(", ")])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", *(c.split()[0] for c in COLUMNS.split(", "))])
 
-    return stored.mapInArrow(read, COLUMNS)
+    return stored.mapInArrow(read, f"doc_id {stored.schema['doc_id'].dataType.simpleString()}, {COLUMNS}")

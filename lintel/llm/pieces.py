@@ -4,7 +4,7 @@ Offset-preserving: a text is normalised through the model's compiled character m
 that the map knows; each output byte remembers which source bytes made it, so every piece is projected back to the
 span of original bytes it stands for. Then the text is cut where no piece of the vocabulary can cross (before a space mark
 that does not follow another one, and around characters that only occur in pieces of their own); such segments encode independently,
-so the library's pieces of a segment are computed once and remembered in a bounded memo.
+so the library's pieces of a segment are computed once and remembered in a bounded memo. The ids are decoded by the library.
 
 The cut is derived from the vocabulary when the model is loaded; models that normalise white space away, treat white space as
 a suffix or whose pieces cross such places are encoded as one segment a text, through the library alone.
@@ -54,7 +54,7 @@ class CharacterMap:
         return found
 
     def normalise(self, data: bytes) -> tuple[bytes, np.ndarray]:
-        """Replaced bytes, and for each of them (and the end) the source byte where its prefix begins."""
+        """Replaced bytes, and for each of them (and the end) the source byte where its prefix begins. An empty map knows no prefix: each byte is its own."""
         if not self.units:
             return data, np.arange(len(data) + 1)
         out, source, at = bytearray(), [], 0
@@ -92,41 +92,39 @@ class Encoder:
         self.surface = [bytes([int(p.piece[3:5], 16)]) if p.type == 6 else b"" if p.type in (2, 3) else p.piece.replace(MARK, " ").encode() for p in proto.pieces]
         self.memo: dict[str, tuple] = {}
 
-    def pieces_of(self, segment: str) -> tuple[str, int, bytes, bytes]:
-        """(ids joined by commas, their number, surface bytes, piece lengths in bytes as uint32) of one segment."""
+    def pieces_of(self, segment: str) -> tuple[bytes, bytes]:
+        """(ids, piece lengths in bytes) of one segment, as int32 each."""
         # the dummy prefix is ours already: encode after a separator that stays a piece of its own, then drop it
         ids = self.library.encode("\n" + segment.replace(MARK, " "))[self.lead :]
-        surface = [self.surface[i] for i in ids]
-        out = ",".join(map(str, ids)), len(ids), b"".join(surface), struct.pack(f"<{len(ids)}I", *map(len, surface))
+        out = struct.pack(f"<{len(ids)}i", *ids), struct.pack(f"<{len(ids)}i", *(len(self.surface[i]) for i in ids))
         if len(segment) <= 64:
             if len(self.memo) >= MEMO:
                 self.memo.clear()
             self.memo[segment] = out
         return out
 
-    def encode(self, text: str) -> tuple[str, int, str, np.ndarray]:
-        """(ids joined by commas, number of ids, decoded text, source byte where each piece begins, and the end)."""
+    def encode(self, text: str) -> tuple[list[int], str, np.ndarray]:
+        """(ids, decoded text, source byte where each piece begins, and the end)."""
         if not text:
-            return "", 0, "", np.zeros(1, np.int64)
+            return [], "", np.zeros(1, np.int64)
         if not self.plain or "\0" in text or MARK in text:
             return self.whole(text)
-        data, source = self.chars.normalise(text.encode()) if self.chars.units else (None, None)
-        marked = (data.decode() if data is not None else text).replace(" ", MARK)
+        data, source = self.chars.normalise(text.encode())
+        marked = data.decode().replace(" ", MARK)
         memo, make = self.memo, self.pieces_of
         found = [memo.get(s) or make(s) for s in self.segment.findall(MARK + marked if self.prefix else marked)]
-        ids, counts, surface, sizes = zip(*found, strict=True)
-        decoded = b"".join(surface).decode("utf-8", "replace")
-        starts = np.concatenate(([0], np.cumsum(np.frombuffer(b"".join(sizes), np.uint32), dtype=np.int64)))
+        packed, sizes = zip(*found, strict=True)
+        ids = np.frombuffer(b"".join(packed), np.int32).tolist()
+        starts = np.concatenate(([0], np.cumsum(np.frombuffer(b"".join(sizes), np.int32), dtype=np.int64)))
         if self.prefix:
-            decoded, starts = decoded[1:], np.maximum(starts - 1, 0)
-        return ",".join(ids), sum(counts), decoded, starts if source is None else source[np.minimum(starts, len(source) - 1)]
+            starts = np.maximum(starts - 1, 0)
+        return ids, self.library.decode(ids), source[np.minimum(starts, len(source) - 1)]
 
-    def whole(self, text: str) -> tuple[str, int, str, np.ndarray]:
+    def whole(self, text: str) -> tuple[list[int], str, np.ndarray]:
         """The library's own pieces and offsets of the whole text."""
         pieces = self.library.encode_as_proto(text).pieces
         ids = [p.id for p in pieces]
-        starts = np.array([*(p.begin for p in pieces), len(text.encode())])
-        return ",".join(map(str, ids)), len(ids), self.library.decode(ids), starts
+        return ids, self.library.decode(ids), np.array([*(p.begin for p in pieces), len(text.encode())])
 
 
 @lru_cache(maxsize=4)
@@ -160,19 +158,20 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
                 ids, columns = [], [[], [], [], []]
                 starts = []
                 for value in texts.column(1):
-                    found, n, decoded, at = one.encode(value.as_py() or "")
-                    for column, x in zip(columns, (n, digest(found.encode()), digest(decoded.encode("utf-8", "surrogatepass")), digest(at.astype("<i8").tobytes())), strict=True):
+                    found, decoded, at = one.encode(value.as_py() or "")
+                    said = str(found)[1:-1].replace(" ", "")  # the ids with commas between
+                    for column, x in zip(columns, (len(found), digest(said.encode()), digest(decoded.encode("utf-8", "surrogatepass")), digest(at.astype("<i8").tobytes())), strict=True):
                         column.append(x)
                     if with_pieces:
-                        ids.append(np.array(found.split(","), np.int32) if found else np.zeros(0, np.int32))
+                        ids.append(np.array(found, np.int32))
                         starts.append(at.astype(np.int64))
                 lists = [_lists(ids, np.int32), _lists(starts, np.int64)] if with_pieces else []
-                arrays = [texts.column(0), *(pa.array(c, f.type) for c, f in zip(columns, fields[1:], strict=False)), *lists]
-                yield pa.RecordBatch.from_arrays(arrays, [f.name for f in fields])
+                arrays = [texts.column(0), *(pa.array(c, f.type) for c, f in zip(columns, fields, strict=False)), *lists]
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", *(f.name for f in fields)])
 
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    fields = [pa.field("doc_id", pa.int64()), pa.field("n_tokens", pa.int64()), *(pa.field(f"{x}_sha256", pa.string()) for x in ("ids", "decoded", "spans"))]
-    shape = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string"
+    docs = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    fields = [pa.field("n_tokens", pa.int64()), *(pa.field(f"{x}_sha256", pa.string()) for x in ("ids", "decoded", "spans"))]
+    shape = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string"
     if with_pieces:
         fields += [pa.field("ids", pa.list_(pa.int32())), pa.field("starts", pa.list_(pa.int64()))]
         shape += ", ids array<int>, starts array<long>"

@@ -5,7 +5,8 @@ The patterns give the base spans (kinds assign, access, hex). The method adds sp
 identifiers, by a log-likelihood ratio of at least ``least_ratio`` in all and ``per_char`` a character.
 
 Both models are first-order chains over characters, counted by Spark from labelled samples: values that the patterns
-found in at most ``max_rows`` rows (label random) and the other words of those rows (label identifier), smoothed by a uniform prior.
+found in at most ``max_rows`` of the rows that hold such a value (label random; by a hash of the identifier) and the other words of those rows (label
+identifier), smoothed by a uniform prior.
 
 Defined cases: null counts as empty; positions are code points, ends exclusive; base spans always stay, and a markov span never
 overlaps one. An empty sample leaves both models at their prior, which adds no span. Rows are independent, so repeated
@@ -30,6 +31,8 @@ KINDS = ("assign", "access", "hex", "markov")
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
+#: Every text with a base span matches this, in Java's reading too; a few others may.
+MAY_HOLD = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{6}|AKIA[A-Z0-9]{16}|[0-9a-f]{24}"""
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST)
 WORD = re.compile(r"[A-Za-z0-9+/_=-]{4,}")
 _CLASSES = {c: i for i, c in enumerate("0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_=-")}
@@ -86,7 +89,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_r
         label, pair = np.nonzero(both)
         yield pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array(pair, pa.int32()), pa.array(both[label, pair], pa.int64())], ["label", "pair", "n"])
 
-    rows = bounded_sample(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), "id", max_rows).select("text")
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).filter(F.col("text").rlike(MAY_HOLD))
+    rows = bounded_sample(rows, "id", max_rows).select("text")
     counts = np.zeros((2, _N * _N))
     for r in rows.mapInArrow(labelled, "label int, pair int, n long").groupBy("label", "pair").agg(F.sum("n").alias("n")).collect():
         counts[r["label"], r["pair"]] = r["n"]  # at most 2 * 67 * 67 rows
@@ -120,8 +124,8 @@ def scan(docs: DataFrame, ratio: np.ndarray, id_col: str = "doc_id", text_col: s
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.list_(span)) for c in columns)], ["doc_id", "base", "spans"])
 
     shape = "array<struct<kind:string,start:long,end:long>>"
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(scanned, f"doc_id long, base {shape}, spans {shape}")
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    return rows.mapInArrow(scanned, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, base {shape}, spans {shape}")
 
 
 def redact(docs: DataFrame, ratio: np.ndarray, text_col: str = "text", mark: str = "[secret]") -> DataFrame:

@@ -3,13 +3,15 @@
 Score = sigmoid(bias + sum of w_i + sum over pairs of <v_i, v_j>) over the hashed terms a text holds. The pairwise part
 learns what an additive model misses, such as an insult that only counts together with the mention of a group.
 
-Fitting uses at most ``max_rows`` labelled rows (chosen by a hash of the identifier). From them the ``terms`` hashed terms whose
-document rates differ most between the labels (in standard errors) become the machine's inputs; then the machine is fitted
-by gradient steps on the log loss. Scoring reads all rows and whole texts.
+Fitting uses at most ``max_rows`` labelled rows (by a hash of the identifier; rare labels first, the machine's bias is set back to the label shares of all
+rows). The machine's inputs are hashed terms of two kinds, ``terms`` in all: those whose document rates differ between the labels by
+LEAST_ERRORS standard errors, and those of pairs that tell more together than either term alone: over the ``candidates`` terms of most documents, pairs
+whose joint document rates differ by PAIR_GAIN standard errors more than those of their terms. So a term that says nothing by itself gets in with
+its partner. Then the machine is fitted by gradient steps on the log loss. Scoring reads all rows and whole texts.
 
 Defined cases: null and empty texts hold no term and score the machine's bias; terms count once a text, so length does not
 matter; if no labelled row or only one label is found, every score is the share of label 1 (0 without labels). A null
-identifier counts as not held out. Other columns are not read. An empty table gives an empty result.
+identifier counts as not held out. Identifiers may be of any type; other columns are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,10 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, bounded_sample
+from .common import Scratch, stratified_sample
 
-BUCKETS, TERMS, FACTORS, MAX_ROWS, EPOCHS = 1 << 22, 1024, 4, 20_000, 6
+BUCKETS, TERMS, FACTORS, MAX_ROWS, EPOCHS = 1 << 22, 1024, 4, 20_000, 8
 LEAST_DOCS, LEAST_ERRORS, MEMO = 8, 5.0, 200_000
+CANDIDATES, PAIR_ERRORS, PAIR_GAIN = 2048, 7.0, 4.0
 _WORD = re.compile(r"\w+")
 
 
@@ -67,21 +70,56 @@ class Machine:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def select_inputs(rows: DataFrame, terms: int) -> list[int]:
-    """Buckets whose document rates differ between the labels by LEAST_ERRORS standard errors or more; the most distinct first, ``terms`` at most.
+def _sizes(rows: DataFrame) -> tuple[int, int]:
+    n = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    return n.get(1, 0), n.get(0, 0)
+
+
+def select_inputs(rows: DataFrame, terms: int, candidates: int) -> tuple[list[int], list[int]]:
+    """(telling buckets, frequent buckets). Telling: document rates that differ between the labels by LEAST_ERRORS standard errors or more; the most
+    distinct first, ``terms`` at most. Frequent: the ``candidates`` buckets of most documents that are not among them.
 
     ``rows``: x (array of buckets), y. Counted by Spark: only the chosen buckets come to the driver.
     """
-    n = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    n1, n0 = n.get(1, 0), n.get(0, 0)
+    n1, n0 = _sizes(rows)
     if not n1 or not n0:
-        return []
+        return [], []
     counts = rows.select("y", F.explode("x").alias("bucket")).groupBy("bucket").agg(F.sum("y").alias("k"), F.count("*").alias("docs")).filter(F.col("docs") >= LEAST_DOCS)
     p = F.col("docs") / (n1 + n0)
     spread = F.sqrt(F.greatest(p * (1 - p) * (1 / n1 + 1 / n0), F.lit(1e-12)))
     errors = F.abs(F.col("k") / n1 - (F.col("docs") - F.col("k")) / n0) / spread
     best = counts.select("bucket", errors.alias("errors")).filter(F.col("errors") >= LEAST_ERRORS).orderBy(F.desc("errors"), "bucket").limit(terms)
-    return [r["bucket"] for r in best.collect()]
+    telling = [r["bucket"] for r in best.collect()]
+    frequent = counts.filter(F.col("docs") < n1 + n0).orderBy(F.desc("docs"), "bucket").limit(candidates).collect()
+    return telling, [r["bucket"] for r in frequent if r["bucket"] not in set(telling)]
+
+
+def telling_pairs(x: list[np.ndarray], labels: np.ndarray, n: int) -> list[int]:
+    """Places below ``n`` that tell the labels apart with a partner better than alone, those of the best pairs first."""
+    sides = []
+    for label in (1, 0):
+        rows = [r for r, y in zip(x, labels, strict=True) if (y > 0.5) == bool(label)]
+        held = np.zeros((n, max(len(rows), 1)), bool)
+        for i, r in enumerate(rows):
+            held[r, i] = True
+        words = np.packbits(np.pad(held, ((0, 0), (0, -held.shape[1] % 64))), axis=1).view(np.uint64)
+        sides.append((words, len(rows)))
+    (on, n1), (off, n0) = sides
+    if not n1 or not n0:
+        return []
+
+    def errors(k1: np.ndarray, k0: np.ndarray) -> np.ndarray:
+        p = (k1 + k0) / (n1 + n0)
+        return np.abs(k1 / n1 - k0 / n0) / np.sqrt(np.maximum(p * (1 - p) * (1 / n1 + 1 / n0), 1e-12))
+
+    alone = errors(*(np.bitwise_count(w).sum(axis=1, dtype=np.int64) for w in (on, off)))
+    found = []
+    for i in range(n - 1):
+        k1, k0 = (np.bitwise_count(w[i] & w[i + 1 :]).sum(axis=1, dtype=np.int64) for w in (on, off))
+        z = np.where(k1 + k0 >= LEAST_DOCS, errors(k1, k0), 0)
+        gain = z - np.maximum(alone[i], alone[i + 1 :])
+        found += [(-gain[j], i, i + 1 + j) for j in np.flatnonzero((z >= PAIR_ERRORS) & (gain >= PAIR_GAIN))]
+    return list(dict.fromkeys(place for _, i, j in sorted(found) for place in (i, j)))
 
 
 def fit(x: list[np.ndarray], labels: np.ndarray, chosen: list[int], factors: int = FACTORS, epochs: int = EPOCHS, seed: int = 5) -> Machine:
@@ -92,7 +130,7 @@ def fit(x: list[np.ndarray], labels: np.ndarray, chosen: list[int], factors: int
         return Machine({}, bias, np.zeros(0), np.zeros((0, factors)))
     inputs = {b: i for i, b in enumerate(chosen)}
     rng = np.random.default_rng(seed)
-    w, v = np.zeros(len(inputs)), rng.normal(0, 0.05, (len(inputs), factors))
+    w, v = np.zeros(len(inputs)), rng.normal(0, 0.1, (len(inputs), factors))
     gw, gv, gb = np.full(len(w), 1e-2), np.full(v.shape, 1e-2), 1e-2
     for _ in range(epochs):  # one adaptive gradient step a row; the decay keeps terms of few rows small
         for i in rng.permutation(len(x)):
@@ -112,7 +150,7 @@ def fit(x: list[np.ndarray], labels: np.ndarray, chosen: list[int], factors: int
     return Machine(inputs, float(bias), w, v)
 
 
-def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_ROWS, terms: int = TERMS) -> Machine:
+def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_ROWS, terms: int = TERMS, candidates: int = CANDIDATES) -> Machine:
     """Fits on at most ``max_rows`` rows of ``labelled``, equal texts counting once. What comes to the driver are the chosen buckets, and for each
     row the places of those that it holds."""
 
@@ -124,19 +162,29 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 
     rows = labelled.filter(F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("int").alias("y"))
     scratch = Scratch(labelled.sparkSession, "toxicity")
-    held = scratch.keep(bounded_sample(rows, "id", max_rows).select("text", "y").mapInArrow(hashed, "x array<int>, y int"), "terms")
+    sample, taken = stratified_sample(rows, "id", "y", max_rows)
+    held = scratch.keep(sample.select("text", "y").mapInArrow(hashed, "x array<int>, y int"), "terms")
     once = held.groupBy(F.xxhash64("x"), "y").agg(F.first("x").alias("x")).select("x", "y")
-    chosen = select_inputs(once, terms)
-    places = {b: i for i, b in enumerate(chosen)}
+    telling, frequent = select_inputs(once, terms, candidates)
+    places = {b: i for i, b in enumerate([*telling, *frequent])}
 
     def placed(batches):
         for batch in batches:
             found = [sorted(places[b] for b in r if b in places) for r in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([np.array(r, np.int32).tobytes() for r in found], pa.binary()), batch.column(1)], ["x", "y"])
+            yield pa.RecordBatch.from_arrays([pa.array([np.array(r, np.uint32).tobytes() for r in found], pa.binary()), batch.column(1)], ["x", "y"])
 
     got = once.select("x", "y").mapInArrow(placed, "x binary, y int").toPandas().sort_values(["x", "y"])
     scratch.drop(held)
-    return fit([np.frombuffer(v, np.int32).astype(np.int64) for v in got["x"]], got["y"].to_numpy(float), chosen)
+    x, y = [np.frombuffer(v, np.uint32).astype(np.int64) for v in got["x"]], got["y"].to_numpy(float)
+    # the pairs' terms after the telling ones, as far as there is room
+    chosen = list(dict.fromkeys([*range(len(telling)), *telling_pairs(x, y, len(places))]))[:terms]
+    new = np.full(len(places), -1)
+    new[chosen] = np.arange(len(chosen))
+    buckets = [*telling, *frequent]
+    machine = fit([r[r >= 0] for r in (new[r] for r in x)], y, [buckets[i] for i in chosen])
+    if taken.get(0) and taken.get(1):  # labels that were sampled more thinly are that much more frequent
+        machine.bias += float(np.log(taken[0] / taken[1]))
+    return machine
 
 
 def scored(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -148,4 +196,5 @@ def scored(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col:
             out = [machine.score(sorted(hashed_terms(text.as_py() or "", memo, machine.inputs))) for text in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], ["doc_id", "score"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(scores, "doc_id long, score double")
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    return rows.mapInArrow(scores, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")

@@ -55,18 +55,93 @@ def test_toxicity_held_out(spark):
     found = queries.op6_toxicity(spark, SF).join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").filter("held_out").collect()
     toxic, clean = [r for r in found if r["toxic"]], [r for r in found if not r["toxic"]]
     assert all(zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2 for r in found)
-    assert sum(r["predicted"] for r in toxic) / len(toxic) > 0.5 and sum(r["predicted"] for r in clean) / len(clean) < 0.05
+    assert sum(r["predicted"] for r in toxic) / len(toxic) >= 0.6 and sum(r["predicted"] for r in clean) / len(clean) < 0.05
 
 
-def test_machine_learns_what_a_sum_cannot(spark, documents):
-    """An insult counts only with its own group: each word is as often toxic as the other, so no additive weights tell the pairs apart."""
-    pairs = {2: [("idiots", "redgroup"), ("clowns", "bluegroup")], 3: [("idiots", "bluegroup"), ("clowns", "redgroup")]}
-    said = lambda i: " ".join(pairs[i % 4][i // 4 % 2]) if i % 4 in pairs else ""
-    docs = documents(*((i, f"w{i} w{i * 7 % 501} w{i * 11 % 497} {said(i)}") for i in range(1600)))
-    labels = spark.createDataFrame([(i, int(i % 4 == 2)) for i in range(1600)], "doc_id long, toxic int")
-    machine = toxicity.train(docs.join(labels, "doc_id"))
+PAIRS = (("idiots", "redgroup", 1), ("clowns", "bluegroup", 1), ("idiots", "bluegroup", 0), ("clowns", "redgroup", 0))
+
+
+@pytest.mark.parametrize("clean", [0, 800])
+def test_machine_learns_what_a_sum_cannot(spark, documents, clean):
+    """An insult counts only with its own group. Among the texts with both, every word is as frequent under either label; ``clean`` more hold neither."""
+    texts = {i: f"w{i} w{i * 7 % 501} the {PAIRS[i % 4][0]} and {PAIRS[i % 4][1]}" for i in range(1600)} | {2000 + i: f"w{i} w{i * 11 % 497} and so on" for i in range(clean)}
+    label = lambda i: PAIRS[i % 4][2] if i < 2000 else 0
+    docs = documents(*texts.items())
+    machine = toxicity.train(docs.join(spark.createDataFrame([(i, label(i)) for i in texts], "doc_id long, toxic int"), "doc_id"))
     score = {r["doc_id"]: r["score"] for r in toxicity.scored(docs, machine).collect()}
-    assert min(score[i] for i in range(2, 1600, 4)) > 0.5 > max(score[i] for i in range(1600) if i % 4 != 2)
+    assert sum((score[i] >= 0.5) == bool(label(i)) for i in texts) > 0.98 * len(texts)
+
+
+def test_telling_pairs_against_brute_force():
+    rng = np.random.default_rng(4)
+    rates = rng.uniform(0.05, 0.7, 12)
+    rates[[3, 7]] = 0.5
+    x = rng.random((900, 12)) < rates
+    y = ((x[:, 3] ^ x[:, 7]) & (rng.random(900) < 0.9) | (rng.random(900) < 0.05)).astype(float)
+
+    def errors(on):
+        n1, n0 = (y == 1).sum(), (y == 0).sum()
+        k1, k0 = (on & (y == 1)).sum(), (on & (y == 0)).sum()
+        p = (k1 + k0) / 900
+        return abs(k1 / n1 - k0 / n0) / np.sqrt(max(p * (1 - p) * (1 / n1 + 1 / n0), 1e-12)) if k1 + k0 >= toxicity.LEAST_DOCS else 0
+
+    pairs = [(errors(x[:, i] & x[:, j]) - max(errors(x[:, i]), errors(x[:, j])), i, j) for i in range(12) for j in range(i + 1, 12)]
+    want = [p for p in pairs if p[0] >= toxicity.PAIR_GAIN and errors(x[:, p[1]] & x[:, p[2]]) >= toxicity.PAIR_ERRORS]
+    best = list(dict.fromkeys(k for _, i, j in sorted((-g, i, j) for g, i, j in want) for k in (i, j)))
+    found = toxicity.telling_pairs([np.flatnonzero(r) for r in x], y, 12)
+    assert found == best and {3, 7} <= set(found)
+
+
+def test_scores_against_brute_force(spark, sf_dir):
+    """The machine's score is the sigmoid of the sum over terms and over all pairs of terms, of the whole table."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rng = np.random.default_rng(2)
+    known = sorted({b for r in docs.limit(20).collect() for w in re.findall(r"\w+", (r["text"] or "").lower()) for b in toxicity.buckets_of(w)})[::7]
+    machine = toxicity.Machine({b: i for i, b in enumerate(known)}, -1.0, rng.normal(0, 0.2, len(known)), rng.normal(0, 0.1, (len(known), 4)))
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    for r in toxicity.scored(docs, machine).collect():
+        held = {b for w in re.findall(r"\w+", texts[r["doc_id"]].lower()) for b in toxicity.buckets_of(w)}
+        rows = sorted(machine.inputs[b] for b in held if b in machine.inputs)
+        z = -1.0 + sum(machine.w[i] for i in rows) + sum(float(machine.v[i] @ machine.v[j]) for k, i in enumerate(rows) for j in rows[:k])
+        assert abs(r["score"] - 1 / (1 + np.exp(-np.clip(z, -30, 30)))) < 1e-9
+
+
+def test_language_decoding_against_brute_force(spark, sf_dir):
+    """Codeword losses summed bit by bit; features counted n-gram by n-gram."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = language.train(docs.filter(~language.held_out()))
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    found = {r["doc_id"]: r for r in language.identify(docs, model).collect()}
+    mask, a, b, c = 0xFFFFFFFF, 2654435761, 2246822519, 3266489917
+    for i in sorted(texts, key=lambda i: len(texts[i]))[:60]:
+        text, counts = texts[i].lower(), np.zeros(language.BUCKETS)
+        raw = [ord(x) for x in text]
+        points = [x * a & mask for x in raw]
+        for k in range(len(text)):
+            two = three = None
+            if k + 1 < len(text):
+                two = (points[k] ^ raw[k + 1] * b & mask) * c & mask
+            if k + 2 < len(text):
+                three = (two ^ raw[k + 2] * a & mask) * b & mask
+            for g in (points[k], two, three):
+                if g is not None:
+                    counts[g >> 21] += 1
+        if not any(x.isalpha() for x in texts[i]):
+            assert found[i]["lang_pred"] == "und" and found[i]["score"] == 0
+            continue
+        x = np.sqrt(counts) / np.linalg.norm(np.sqrt(counts))
+        out = [float(x @ model.weights[:, k] + model.bias[k]) for k in range(len(model.bias))]
+        loss = [sum(t * np.log1p(np.exp(-o * s)) for o, s, t in zip(out, word, model.trust, strict=True)) for word in model.code]
+        share = np.exp(min(loss) - np.array(loss)) / sum(np.exp(min(loss) - v) for v in loss)
+        assert found[i]["lang_pred"] == model.langs[int(np.argmin(loss))] and abs(found[i]["score"] - share.max()) < 1e-6
+        assert found[i]["ambiguous"] == bool(np.sort(share)[-1] - np.sort(share)[-2] < language.MARGIN)
+
+
+def test_rare_languages_are_learned(spark, documents):
+    texts = [(i, f"the cat and the dog {i % 7}", "en") for i in range(3000)] + [(5000 + i, f"kissa ja koira {i % 5}", "fi") for i in range(12)]
+    model = language.train(documents(*texts), max_rows=300)
+    assert model.langs == ["en", "fi"]
+    assert language.identify(documents((1, "koira ja kissa")), model).first()["lang_pred"] == "fi"
 
 
 def test_toxicity_awkward_rows(spark, awkward, clashing):
@@ -117,6 +192,47 @@ def test_markov_models_tell_random_strings(spark, documents):
     assert sum(hits) > 180 and not any(false)
 
 
+def test_secrets_of_the_whole_table(spark, sf_dir):
+    """Base spans by their definition, and markov spans with the ratio summed pair by pair, of every text."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    ratio = secrets.train(docs)
+    letters = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_=-"
+    at = {x: i for i, x in enumerate(letters)}
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    found = queries.op2_secrets(spark, sf_dir).collect()
+    assert len(found) == len(texts)
+    base_rows = {r["doc_id"]: r["b"] for r in secrets.scan(docs, ratio).select("doc_id", secrets.joined("base").alias("b")).collect()}
+    for r in found:
+        text, base = texts[r["doc_id"]], brute_spans(texts[r["doc_id"]])
+        assert base_rows[r["doc_id"]] == base
+        taken = [tuple(map(int, s.split(":")[1:])) for s in base.split(",") if s]
+        more = []
+        for m in re.finditer("[A-Za-z0-9+/_=-]+", text):
+            token = m[0]
+            if len(token) >= secrets.LEAST and not any(s < m.end() and m.start() < e for s, e in taken):
+                total = sum(ratio[at[x] * len(letters) + at[y]] for x, y in zip(token, token[1:], strict=False))
+                if total >= secrets.LEAST_RATIO and total >= secrets.PER_CHAR * len(token):
+                    more.append((m.start(), 3, f"markov:{m.start()}:{m.end()}"))
+        all_spans = sorted(more + [(int(s.split(":")[1]), secrets.KINDS.index(s.split(":")[0]), s) for s in base.split(",") if s])
+        assert r["spans"] == ",".join(s[2] for s in all_spans)
+        assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(sum(s.startswith(k) for s in base.split(",")) for k in ("assign", "access", "hex"))
+
+
+def test_redact_awkward_rows(spark, awkward, clashing):
+    ratio = secrets.train(awkward)
+    docs = clashing(awkward)
+    found = secrets.redact(docs, ratio)
+    assert found.columns == docs.columns and sorted(map(str, found.collect())) == sorted(map(str, docs.collect()))
+    assert secrets.redact(docs.limit(0), ratio).count() == 0
+
+
+def test_ids_of_other_types(spark):
+    docs = spark.createDataFrame([("u-1", "the cat", "en", 0), ("u-2", "der hund", "de", 1)], "doc_id string, text string, lang string, toxic int")
+    model, machine = language.train(docs), toxicity.train(docs)
+    for found in (language.identify(docs, model), toxicity.scored(docs, machine), secrets.scan(docs, secrets.train(docs))):
+        assert sorted(r["doc_id"] for r in found.collect()) == ["u-1", "u-2"]
+
+
 @pytest.mark.parametrize("name", ["op2_secrets", "op6_toxicity", "op7_language"])
 def test_columns_and_rows(spark, sf_dir, name):
     found = queries.QUERIES[name](spark, sf_dir)

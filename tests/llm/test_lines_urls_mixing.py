@@ -1,5 +1,6 @@
 """The native operators against brute force."""
 
+import hashlib
 import random
 
 import pytest
@@ -139,6 +140,31 @@ def test_rules_sit_under_their_rarest_token(spark):
     assert small and {r["rule"]: r["token"] for r in found.collect()}["example.org/es/"] == "es"
 
 
+@pytest.mark.parametrize("max_broadcast", [10_000, 0])
+def test_thousands_of_rules_fetch_few(spark, max_broadcast):
+    """Rules of a table, tried one by one in Python, give the same; a URL runs only the rules that its tokens fetch."""
+    import re
+
+    rules = urls.rule_table(spark)
+    table = rules.collect()
+    assert len(table) > 3000 and len({r["rule_id"] for r in table}) == len(table)
+    hosts = ("free-bets.a.net", "x.casino-win.example.net", "casinowin.net", "mycasinowin.net", "pills.com", "a.best-loans-b.org", "a-viagra-online.net", "forexplay.io", "plain.net")
+    given = [(i, f"http://{h}/{p}") for i, (h, p) in enumerate((h, p) for h in hosts for p in ("", "de/x", "casino-win/y"))]
+    pages = spark.createDataFrame(given, "page_id long, url string")
+    rank = lambda r: (r["listed"], len(r["rule"]), -r["rule_id"])
+    for r in urls.judge(pages, rules, max_broadcast=max_broadcast).collect():
+        hits = [x for x in table if re.search(x["pattern"], r["host"] + r["path"])]
+        best = max(hits, key=rank, default=None)
+        assert (r["matched"], r["verdict"]) == ((best["rule"], best["action"]) if best else (None, "allow")), r
+    targets = pages.select(F.concat(urls.host_of(F.col("url")), urls.path_of(F.col("url"))).alias("target"))
+    listed, _ = urls.index(rules, targets, max_broadcast)
+    fetched = targets.select(F.explode(urls.tokens_of(F.col("target"))).alias("token")).join(listed, "token").count()
+    assert fetched < 0.01 * len(given) * len(table)
+    bare = rules.filter("rule = 'org/' or rule = '*pills*'").withColumn("tokens", F.lit(None).cast("array<string>"))
+    few = urls.judge(pages, urls.rules_of(bare), max_broadcast=max_broadcast).filter("matched is not null").collect()
+    assert {(r["host"], r["matched"]) for r in few} == {("pills.com", "*pills*"), ("a.best-loans-b.org", "org/")}
+
+
 def test_mixing_meets_reachable_targets(spark, documents):
     rows = [(i, "good fine words here and there" if i % 10 else "BAD bad %%% %%% nasty nasty nasty stuff") for i in range(400)]
     docs = documents(*rows)
@@ -187,6 +213,72 @@ def test_mixing_of_a_rare_domain(spark, documents, caplog):
     assert "domain low reaches 0.0000 of the tokens, target 0.1000" in caplog.text
 
 
+def test_mixing_against_brute_force(spark, sf_dir):
+    """Posteriors, rates and copies of the whole table, by a plain reading of the method."""
+    import math
+    import re
+
+    import numpy as np
+    import xxhash
+
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    found, names, reached = mixing.rates(docs, queries.domains_of(labels))
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+
+    def parts(text):
+        low = text.lower()
+        words = [w for w in re.split(r"[ \t\n\x0b\f\r!-/:-@\[-`{-~]+", low) if w]
+        once = list(dict.fromkeys(words))
+        step = lambda x, y: math.floor(x / y * (mixing.SHAPES - 2)) if y else mixing.SHAPES - 1
+        buckets = [signed(xxhash.xxh64_intdigest(w.encode(), 42)) % mixing.BUCKETS for w in once]
+        return len(words), [*buckets, mixing.BUCKETS + step(len(once), len(words)), mixing.BUCKETS + mixing.SHAPES + step(sum(map(len, once)), len(text))]
+
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    of = {r["doc_id"]: "toxic" if r["toxic"] == 1 else "high" if r["quality"] == 1 else "low" for r in labels.collect()}
+    features = {i: parts(t) for i, t in texts.items()}
+    known = [i for i in texts if i in of]
+    m = {d: sum(of[i] == d for i in known) for d in names}
+    total, counts = len(known), {}
+    for i in known:
+        for b in set(features[i][1]):
+            counts.setdefault(b, dict.fromkeys(names, 0))[of[i]] += 1
+    base, logs = {d: math.log(m[d] / total) for d in names}, {}
+    for b, k in counts.items():
+        n = sum(k.values())
+
+        def speaks(d, k=k, n=n):
+            a, o, share = k[d] / m[d], (n - k[d]) / (total - m[d]), n / total
+            return abs(a - o) >= mixing.LEAST_ERRORS * math.sqrt(max(share * (1 - share) * (1 / m[d] + 1 / (total - m[d])), 1e-12)) and max(a, o) >= mixing.LEAST_RATIO * min(a, o)
+
+        if any(map(speaks, names)):
+            for d in names:
+                rate = (k[d] + mixing.SMOOTH * n / total) / (m[d] + mixing.SMOOTH)
+                base[d] += math.log1p(-min(rate, 1 - 1e-6))
+                logs[d, b] = round(math.log(rate) - math.log1p(-min(rate, 1 - 1e-6)), 4)
+    want = {}
+    for i, (_, buckets) in features.items():
+        z = [base[d] + sum(logs.get((d, b), 0) for b in buckets) for d in names]
+        e = [math.exp(x - max(z)) for x in z]
+        want[i] = [x / sum(e) for x in e]
+    got = {r["doc_id"]: r for r in found.collect()}
+    assert got.keys() == texts.keys() and all(r["tokens"] == features[i][0] for i, r in got.items())
+    assert all(abs(x - y) < 1e-4 for i, r in got.items() for x, y in zip(r["p"], want[i], strict=True))
+    t, p, r = (np.array([got[i][c] for i in sorted(got)], float) for c in ("tokens", "p", "rate"))
+    share = (r * t) @ p / t.sum()
+    assert (r >= 0).all() and all(abs(share[k] - reached[d][0]) < 1e-6 for k, d in enumerate(names))
+    # no nonnegative rates come closer to the targets: accelerated projected gradient over the distinct posteriors
+    aim = np.array([reached[d][1] for d in names])
+    rays, x, y, k = np.unique(p, axis=0).T, 0, 0, 1
+    x = y = np.zeros(rays.shape[1])
+    for _ in range(20_000):
+        new = np.maximum(0, y - rays.T @ (rays @ y - aim) / np.linalg.norm(rays @ rays.T, 2))
+        y, x, k = new + (k - 1) / (k + 1.5) * (new - x), new, k + 0.5
+    assert ((share - aim) ** 2).sum() <= 1.02 * ((rays @ x - aim) ** 2).sum() + 1e-5
+    for i, x in got.items():
+        u = signed(xxhash.xxh64_intdigest(hashlib.md5(f"={i}\0={texts[i]}".encode()).digest(), xxhash.xxh64_intdigest(b"mixing", 42))) % (1 << 30) / (1 << 30)
+        assert x["copies"] == math.floor(x["rate"] + u)
+
+
 def test_mixing_awkward_rows(spark, awkward, clashing):
     labels = spark.createDataFrame([], "doc_id long, domain string")
     found, domains, reached = mixing.rates(clashing(awkward), labels)

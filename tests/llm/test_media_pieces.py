@@ -73,6 +73,29 @@ def test_cosine_hash_keeps_to_low_frequencies():
     assert apart(smooth, noisy) <= 20 < apart(smooth, smooth[::-1] ^ 255)
 
 
+def brute_feature(data):
+    """The hash by its definition: box means, cosine sums one by one, bits above the median."""
+    import math
+
+    rows = [data[i : i + 64] for i in range(0, len(data), 64)]
+    h, n = len(rows), media.GRID
+    cut = lambda k, size: range(k * size // n, (k + 1) * size // n) if size >= n else range(k * size // n, k * size // n + 1)
+    grid = [[sum(rows[y][x] for y in cut(i, h) for x in cut(j, 64)) / (len(cut(i, h)) * len(cut(j, 64))) for j in range(n)] for i in range(n)]
+    wave = [[math.cos(math.pi / n * (x + 0.5) * u) for x in range(n)] for u in range(media.LOW)]
+    low = [round(sum(grid[i][j] * wave[u][i] * wave[v][j] for i in range(n) for j in range(n)), 6) for u in range(media.LOW) for v in range(media.LOW)]
+    middle = sorted(low)
+    median = (middle[31] + middle[32]) / 2
+    return f"{int(''.join('1' if x > median else '0' for x in low), 2):016x}"
+
+
+def test_feature_against_brute_force(spark, sf_dir):
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    found = {r["doc_id"]: r["feature"] for r in queries.op4_media(spark, sf_dir).collect()}
+    assert found.keys() == texts.keys()
+    for i in sorted(texts)[::5]:
+        assert found[i] == brute_feature(media.payload_of(texts[i])), i
+
+
 def test_op4_rows(spark, awkward, clashing):
     found = media.read_back(media.store(clashing(awkward))).collect()
     texts = [(r["doc_id"], (r["text"] or "").encode()) for r in awkward.collect()]
@@ -106,9 +129,9 @@ def test_spans_cover_their_pieces(model):
     one = pieces.Encoder(model)
     text = "The quick brown fox, né à Paris\nnext line"
     data = text.encode()
-    ids, n, decoded, starts = one.encode(text)
-    assert decoded == text and len(starts) == n + 1
-    for i, a, b in zip(map(int, ids.split(",")), starts, starts[1:], strict=False):
+    ids, decoded, starts = one.encode(text)
+    assert decoded == text and len(starts) == len(ids) + 1
+    for i, a, b in zip(ids, starts, starts[1:], strict=False):
         surface = one.surface[i]
         assert data[a:b] == (surface if a else surface.lstrip(b" "))
 
@@ -132,6 +155,16 @@ def test_character_map_takes_the_longest_prefix():
     assert source.tolist() == [0, 2, 3, 4, 5, 5, 7]
 
 
+def test_normalised_text_keeps_its_source(model):
+    """Encoding takes one path for every text: with a map that rewrites, pieces still point at the bytes they came from."""
+    one = pieces.Encoder(model)
+    assert not one.chars.units  # this model's own map is empty: the identity
+    one.chars.normalise = lambda data: (b"the cat", np.array([0, 1, 2, 3, 4, 7, 10, 13]))  # c, a and t from three bytes each
+    ids, decoded, starts = one.encode("the \u24d2\u24d0\u24e3")
+    assert decoded == "the cat" and starts[0] == 0 and starts[-1] == 13
+    assert [one.library.id_to_piece(i) for i in ids] == ["\u2581the", "\u2581cat"] and starts.tolist() == [0, 3, 13]
+
+
 def test_op5_whole_table(spark, sf_dir, model):
     import sentencepiece
 
