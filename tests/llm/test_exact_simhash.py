@@ -20,6 +20,11 @@ def brute_fingerprint(text, width=3):
     return sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hashes) * 2 > len(hashes))
 
 
+def brute_shingles(text, width=5):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + width]) for i in range(len(words) - width + 1)} or ({tuple(words)} if words else set())
+
+
 def brute_components(fps, bits=2):
     ids = sorted(fps, key=lambda i: (i is None, i))
     parent = {i: i for i in ids}
@@ -179,11 +184,7 @@ def test_near_copies_against_brute_jaccard(spark, documents, awkward, clashing):
         texts.append(" ".join([*base[: 200 - rnd.randrange(12)], word()]))
     docs = awkward.unionByName(documents(*((100 + i, t) for i, t in enumerate(texts))))
 
-    def shingles(text):
-        words = text.lower().split()
-        return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} or ({tuple(words)} if words else set())
-
-    sets = {r["doc_id"]: shingles(r["text"] or "") for r in docs.collect() if r["doc_id"] is not None}
+    sets = {r["doc_id"]: brute_shingles(r["text"]) for r in docs.collect() if r["doc_id"] is not None}
     parent = {i: i for i in sets}
 
     def top(i):
