@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MARK, MEMO, CHUNK = "▁", 400_000, 1 << 20
+MARK, MEMO, CHUNK = "▁", 150_000, 1 << 18
 
 
 class CharacterMap:
@@ -164,8 +164,8 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
                         column.append(x)
                     if with_pieces:
                         ids.append(np.array(found, np.int32))
-                        starts.append(at.astype(np.int64))
-                lists = [_lists(ids, np.int32), _lists(starts, np.int64)] if with_pieces else []
+                        starts.append(at.astype(np.int32))
+                lists = [_lists(ids, np.int32), _lists(starts, np.int32)] if with_pieces else []
                 arrays = [texts.column(0), *(pa.array(c, f.type) for c, f in zip(columns, fields, strict=False)), *lists]
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", *(f.name for f in fields)])
 
@@ -173,6 +173,6 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     fields = [pa.field("n_tokens", pa.int64()), *(pa.field(f"{x}_sha256", pa.string()) for x in ("ids", "decoded", "spans"))]
     shape = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string"
     if with_pieces:
-        fields += [pa.field("ids", pa.list_(pa.int32())), pa.field("starts", pa.list_(pa.int64()))]
-        shape += ", ids array<int>, starts array<long>"
+        fields += [pa.field("ids", pa.list_(pa.int32())), pa.field("starts", pa.list_(pa.int32()))]
+        shape += ", ids array<int>, starts array<int>"
     return docs.mapInArrow(encoded, shape)
