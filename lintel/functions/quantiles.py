@@ -18,7 +18,11 @@ def group_stats(rows: DataFrame, keys: list[str], least: int = LEAST, value: str
     Rows are first counted by key and value, with partial counts before the shuffle, so that what meets in a group is one row for each
     distinct value however many rows a hot key has; the quantiles then weigh each value by its count.
     """
-    counted = rows.groupBy(*keys, value).agg(F.count("*").alias("k"))
+    return counted_stats(rows.groupBy(*keys, value).agg(F.count("*").alias("k")), keys, least, value)
+
+
+def counted_stats(counted: DataFrame, keys: list[str], least: int = LEAST, value: str = "cents") -> DataFrame:
+    """The same figures of values that come with their counts, k."""
     stats = counted.groupBy(*keys).agg(
         F.sum("k").alias("n"), F.sum(F.col(value) * F.col("k")).alias("total"), F.expr(f"percentile({value}, array(0.25D, 0.5D, 0.75D), k)").alias("q")
     )

@@ -252,6 +252,28 @@ def lenient_flag(x: Column, otherwise: bool) -> Column:
     return F.when(F.lower(x) == "true", True).when(F.lower(x) == "false", False).otherwise(otherwise)
 
 
+#: How surely a property is placed, best first; the last is never asked for.
+CONFIDENCES = ("exact", "street", "locality", "routing_key", "county")
+
+
+def lenient_confidence(x: Column, otherwise: str = "locality") -> Column:
+    return F.when(x.isin(*CONFIDENCES), x).otherwise(otherwise)
+
+
+def lenient_list(x: Column) -> Column:
+    """The words between commas, trimmed; null if there are none."""
+    words = F.filter(F.transform(F.split(x, ","), F.trim), lambda w: w != "")
+    return F.when(F.size(words) > 0, words)
+
+
+def lenient_point(x: Column) -> Column:
+    """``longitude,latitude`` in plain numbers within their ranges as (lon, lat), else null."""
+    parts = F.split(x, ",")
+    number = lambda i: F.get(parts, F.lit(i)).try_cast("double")
+    good = x.rlike(r"^-?[0-9]{1,3}(\.[0-9]+)?,-?[0-9]{1,2}(\.[0-9]+)?$") & (F.abs(number(0)) <= 180) & (F.abs(number(1)) <= 90)
+    return F.when(good, F.struct(number(0).alias("lon"), number(1).alias("lat")))
+
+
 def csv_safe(x: Column) -> Column:
     """Text that a spreadsheet would run as a formula gets an apostrophe in front."""
     return F.when(x.rlike("^[=+\\-@\\t\\r]"), F.concat(F.lit("'"), x)).otherwise(x)

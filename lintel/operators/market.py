@@ -7,6 +7,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+#: A property's areas below the country, and those of them that get months and rolling windows.
+AREA_KEYS = ("county_id", "settlement_id", "ed_id", "small_area_id", "townland_id")
+DETAILED = ("county_id", "settlement_id", "ed_id")
+
+
 def is_market() -> Column:
     """Not withdrawn, at full market price, in no bulk group and no possible duplicate."""
     return ~F.col("withdrawn") & ~F.col("not_full_market") & F.col("bulk_group_id").isNull() & ~F.col("possible_duplicate")
@@ -18,11 +23,16 @@ def is_plain() -> Column:
 
 
 def fan_out(sales: DataFrame, properties: DataFrame) -> DataFrame:
-    """Each market sale once for each of its areas and segments: overlapping groups that grouping sets can't say."""
-    located = sales.filter(is_market()).join(properties.select("property_id", "county_id", "settlement_id"), "property_id")
-    areas = F.array(F.lit(0).cast("long"), "county_id", "settlement_id")
+    """Each market sale once for each of its areas, of six kinds, and segments: overlapping groups that grouping sets can't say.
+
+    ``detail`` says whether an area's kind gets months and rolling windows: small areas and townlands have too few sales for them.
+    Properties that are not placed precisely lie in no division, small area or townland.
+    """
+    located = sales.filter(is_market()).join(properties.select("property_id", *AREA_KEYS), "property_id")
+    area = lambda c, detail: F.when(c.isNotNull(), F.struct(c.alias("area_id"), F.lit(detail).alias("detail")))
+    areas = F.array_compact(F.array(area(F.lit(0).cast("long"), True), *(area(F.col(c), c in DETAILED) for c in AREA_KEYS)))
     segments = F.array(F.lit("all"), F.when(F.col("is_new"), "new").otherwise("second_hand"))
-    return located.withColumn("area_id", F.explode(areas)).withColumn("segment", F.explode(segments)).drop("county_id", "settlement_id")
+    return located.withColumn("a", F.explode(areas)).withColumn("segment", F.explode(segments)).select("*", "a.*").drop("a", *AREA_KEYS)
 
 
 def latest(rows: DataFrame, key: str, *order: str) -> DataFrame:

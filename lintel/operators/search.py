@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import math
+import re
 from dataclasses import dataclass, fields
 from datetime import date
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lintel.functions.geo import distance_km
 from lintel.sources.binding import PRECISIONS
 
-from .market import change_permille, latest, previous_plain
+from .market import AREA_KEYS, change_permille, latest, previous_plain
 
 MAX_BOX = (0.6, 0.4)
 MOST_RADIUS_M, USUAL_RADIUS_M = 20_000, 1_000
@@ -83,9 +86,11 @@ def box_of(rows: DataFrame) -> DataFrame:
 
 
 def near_box(lon: float, lat: float, radius_m: int) -> tuple[float, float, float, float]:
-    """Degrees that surely hold a circle at these latitudes."""
+    """Degrees that surely hold a circle: a degree of longitude is as short as at the box's edge nearest to a pole."""
     dy = radius_m / 111_000
-    return lon - dy * 1.8, lat - dy, lon + dy * 1.8, lat + dy
+    north = math.radians(min(abs(lat) + dy, 89.9))
+    dx = min(dy / math.cos(north), 180.0)
+    return lon - dx, lat - dy, lon + dx, lat + dy
 
 
 def in_box(box: tuple[float, float, float, float]) -> Column:
@@ -135,7 +140,7 @@ def matching_sales(sales: DataFrame, properties: DataFrame, f: SalesFilter, area
     places = _all(properties, property_filters(f))
     if f.area:
         named = areas.filter(F.col("name").isin(*f.area)).select("area_id")
-        member = places.select("property_id", F.explode(F.array("county_id", "settlement_id")).alias("area_id"))
+        member = places.select("property_id", F.explode(F.array_compact(F.array(*AREA_KEYS))).alias("area_id"))
         places = places.join(member.join(named, "area_id", "left_semi").select("property_id"), "property_id", "left_semi")
     if f.max_stop_m is not None:
         places = places.join(vicinity.filter(F.col("stop_m") <= f.max_stop_m).select("property_id"), "property_id", "left_semi")
@@ -163,7 +168,8 @@ def search(matches: DataFrame, sales: DataFrame, properties: DataFrame, sort: st
     order = [F.col(column).desc_nulls_last() if down else F.col(column).asc_nulls_last(), F.col("property_id")]
     cut = lambda df: df.orderBy(*order).offset((page - 1) * size).limit(size)
     if column == "change":
-        rows = cut(with_change(matches, sales))
+        # only sales of properties that match can come before a match
+        rows = cut(with_change(matches, sales.join(matches.select("property_id"), "property_id", "left_semi")))
         own = sales.join(F.broadcast(rows.select("property_id")), "property_id", "left_semi")
     else:
         rows = cut(matches)
@@ -177,6 +183,11 @@ def totals(matches: DataFrame) -> DataFrame:
     return matches.agg(F.count("*").alias("total"), F.min("lon").alias("west"), F.min("lat").alias("south"), F.max("lon").alias("east"), F.max("lat").alias("north"))
 
 
+def answer(matches: DataFrame, sales: DataFrame, properties: DataFrame, sort: str = "-date", page: int = 1, size: int = 20) -> DataFrame:
+    """One page, each row with the total of all matches and their extent, as one answer."""
+    return search(matches, sales, properties, sort, page, size).join(F.broadcast(totals(matches)))
+
+
 def trigrams(text: Column) -> Column:
     """The set of three-letter pieces of each word, padded by two blanks in front and one behind."""
     words = F.filter(F.split(F.lower(text), "[^\\p{L}\\p{N}]+"), lambda w: w != "")
@@ -191,16 +202,51 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when(both > 0, F.expr("cast(0 as bigint)") + F.floor(shared * 1_000_000 / both)).otherwise(0).cast("long")
 
 
+AREA_KINDS = ("country", "county", "settlement", "electoral_division", "small_area", "townland")
+
+
+def _area_order(q: str) -> list[Column]:
+    kinds = F.array(*map(F.lit, AREA_KINDS))
+    return [F.desc(F.col("name") == q), F.desc(F.col("name").ilike(f"{like_literal(q)}%")), F.array_position(kinds, F.col("kind")), F.char_length("name"), F.col("name")]
+
+
 def autocomplete_areas(areas: DataFrame, text: str, size: int = 8) -> DataFrame:
     """Areas whose name, or a word of it, begins with the text: exact first, then by beginning, kind, length and name."""
     q = text.lower()
-    starts, word = F.col("name").startswith(q), F.col("name").contains(f" {q}")
-    kinds = F.array(*map(F.lit, ("country", "county", "settlement")))
-    order = [F.desc(F.col("name") == q), F.desc(starts), F.array_position(kinds, F.col("kind")), F.char_length("name"), F.col("name")]
-    return areas.filter(starts | word).orderBy(*order).limit(size)
+    starts, word = F.col("name").ilike(f"{like_literal(q)}%"), F.col("name").ilike(f"% {like_literal(q)}%")
+    return areas.filter(starts | word).orderBy(*_area_order(q)).limit(size)
+
+
+def like_literal(text: str) -> str:
+    """Text as a LIKE pattern that means itself."""
+    return re.sub(r"([\\%_])", r"\\\1", text)
+
+
+#: The letters that routing keys begin with.
+ROUTING_LETTERS = "acdefhknprtvwxy"
+
+
+def routing_key_of(q: Column) -> Column:
+    """The routing key that a text names: 'a63', or a Dublin district as 'd8', 'Dublin 8' or 'dublin 6w'; else null."""
+    text = F.lower(F.trim(F.regexp_replace(q, r"\s+", " ")))
+    district = F.regexp_extract(text, r"^(?:dublin|d)\s*([0-9]{1,2}|6w)$", 1)
+    own = text.rlike(f"^[{ROUTING_LETTERS}][0-9]{{2}}$") | (text == "d6w")
+    return F.when(own, F.upper(text)).when(district == "6w", "D6W").when(district != "", F.concat(F.lit("D"), F.lpad(district, 2, "0")))
+
+
+def autocomplete(areas: DataFrame, normalised: DataFrame, keys: DataFrame, text: str, size: int = 8) -> DataFrame:
+    """(rank, kind, name): the routing key that the text names, then areas, then addresses, ``size`` in all. ``keys``: routing_key, n."""
+    asked = keys.filter(F.col("routing_key") == routing_key_of(F.lit(text))).select(F.lit(0).alias("part"), F.lit(0).alias("place"), F.lit("routing_key").alias("kind"), F.col("routing_key").alias("name"))
+    # each part has ``size`` rows at most, so one window without a key numbers them
+    q = text.lower()
+    near = autocomplete_areas(areas, text, size).select(F.lit(1).alias("part"), F.row_number().over(W.orderBy(*_area_order(q))).alias("place"), "kind", "name")
+    found = autocomplete_addresses(normalised, text, size)
+    found = found.select(F.lit(2).alias("part"), F.row_number().over(W.orderBy(F.desc("score"), "normalised", "property_id")).alias("place"), F.lit("address").alias("kind"), F.col("normalised").alias("name"))
+    all_parts = asked.unionByName(near).unionByName(found).orderBy("part", "place").limit(size)
+    return all_parts.select(F.row_number().over(W.orderBy("part", "place")).alias("rank"), "kind", "name")
 
 
-#: Short forms that people type, and what the register spells out.
+#: Short forms that people type, and what the register spells out.
 SHORT_FORMS = {"rd": "road", "ave": "avenue", "st": "street", "sq": "square", "pk": "park", "dr": "drive", "cres": "crescent", "ct": "court", "tce": "terrace", "co": ""}
 
 
@@ -214,6 +260,6 @@ def autocomplete_addresses(normalised: DataFrame, text: str, size: int = 8) -> D
     words = query_words(text)
     if sum(map(len, words)) < 3:
         return normalised.limit(0).withColumn("score", F.lit(0).cast("long"))
-    found = _all(normalised, [F.col("normalised").contains(w) for w in words])
+    found = _all(normalised, [F.col("normalised").ilike(f"%{like_literal(w)}%") for w in words])
     score = similarity(trigrams(F.col("normalised")), trigrams(F.lit(" ".join(words))))
     return found.withColumn("score", score).orderBy(F.desc("score"), "normalised", "property_id").limit(size)

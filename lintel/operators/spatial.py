@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from lintel.functions.geo import distance_km, in_ring, metres, segment_distance, to_metres
 from lintel.sources.scratch import kept
 
-#: Cell sizes in metres, from the usual spacing of targets up to the whole map.
-RINGS = (8_000, 32_000, 128_000, 1_024_000)
+#: The size of the last cells, in metres: larger than any map.
+WHOLE = 1_024_000
 #: A degree of longitude is shorter further north: cells only promise this part of their size.
 SAFE = 0.9
 
@@ -26,24 +26,37 @@ def _own(size: int) -> Column:
     return F.struct(F.floor(F.col("x") / size).cast("long").alias("i"), F.floor(F.col("y") / size).cast("long").alias("j"))
 
 
-def nearest(points: DataFrame, targets: DataFrame, key: str, target_key: str, rings: tuple[int, ...] = RINGS) -> DataFrame:
+def rings_for(targets: DataFrame) -> tuple[int, ...]:
+    """Cell sizes from about the targets' mean spacing (250 m at least) up to the whole map, each four times the last. One counted row comes to the driver."""
+    x, y = to_metres(F.col("lon"), F.col("lat"))
+    got = targets.select(x.alias("x"), y.alias("y")).agg(F.count("*").alias("n"), (F.max("x") - F.min("x")).alias("w"), (F.max("y") - F.min("y")).alias("h")).first()
+    spacing = ((got["w"] or 0) * (got["h"] or 0) / max(got["n"], 1)) ** 0.5
+    sizes = [s for s in (250 * 4**i for i in range(6)) if 2 * s >= spacing]
+    return (*sizes, WHOLE)
+
+
+def nearest(points: DataFrame, targets: DataFrame, key: str, target_key: str, rings: tuple[int, ...] | None = None, groups: tuple[str, ...] = ()) -> DataFrame:
     """(key, target_key, m): the nearest target of each point, ties to the smallest key. Both sides have lon and lat.
 
     Points meet the targets of the nine cells around them. A nearest target within the size of a cell is surely the nearest of all; points
     without one try again in larger cells. The last ring spans the map. Targets are listed nine times, points once.
+    With ``groups``, targets have a column ``group`` and each point gets the nearest of each group, all in one pass: (key, group, target_key, m).
     """
+    rings = rings or rings_for(targets)
+    by = ["group"] if groups else []
     here = points.select(key, "lon", "lat", *to_metres(F.col("lon"), F.col("lat")))
-    there = targets.select(target_key, F.col("lon").alias("tlon"), F.col("lat").alias("tlat"), *to_metres(F.col("lon"), F.col("lat")))
+    here = here.withColumn("group", F.explode(F.array(*map(F.lit, groups)))) if groups else here
+    there = targets.select(target_key, *by, F.col("lon").alias("tlon"), F.col("lat").alias("tlat"), *to_metres(F.col("lon"), F.col("lat")))
     done = []
     for n, size in enumerate(rings):
-        met = here.withColumn("c", _own(size)).join(there.select(target_key, "tlon", "tlat", F.explode(_cells(size)).alias("c")), "c", "left")
+        met = here.withColumn("c", _own(size)).join(there.select(target_key, *by, "tlon", "tlat", F.explode(_cells(size)).alias("c")), ["c", *by], "left")
         away = metres(distance_km(F.col("lon"), F.col("lat"), F.col("tlon"), F.col("tlat")))
-        best = met.groupBy(key, "lon", "lat", "x", "y").agg(F.min(F.when(F.col(target_key).isNotNull(), F.struct(away.alias("m"), target_key))).alias("b"))
+        best = met.groupBy(key, *by, "lon", "lat", "x", "y").agg(F.min(F.when(F.col(target_key).isNotNull(), F.struct(away.alias("m"), target_key))).alias("b"))
         last = n == len(rings) - 1
         best = best if last else kept(best, "nearest")
         sure = F.lit(True) if last else F.coalesce(F.col("b.m") <= size * SAFE, F.lit(False))
-        done.append(best.filter(sure & F.col("b").isNotNull()).select(key, f"b.{target_key}", "b.m"))
-        here = best.filter(~sure).select(key, "lon", "lat", "x", "y")
+        done.append(best.filter(sure & F.col("b").isNotNull()).select(key, *by, f"b.{target_key}", "b.m"))
+        here = best.filter(~sure).select(key, *by, "lon", "lat", "x", "y")
         if not last and here.isEmpty():
             break
     return reduce(DataFrame.unionByName, done)

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lintel.functions.quantiles import group_stats
+from lintel.functions.quantiles import counted_stats, group_stats
+from lintel.sources.scratch import kept
 
 #: Upper bounds of price bands in whole currency units; the last band is open.
 BIN_EDGES = tuple(range(0, 500_000, 50_000))
@@ -19,22 +20,43 @@ def register_end(sales: DataFrame) -> DataFrame:
 
 
 def area_stats(fanned: DataFrame, sales: DataFrame, span: str) -> DataFrame:
-    """Figures by area, segment and period; periods that reach into the last two months are provisional."""
+    """Figures by area, segment and period; periods that reach into the last two months are provisional. Months are for areas with ``detail``."""
+    fanned = fanned.filter("detail") if span == "month" else fanned
     stats = group_stats(fanned.withColumn("period", F.trunc("sale_date", span)), ["area_id", "segment", "period"])
     ends = F.date_sub(F.add_months("period", SPANS[span]), 1)
     return stats.join(F.broadcast(register_end(sales))).withColumn("provisional", ends >= F.add_months("last_month", -1)).drop("last_month")
 
 
 def rolling(fanned: DataFrame, sales: DataFrame, months: int = 12) -> DataFrame:
-    """Figures over the ``months`` months up to each month. Sales are counted by month and price first, and only those counts fan out."""
+    """Figures over the ``months`` months up to each month, for areas with ``detail``. A window is named by its last month, and provisional if that month is.
+
+    Sales are counted by month and price first, and only those counts fan out.
+    """
     keys = ["area_id", "segment"]
-    monthly = fanned.groupBy(*keys, F.trunc("sale_date", "MM").alias("m"), "cents").agg(F.count("*").alias("c"))
+    monthly = fanned.filter("detail").groupBy(*keys, F.trunc("sale_date", "MM").alias("m"), "cents").agg(F.count("*").alias("c"))
     wide = monthly.withColumn("period", F.explode(F.transform(F.sequence(F.lit(0), F.lit(months - 1)), lambda i: F.add_months("m", i))))
     wide = wide.join(F.broadcast(register_end(sales)), F.col("period") <= F.col("last_month"))
     counted = wide.groupBy(*keys, "period", "cents").agg(F.sum("c").alias("k"))
-    q = F.expr("percentile(cents, array(0.25D, 0.5D, 0.75D), k)")
-    stats = counted.groupBy(*keys, "period").agg(F.sum("k").alias("n"), q.alias("q"))
-    return stats.select(*keys, "period", "n", F.when(F.col("n") >= 5, F.floor(F.col("q")[1] + 0.5).cast("long")).alias("median"))
+    stats = counted_stats(counted, [*keys, "period"]).join(F.broadcast(register_end(sales)))
+    return stats.withColumn("provisional", F.date_sub(F.add_months("period", 1), 1) >= F.add_months("last_month", -1)).drop("last_month")
+
+
+def ancestors(areas: DataFrame) -> DataFrame:
+    """(area_id, at, depth): every area with itself and all areas above it, however deep the hierarchy is.
+
+    Each round walks one level up and is written to the shared folder; the walk ends when no row has a parent. An area above itself raises an error.
+    """
+    up = areas.select(F.col("area_id").alias("at"), F.col("parent_id").alias("up"))
+    step = areas.select("area_id", F.col("area_id").alias("at"), F.lit(0).alias("depth"))
+    out, depth = step, 0
+    while True:
+        depth += 1
+        step = kept(step.join(up, "at").filter("up is not null").select("area_id", F.col("up").alias("at"), F.lit(depth).alias("depth")), "ancestors")
+        if step.isEmpty():
+            return out
+        if not step.filter("area_id = at").isEmpty():
+            raise ValueError("an area lies above itself")
+        out = out.unionByName(step)
 
 
 def year_before(stats: DataFrame, *values: str) -> DataFrame:

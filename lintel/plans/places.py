@@ -22,11 +22,12 @@ def precise(spark: SparkSession, sf_dir: str) -> DataFrame:
 def vicinity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """property_id and the distance in metres to (and key of) the nearest stop, rail stop, primary and post-primary school."""
     here, pois = precise(spark, sf_dir), B.places_of_interest(spark, sf_dir)
-    out = here.select("property_id")
-    for name, kinds in (("stop", ("stop", "rail")), ("rail", ("rail",)), ("primary", ("primary",)), ("post_primary", ("post_primary",))):
-        found = S.nearest(here, pois.filter(F.col("kind").isin(*kinds)), "property_id", "poi_id")
-        out = out.join(found.withColumnsRenamed({"poi_id": f"{name}_id", "m": f"{name}_m"}), "property_id", "left")
-    return out
+    grouped = pois.withColumn("group", F.explode(F.when(F.col("kind") == "rail", F.array(F.lit("stop"), F.lit("rail"))).otherwise(F.array("kind"))))
+    names = ("stop", "rail", "primary", "post_primary")
+    found = S.nearest(here, grouped, "property_id", "poi_id", groups=names)
+    of = lambda name, c: F.min(F.when(F.col("group") == name, F.col(c)))  # noqa: E731  one row a group
+    wide = found.groupBy("property_id").agg(*(of(n, c).alias(f"{n}_{short}") for n in names for c, short in (("poi_id", "id"), ("m", "m"))))
+    return here.select("property_id").join(wide, "property_id", "left")
 
 
 def _nearest_sql(name: str, kinds: str) -> str:

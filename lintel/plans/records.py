@@ -25,12 +25,13 @@ def now() -> object:
     return F.lit("2024-02-01 00:00:00").cast("timestamp")
 
 
-@query(
-    """WITH RECURSIVE e AS (SELECT event_id, user_id, event_type, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS rn FROM events),
+VIEWS_SQL = """WITH RECURSIVE e AS (SELECT event_id, user_id, event_type, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS rn FROM events),
 w AS (SELECT user_id, event_type, rn, event_id, us AS last, true AS kept FROM e WHERE rn = 1
   UNION ALL SELECT e.user_id, e.event_type, e.rn, e.event_id, CASE WHEN e.us - w.last > 21600000000 THEN e.us ELSE w.last END, e.us - w.last > 21600000000 FROM w JOIN e ON e.user_id = w.user_id AND e.event_type = w.event_type AND e.rn = w.rn + 1)
 SELECT event_id AS view_id, kept FROM w"""
-)
+
+
+@query(VIEWS_SQL)
 def view_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Views of a user and kind of page, kept if none that counts lies within six hours before: sequential, so the twin recurses row by row."""
     return R.kept_views(events(spark, sf_dir).select(F.col("event_id").alias("view_id"), "user_id", F.col("event_type").alias("item"), "ts"), gap_s=6 * 3600)
@@ -58,13 +59,13 @@ def retention(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH s AS (SELECT event_id AS session_id, user_id, ts AS last_seen, ts + INTERVAL 25 DAY AS expires_at FROM events), r AS (SELECT user_id, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS roles FROM events WHERE event_id % 50 = 0 GROUP BY ALL)
+    f"""WITH s AS (SELECT event_id AS session_id, user_id, ts AS last_seen, ts + INTERVAL 25 DAY AS expires_at FROM events), r AS (SELECT user_id, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS roles FROM events GROUP BY ALL)
 SELECT session_id, user_id, coalesce(roles, '') AS roles, last_seen < {_NOW} - INTERVAL 5 MINUTE AS touch FROM s LEFT JOIN r USING (user_id) WHERE expires_at > {_NOW} AND last_seen > {_NOW} - INTERVAL 14 DAY""",
 )
 def live_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = events(spark, sf_dir)
     sessions = e.select(F.col("event_id").alias("session_id"), "user_id", F.col("ts").alias("last_seen"), (F.col("ts") + F.make_dt_interval(F.lit(25))).alias("expires_at"))
-    return R.live_sessions(sessions, e.filter("event_id % 50 = 0").select("user_id", F.col("event_type").alias("role")), now())
+    return R.live_sessions(sessions, e.select("user_id", F.col("event_type").alias("role")), now())
 
 
 @query(

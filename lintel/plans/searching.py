@@ -7,12 +7,14 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lintel.functions import text as X
 from lintel.functions.geo import distance_sql, tile_box
 from lintel.operators import market as M
 from lintel.operators import search as S
 from lintel.operators import tiles as T
 from lintel.sources import binding as B
 
+from .places import _VICINITY, vicinity
 from .registry import query
 
 #: The usual filters: market sales of properties placed at a locality or better.
@@ -24,8 +26,8 @@ _USUAL = f"{_MATCH} AND NOT not_full_market AND bulk_group_id IS NULL {_LATEST}"
 _COUNTS = f"SELECT property_id, count(*) AS n_sales FROM sale WHERE {_SHOWN} GROUP BY ALL"
 
 
-def matches(spark: SparkSession, sf_dir: str, f: S.SalesFilter | None = None) -> DataFrame:
-    return S.matching_sales(B.sales(spark, sf_dir), B.properties(spark, sf_dir), f or S.SalesFilter(), B.areas(spark, sf_dir))
+def matches(spark: SparkSession, sf_dir: str, f: S.SalesFilter | None = None, near: DataFrame | None = None) -> DataFrame:
+    return S.matching_sales(B.sales(spark, sf_dir), B.properties(spark, sf_dir), f or S.SalesFilter(), B.all_areas(spark, sf_dir), near)
 
 
 @query(f"WITH m AS ({_USUAL}), c AS ({_COUNTS}) SELECT property_id, sale_id, sale_date, cents, is_new, precision, n_sales FROM m JOIN c USING (property_id)", "sale property")
@@ -45,10 +47,27 @@ WHERE NOT suppressed AND precision <= 4 AND {_SHOWN} AND NOT not_full_market AND
     "sale property area",
 )
 def matching_sales_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sixteen of the optional filters at once."""
+    """Prices, days, type, confidence, tax, areas, a circle and a box at once: few match."""
     return matches(spark, sf_dir, FILTERED).select("sale_id", "property_id", "sale_date", "cents")
 
 
+KEYS = tuple(f"{c}{n:02d}" for c in "ACDEFHKN" for n in range(1, 24))
+WIDE = S.SalesFilter(price_min=2_000_000, price_max=35_000_000, date_from=date(1992, 6, 1), date_to=date(1998, 6, 30), type="second_hand", exclude_non_market=False, exclude_bulk=False, min_confidence="street", vat="inclusive", county=("Asia", "Europe", "Africa", "America"), area=("asia", "europe", "division 4", "townland 20", "small area 11", "nation_3"), routing_key=KEYS, max_stop_m=40_000, max_school_m=30_000)
+
+
+@query(
+    f"""WITH v AS ({_VICINITY}), n AS (SELECT area_id FROM all_area WHERE name IN ('asia', 'europe', 'division 4', 'townland 20', 'small area 11', 'nation_3'))
+SELECT s.sale_id, property_id, s.sale_date, s.cents FROM sale s JOIN property p USING (property_id) JOIN v USING (property_id)
+WHERE NOT suppressed AND precision <= 1 AND {_SHOWN} AND cents BETWEEN 2000000 AND 35000000 AND sale_date BETWEEN '1992-06-01' AND '1998-06-30' AND NOT is_new AND NOT vat_exclusive
+  AND county IN ('asia', 'europe', 'africa', 'america') AND routing_key IN {KEYS} AND stop_m <= 40000 AND least(primary_m, post_primary_m) <= 30000
+  AND (county_id IN (FROM n) OR settlement_id IN (FROM n) OR coalesce(ed_id, -1) IN (FROM n) OR coalesce(small_area_id, -1) IN (FROM n) OR coalesce(townland_id, -1) IN (FROM n)) {_LATEST}""",
+    "sale property area all_area poi",
+)
+def matching_sales_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All filters but the circle and the box, areas of five kinds and distances to stops and schools among them: many match."""
+    return matches(spark, sf_dir, WIDE, vicinity(spark, sf_dir)).select("sale_id", "property_id", "sale_date", "cents")
+
+
 _PREVIOUS = f"""
 SELECT s.sale_id, b.sale_date AS prev_date, b.cents AS prev_cents, {M.change_sql('s.cents', 'b.cents')} AS change
 FROM sale s LEFT JOIN plain b ON b.property_id = s.property_id AND b.sale_date < s.sale_date AND NOT (s.withdrawn OR s.not_full_market OR s.vat_exclusive OR s.possible_duplicate) AND s.bulk_group_id IS NULL
@@ -117,6 +136,19 @@ def search_most_fallen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _search(spark, sf_dir, "change")
 
 
+@query(
+    f"""WITH m AS ({_USUAL}), v AS ({_PREVIOUS}), c AS ({_COUNTS})
+SELECT m.property_id, m.sale_id, m.cents, v.change, c.n_sales, count(*) OVER () AS total, min(lon) OVER () AS west, min(lat) OVER () AS south, max(lon) OVER () AS east, max(lat) OVER () AS north
+FROM m JOIN v USING (sale_id) JOIN c USING (property_id) ORDER BY cents DESC, property_id LIMIT 20 OFFSET 20""",
+    _SEARCH_USES,
+)
+def search_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second page of the dearest with the total and the extent of all matches."""
+    sales, places = B.sales(spark, sf_dir), B.properties(spark, sf_dir)
+    found = S.answer(S.matching_sales(sales, places, S.SalesFilter()), sales, places, "-price", 2)
+    return found.select("property_id", "sale_id", "cents", "change", "n_sales", "total", "west", "south", "east", "north")
+
+
 @query(f"WITH m AS ({_USUAL}) SELECT count(*) AS total, min(lon) AS west, min(lat) AS south, max(lon) AS east, max(lat) AS north FROM m", "sale property")
 def search_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.totals(matches(spark, sf_dir))
@@ -168,6 +200,67 @@ def autocomplete_routing_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.groupBy("routing_key").agg(F.count("*").alias("n"), F.round(F.avg("lon"), 6).alias("lon"), F.round(F.avg("lat"), 6).alias("lat"))
 
 
+#: What people type, with the key that each names.
+ASKED = ("D08", "d8", "Dublin 8", "dublin  6w", "d6w", "a63", " A63 ", "dublin", "dublin 123", "b12", "d 12", "63", "")
+_ASKED = "SELECT unnest(" + str(list(ASKED)) + ") AS q"
+
+
+@query(
+    rf"""WITH a AS ({_ASKED}), t AS (SELECT q, lower(trim(regexp_replace(q, '\s+', ' ', 'g'))) AS t FROM a), d AS (SELECT *, regexp_extract(t, '^(?:dublin|d)\s*([0-9]{{1,2}}|6w)$', 1) AS d FROM t)
+SELECT q, CASE WHEN regexp_full_match(t, '[acdefhknprtvwxy][0-9][0-9]') OR t = 'd6w' THEN upper(t) WHEN d = '6w' THEN 'D6W' WHEN d <> '' THEN 'D' || lpad(d, 2, '0') END AS routing_key FROM d"""
+)
+def routing_keys_asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = spark.range(1).select(F.explode(F.array(*map(F.lit, ASKED))).alias("q"))
+    return asked.select("q", S.routing_key_of(F.col("q")).alias("routing_key"))
+
+
+@query(
+    f"""WITH k AS (SELECT DISTINCT 0 AS part, 1 AS place, 'routing_key' AS kind, routing_key AS name FROM property WHERE routing_key = 'D04'),
+t AS (SELECT lower(address) AS normalised, property_id, {trigrams_sql('address')} AS a, {trigrams_sql("'d4'")} AS b FROM property WHERE NOT suppressed) SELECT 1 AS rank, kind, name FROM k""",
+    "property",
+)
+def autocomplete_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """'d4' names a key; it is too short for addresses and begins no area's name."""
+    return _autocomplete(spark, sf_dir, "d4")
+
+
+@query(
+    f"""WITH n AS (SELECT 1 AS part, row_number() OVER (ORDER BY name = 'nation_2' DESC, starts_with(name, 'nation_2') DESC, length(name), name) AS place, kind, name FROM area WHERE starts_with(name, 'nation_2') OR contains(name, ' nation_2')),
+t AS (SELECT lower(address) AS normalised, property_id, {trigrams_sql('address')} AS a, {trigrams_sql("'nation_2'")} AS b FROM property WHERE NOT suppressed AND contains(lower(address), 'nation_2')),
+s AS (SELECT 2 AS part, row_number() OVER (ORDER BY {_SIMILAR} DESC, normalised, property_id) AS place, 'address' AS kind, normalised AS name FROM t),
+u AS (SELECT * FROM n UNION ALL SELECT * FROM s) SELECT CAST(row_number() OVER (ORDER BY part, place) AS INTEGER) AS rank, kind, name FROM u ORDER BY part, place LIMIT 8""",
+    "area property",
+)
+def autocomplete_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Areas before addresses; the underscore means itself and not any letter."""
+    return _autocomplete(spark, sf_dir, "Nation_2")
+
+
+def _autocomplete(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+    places = B.properties(spark, sf_dir)
+    keys = places.groupBy("routing_key").agg(F.count("*").alias("n"))
+    return S.autocomplete(B.areas(spark, sf_dir), places.filter("not suppressed").select("property_id", F.lower("address").alias("normalised")), keys, text)
+
+
+#: Parameters as URLs hold them, good and bad.
+GIVEN = ("12.5", "-7", "1e3", "2024-02-29", "2023-02-29", "2024-1-05", "true", "FALSE", "maybe", "street", "Street", "unmatched", "dublin, cork ,", " , ", "-6.26,53.35", "181,10", "1,91", "-6.26, 53.35", "")
+
+
+@query(
+    "WITH g AS (SELECT unnest(" + str(list(GIVEN)) + r""") AS x)
+SELECT x, CASE WHEN regexp_full_match(x, '-?[0-9]+(\.[0-9]+)?') THEN CAST(x AS DOUBLE) END AS number, CASE WHEN regexp_full_match(x, '[0-9]{4}-[0-9]{2}-[0-9]{2}') THEN TRY_CAST(x AS DATE) END AS day,
+  CASE lower(x) WHEN 'true' THEN true WHEN 'false' THEN false ELSE true END AS flag, CASE WHEN x IN ('exact', 'street', 'locality', 'routing_key', 'county') THEN x ELSE 'locality' END AS confidence,
+  nullif(array_to_string(list_filter(list_transform(string_split(x, ','), lambda w: trim(w)), lambda w: w <> ''), '|'), '') AS words,
+  CASE WHEN regexp_full_match(x, '-?[0-9]{1,3}(\.[0-9]+)?,-?[0-9]{1,2}(\.[0-9]+)?') AND abs(TRY_CAST(split_part(x, ',', 1) AS DOUBLE)) <= 180 AND abs(TRY_CAST(split_part(x, ',', 2) AS DOUBLE)) <= 90 THEN CAST(split_part(x, ',', 1) AS DOUBLE) END AS lon
+FROM g""".replace("\\\\", "\\")
+)
+def lenient_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every parser of search parameters over every text: what doesn't parse falls back to null or the default."""
+    given, x = spark.range(1).select(F.explode(F.array(*map(F.lit, GIVEN))).alias("x")), F.col("x")
+    words = F.array_join(X.lenient_list(x), "|")
+    return given.select("x", X.lenient_number(x).alias("number"), X.lenient_date(x).alias("day"), X.lenient_flag(x, True).alias("flag"), X.lenient_confidence(x).alias("confidence"), words.alias("words"), X.lenient_point(x)["lon"].alias("lon"))
+
+
 TILE = (6, 30, 20)
 
 

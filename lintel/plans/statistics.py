@@ -25,7 +25,7 @@ def _stats_sql(span: str) -> str:
     return f"""
 SELECT area_id, segment, CAST(date_trunc('{span}', sale_date) AS DATE) AS period, {stats_sql()},
   CAST(date_trunc('{span}', sale_date) AS DATE) + INTERVAL {S.SPANS[span]} MONTH - INTERVAL 1 DAY >= {_LAST} - INTERVAL 1 MONTH AS provisional
-FROM sale_area GROUP BY ALL"""
+FROM sale_area {'WHERE detail' if span == 'month' else ''} GROUP BY ALL"""
 
 
 @query(_stats_sql("month"), "sale sale_area")
@@ -44,8 +44,8 @@ def area_stats_year(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ROLLING = f"""
-SELECT area_id, segment, period, count(*) AS n, CASE WHEN count(*) >= 5 THEN CAST(floor(quantile_cont(cents, 0.5) + 0.5) AS BIGINT) END AS median
-FROM (SELECT area_id, segment, cents, CAST(date_trunc('month', sale_date) + to_months(CAST(i AS INTEGER)) AS DATE) AS period FROM sale_area, range(12) r(i))
+SELECT area_id, segment, period, {stats_sql()}, period + INTERVAL 1 MONTH - INTERVAL 1 DAY >= {_LAST} - INTERVAL 1 MONTH AS provisional
+FROM (SELECT area_id, segment, cents, CAST(date_trunc('month', sale_date) + to_months(CAST(i AS INTEGER)) AS DATE) AS period FROM sale_area, range(12) r(i) WHERE detail)
 WHERE period <= {_LAST} GROUP BY ALL"""
 
 
@@ -87,18 +87,14 @@ def area_children(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-WITH up AS (SELECT area_id, area_id AS at, 0 AS depth FROM area UNION ALL SELECT up.area_id, a.parent_id, depth + 1 FROM up JOIN area a ON a.area_id = up.at WHERE a.parent_id IS NOT NULL)
-SELECT up.area_id, up.depth, a.kind, a.name FROM up JOIN area a ON a.area_id = up.at""".replace("WITH RECURSIVE", "WITH"),
-    "area",
+WITH up AS (SELECT area_id, area_id AS at, 0 AS depth FROM all_area UNION ALL SELECT up.area_id, a.parent_id, depth + 1 FROM up JOIN all_area a ON a.area_id = up.at WHERE a.parent_id IS NOT NULL)
+SELECT up.area_id, up.depth, a.kind, a.name FROM up JOIN all_area a ON a.area_id = up.at""".replace("WITH RECURSIVE", "WITH"),
+    "area all_area",
 )
 def area_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An area and those above it; the hierarchy is three levels deep, so two joins walk it."""
-    areas = B.areas(spark, sf_dir)
-    step = lambda df: df.join(areas.select(F.col("area_id").alias("at"), F.col("parent_id").alias("up")), "at").filter("up is not null").select("area_id", F.col("up").alias("at"), F.col("depth") + 1)
-    zero = areas.select("area_id", F.col("area_id").alias("at"), F.lit(0).alias("depth"))
-    one = step(zero).toDF("area_id", "at", "depth")
-    two = step(one).toDF("area_id", "at", "depth")
-    return zero.unionByName(one).unionByName(two).join(areas.select(F.col("area_id").alias("at"), "kind", "name"), "at").drop("at")
+    """An area of any of the six kinds and those above it, level by level."""
+    areas = B.all_areas(spark, sf_dir)
+    return S.ancestors(areas).join(areas.select(F.col("area_id").alias("at"), "kind", "name"), "at").drop("at")
 
 
 @query(
@@ -180,3 +176,12 @@ def price_grid_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = price_grid(spark, sf_dir).filter("window = 12 and segment = 'all'").withColumn("z", F.explode(zooms)).filter("z.shown = size")
     edge = F.expr("8 * 32000 div size")
     return cells.filter(F.col("i").between(-edge, edge)).select("z.zoom", "i", "j", "n", "median")
+
+
+@query("SELECT a.area_id, a.kind, a.name, c.name AS county FROM all_area a LEFT JOIN all_area u ON u.area_id = a.parent_id LEFT JOIN all_area c ON c.area_id = CASE WHEN a.kind = 'county' THEN a.area_id WHEN u.kind = 'county' THEN u.area_id ELSE u.parent_id END AND c.kind = 'county'", "area all_area")
+def area_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every area with the county that it is or lies in."""
+    areas = B.all_areas(spark, sf_dir)
+    counties = areas.filter("kind = 'county'").select(F.col("area_id").alias("at"), F.col("name").alias("county"))
+    within = S.ancestors(areas).join(counties, "at").select("area_id", "county")
+    return areas.join(within, "area_id", "left").select("area_id", "kind", "name", "county")

@@ -11,6 +11,9 @@ SELECT o_orderkey AS sale_id, o_custkey AS property_id, CAST(o_orderdate AS DATE
   o_orderkey % 101 = 13 AS possible_duplicate, o_orderkey % 89 = 7 AS withdrawn FROM orders""",
     "property": """
 SELECT c_custkey AS property_id, CAST(1 + n_regionkey AS BIGINT) AS county_id, CAST(100 + n_nationkey AS BIGINT) AS settlement_id, lower(r_name) AS county,
+  CASE WHEN (c_custkey * 7) % 6 <= 1 THEN CAST(1000 + n_nationkey * 8 + c_custkey * 5 % 8 AS BIGINT) END AS ed_id,
+  CASE WHEN (c_custkey * 7) % 6 <= 1 THEN CAST(10000 + (n_nationkey * 8 + c_custkey * 5 % 8) * 4 + c_custkey % 4 AS BIGINT) END AS small_area_id,
+  CASE WHEN (c_custkey * 7) % 6 <= 1 AND c_custkey % 5 <> 0 THEN CAST(100000 + n_nationkey * 16 + c_custkey * 3 % 16 AS BIGINT) END AS townland_id,
   CAST((c_custkey * 7) % 6 AS INTEGER) AS precision,
   CAST((c_custkey * 7919) % 40000 AS DOUBLE) / 10000 - 10 AS lon, CAST((c_custkey * 104729) % 38000 AS DOUBLE) / 10000 + 51.5 AS lat,
   c_custkey % 83 = 5 AS suppressed,
@@ -23,15 +26,21 @@ FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionke
 SELECT CAST(0 AS BIGINT) AS area_id, 'country' AS kind, 'country' AS name, CAST(NULL AS BIGINT) AS parent_id
 UNION ALL SELECT CAST(1 + r_regionkey AS BIGINT), 'county', lower(r_name), 0 FROM region
 UNION ALL SELECT CAST(100 + n_nationkey AS BIGINT), 'settlement', lower(n_name), 1 + n_regionkey FROM nation""",
+    "all_area": """
+SELECT * FROM area
+UNION ALL SELECT CAST(1000 + n_nationkey * 8 + i AS BIGINT), 'electoral_division', 'division ' || CAST(n_nationkey * 8 + i AS VARCHAR), CAST(1 + n_regionkey AS BIGINT) FROM nation, range(8) r(i)
+UNION ALL SELECT CAST(10000 + n_nationkey * 32 + i AS BIGINT), 'small_area', 'small area ' || CAST(n_nationkey * 32 + i AS VARCHAR), CAST(1000 + (n_nationkey * 32 + i) // 4 AS BIGINT) FROM nation, range(32) r(i)
+UNION ALL SELECT CAST(100000 + n_nationkey * 16 + i AS BIGINT), 'townland', 'townland ' || CAST(n_nationkey * 16 + i AS VARCHAR), CAST(1 + n_regionkey AS BIGINT) FROM nation, range(16) r(i)""",
     "market": "SELECT * FROM sale WHERE NOT withdrawn AND NOT not_full_market AND bulk_group_id IS NULL AND NOT possible_duplicate",
     "plain": "SELECT * FROM market WHERE NOT vat_exclusive",
     "poi": """
 SELECT s_suppkey AS poi_id, CASE s_suppkey % 4 WHEN 0 THEN 'stop' WHEN 1 THEN 'rail' WHEN 2 THEN 'primary' ELSE 'post_primary' END AS kind,
   CAST((s_suppkey * 3571) % 40000 AS DOUBLE) / 10000 - 10 AS lon, CAST((s_suppkey * 7121) % 38000 AS DOUBLE) / 10000 + 51.5 AS lat FROM supplier""",
     "sale_area": """
-SELECT m.*, a.area_id, g.segment FROM market m JOIN property p USING (property_id)
-CROSS JOIN LATERAL (VALUES (CAST(0 AS BIGINT)), (p.county_id), (p.settlement_id)) a(area_id)
-CROSS JOIN LATERAL (VALUES ('all'), (CASE WHEN m.is_new THEN 'new' ELSE 'second_hand' END)) g(segment)""",
+SELECT m.*, a.area_id, a.detail, g.segment FROM market m JOIN property p USING (property_id)
+CROSS JOIN LATERAL (VALUES (CAST(0 AS BIGINT), true), (p.county_id, true), (p.settlement_id, true), (p.ed_id, true), (p.small_area_id, false), (p.townland_id, false)) a(area_id, detail)
+CROSS JOIN LATERAL (VALUES ('all'), (CASE WHEN m.is_new THEN 'new' ELSE 'second_hand' END)) g(segment)
+WHERE a.area_id IS NOT NULL""",
     "register": """
 SELECT sale_id + 2 + more AS line_no, CASE WHEN sale_id % 211 = 0 THEN '31/02/2020' ELSE strftime(sale_date, '%d/%m/%Y') END AS raw_date, address AS raw_address,
   CASE WHEN sale_id % 223 = 0 THEN 'Antrim' ELSE upper(county) END AS raw_county,

@@ -49,11 +49,16 @@ def properties(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("c_custkey")
     text = lambda c: c.cast("string")
     street = F.element_at(F.array(*map(F.lit, STREETS)), (key * 13 % len(STREETS) + 1).cast("int"))
+    precise, nation = key * 7 % 6 <= 1, F.col("n_nationkey").cast("long")
+    division = nation * 8 + key * 5 % 8
     unit = F.when(key % 9 == 4, F.concat(F.lit("Apt "), text(key % 7 + 1), F.lit(", "))).otherwise("")
     return read(spark, sf_dir, "customer").join(places, F.col("c_nationkey") == F.col("n_nationkey")).select(
         key.alias("property_id"),
         (F.col("n_regionkey").cast("long") + 1).alias("county_id"),
         (F.col("n_nationkey").cast("long") + 100).alias("settlement_id"),
+        F.when(precise, division + 1000).alias("ed_id"),
+        F.when(precise, division * 4 + key % 4 + 10_000).alias("small_area_id"),
+        F.when(precise & (key % 5 != 0), nation * 16 + key * 3 % 16 + 100_000).alias("townland_id"),
         F.lower("r_name").alias("county"),
         (key * 7 % 6).cast("int").alias("precision"),
         _spread(key, 7919, 40000, -10).alias("lon"),
@@ -72,6 +77,22 @@ def areas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return country.unionByName(counties).unionByName(settlements)
 
 
+def fine_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Electoral divisions and townlands of a county, small areas of a division: only precisely placed properties lie in them."""
+    nation, county = F.col("n_nationkey").cast("long"), F.col("n_regionkey").cast("long") + 1
+    nations = read(spark, sf_dir, "nation").select(nation.alias("k"), county.alias("county"))
+    row = lambda df, start, n, kind, name, parent: df.select((F.col("k") * n + F.col("i") + start).alias("area_id"), F.lit(kind).alias("kind"), F.concat(F.lit(f"{name} "), (F.col("k") * n + F.col("i")).cast("string")).alias("name"), parent.cast("long").alias("parent_id"))
+    spread = lambda n: nations.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+    divisions = row(spread(8), 1000, 8, "electoral_division", "division", F.col("county"))
+    small = row(spread(32), 10_000, 32, "small_area", "small area", F.expr("1000 + (k * 32 + i) div 4"))
+    return divisions.unionByName(small).unionByName(row(spread(16), 100_000, 16, "townland", "townland", F.col("county")))
+
+
+def all_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All six kinds."""
+    return areas(spark, sf_dir).unionByName(fine_areas(spark, sf_dir))
+
+
 def places_of_interest(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("s_suppkey")
     kind = F.element_at(F.array(*map(F.lit, POI_KINDS)), (key % 4 + 1).cast("int"))

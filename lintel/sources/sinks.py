@@ -15,15 +15,26 @@ def _fs(spark: SparkSession, path: str):
 
 
 def replace(df: DataFrame, root: str) -> str:
-    """Writes a new version beside the old one, then moves the pointer: readers see the old rows until the new ones are whole."""
+    """Writes a new version beside the old one, then moves the pointer over the old one in one step: readers see the old rows until the new ones are whole.
+
+    The step is the file system's own rename over an existing file: atomic on local disks (POSIX) and on HDFS.
+    """
     spark, version = df.sparkSession, f"v-{uuid.uuid4().hex}"
     df.write.parquet(f"{root}/{version}")
     jvm, pointer, fs = _fs(spark, f"{root}/CURRENT")
-    out = fs.create(jvm.org.apache.hadoop.fs.Path(f"{root}/CURRENT.{version}"), True)
+    local = fs.getUri().getScheme() == "file"
+    fs = fs.getRawFileSystem() if local else fs  # without a checksum file, which would be a second step
+    new = jvm.org.apache.hadoop.fs.Path(f"{root}/CURRENT.{version}")
+    out = fs.create(new, True)
     out.write(bytearray(version.encode()))
     out.close()
-    fs.delete(pointer, False)
-    fs.rename(jvm.org.apache.hadoop.fs.Path(f"{root}/CURRENT.{version}"), pointer)
+    if local:
+        fs.rename(new, pointer)
+        return version
+    rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    over = spark.sparkContext._gateway.new_array(rename, 1)  # noqa: SLF001
+    over[0] = rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration()).rename(new, pointer, over)  # noqa: SLF001
     return version
 
 

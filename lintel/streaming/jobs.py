@@ -47,7 +47,7 @@ def sessions(stream: DataFrame, gap: str = "30 minutes") -> DataFrame:
 
 
 class _Views(StatefulProcessor):
-    """Keeps, for each user and item, when the last view that counts was."""
+    """Keeps, for each user and item, when the last view that counts was: one number a pair, never dropped (the README names it)."""
 
     def __init__(self, gap_s: int) -> None:
         self.gap_us = gap_s * 1_000_000
@@ -58,14 +58,14 @@ class _Views(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         held = self.last.get()
         last = held[0] if held else None
-        for batch in rows:
-            batch = batch.sort_values(["us", "event_id"])
-            kept = []
-            for us in batch["us"]:
-                counts = last is None or us - last > self.gap_us
-                kept.append(counts)
-                last = int(us) if counts else last
-            yield pd.DataFrame({"event_id": batch["event_id"].to_numpy(), "kept": kept})
+        # a key's rows of a micro-batch may come in several Arrow batches, in any order
+        batch = pd.concat(list(rows)).sort_values(["us", "event_id"])
+        kept = []
+        for us in batch["us"]:
+            counts = last is None or us - last > self.gap_us
+            kept.append(counts)
+            last = int(us) if counts else last
+        yield pd.DataFrame({"event_id": batch["event_id"].to_numpy(), "kept": kept})
         if last is not None:
             self.last.update((last,))
 
@@ -74,7 +74,10 @@ class _Views(StatefulProcessor):
 
 
 def counted_views(stream: DataFrame, gap_s: int = 1800) -> DataFrame:
-    """The sequential view rule with state: a view counts if no counted one of its user and type lies within the gap before it."""
+    """The sequential view rule with state: a view counts if no counted one of its user and type lies within the gap before it.
+
+    Views of one micro-batch are judged in the order of their times.
+    """
     rows = stream.select("user_id", "event_type", "event_id", F.unix_micros("ts").alias("us"))
     return rows.groupBy("user_id", "event_type").transformWithStateInPandas(_Views(gap_s), "event_id long, kept boolean", "Append", "None")
 
@@ -88,6 +91,22 @@ def alerts(stream: DataFrame, matching: Callable[[DataFrame], DataFrame], path:
     return stream.writeStream.foreachBatch(deliver).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def to_versions(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Writes the rows that each batch changed, with the batch's number, in ``update`` mode: the watermark drops finished windows from the state, and no
+    trigger writes anything again that did not change. ``newest`` reads them."""
+
+    def deliver(batch: DataFrame, number: int) -> None:
+        batch.withColumn("version", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return stream.writeStream.foreachBatch(deliver).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def newest(versions: DataFrame, *keys: str) -> DataFrame:
+    """The last version of each key's row."""
+    rest = [c for c in versions.columns if c not in (*keys, "version")]
+    return versions.groupBy(*keys).agg(F.max(F.struct("version", *rest)).alias("x")).select(*keys, *(f"x.{c}" for c in rest))
+
+
 def to_table(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Appends a finished stream of windows or rows as Parquet, exactly once by way of the checkpoint."""
     return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()

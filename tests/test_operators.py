@@ -113,6 +113,26 @@ def test_sinks(spark, tmp_path):
     first = sinks.current(spark, root)
     sinks.replace(spark.range(5), root)
     assert first.count() == 3 and sinks.current(spark, root).count() == 5
+    # a reader that looks all the time sees one whole version or the other
+    import threading
+
+    seen, done = set(), threading.Event()
+    pointer = tmp_path / "t" / "CURRENT"
+
+    def look():
+        while not done.is_set():
+            try:
+                seen.add(pointer.read_text())
+            except FileNotFoundError:
+                seen.add(None)
+
+    reader = threading.Thread(target=look)
+    reader.start()
+    versions = {sinks.replace(spark.range(n), root) for n in range(6, 10)}
+    done.set()
+    reader.join()
+    assert None not in seen and "" not in seen and seen & versions
+    assert sinks.current(spark, root).count() == 9
     log = spark.createDataFrame([(1, datetime(2024, 1, 1))], "id long, ts timestamp")
     sinks.append_log(log, f"{root}-log")
     sinks.append_log(log, f"{root}-log")
@@ -211,3 +231,55 @@ def test_stateful_views(spark, tmp_path):
     jobs.to_table(stream, f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
     found = {r["event_id"]: r["kept"] for r in spark.read.schema("event_id long, kept boolean").parquet(f"{tmp_path}/out").collect()}
     assert found == {0: True, 1: False, 2: True, 3: False, 4: True}
+
+
+def test_stateful_views_of_several_arrow_batches(spark, tmp_path):
+    """Ten views twenty minutes apart, filed newest first, in Arrow batches of three rows; then one more micro-batch."""
+    at = datetime(2024, 1, 1)
+    shape = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    filed = lambda ids: spark.createDataFrame([(i, at + timedelta(minutes=20 * i), 1, "view", 1.0, "{}") for i in ids], shape).coalesce(1)
+    filed(range(9, -1, -1)).write.parquet(f"{tmp_path}/in")
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        for more in ((), (10, 12, 11)):
+            if more:
+                filed(more).write.mode("append").parquet(f"{tmp_path}/in")
+            stream = jobs.counted_views(jobs.events(spark, f"{tmp_path}/in"))
+            jobs.to_table(stream, f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    found = spark.read.schema("event_id long, kept boolean").parquet(f"{tmp_path}/out").collect()
+    assert {r["event_id"] for r in found if r["kept"]} == {0, 2, 4, 6, 8, 10, 12} and len(found) == 13
+
+
+def test_late_windows_update(spark, tmp_path):
+    """Windows are written when they change; the last version of each is what one batch over all rows gives."""
+    at = datetime(2024, 1, 1)
+    shape = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    for k, minutes in enumerate(((5, 10, 70), (20, 75, 130), (90, 140, 10_000))):
+        rows = [(10 * k + i, at + timedelta(minutes=m), 1, "view", 1.0, "{}") for i, m in enumerate(minutes)]
+        spark.createDataFrame(rows, shape).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = jobs.tumbling(jobs.events(spark, f"{tmp_path}/in", late="3 hours"))
+        jobs.to_versions(stream, f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
+    written = spark.read.schema("start timestamp, event_type string, n long, total long, version long").parquet(f"{tmp_path}/out/*")
+    assert sorted(r["n"] for r in jobs.newest(written, "start", "event_type").collect()) == [1, 2, 3, 3]
+    assert written.filter("n = 1").count() > 1  # earlier versions are still there
+
+
+def test_nearest_by_group(spark):
+    points = spark.createDataFrame([(1, -6.0, 53.0), (2, -9.5, 52.0)], "k long, lon double, lat double")
+    targets = spark.createDataFrame([(10, "a", -6.001, 53.0), (11, "b", -9.4, 52.0), (12, "a", -8.0, 52.5)], "t long, group string, lon double, lat double")
+    found = {(r["k"], r["group"]): r["t"] for r in spatial.nearest(points, targets, "k", "t", groups=("a", "b", "c")).collect()}
+    assert found == {(1, "a"): 10, (2, "a"): 12, (1, "b"): 11, (2, "b"): 11}
+
+
+def test_circle_box_far_north():
+    from lintel.operators.search import near_box
+
+    for lat in (0.0, 53.0, 60.0, 70.0, -70.0):
+        west, south, east, north = near_box(10.0, lat, 20_000)
+        for bearing in range(0, 360, 5):
+            dlat = 20_000 / 111_194.9 * math.cos(math.radians(bearing))
+            dlon = 20_000 / 111_194.9 * math.sin(math.radians(bearing)) / math.cos(math.radians(lat + dlat))
+            assert south <= lat + dlat <= north and west <= 10 + dlon <= east
