@@ -262,7 +262,7 @@ def lenient_confidence(x: Column, otherwise: str = "locality") -> Column:
 
 def lenient_list(x: Column) -> Column:
     """The words between commas, trimmed; null if there are none."""
-    words = F.filter(F.transform(F.split(x, ","), F.trim), lambda w: w != "")
+    words = F.filter(F.transform(F.split(x, ","), lambda w: F.trim(w)), lambda w: w != "")
     return F.when(F.size(words) > 0, words)
 
 

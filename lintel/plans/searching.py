@@ -252,7 +252,7 @@ SELECT x, CASE WHEN regexp_full_match(x, '-?[0-9]+(\.[0-9]+)?') THEN CAST(x AS D
   CASE lower(x) WHEN 'true' THEN true WHEN 'false' THEN false ELSE true END AS flag, CASE WHEN x IN ('exact', 'street', 'locality', 'routing_key', 'county') THEN x ELSE 'locality' END AS confidence,
   nullif(array_to_string(list_filter(list_transform(string_split(x, ','), lambda w: trim(w)), lambda w: w <> ''), '|'), '') AS words,
   CASE WHEN regexp_full_match(x, '-?[0-9]{1,3}(\.[0-9]+)?,-?[0-9]{1,2}(\.[0-9]+)?') AND abs(TRY_CAST(split_part(x, ',', 1) AS DOUBLE)) <= 180 AND abs(TRY_CAST(split_part(x, ',', 2) AS DOUBLE)) <= 90 THEN CAST(split_part(x, ',', 1) AS DOUBLE) END AS lon
-FROM g""".replace("\\\\", "\\")
+FROM g"""
 )
 def lenient_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every parser of search parameters over every text: what doesn't parse falls back to null or the default."""
