@@ -91,15 +91,18 @@ class Encoder:
         self.segment = re.compile(f"[{lone}]|{MARK}*[^{MARK}{lone}]+|{MARK}+" if lone else f"{MARK}*[^{MARK}]+|{MARK}+")
         self.surface = [bytes([int(p.piece[3:5], 16)]) if p.type == 6 else b"" if p.type in (2, 3) else p.piece.replace(MARK, " ").encode() for p in proto.pieces]
         self.memo: dict[str, tuple] = {}
+        self.old: dict[str, tuple] = {}
 
     def pieces_of(self, segment: str) -> tuple[bytes, bytes]:
         """(ids, piece lengths in bytes) of one segment, as int32 each."""
-        # the dummy prefix is ours already: encode after a separator that stays a piece of its own, then drop it
-        ids = self.library.encode("\n" + segment.replace(MARK, " "))[self.lead :]
-        out = struct.pack(f"<{len(ids)}i", *ids), struct.pack(f"<{len(ids)}i", *(len(self.surface[i]) for i in ids))
+        out = self.memo.get(segment) or self.old.get(segment)
+        if out is None:
+            # the dummy prefix is ours already: encode after a separator that stays a piece of its own, then drop it
+            ids = self.library.encode("\n" + segment.replace(MARK, " "))[self.lead :]
+            out = struct.pack(f"<{len(ids)}i", *ids), struct.pack(f"<{len(ids)}i", *(len(self.surface[i]) for i in ids))
         if len(segment) <= 64:
-            if len(self.memo) >= MEMO:
-                self.memo.clear()
+            if len(self.memo) >= MEMO:  # what is asked for again comes back from the old half
+                self.old, self.memo = self.memo, {}
             self.memo[segment] = out
         return out
 
