@@ -90,16 +90,17 @@ class Encoder:
         # a run of marks with what follows up to the next mark; line ends and tabs stand alone where no longer piece holds them
         self.segment = re.compile(f"[{lone}]|{MARK}*[^{MARK}{lone}]+|{MARK}+" if lone else f"{MARK}*[^{MARK}]+|{MARK}+")
         self.surface = [bytes([int(p.piece[3:5], 16)]) if p.type == 6 else b"" if p.type in (2, 3) else p.piece.replace(MARK, " ").encode() for p in proto.pieces]
-        self.memo: dict[str, tuple] = {}
-        self.old: dict[str, tuple] = {}
+        self.sizes = np.array([len(x) for x in self.surface], np.int64)
+        self.memo: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
-    def pieces_of(self, segment: str) -> tuple[bytes, bytes]:
-        """(ids, piece lengths in bytes) of one segment, as int32 each."""
+    def pieces_of(self, segment: str) -> bytes:
+        """The ids of one segment, as int32."""
         out = self.memo.get(segment) or self.old.get(segment)
         if out is None:
             # the dummy prefix is ours already: encode after a separator that stays a piece of its own, then drop it
             ids = self.library.encode("\n" + segment.replace(MARK, " "))[self.lead :]
-            out = struct.pack(f"<{len(ids)}i", *ids), struct.pack(f"<{len(ids)}i", *(len(self.surface[i]) for i in ids))
+            out = struct.pack(f"<{len(ids)}i", *ids)
         if len(segment) <= 64:
             if len(self.memo) >= MEMO:  # what is asked for again comes back from the old half
                 self.old, self.memo = self.memo, {}
@@ -115,10 +116,9 @@ class Encoder:
         data, source = self.chars.normalise(text.encode())
         marked = data.decode().replace(" ", MARK)
         memo, make = self.memo, self.pieces_of
-        found = [memo.get(s) or make(s) for s in self.segment.findall(MARK + marked if self.prefix else marked)]
-        packed, sizes = zip(*found, strict=True)
-        ids = np.frombuffer(b"".join(packed), np.int32).tolist()
-        starts = np.concatenate(([0], np.cumsum(np.frombuffer(b"".join(sizes), np.int32), dtype=np.int64)))
+        packed = np.frombuffer(b"".join([memo.get(s) or make(s) for s in self.segment.findall(MARK + marked if self.prefix else marked)]), np.int32)
+        ids = packed.tolist()
+        starts = np.concatenate(([0], np.cumsum(self.sizes[packed])))
         if self.prefix:
             starts = np.maximum(starts - 1, 0)
         return ids, self.library.decode(ids), source[np.minimum(starts, len(source) - 1)]
