@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MARK, MEMO, CHUNK = "▁", 150_000, 1 << 18
+MARK, MEMO, BATCH, CHUNK = "▁", 150_000, 1_000, 1 << 18
 
 
 class CharacterMap:
@@ -84,7 +84,9 @@ class Encoder:
         several = [p for p in pieces if len(p) > 1]
         crossing = any(a != MARK and b == MARK for p in several for a, b in zip(p, p[1:], strict=False))
         self.lead = len(self.library.encode("\n"))
-        self.plain = proto.trainer_spec.model_type == 2 and "\n" not in {c for p in several for c in p} and rules.escape_whitespaces and not (crossing or rules.remove_extra_whitespaces or proto.trainer_spec.treat_whitespace_as_suffix or any(p.type == 4 for p in proto.pieces))
+        self.line = np.array(self.library.encode("\n")[-1:], np.int32)
+        known = proto.pieces[int(self.line[0])].type != 2 and self.library.encode("\n\n")[self.lead :] == self.line.tolist()
+        self.plain = known and proto.trainer_spec.model_type == 2 and "\n" not in {c for p in several for c in p} and rules.escape_whitespaces and not (crossing or rules.remove_extra_whitespaces or proto.trainer_spec.treat_whitespace_as_suffix or any(p.type == 4 for p in proto.pieces))
         joined = {c for p in several for c in p}
         lone = "".join(c for c in "\n\t\r" if c not in joined)
         # a run of marks with what follows up to the next mark; line ends and tabs stand alone where no longer piece holds them
@@ -94,18 +96,28 @@ class Encoder:
         self.memo: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def pieces_of(self, segment: str) -> bytes:
-        """The ids of one segment, as int32."""
-        out = self.memo.get(segment) or self.old.get(segment)
-        if out is None:
-            # the dummy prefix is ours already: encode after a separator that stays a piece of its own, then drop it
-            ids = self.library.encode("\n" + segment.replace(MARK, " "))[self.lead :]
-            out = struct.pack(f"<{len(ids)}i", *ids)
-        if len(segment) <= 64:
-            if len(self.memo) >= MEMO:  # what is asked for again comes back from the old half
-                self.old, self.memo = self.memo, {}
-            self.memo[segment] = out
-        return out
+    def pieces_of(self, segments: list[str]) -> list[bytes]:
+        """The ids of each segment, as int32; segments that the memo lacks go to the library together, line ends between them."""
+        memo, old = self.memo, self.old
+        found = [memo.get(s) for s in segments]
+        if None not in found:
+            return found
+        fresh = {s: old.get(s) for s, ids in zip(segments, found, strict=True) if ids is None}
+        if "\n" in fresh:
+            fresh["\n"] = self.line.tobytes()
+        unknown = [s for s, ids in fresh.items() if ids is None]
+        for at in range(0, len(unknown), BATCH):
+            some = unknown[at : at + BATCH]
+            # the dummy prefix is ours already: encode after a line end, which stays a piece of its own, then drop it
+            ids = np.array(self.library.encode("\n" + "\n".join(some).replace(MARK, " "))[self.lead :], np.int32)
+            ends, packed = np.append(np.flatnonzero(ids == self.line), len(ids)).tolist(), ids.tobytes()
+            fresh.update(zip(some, (packed[4 * a : 4 * b] for a, b in zip([0, *(x + 1 for x in ends)], ends, strict=False)), strict=True))
+        for s, ids in fresh.items():
+            if len(s) <= 64:
+                if len(self.memo) >= MEMO:  # what is asked for again comes back from the old half
+                    self.old, self.memo = self.memo, {}
+                self.memo[s] = ids
+        return [fresh[s] if ids is None else ids for s, ids in zip(segments, found, strict=True)]
 
     def encode(self, text: str) -> tuple[list[int], str, np.ndarray]:
         """(ids, decoded text, source byte where each piece begins, and the end)."""
@@ -115,8 +127,7 @@ class Encoder:
             return self.whole(text)
         data, source = self.chars.normalise(text.encode())
         marked = data.decode().replace(" ", MARK)
-        memo, make = self.memo, self.pieces_of
-        packed = np.frombuffer(b"".join([memo.get(s) or make(s) for s in self.segment.findall(MARK + marked if self.prefix else marked)]), np.int32)
+        packed = np.frombuffer(b"".join(self.pieces_of(self.segment.findall(MARK + marked if self.prefix else marked))), np.int32)
         ids = packed.tolist()
         starts = np.concatenate(([0], np.cumsum(self.sizes[packed])))
         if self.prefix:
