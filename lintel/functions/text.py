@@ -220,6 +220,12 @@ def slug(name: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(fold(name), "[^a-z0-9]+", "-"), "^-+|-+$", "")
 
 
+def area_slug(kind: Column, code: Column, name: Column) -> Column:
+    """A county's code; a small area's name; other names with their kind before and a digest of their code behind, since names repeat."""
+    before = F.when(kind == "electoral_division", "ed-").when(kind == "townland", "townland-").otherwise("")
+    return F.when(kind == "county", code).when(kind == "small_area", F.concat(F.lit("sa-"), slug(name))).otherwise(F.concat(before, slug(name), F.lit("-"), F.substring(F.sha1(code), 1, 6)))
+
+
 def area_name(name: Column) -> Column:
     """Names in capitals (four fifths of the letters or more) in title case."""
     letters, capitals = F.char_length(F.regexp_replace(name, r"\P{L}", "")), F.char_length(F.regexp_replace(name, r"\P{Lu}", ""))

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lintel.functions import text as T
-from lintel.functions.geo import distance_km
+from lintel.functions.geo import distance_km, in_ring
+from lintel.operators.spatial import covered
 
 # Which kinds of map features stand for which level, and how far a level may lie from its town.
 STREET_KINDS = ("residential", "living_street", "unclassified", "tertiary", "secondary", "primary", "trunk", "service", "road", "pedestrian", "track")
@@ -131,6 +132,25 @@ def one_edit_names(names: DataFrame, wanted: DataFrame) -> DataFrame:
     return met.groupBy("wanted_id").agg(F.min(tokens).alias("tokens"), F.count_distinct(tokens).alias("n")).filter("n = 1").select("wanted_id", "tokens")
 
 
+def _together(met: DataFrame) -> DataFrame:
+    """(property_id, i, level) of groups whose members all lie within the level's spread of each other.
+
+    The group's box decides: one whose height and width add up to less than the spread holds no pair further apart, one that is higher or wider
+    holds such a pair. Only the groups between are compared pair by pair.
+    """
+    by, limit = ["property_id", "i", "level"], F.when(F.col("level") == EXACT, 0.2).otherwise(SPREAD_KM)
+    box = met.groupBy(*by).agg(F.min("lon").alias("west"), F.max("lon").alias("east"), F.min("lat").alias("south"), F.max("lat").alias("north"))
+    west, east, south, north = (F.col(c) for c in ("west", "east", "south", "north"))
+    high, wide = distance_km(west, south, west, north), lambda lat: distance_km(west, lat, east, lat)
+    outer = F.greatest(F.abs(south), F.abs(north))
+    inner = F.when(south * north <= 0, 0.0).otherwise(F.least(F.abs(south), F.abs(north)))
+    box = box.filter(F.greatest(high, wide(outer)) <= limit).select(*by, (high + wide(inner) <= limit).alias("sure"))
+    unsure = met.join(box.filter("not sure").drop("sure"), by).select(*by, "lon", "lat")
+    pairs = unsure.join(unsure.withColumnsRenamed({"lon": "lon2", "lat": "lat2"}), by)
+    close = pairs.groupBy(*by).agg(F.max(distance_km(F.col("lon"), F.col("lat"), F.col("lon2"), F.col("lat2"))).alias("spread")).filter(F.col("spread") <= limit)
+    return box.filter("sure").select(*by).unionByName(close.select(*by))
+
+
 def local_match(addresses: DataFrame, features: DataFrame) -> DataFrame:
     """(property_id, feature_id, level, lon, lat): the most specific part of an address found near a place named after it.
 
@@ -158,10 +178,7 @@ def local_match(addresses: DataFrame, features: DataFrame) -> DataFrame:
     over = distance_km(F.col("lon"), F.col("lat"), F.col("alon"), F.col("alat")) - F.col("reach") - slack
     met = streets_only.join(anchors, ["property_id", "j"]).groupBy("property_id", "i", "feature_id", "kind", "lon", "lat").agg(F.min(over).alias("over")).filter("over <= 0")
     met = met.withColumn("level", F.when(F.col("kind") == "address", EXACT).otherwise(STREET))
-    other = met.select("property_id", "i", "level", F.col("lon").alias("lon2"), F.col("lat").alias("lat2"))
-    spread = met.join(other, ["property_id", "i", "level"]).groupBy("property_id", "i", "level").agg(F.max(distance_km(F.col("lon"), F.col("lat"), F.col("lon2"), F.col("lat2"))).alias("spread"))
-    together = spread.filter(F.col("spread") <= F.when(F.col("level") == EXACT, 0.2).otherwise(SPREAD_KM))
-    best = met.join(together, ["property_id", "i", "level"]).groupBy("property_id", "i", "level").agg(F.min(F.struct((F.col("kind") != "street").alias("other"), "over", "feature_id", "lon", "lat")).alias("b"))
+    best = met.join(_together(met), ["property_id", "i", "level"]).groupBy("property_id", "i", "level").agg(F.min(F.struct((F.col("kind") != "street").alias("other"), "over", "feature_id", "lon", "lat")).alias("b"))
     far = best.join(anchors.filter("is_place"), "property_id").filter(F.col("j") > F.col("i"))
     away = distance_km(F.col("b.lon"), F.col("b.lat"), F.col("alon"), F.col("alat")) - F.col("reach")
     wrong = far.groupBy("property_id", "i", "level", "j").agg(F.min(away).alias("away")).filter(F.col("away") > CONSISTENT_KM).select("property_id", "i", "level").distinct()
@@ -191,6 +208,40 @@ def fallbacks(properties: DataFrame, by_name: DataFrame, by_key: DataFrame, by_c
     return met.select("property_id", method.alias("method"), pick("lon"), pick("lat"))
 
 
+def cascade(properties: DataFrame, *steps: tuple[str, DataFrame, str]) -> DataFrame:
+    """(property_id, method, lon, lat): placed properties keep their place ("own"), others get that of the first step that knows them.
+
+    A step: its method, places with lon and lat, and the column that both sides share (one place for each value of it).
+    """
+    placed = F.col("precision") <= LOCALITY
+    met, method, found = properties, F.when(placed, "own"), F.when(placed, F.struct("lon", "lat"))
+    for n, (name, places, on) in enumerate(steps):
+        here = f"_place_{n}"
+        met = met.join(places.select(on, F.struct("lon", "lat").alias(here)), on, "left")
+        method, found = method.when(F.col(here).isNotNull(), name), F.coalesce(found, F.col(here))
+    return met.select("property_id", method.alias("method"), found.alias("_found")).select("property_id", "method", "_found.lon", "_found.lat")
+
+
+def rejoined(manual: DataFrame, polygons: DataFrame, size: float, precise_only: tuple[str, ...] = ("small_area", "electoral_division")) -> DataFrame:
+    """The areas of properties placed by hand: for each kind the smallest area that holds the point, null where none does.
+
+    ``manual``: property_id, x, y, precise (bool). ``polygons``: area_id, kind, ring. Small kinds are only given to precise points. Columns: property_id and
+    one ``<kind>_id`` for each of small_area, electoral_division, townland and settlement.
+    """
+    kinds = ("small_area", "electoral_division", "townland", "settlement")
+    here = manual.withColumn("i", F.floor(F.col("x") / size).cast("long")).withColumn("j", F.floor(F.col("y") / size).cast("long"))
+    met = here.join(covered(polygons, size).select("area_id", "kind", "ring", "i", "j"), ["i", "j"])
+    met = met.filter(in_ring(F.col("x"), F.col("y"), F.col("ring")) & (F.col("precise") | ~F.col("kind").isin(*precise_only)))
+    wide = met.groupBy("property_id").agg(*(F.min(F.when(F.col("kind") == k, F.col("area_id"))).alias(f"{k}_id") for k in kinds))
+    return manual.select("property_id").join(wide, "property_id", "left")
+
+
+def house_numbers(raw: Column) -> Column:
+    """The numbers of a map feature: "12;14" holds two, blanks within go, ranges stay whole; empty for null."""
+    listed = F.transform(F.split(F.coalesce(raw, F.lit("")), ";"), lambda n: F.lower(F.regexp_replace(n, r"\s+", "")))
+    return F.filter(listed, lambda n: n != "")
+
+
 def name_variants(name: Column) -> Column:
     """"A (B)" is also A and B; "A-B" without blanks is also each half."""
     inner = F.regexp_extract(name, r"^(.+?)\s*\((.+)\)$", 2)
