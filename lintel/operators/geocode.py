@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lintel.functions import text as T
 from lintel.functions.geo import distance_km, in_ring
 from lintel.operators.spatial import covered
+from lintel.sources.scratch import kept
 
 # Which kinds of map features stand for which level, and how far a level may lie from its town.
 STREET_KINDS = ("residential", "living_street", "unclassified", "tertiary", "secondary", "primary", "trunk", "service", "road", "pedestrian", "track")
@@ -164,7 +165,8 @@ def local_match(addresses: DataFrame, features: DataFrame) -> DataFrame:
     asked = addresses.select("property_id", "county", F.size("parts").alias("size"), F.posexplode("parts").alias("i", "part"))
     plain = F.forall(T.name_tokens(name), lambda w: w.isin(*PLAIN_STREET_WORDS))
     asked = asked.select("property_id", "county", "size", "i", "part", number.alias("house"), key(name).alias("tokens"), plain.alias("plain")).filter((F.col("tokens") != "") & (T.fold(F.col("part")) != F.col("county")))
-    known = features.withColumn("tokens", key(F.col("name")))
+    # the words of names are worked out once; what follows reads them several times
+    asked, known = kept(asked, "asked"), kept(features.withColumn("tokens", key(F.col("name"))), "known")
     sites = known.filter(F.col("kind").isin("place", "estate")).select("county", "tokens", F.col("lon").alias("alon"), F.col("lat").alias("alat"), F.when(F.col("kind") == "estate", F.lit(1.5)).otherwise(F.col("radius_km")).alias("reach"), (F.col("kind") == "place").alias("is_place"))
     anchors = asked.join(sites, ["county", "tokens"]).select("property_id", F.col("i").alias("j"), "alon", "alat", "reach", "is_place")
     named = anchors.select("property_id", "j").distinct()
@@ -177,7 +179,7 @@ def local_match(addresses: DataFrame, features: DataFrame) -> DataFrame:
     slack = F.when(F.col("kind") == "street", 0.5).otherwise(0.0)
     over = distance_km(F.col("lon"), F.col("lat"), F.col("alon"), F.col("alat")) - F.col("reach") - slack
     met = streets_only.join(anchors, ["property_id", "j"]).groupBy("property_id", "i", "feature_id", "kind", "lon", "lat").agg(F.min(over).alias("over")).filter("over <= 0")
-    met = met.withColumn("level", F.when(F.col("kind") == "address", EXACT).otherwise(STREET))
+    met = kept(met.withColumn("level", F.when(F.col("kind") == "address", EXACT).otherwise(STREET)), "met")
     best = met.join(_together(met), ["property_id", "i", "level"]).groupBy("property_id", "i", "level").agg(F.min(F.struct((F.col("kind") != "street").alias("other"), "over", "feature_id", "lon", "lat")).alias("b"))
     far = best.join(anchors.filter("is_place"), "property_id").filter(F.col("j") > F.col("i"))
     away = distance_km(F.col("b.lon"), F.col("b.lat"), F.col("alon"), F.col("alat")) - F.col("reach")
