@@ -65,6 +65,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """(domains, for each domain the log-probability of a text with no bucket, and what each bucket adds). ``labels``: doc_id, domain."""
     labels = labels.filter("domain is not null").select("doc_id", "domain")
     chosen, taken = stratified_sample(labels, "doc_id", "domain", max_rows)
+    # the sample holds max_rows identifiers and domains at most, so texts stay where they are
+    chosen = F.broadcast(chosen) if max_rows <= MAX_ROWS else chosen
     known = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).join(chosen, "doc_id")
     rows = featured(known, "doc_id", "text", "domain").select("domain", F.array_distinct("buckets").alias("buckets"))
     sizes = {r["domain"]: r["n"] for r in rows.groupBy("domain").agg(F.count("*").alias("n")).orderBy("domain").collect()}
