@@ -146,12 +146,12 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def _chunks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with CHUNK bytes of text or a single row."""
+def slices(batch: pa.RecordBatch, most: int = CHUNK) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with ``most`` bytes of text or a single row."""
     sizes = np.array([len(t.as_buffer()) if t.is_valid else 0 for t in batch.column(1)])
     at = 0
     while at < len(sizes):
-        n = max(1, int(np.searchsorted(np.cumsum(sizes[at:]), CHUNK, side="right")))
+        n = max(1, int(np.searchsorted(np.cumsum(sizes[at:]), most, side="right")))
         yield batch.slice(at, n)
         at += n
 
@@ -168,7 +168,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
         one = encoder(model)
         digest = lambda data: hashlib.sha256(data).hexdigest()
         for batch in batches:
-            for texts in _chunks(batch):  # what leaves at once stays small, however many pieces a batch has
+            for texts in slices(batch):  # what leaves at once stays small, however many pieces a batch has
                 ids, columns = [], [[], [], [], []]
                 starts = []
                 for value in texts.column(1):

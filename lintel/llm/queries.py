@@ -8,7 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, language, lines, media, mixing, pieces, secrets, simhash, toxicity, urls
+from . import bpe, divergence, exact, language, lines, manifest, media, mixing, pieces, secrets, simhash, toxicity, urls
 from .common import table
 
 
@@ -103,7 +103,30 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_lines, op2_secrets, op3_urls, op4_media, op5_pieces, op6_toxicity, op7_language, op8_exact, op9_mixing, op10_simhash)}
+def op11_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.encode(table(spark, sf_dir, "documents"), tokenizer_path(spark, "byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False)
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+#: A-Z and a-z, for lower-casing these letters alone.
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hit = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    fields = [F.translate(c, UPPER, LOWER) if c == "text" else F.col(c) for c in manifest.FIELDS]
+    found = manifest.manifest(table(spark, sf_dir, "documents"), changed=F.when(hit, manifest.leaf(*fields)))
+    folded = manifest.folded(F.coalesce("changed", "leaf"), F.col("proof"), F.col("places"), F.col("widths"))
+    found = found.select("doc_id", "leaf", "subroot", "root", F.sha2(F.lower(F.hex("proof")), 256).alias("proof_sha256"), folded.alias("folded_root"))
+    return found.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+QUERIES = {f.__name__: f for f in (op1_lines, op2_secrets, op3_urls, op4_media, op5_pieces, op6_toxicity, op7_language, op8_exact, op9_mixing, op10_simhash, op11_bytes, op12_divergence, op13_manifest)}
 
 OP8_SQL = r"""
 WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS points, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS t FROM documents),
@@ -111,4 +134,45 @@ k AS (SELECT t, count(*) AS group_size, max(points) AS most FROM n GROUP BY t),
 m AS (SELECT n.t, min(doc_id) AS keep_id FROM n JOIN k ON n.t = k.t AND n.points = k.most GROUP BY n.t)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(n.t) AS text_sha256 FROM n JOIN k USING (t) JOIN m USING (t)"""
 
-ORACLES: dict[str, str] = {"op1_lines": OP1_SQL, "op3_urls": urls.oracle(), "op8_exact": OP8_SQL}
+OP12_SQL = rf"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS row, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS t FROM documents),
+o AS (SELECT lang, source, row, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term FROM o GROUP BY lang, term HAVING count(DISTINCT row) >= 30),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+c AS (SELECT lang, source, term, count(*) AS n FROM o JOIN k USING (lang, term) GROUP BY lang, source, term),
+s AS (SELECT lang, source, sum(n) AS total FROM c GROUP BY lang, source),
+g AS (SELECT lang, source, coalesce(total, 0) AS total, coalesce(v, 0) AS v FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN s USING (lang, source) LEFT JOIN v USING (lang)),
+p AS (SELECT g.lang, g.source, k.term, coalesce(n, 0) AS n, 1 + 1000000000::HUGEINT * (coalesce(n, 0) + 5) // (total + 5 * v) AS p FROM g JOIN k ON g.lang = k.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+l AS (SELECT lang, term, sum(n) AS n, sum(sum(n)) OVER (PARTITION BY lang) AS total, count(*) OVER (PARTITION BY lang) AS v FROM p GROUP BY lang, term),
+far AS (SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p)) AS value FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term GROUP BY ALL),
+r AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN far ON far.lang = a.lang AND far.source = a.source AND far.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q)::BIGINT FROM (SELECT p.*, 1 + 1000000000::HUGEINT * (l.n + 5) // (total + 5 * v) AS q FROM p JOIN l USING (lang, term) WHERE p.n > 0) WHERE p > q)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM r) WHERE part = 'pair' OR rank <= 50"""
+
+_FIELDS = ("doc_id", "source", "lang", "n_chars")
+_SAID = " || ".join(f"coalesce(strlen({x}::VARCHAR) || ':' || {x}, '-')" for x in _FIELDS)
+#: CRC-32 bit by bit: a byte comes in before the first of its eight steps.
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+  lambda crc, x: xor(xor(crc, x) >> 1, CASE WHEN xor(crc, x) % 2 = 1 THEN 3988292384 ELSE 0 END)), 4294967295::BIGINT)"""
+
+OP13_SQL = rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, row_number() OVER () AS row, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS spot, sha256({_SAID} || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+    CASE WHEN {_CRC} % 5 = 0 THEN sha256({_SAID} || coalesce(strlen(text) || ':' || translate(text, '{UPPER}', '{LOWER}'), '-')) END AS changed FROM documents),
+n AS (SELECT source, 0 AS level, spot, leaf AS node, count(*) OVER (PARTITION BY source) AS total FROM d
+  UNION ALL SELECT source, level + 1, spot // 16, sha256(string_agg(node, '' ORDER BY spot)), any_value((total + 15) // 16) FROM n WHERE total > 1 GROUP BY source, level, spot // 16),
+s AS (SELECT source, node AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS spot FROM n WHERE total = 1),
+t AS (SELECT 0 AS level, spot, subroot AS node, count(*) OVER () AS total FROM s
+  UNION ALL SELECT level + 1, spot // 16, sha256(string_agg(node, '' ORDER BY spot)), any_value((total + 15) // 16) FROM t WHERE total > 1 GROUP BY level, spot // 16),
+a AS (SELECT row, source, 0 AS level, spot, coalesce(changed, leaf) AS now, '' AS proof FROM d
+  UNION ALL SELECT row, a.source, a.level + 1, a.spot // 16, sha256(string_agg(CASE WHEN n.spot = a.spot THEN now ELSE node END, '' ORDER BY n.spot)), proof || coalesce(string_agg(node, '' ORDER BY n.spot) FILTER (n.spot <> a.spot), '')
+  FROM a JOIN n ON n.source IS NOT DISTINCT FROM a.source AND n.level = a.level AND n.spot // 16 = a.spot // 16 WHERE total > 1 GROUP BY row, a.source, a.level, a.spot, proof),
+b AS (SELECT row, 0 AS level, s.spot, now, proof FROM (SELECT row, source, arg_max(now, level) AS now, arg_max(proof, level) AS proof FROM a GROUP BY row, source) x JOIN s ON s.source IS NOT DISTINCT FROM x.source
+  UNION ALL SELECT row, b.level + 1, b.spot // 16, sha256(string_agg(CASE WHEN t.spot = b.spot THEN now ELSE node END, '' ORDER BY t.spot)), proof || coalesce(string_agg(node, '' ORDER BY t.spot) FILTER (t.spot <> b.spot), '')
+  FROM b JOIN t ON t.level = b.level AND t.spot // 16 = b.spot // 16 WHERE total > 1 GROUP BY row, b.level, b.spot, proof)
+SELECT d.doc_id, leaf, subroot, node AS root, sha256(arg_max(proof, b.level)) AS proof_sha256, arg_max(now, b.level) AS folded_root, arg_max(now, b.level) = node AS verified
+FROM d JOIN b USING (row) JOIN s ON s.source IS NOT DISTINCT FROM d.source CROSS JOIN (SELECT node FROM t WHERE total = 1) GROUP BY d.row, d.doc_id, leaf, subroot, node"""
+
+ORACLES: dict[str, str] = {"op1_lines": OP1_SQL, "op3_urls": urls.oracle(), "op8_exact": OP8_SQL, "op12_divergence": OP12_SQL, "op13_manifest": OP13_SQL}
