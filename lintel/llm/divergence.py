@@ -153,7 +153,8 @@ class Audit:
         langs = kept.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("lang_n").alias("lang_total"))
         chunk = F.pmod(F.xxhash64("term"), F.ceil(F.col("terms") / F.lit(chunk_terms))).cast("int")
         place = Window.partitionBy("lang", "chunk")
-        numbered = kept.join(langs, "lang").withColumn("chunk", chunk).select("lang", "term", "lang_n", "chunk", (F.row_number().over(place.orderBy("term")) - 1).alias("at"), F.count("*").over(place).cast("int").alias("size"))
+        dealt = kept.join(langs, "lang").withColumn("chunk", chunk).repartition("lang", "chunk")  # else a language's chunks stay in one task
+        numbered = dealt.select("lang", "term", "lang_n", "chunk", (F.row_number().over(place.orderBy("term")) - 1).alias("at"), F.count("*").over(place).cast("int").alias("size"))
         self.vocabulary = scratch.keep(numbered, "vocabulary")
         #: (lang, source, term, n, lang_n, chunk, at, size) of kept terms that a group has
         self.held = scratch.keep(found.filter("term is not null").select("lang", "source", "term", "n").join(self.vocabulary, ["lang", "term"]), "held")

@@ -142,8 +142,8 @@ class Forest:
         names = nodes.columns
 
         def proved(rows: pd.DataFrame, up: pd.DataFrame) -> pd.DataFrame:
-            if rows.empty:
-                return pd.DataFrame({c: [] for c in (*names, "proof", "places", "widths")})
+            if rows.empty:  # a tree that has its root below this round
+                return rows[names].assign(**{c: pd.Series(dtype=object) for c in ("proof", "places", "widths")})
             rows = rows.sort_values("at")
             one = Collapse([n.encode() for n in rows["node"]], int(rows["total"].iloc[0]), fanout, levels)
             proof, places, widths = one.proofs((bytes(up["proof"].iloc[0]), [*map(int, up["places"].iloc[0])], [*map(int, up["widths"].iloc[0])]))
