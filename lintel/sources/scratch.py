@@ -27,4 +27,14 @@ def kept(df: DataFrame, name: str = "step") -> DataFrame:
     df.write.parquet(path)
     place = spark._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)  # noqa: SLF001
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._lintel_path = path  # noqa: SLF001
+    return out
+
+
+def drop(*frames: DataFrame) -> None:
+    """Removes tables of ``kept`` that nothing reads any more."""
+    for df in frames:
+        spark = df.sparkSession
+        place = spark._jvm.org.apache.hadoop.fs.Path(df._lintel_path)  # noqa: SLF001
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
