@@ -2,35 +2,74 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LEAST = 5
+QUANTILES = (0.25, 0.5, 0.75)
 
 
 def half_up(x: Column) -> Column:
     return F.floor(x + 0.5).cast("long")
 
 
-def group_stats(rows: DataFrame, keys: list[str], least: int = LEAST, value: str = "cents") -> DataFrame:
+def group_stats(rows: DataFrame, keys: list[str], least: int = LEAST, value: str = "cents", wide: bool = False) -> DataFrame:
     """n, median, p25, p75 and mean of ``value`` by ``keys``; below ``least`` rows only n is given.
 
     Rows are first counted by key and value, with partial counts before the shuffle, so that what meets in a group is one row for each
-    distinct value however many rows a hot key has; the quantiles then weigh each value by its count.
+    distinct value however many rows a hot key has; the quantiles then weigh each value by its count. ``wide``: a group may
+    have more distinct values than a task should hold.
     """
-    return counted_stats(rows.groupBy(*keys, value).agg(F.count("*").alias("k")), keys, least, value)
+    return counted_stats(rows.groupBy(*keys, value).agg(F.count("*").alias("k")), keys, least, value, wide)
 
 
-def counted_stats(counted: DataFrame, keys: list[str], least: int = LEAST, value: str = "cents") -> DataFrame:
+def counted_stats(counted: DataFrame, keys: list[str], least: int = LEAST, value: str = "cents", wide: bool = False) -> DataFrame:
     """The same figures of values that come with their counts, k."""
-    stats = counted.groupBy(*keys).agg(
-        F.sum("k").alias("n"), F.sum(F.col(value) * F.col("k")).alias("total"), F.expr(f"percentile({value}, array(0.25D, 0.5D, 0.75D), k)").alias("q")
-    )
+    if wide:
+        stats = selected(counted, keys, QUANTILES, value)
+    else:
+        stats = counted.groupBy(*keys).agg(F.sum("k").alias("n"), F.sum(F.col(value) * F.col("k")).alias("total"), F.expr(f"percentile({value}, array(0.25D, 0.5D, 0.75D), k)").alias("q"))
     shown = lambda x: F.when(F.col("n") >= least, x)
     quantile = lambda i: shown(half_up(F.col("q")[i]))
     return stats.select(*keys, "n", quantile(1).alias("median"), quantile(0).alias("p25"), quantile(2).alias("p75"), shown(F.expr("(2 * total + n) div (2 * n)")).alias("mean"))
 
 
+def range_of(value: Column) -> Column:
+    """The least value of the range that a whole number lies in: single numbers up to 2^16, then 2^8, 2^16, ... numbers, so that there
+    are at most 2^16 ranges for each factor of 2^8 and ranges of common prices hold at most 2^16 numbers."""
+    width = F.lit(1 << 48).cast("long")
+    for bits in range(40, -1, -8):
+        width = F.when(F.abs(value) < F.lit(1 << bits + 16), F.lit(1 << bits).cast("long")).otherwise(width)
+    return value - F.pmod(value, width)
+
+
+def selected(counted: DataFrame, keys: list[str], quantiles: tuple[float, ...] = QUANTILES, value: str = "cents") -> DataFrame:
+    """(keys, n, total, q) by distributed selection: ranges of values are counted first, and only the ranges that hold a wanted rank are looked into.
+
+    No task holds the distinct values of a group: a group's ranges are summed in order, and so are the values of each range that
+    holds a rank, both as sorted streams. Between two ranks, values are weighed as ``percentile`` does.
+    """
+    counted = counted.select(*keys, F.col(value).cast("long").alias("_v"), F.col("k").alias("_k")).withColumn("_range", range_of(F.col("_v")))
+    ranges = counted.groupBy(*keys, "_range").agg(F.sum("_k").alias("_n"), F.sum(F.col("_v") * F.col("_k")).alias("_t"))
+    whole = Window.partitionBy(*keys)
+    upto = whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select(*keys, "_range", "_n", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_before"), F.sum("_n").over(whole).alias("n"), F.sum("_t").over(whole).alias("total"))
+    place = [(F.col("n") - 1) * F.lit(q) for q in quantiles]
+    ranks = [edge(p).cast("long") for p in place for edge in (F.floor, F.ceil)]
+    holds = lambda n: reduce(Column.__or__, ((F.col("_before") <= r) & (r < F.col("_before") + F.col(n)) for r in ranks))
+    ranges = ranges.filter(holds("_n")).withColumnsRenamed({k: f"_g{i}" for i, k in enumerate(keys)})
+    same = [F.col(k).eqNullSafe(F.col(f"_g{i}")) for i, k in enumerate(keys)]
+    met = counted.withColumnRenamed("_range", "_own").join(ranges, [*same, F.col("_own") == F.col("_range")]).drop("_own")
+    inner = Window.partitionBy(*keys, "_range").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    met = met.withColumn("_before", F.col("_before") + F.coalesce(F.sum("_k").over(inner), F.lit(0))).filter(holds("_k"))
+    at = lambda r: F.max(F.when((F.col("_before") <= r) & (r < F.col("_before") + F.col("_k")), F.col("_v")))  # noqa: E731  one row has the rank
+    found = met.groupBy(*keys, "n", "total").agg(*(at(r).alias(f"_r{i}") for i, r in enumerate(ranks)))
+    between = lambda i: F.when(ranks[2 * i] == ranks[2 * i + 1], F.col(f"_r{2 * i}").cast("double")).otherwise((ranks[2 * i + 1] - place[i]) * F.col(f"_r{2 * i}") + (place[i] - ranks[2 * i]) * F.col(f"_r{2 * i + 1}"))
+    return found.select(*keys, "n", "total", F.array(*map(between, range(len(quantiles)))).alias("q"))
+
+
 def stats_sql(least: int = LEAST, value: str = "cents") -> str:
     """The same columns as a SELECT list for DuckDB."""
     shown = lambda x, name: f"CASE WHEN count(*) >= {least} THEN {x} END AS {name}"

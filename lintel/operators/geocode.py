@@ -201,8 +201,8 @@ def fallbacks(properties: DataFrame, by_name: DataFrame, by_key: DataFrame, by_c
     """Placed properties keep their place; others get the unique place of their name, else their routing key's median, else their county's point."""
     met = (
         properties.join(by_name.select("property_id", F.col("lon").alias("nlon"), F.col("lat").alias("nlat")), "property_id", "left")
-        .join(F.broadcast(by_key.select("routing_key", F.col("lon").alias("klon"), F.col("lat").alias("klat"))), "routing_key", "left")
-        .join(F.broadcast(by_county.select("county", F.col("lon").alias("clon"), F.col("lat").alias("clat"))), "county", "left")
+        .join(by_key.select("routing_key", F.col("lon").alias("klon"), F.col("lat").alias("klat")), "routing_key", "left")
+        .join(by_county.select("county", F.col("lon").alias("clon"), F.col("lat").alias("clat")), "county", "left")
     )
     placed = F.col("precision") <= LOCALITY
     method = F.when(placed, "own").when(F.col("nlon").isNotNull(), "unique_name").when(F.col("klon").isNotNull(), "routing_key").when(F.col("clon").isNotNull(), "county")

@@ -40,7 +40,8 @@ def box(ring: Column) -> tuple[Column, Column, Column, Column]:
 
 
 def clipped(ring: Column, axis: str, at: Column, above: bool) -> Column:
-    """The ring's share on one side of a line across ``axis``. Where it comes back to the line, the ring runs along it: areas and crossings stay right."""
+    """The ring's share on one side of a line across ``axis``. Where it comes back to the line, the ring runs along it: areas and crossings stay right.
+    Of a run of corners on the line, the first and the last stay. Null if nothing is left."""
     other = "y" if axis == "x" else "x"
 
     def inside(p: Column) -> Column:
@@ -53,8 +54,14 @@ def clipped(ring: Column, axis: str, at: Column, above: bool) -> Column:
         crosses = ((a[axis] < at) & (b[axis] > at)) | ((a[axis] > at) & (b[axis] < at))
         return F.array_compact(F.array(F.when(inside(a), a), F.when(crosses, cut)))
 
-    points = F.flatten(F.transform(F.sequence(F.lit(1), corners(ring)), step))
-    return F.when(F.size(points) >= 3, F.concat(points, F.slice(points, 1, 1)))
+    def thinned(points: Column) -> Column:
+        before = lambda i: F.element_at(points, F.when(i == 0, F.size(points)).otherwise(i))
+        after = lambda i: F.element_at(points, F.when(i == F.size(points) - 1, 1).otherwise(i + 2))
+        return F.filter(points, lambda p, i: ~((p[axis] == at) & (before(i)[axis] == at) & (after(i)[axis] == at)))
+
+    bound = F.array(F.flatten(F.transform(F.sequence(F.lit(1), corners(ring)), step)))  # so that the points are worked out once
+    closed = F.transform(F.transform(bound, thinned), lambda p: F.when(F.size(p) >= 3, F.concat(p, F.slice(p, 1, 1))))
+    return F.get(closed, F.lit(0))
 
 
 def subdivided(polygons: DataFrame, key: str, most: int = MOST_CORNERS) -> DataFrame:

@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lintel.functions.geo import distance_km, in_ring, metres, segment_distance, to_metres
-from lintel.sources.scratch import kept
+from lintel.functions.geo import METRES_LAT, METRES_LON, ORIGIN, distance_km, in_ring, metres, segment_distance, to_metres
+from lintel.sources.scratch import drop, kept
 
 #: The size of the last cells, in metres: larger than any map.
 WHOLE = 1_024_000
@@ -97,27 +97,90 @@ def near_polygon(points: DataFrame, polygons: DataFrame, key: str, polygon_key:
     return met.groupBy(key).agg(F.min(F.struct("away", polygon_key)).alias("b")).select(key, f"b.{polygon_key}", "b.away")
 
 
-def clusters(points: DataFrame, group: str, key: str, reach_m: int) -> DataFrame:
-    """(key, cluster): single-linkage clusters within each group, named by their smallest key.
+def _frame() -> tuple[Column, Column]:
+    """x and y in metres from the frame's origin, not rounded."""
+    return ((F.col("lon") - ORIGIN[0]) * METRES_LON).alias("x"), ((F.col("lat") - ORIGIN[1]) * METRES_LAT).alias("y")
 
-    Points of a group within ``reach_m`` are linked through cells of that size; labels then spread over links and through each
-    label's own label until none changes: joins and minima only, so that a large group is never gathered in one task.
+
+def near_cells(points: DataFrame, group: str, key: str, reach_m: float, few: int = 64) -> DataFrame:
+    """(group, ai, aj, bi, bj): pairs of cells that hold points within ``reach_m`` of each other, found without all pairs of their points.
+
+    Cells are so small that all their points are within reach. Pairs of cells near enough to decide are taken apart round by round: of two
+    boxes, nothing is left to do if they are surely near or surely too far; boxes of few points compare these; others are halved on
+    both sides. A pair of cells that is known to be near is not looked at again. Boxes are halved at most 24 times, then they are one place.
+    """
+    side = reach_m * SAFE / 2**0.5
+    xy = points.select(group, key, "lon", "lat", *_frame()).withColumns({"i": F.floor(F.col("x") / side).cast("long"), "j": F.floor(F.col("y") / side).cast("long")})
+    # places within their cell as whole parts of 2^24, so that halving is a shift
+    part = lambda v, at: F.least(F.floor((F.col(v) / side - F.col(at)) * (1 << 24)), F.lit((1 << 24) - 1)).cast("long")
+    xy = kept(xy.select(group, key, "lon", "lat", "i", "j", part("x", "i").alias("u"), part("y", "j").alias("v")), "placed")
+    cells = xy.groupBy(group, "i", "j").agg(F.count("*").alias("n"))
+    far = int(1 / SAFE**2 * 2**0.5) + 1  # cells further off are out of reach
+    around = [(a, b) for a in range(far + 1) for b in range(-far, far + 1) if (a, b) > (0, 0)]
+    at = lambda a, b: F.struct((F.col("i") + a).alias("bi"), (F.col("j") + b).alias("bj"))
+    asked = cells.select(group, F.col("i").alias("ai"), F.col("j").alias("aj"), F.col("n").alias("an"), F.explode(F.array(*(at(a, b) for a, b in around))).alias("c")).select("*", "c.*").drop("c")
+    pairs = asked.join(cells.select(group, F.col("i").alias("bi"), F.col("j").alias("bj"), F.col("n").alias("bn")), [group, "bi", "bj"])
+    zero = F.lit(0).cast("long")
+    pair = [group, "ai", "aj", "bi", "bj"]
+    boxes = pairs.select(*pair, *(zero.alias(c) for c in ("au", "av", "bu", "bv")), "an", "bn")
+    found, depth = [], 0
+    while True:
+        size = side / 2**depth
+        gap = lambda m, o: F.abs((F.col(f"b{m}") - F.col(f"a{m}")) * (1 << depth) + F.col(f"b{o}") - F.col(f"a{o}"))  # noqa: E731, B023
+        dx, dy = gap("i", "u"), gap("j", "v")
+        most = F.sqrt((dx + 1) * (dx + 1) + (dy + 1) * (dy + 1)) * (size / SAFE)
+        gx, gy = F.greatest(dx - 1, F.lit(0)), F.greatest(dy - 1, F.lit(0))
+        least = F.sqrt(gx * gx + gy * gy) * (size * SAFE)
+        judged = kept(boxes.withColumn("sure", (most <= reach_m) & (F.lit(depth) > 0)).filter(least <= reach_m), "boxes")
+        sure = judged.filter("sure").select(*pair).distinct()
+        left = judged.join(sure, pair, "left_anti")
+        small = (F.col("an") * F.col("bn") <= few) | F.lit(depth == 24)
+        shift = 24 - depth
+        held = lambda s: xy.select(group, F.col("i").alias(f"{s}i"), F.col("j").alias(f"{s}j"), F.shiftright("u", shift).alias(f"{s}u"), F.shiftright("v", shift).alias(f"{s}v"), F.col("lon").alias(f"{s}lon"), F.col("lat").alias(f"{s}lat"))  # noqa: E731, B023
+        met = left.filter(small).drop("an", "bn").join(held("a"), [group, "ai", "aj", "au", "av"]).join(held("b"), [group, "bi", "bj", "bu", "bv"])
+        met = met.filter(distance_km(F.col("alon"), F.col("alat"), F.col("blon"), F.col("blat")) * 1000 <= reach_m).select(*pair).distinct()
+        near = kept(sure.unionByName(met), "near")
+        found.append(near)
+        open_ = left.filter(~small).join(near, pair, "left_anti")
+        if open_.isEmpty():
+            return reduce(DataFrame.unionByName, found)
+        depth += 1
+        halves = xy.groupBy(group, "i", "j", F.shiftright("u", 24 - depth).alias("u"), F.shiftright("v", 24 - depth).alias("v")).agg(F.count("*").alias("n"))
+        child = lambda s: halves.select(group, F.col("i").alias(f"{s}i"), F.col("j").alias(f"{s}j"), F.shiftright("u", 1).alias(f"{s}u"), F.shiftright("v", 1).alias(f"{s}v"), F.col("u").alias(f"{s}u1"), F.col("v").alias(f"{s}v1"), F.col("n").alias(f"{s}n"))  # noqa: E731, B023
+        boxes = open_.drop("an", "bn", "sure").join(child("a"), [group, "ai", "aj", "au", "av"]).join(child("b"), [group, "bi", "bj", "bu", "bv"])
+        boxes = boxes.select(*pair, *(F.col(f"{c}1").alias(c) for c in ("au", "av", "bu", "bv")), "an", "bn")
+
+
+def clusters(points: DataFrame, group: str, key: str, reach_m: float) -> DataFrame:
+    """(key, cluster): single-linkage clusters within each group, named by their smallest key. Points without a group are alone.
+
+    The points of a cell are one component, and cells are joined where they hold points within reach (``near_cells``); labels then spread over
+    linked cells and through each label's own cell until none changes: joins and minima only, so that a large group is never gathered in one task.
     """
-    size = int(reach_m / SAFE) + 1
-    xy = points.select(group, key, "lon", "lat", *to_metres(F.col("lon"), F.col("lat")))
-    there = xy.select(group, F.col(key).alias("other"), F.col("lon").alias("tlon"), F.col("lat").alias("tlat"), F.explode(_cells(size)).alias("c"))
-    near = F.col(key) != F.col("other")
-    met = xy.withColumn("c", _own(size)).join(there, [group, "c"]).filter(near & (distance_km(F.col("lon"), F.col("lat"), F.col("tlon"), F.col("tlat")) * 1000 <= reach_m))
-    links = kept(met.select(F.col(key).alias("a"), F.col("other").alias("b")).distinct(), "links")
-    labels = kept(points.select(F.col(key).alias("a"), F.col(key).alias("label")).distinct(), "labels")
+    side = reach_m * SAFE / 2**0.5
+    x, y = _frame()
+    lone = points.filter(F.col(group).isNull()).select(key, F.col(key).alias("cluster"))
+    points = points.filter(F.col(group).isNotNull())
+    placed = points.select(group, key, F.struct(F.floor(x / side).cast("long").alias("i"), F.floor(y / side).cast("long").alias("j")).alias("c"))
+    cell = F.struct(F.col(group).alias("g"), F.col("c.i").alias("i"), F.col("c.j").alias("j"))
+    own = kept(placed.groupBy(cell.alias("a")).agg(F.min(key).alias("first")), "cells")
+    near = near_cells(points, group, key, reach_m)
+    side_of = lambda s: F.struct(F.col(group).alias("g"), F.col(f"{s}i").alias("i"), F.col(f"{s}j").alias("j"))
+    links = near.select(side_of("a").alias("a"), side_of("b").alias("b"))
+    links = kept(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
+    labels = kept(own.select("a", F.struct("first", F.col("a").alias("cell")).alias("label")), "labels")
     while True:
         spread = links.join(labels.select(F.col("a").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("m"))
         step = labels.join(spread, "a", "left").select("a", F.col("label").alias("old"), F.least("label", F.coalesce("m", "label")).alias("label"))
-        tops = step.select(F.col("a").alias("label"), F.col("label").alias("top"))
-        step = kept(step.join(tops, "label").select("a", "old", F.least("label", "top").alias("label")), "labels")
-        labels = step.select("a", "label")
-        if step.filter("old <> label").isEmpty():
-            return labels.select(F.col("a").alias(key), F.col("label").alias("cluster"))
+        step = kept(step, "step")
+        tops = step.select(F.col("a").alias("_cell"), F.col("label").alias("top"))
+        further = kept(step.join(tops, F.col("label.cell") == F.col("_cell")).select("a", "old", F.least("label", "top").alias("label")), "labels")
+        drop(step, labels)
+        labels = further.select("a", "label")
+        labels._lintel_path = further._lintel_path  # noqa: SLF001
+        if further.filter("old <> label").isEmpty():
+            drop(links, own)
+            return placed.select(key, cell.alias("a")).join(labels, "a").select(key, F.col("label.first").alias("cluster")).unionByName(lone)
 
 
 def median_points(points: DataFrame, key: str, least: int = 10) -> DataFrame:

@@ -64,11 +64,14 @@ def source_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.catalogue(rows).groupBy("source", "listed").agg(F.count("*").alias("n"))
 
 
+_ROLE = "user_id AS role, event_type || ':' || CAST(length(props) AS VARCHAR(9)) AS permission"
+
+
 @query(
-    """WITH h AS (SELECT DISTINCT user_id % 20 AS role, event_type AS permission FROM events WHERE event_id % 3 = 0 AND user_id % 7 = 0), w AS (SELECT DISTINCT user_id % 20 AS role, event_type AS permission FROM events WHERE event_id % 3 = 1 AND user_id % 7 = 1)
+    f"""WITH h AS (SELECT DISTINCT {_ROLE} FROM events WHERE event_id % 2 = 0), w AS (SELECT DISTINCT {_ROLE} FROM events WHERE event_id % 2 = 1)
 SELECT role, permission, 'add' AS action FROM (SELECT * FROM w EXCEPT SELECT * FROM h) UNION ALL SELECT role, permission, 'remove' FROM (SELECT * FROM h EXCEPT SELECT * FROM w)"""
 )
 def permission_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs to add and to remove so that a held matrix becomes the wanted one."""
-    pairs = lambda c: B.read(spark, sf_dir, "events").filter(c).select((F.col("user_id") % 20).alias("role"), F.col("event_type").alias("permission")).distinct()
-    return P.to_sync(pairs("event_id % 3 = 0 and user_id % 7 = 0"), pairs("event_id % 3 = 1 and user_id % 7 = 1"))
+    """Pairs to add and to remove so that a held matrix becomes the wanted one: even events are what is held, odd ones what is wanted."""
+    pairs = lambda c: B.read(spark, sf_dir, "events").filter(c).selectExpr(*_ROLE.split(", ")).distinct()
+    return P.to_sync(pairs("event_id % 2 = 0"), pairs("event_id % 2 = 1"))

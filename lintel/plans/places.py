@@ -124,22 +124,6 @@ def routing_key_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return met.select("property_id", away.alias("away_m")).filter("away_m > 150000")
 
 
-@query(
-    f"""WITH d AS ({_MEDIANS}), c AS (SELECT county, round(avg(lon), 3) AS lon, round(avg(lat), 3) AS lat FROM property GROUP BY ALL)
-SELECT property_id, CASE WHEN p.precision <= 2 THEN 'own' WHEN property_id % 10 = 3 THEN 'unique_name' WHEN d.lon IS NOT NULL THEN 'routing_key' ELSE 'county' END AS method,
-  round(CASE WHEN p.precision <= 2 THEN p.lon WHEN property_id % 10 = 3 THEN -8.0 ELSE coalesce(d.lon, c.lon) END, 6) AS lon, round(CASE WHEN p.precision <= 2 THEN p.lat WHEN property_id % 10 = 3 THEN 53.0 ELSE coalesce(d.lat, c.lat) END, 6) AS lat
-FROM property p LEFT JOIN d USING (routing_key) LEFT JOIN c USING (county)""",
-    "property",
-)
-def placement_fallbacks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The cascade: own place, unique name, routing key's median, county's point."""
-    places = B.properties(spark, sf_dir)
-    named = places.filter("property_id % 10 = 3").select("property_id", F.lit(-8.0).alias("lon"), F.lit(53.0).alias("lat"))
-    counties = places.groupBy("county").agg(F.round(F.avg("lon"), 3).alias("lon"), F.round(F.avg("lat"), 3).alias("lat"))
-    found = G.fallbacks(places, named, S.median_points(precise(spark, sf_dir), "routing_key", least=2), counties)
-    return found.select("property_id", "method", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))
-
-
 @query(
     """WITH t AS (SELECT DISTINCT p_partkey, p_brand AS county, list_sort(list_distinct(string_split(lower(p_name), ' '))) AS k FROM part),
 u AS (SELECT county, k, min(p_partkey) AS feature_id FROM t GROUP BY ALL HAVING count(DISTINCT p_partkey) = 1)

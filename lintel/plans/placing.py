@@ -86,21 +86,45 @@ def local_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 _MEDIANS = "SELECT routing_key, quantile_cont(lon, 0.5) AS lon, quantile_cont(lat, 0.5) AS lat FROM property WHERE precision <= 1 GROUP BY ALL HAVING count(*) >= 3"
 
 
+def uniquely_named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(property_id, lon, lat): the one feature of the county with the name that an address gives: its place, or in three of four its street, which many places have."""
+    features = gazetteer_features(spark, sf_dir).filter("kind <> 'address'")
+    cut = F.split(F.regexp_replace("address", "^(Apt [0-9]+, )?[0-9]+ ", ""), ", ")
+    wanted = B.properties(spark, sf_dir).select(F.col("property_id").alias("wanted_id"), "county", F.when(F.col("property_id") % 4 == 0, _place(F.get(cut, 1))).otherwise(F.get(cut, 0)).alias("name"))
+    found = G.unique_names(features.select("feature_id", "county", "name"), wanted)
+    return found.join(features.select("feature_id", "lon", "lat"), "feature_id").select(F.col("wanted_id").alias("property_id"), "lon", "lat")
+
+
+@query(
+    f"""WITH {_CENTRES}, d AS ({_MEDIANS}), c AS (SELECT county, round(avg(lon), 3) AS lon, round(avg(lat), 3) AS lat FROM property GROUP BY ALL), o AS (SELECT property_id, clon AS lon, clat AS lat FROM property JOIN centre ON n = settlement_id - 100 WHERE property_id % 4 = 0)
+SELECT property_id, CASE WHEN p.precision <= 2 THEN 'own' WHEN o.lon IS NOT NULL THEN 'unique_name' WHEN d.lon IS NOT NULL THEN 'routing_key' ELSE 'county' END AS method,
+  round(CASE WHEN p.precision <= 2 THEN p.lon WHEN o.lon IS NOT NULL THEN o.lon ELSE coalesce(d.lon, c.lon) END, 6) AS lon, round(CASE WHEN p.precision <= 2 THEN p.lat WHEN o.lon IS NOT NULL THEN o.lat ELSE coalesce(d.lat, c.lat) END, 6) AS lat
+FROM property p LEFT JOIN o USING (property_id) LEFT JOIN d USING (routing_key) LEFT JOIN c USING (county)""",
+    "property",
+)
+def placement_fallbacks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Own place, unique name, routing key's median, county's point."""
+    places = B.properties(spark, sf_dir)
+    counties = places.groupBy("county").agg(F.round(F.avg("lon"), 3).alias("lon"), F.round(F.avg("lat"), 3).alias("lat"))
+    found = G.fallbacks(places, uniquely_named(spark, sf_dir), S.median_points(precise(spark, sf_dir), "routing_key", least=3), counties)
+    return found.select("property_id", "method", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))
+
+
 @query(
     f"""WITH {_LOCAL}, k AS ({_MEDIANS}),
 t AS (SELECT lower(r_name) AS county, arg_min(clon, n) AS lon, arg_min(clat, n) AS lat FROM centre JOIN region ON r_regionkey = r WHERE r < 4 GROUP BY ALL),
 c AS (SELECT county, round(avg(lon), 3) AS lon, round(avg(lat), 3) AS lat FROM property GROUP BY ALL)
-SELECT property_id, CASE WHEN p.precision <= 2 THEN 'own' WHEN l.lon IS NOT NULL THEN 'local' WHEN property_id % 10 = 3 THEN 'unique_name' WHEN k.lon IS NOT NULL THEN 'routing_key' WHEN t.lon IS NOT NULL THEN 'county_town' ELSE 'county' END AS method,
-  round(CASE WHEN p.precision <= 2 THEN p.lon WHEN l.lon IS NOT NULL THEN l.lon WHEN property_id % 10 = 3 THEN -8.0 ELSE coalesce(k.lon, t.lon, c.lon) END, 6) AS lon,
-  round(CASE WHEN p.precision <= 2 THEN p.lat WHEN l.lon IS NOT NULL THEN l.lat WHEN property_id % 10 = 3 THEN 53.0 ELSE coalesce(k.lat, t.lat, c.lat) END, 6) AS lat
-FROM property p LEFT JOIN local_place l USING (property_id) LEFT JOIN k USING (routing_key) LEFT JOIN t USING (county) LEFT JOIN c USING (county)""",
+SELECT property_id, CASE WHEN p.precision <= 2 THEN 'own' WHEN l.lon IS NOT NULL THEN 'local' WHEN o.lon IS NOT NULL THEN 'unique_name' WHEN k.lon IS NOT NULL THEN 'routing_key' WHEN t.lon IS NOT NULL THEN 'county_town' ELSE 'county' END AS method,
+  round(CASE WHEN p.precision <= 2 THEN p.lon WHEN l.lon IS NOT NULL THEN l.lon WHEN o.lon IS NOT NULL THEN o.lon ELSE coalesce(k.lon, t.lon, c.lon) END, 6) AS lon,
+  round(CASE WHEN p.precision <= 2 THEN p.lat WHEN l.lon IS NOT NULL THEN l.lat WHEN o.lon IS NOT NULL THEN o.lat ELSE coalesce(k.lat, t.lat, c.lat) END, 6) AS lat
+FROM property p LEFT JOIN local_place l USING (property_id) LEFT JOIN (SELECT property_id, clon AS lon, clat AS lat FROM property JOIN centre ON n = settlement_id - 100 WHERE property_id % 4 = 0) o USING (property_id) LEFT JOIN k USING (routing_key) LEFT JOIN t USING (county) LEFT JOIN c USING (county)""",
     "property",
 )
 def placement_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Own place, local gazetteer, unique name, routing key's median, county town, county's point."""
     held = B.properties(spark, sf_dir)
     local = G.local_match(asked_parts(spark, sf_dir), gazetteer_features(spark, sf_dir))
-    named = held.filter("property_id % 10 = 3").select("property_id", F.lit(-8.0).alias("lon"), F.lit(53.0).alias("lat"))
+    named = uniquely_named(spark, sf_dir)
     towns = centres(spark, sf_dir).filter("r < 4").groupBy("county").agg(F.min_by("clon", "n").alias("lon"), F.min_by("clat", "n").alias("lat"))
     counties = held.groupBy("county").agg(F.round(F.avg("lon"), 3).alias("lon"), F.round(F.avg("lat"), 3).alias("lat"))
     keys = S.median_points(precise(spark, sf_dir), "routing_key", least=3)
@@ -119,16 +143,16 @@ _STRIPS = """strip AS (SELECT kind, CAST(start + (area_id - 100) * per + k AS BI
 
 
 @query(
-    f"""WITH m AS (SELECT property_id, {geo.to_metres_sql('lon', 'lat')} FROM property WHERE property_id % 4 = 1), b AS ({_BOX}), {_STRIPS},
+    f"""WITH m AS (SELECT property_id, {geo.to_metres_sql('lon', 'lat')} FROM property), b AS ({_BOX}), {_STRIPS},
 hit AS (SELECT property_id, kind, min(area_id) AS area_id FROM m JOIN strip ON x + 5000 BETWEEN x0 AND x1 AND y - 3000 BETWEEN y0 AND y1 GROUP BY ALL)
-SELECT property_id, max(area_id) FILTER (kind = 'small_area' AND property_id % 8 = 1) AS small_area_id, max(area_id) FILTER (kind = 'electoral_division' AND property_id % 8 = 1) AS electoral_division_id,
+SELECT property_id, max(area_id) FILTER (kind = 'small_area' AND property_id % 2 = 1) AS small_area_id, max(area_id) FILTER (kind = 'electoral_division' AND property_id % 2 = 1) AS electoral_division_id,
   max(area_id) FILTER (kind = 'townland') AS townland_id, max(area_id) FILTER (kind = 'settlement') AS settlement_id FROM m LEFT JOIN hit USING (property_id) GROUP BY ALL""",
     "property",
 )
 def manual_placements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Properties moved by hand join their areas anew; the small kinds only where the new place is precise."""
     x, y = geo.to_metres(F.col("lon"), F.col("lat"))
-    moved = B.properties(spark, sf_dir).filter("property_id % 4 = 1").select("property_id", (x + 5000).cast("double").alias("x"), (y - 3000).cast("double").alias("y"), (F.col("property_id") % 8 == 1).alias("precise"))
+    moved = B.properties(spark, sf_dir).select("property_id", (x + 5000).cast("double").alias("x"), (y - 3000).cast("double").alias("y"), (F.col("property_id") % 2 == 1).alias("precise"))
     n = F.col("n_nationkey").cast("long")
     x0, y0 = n % 5 * 50_000 - 140_000, F.floor(n / 5) * 80_000 - 220_000
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +14,9 @@ from lintel.functions.geo import distance_sql, tile_box
 from lintel.operators import market as M
 from lintel.operators import search as S
 from lintel.operators import tiles as T
+from lintel.operators.trigram import TrigramIndex
 from lintel.sources import binding as B
+from lintel.sources.scratch import root_of
 
 from .places import _VICINITY, vicinity
 from .registry import query
@@ -193,6 +197,26 @@ def autocomplete_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.autocomplete_addresses(places, "Church, Nation_2 Co. Asia")
 
 
+#: Texts for the index: common words, short forms, an underscore that means itself, and one that no address has.
+TYPED = ("Church, Nation_2 Co. Asia", "abbey tce", "12 main st", "brígid pk", "tion_1", "no such place")
+
+
+def _typed_sql(text: str) -> str:
+    words = S.query_words(text)
+    held = " AND ".join(f"contains(n, '{w}')" for w in words)
+    return f"""SELECT * FROM (SELECT '{text}' AS typed, property_id, n AS normalised, {_SIMILAR} AS score FROM (
+  SELECT property_id, lower(address) AS n, {trigrams_sql('lower(address)')} AS a, {trigrams_sql(chr(39) + ' '.join(words) + chr(39))} AS b FROM property) WHERE {held} ORDER BY score DESC, normalised, property_id LIMIT 8)"""
+
+
+@query("WITH " + ", ".join(f"t{i} AS ({_typed_sql(t)})" for i, t in enumerate(TYPED)) + " " + " UNION ALL ".join(f"SELECT * FROM t{i}" for i in range(len(TYPED))), "property")
+def indexed_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The addresses that the trigram index finds for texts that people type, the eight most similar of each."""
+    places = B.properties(spark, sf_dir).select("property_id", F.lower("address").alias("normalised"))
+    index = TrigramIndex.build(places, f"{root_of(spark)}/trigrams-{uuid.uuid4().hex}")
+    found = [index.lookup(t).select(F.lit(t).alias("typed"), "property_id", "normalised", "score") for t in TYPED]
+    return reduce(DataFrame.unionByName, found)
+
+
 @query("WITH k AS (SELECT routing_key, lon, lat FROM property WHERE precision <= 2) SELECT routing_key, count(*) AS n, round(avg(lon), 6) AS lon, round(avg(lat), 6) AS lat FROM k GROUP BY ALL", "property")
 def autocomplete_routing_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Count and centre of each routing key's well placed properties."""
@@ -200,18 +224,20 @@ def autocomplete_routing_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.groupBy("routing_key").agg(F.count("*").alias("n"), F.round(F.avg("lon"), 6).alias("lon"), F.round(F.avg("lat"), 6).alias("lat"))
 
 
-#: What people type, with the key that each names.
-ASKED = ("D08", "d8", "Dublin 8", "dublin  6w", "d6w", "a63", " A63 ", "dublin", "dublin 123", "b12", "d 12", "63", "")
-_ASKED = "SELECT unnest(" + str(list(ASKED)) + ") AS q"
+#: What people type for a routing key, by property: the key as it is, in small letters, within blanks, and districts of Dublin in four ways.
+_ASKED = """CASE property_id % 7 WHEN 0 THEN routing_key WHEN 1 THEN lower(routing_key) WHEN 2 THEN ' ' || routing_key || ' ' WHEN 3 THEN 'Dublin ' || property_id % 30
+  WHEN 4 THEN 'd' || property_id % 130 WHEN 5 THEN 'dublin  6w' ELSE address END"""
 
 
 @query(
-    rf"""WITH a AS ({_ASKED}), t AS (SELECT q, lower(trim(regexp_replace(q, '\s+', ' ', 'g'))) AS t FROM a), d AS (SELECT *, regexp_extract(t, '^(?:dublin|d)\s*([0-9]{{1,2}}|6w)$', 1) AS d FROM t)
-SELECT q, CASE WHEN regexp_full_match(t, '[acdefhknprtvwxy][0-9][0-9]') OR t = 'd6w' THEN upper(t) WHEN d = '6w' THEN 'D6W' WHEN d <> '' THEN 'D' || lpad(d, 2, '0') END AS routing_key FROM d"""
+    rf"""WITH a AS (SELECT {_ASKED} AS q FROM property), t AS (SELECT q, count(*) AS n, lower(trim(regexp_replace(q, '\s+', ' ', 'g'))) AS t FROM a GROUP BY q), d AS (SELECT *, regexp_extract(t, '^(?:dublin|d)\s*([0-9]{{1,2}}|6w)$', 1) AS d FROM t)
+SELECT q, n, CASE WHEN regexp_full_match(t, '[acdefhknprtvwxy][0-9][0-9]') OR t = 'd6w' THEN upper(t) WHEN d = '6w' THEN 'D6W' WHEN d <> '' THEN 'D' || lpad(d, 2, '0') END AS routing_key FROM d""",
+    "property",
 )
 def routing_keys_asked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = spark.range(1).select(F.explode(F.array(*map(F.lit, ASKED))).alias("q"))
-    return asked.select("q", S.routing_key_of(F.col("q")).alias("routing_key"))
+    """Each distinct text, how often it is asked, and the key that it names."""
+    asked = B.properties(spark, sf_dir).select(F.expr(_ASKED).alias("q")).groupBy("q").agg(F.count("*").alias("n"))
+    return asked.select("q", "n", S.routing_key_of(F.col("q")).alias("routing_key"))
 
 
 @query(
@@ -242,23 +268,27 @@ def _autocomplete(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     return S.autocomplete(B.areas(spark, sf_dir), places.filter("not suppressed").select("property_id", F.lower("address").alias("normalised")), keys, text)
 
 
-#: Parameters as URLs hold them, good and bad.
-GIVEN = ("12.5", "-7", "1e3", "2024-02-29", "2023-02-29", "2024-1-05", "true", "FALSE", "maybe", "street", "Street", "unmatched", "dublin, cork ,", " , ", "-6.26,53.35", "181,10", "1,91", "-6.26, 53.35", "")
+#: Parameters as URLs hold them, good and bad, made of each event's columns. ``k`` is the number in its props.
+_GIVEN = """CASE event_id % 12 WHEN 0 THEN CAST(k AS VARCHAR(9)) || '.5' WHEN 1 THEN '-' || CAST(user_id AS VARCHAR(9)) WHEN 2 THEN CAST(k AS VARCHAR(9)) || 'e3' WHEN 3 THEN d WHEN 4 THEN substr(d, 1, 8) || CAST(k AS VARCHAR(9))
+  WHEN 5 THEN CASE WHEN k % 3 = 0 THEN 'true' WHEN k % 3 = 1 THEN 'FALSE' ELSE 'maybe' END WHEN 6 THEN CASE WHEN k % 3 = 0 THEN 'street' WHEN k % 3 = 1 THEN 'Street' ELSE 'unmatched' END
+  WHEN 7 THEN event_type || ', ' || d || ' ,' WHEN 8 THEN ' , ' WHEN 9 THEN '-' || CAST(k * 2 AS VARCHAR(9)) || '.26,' || CAST(k AS VARCHAR(9)) || '.35' WHEN 10 THEN CAST(k * 3 AS VARCHAR(9)) || ', ' || CAST(k AS VARCHAR(9)) ELSE '' END"""
 
 
 @query(
-    "WITH g AS (SELECT unnest(" + str(list(GIVEN)) + r""") AS x)
-SELECT x, CASE WHEN regexp_full_match(x, '-?[0-9]+(\.[0-9]+)?') THEN CAST(x AS DOUBLE) END AS number, CASE WHEN regexp_full_match(x, '[0-9]{4}-[0-9]{2}-[0-9]{2}') THEN TRY_CAST(x AS DATE) END AS day,
+    f"WITH e AS (SELECT event_id, user_id, event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k, strftime(ts, '%Y-%m-%d') AS d FROM events), g AS (SELECT event_id, {_GIVEN} AS x FROM e)"
+    + r"""
+SELECT event_id, x, CASE WHEN regexp_full_match(x, '-?[0-9]+(\.[0-9]+)?') THEN CAST(x AS DOUBLE) END AS number, CASE WHEN regexp_full_match(x, '[0-9]{4}-[0-9]{2}-[0-9]{2}') THEN TRY_CAST(x AS DATE) END AS day,
   CASE lower(x) WHEN 'true' THEN true WHEN 'false' THEN false ELSE true END AS flag, CASE WHEN x IN ('exact', 'street', 'locality', 'routing_key', 'county') THEN x ELSE 'locality' END AS confidence,
   nullif(array_to_string(list_filter(list_transform(string_split(x, ','), lambda w: trim(w)), lambda w: w <> ''), '|'), '') AS words,
   CASE WHEN regexp_full_match(x, '-?[0-9]{1,3}(\.[0-9]+)?,-?[0-9]{1,2}(\.[0-9]+)?') AND abs(TRY_CAST(split_part(x, ',', 1) AS DOUBLE)) <= 180 AND abs(TRY_CAST(split_part(x, ',', 2) AS DOUBLE)) <= 90 THEN CAST(split_part(x, ',', 1) AS DOUBLE) END AS lon
 FROM g"""
 )
 def lenient_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every parser of search parameters over every text: what doesn't parse falls back to null or the default."""
-    given, x = spark.range(1).select(F.explode(F.array(*map(F.lit, GIVEN))).alias("x")), F.col("x")
+    """Every parser of search parameters over the texts of every event: what doesn't parse falls back to null or the default."""
+    events = B.read(spark, sf_dir, "events").withColumns({"k": F.get_json_object("props", "$.k").cast("long"), "d": F.date_format("ts", "yyyy-MM-dd")})
+    given, x = events.select("event_id", F.expr(_GIVEN).alias("x")), F.col("x")
     words = F.array_join(X.lenient_list(x), "|")
-    return given.select("x", X.lenient_number(x).alias("number"), X.lenient_date(x).alias("day"), X.lenient_flag(x, True).alias("flag"), X.lenient_confidence(x).alias("confidence"), words.alias("words"), X.lenient_point(x)["lon"].alias("lon"))
+    return given.select("event_id", "x", X.lenient_number(x).alias("number"), X.lenient_date(x).alias("day"), X.lenient_flag(x, True).alias("flag"), X.lenient_confidence(x).alias("confidence"), words.alias("words"), X.lenient_point(x)["lon"].alias("lon"))
 
 
 TILE = (6, 30, 20)

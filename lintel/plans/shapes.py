@@ -53,10 +53,12 @@ def _clip(ring: str, axis: str, at: str, above: bool) -> str:
 
 
 _BOTH = lambda ring, axis, at: f"unnest([{_clip(ring, axis, at, False)}, {_clip(ring, axis, at, True)}])"
+#: Of a run of corners on the line, the first and the last.
+_THINNED = lambda axis, at: f"list_filter(p, lambda v, i: NOT (v.{axis} = {at} AND p[CASE WHEN i = 1 THEN len(p) ELSE i - 1 END].{axis} = {at} AND p[CASE WHEN i = len(p) THEN 1 ELSE i + 1 END].{axis} = {at}))"
 _PARTS = f"""part AS (SELECT area_id, ring FROM ring UNION ALL
-  SELECT area_id, list_append(p, p[1]) FROM (SELECT area_id, {_BOTH('half', 'y', 'cy')} AS p FROM (
-    SELECT area_id, cy, list_append(p, p[1]) AS half FROM (SELECT area_id, cy, {_BOTH('ring', 'x', 'cx')} AS p FROM (
-      SELECT area_id, ring, floor((x0 + x1) / 2) + 0.5 AS cx, floor((y0 + y1) / 2) + 0.5 AS cy FROM (SELECT area_id, ring, {_BOX} FROM part) WHERE len(ring) - 1 > {MOST} AND greatest(x1 - x0, y1 - y0) > 2)) WHERE len(p) >= 3)) WHERE len(p) >= 3)"""
+  SELECT area_id, list_append(p, p[1]) FROM (SELECT area_id, {_THINNED('y', 'cy')} AS p FROM (SELECT area_id, cy, {_BOTH('half', 'y', 'cy')} AS p FROM (
+    SELECT area_id, cy, list_append(p, p[1]) AS half FROM (SELECT area_id, cy, {_THINNED('x', 'cx')} AS p FROM (SELECT area_id, cx, cy, {_BOTH('ring', 'x', 'cx')} AS p FROM (
+      SELECT area_id, ring, floor((x0 + x1) / 2) + 0.5 AS cx, floor((y0 + y1) / 2) + 0.5 AS cy FROM (SELECT area_id, ring, {_BOX} FROM part) WHERE len(ring) - 1 > {MOST} AND greatest(x1 - x0, y1 - y0) > 2))) WHERE len(p) >= 3))) WHERE len(p) >= 3)"""
 
 
 @query(

@@ -7,7 +7,8 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lintel.operators.register import RAW
@@ -38,27 +39,57 @@ def _header_of(spark: SparkSession, path: str) -> list[str]:
     return list(found) if found else []
 
 
+def _quotes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines of scanned blocks with their place in the block, the quotes before them there, and how many lines up to them begin after an even number of quotes."""
+    now, seq, quotes, evens = None, 0, 0, 0
+    for batch in batches:
+        out = []
+        for file, block, line in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (file, block) != now:
+                now, seq, quotes, evens = (file, block), 0, 0, 0
+            evens += quotes % 2 == 0
+            n = line.count(b'"')
+            out.append((seq, quotes, evens, n))
+            seq, quotes = seq + 1, quotes + n
+        more = [pa.array([r[i] for r in out], pa.int64()) for i in range(4)]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *more], ["file", "block", "line", "seq", "before", "evens", "quotes"])
+
+
+def quoted_records(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line_no, record) of text files whose quoted fields may hold line ends; ``line_no`` is that of a record's last line. Bytes are read as Latin-1.
+
+    Any number of tasks scan a file, each a range of its bytes. Whether a line begins inside quotes follows from the number of quotes
+    before it: those of its block, and those of the blocks before, which are added up block by block. So do line and record numbers.
+    A record of one line is whole where it was read; only lines of longer records are brought together.
+    """
+    lines = spark.read.text(path, lineSep="\n").select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("line"))
+    placed = lines.mapInArrow(_quotes, "file string, block long, line binary, seq long, before long, evens long, quotes long")
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    upto = lambda c: F.coalesce(F.sum(c).over(earlier), F.lit(0))
+    blocks = placed.groupBy("file", "block").agg(F.count("*").alias("lines"), F.sum("quotes").alias("all_quotes"), F.max("evens").alias("all_evens"))
+    blocks = blocks.withColumns({"odd": upto("all_quotes") % 2 == 1, "lines_before": upto("lines")})
+    blocks = blocks.withColumn("starts_before", upto(F.when(F.col("odd"), F.col("lines") - F.col("all_evens")).otherwise(F.col("all_evens")))).select("file", "block", "odd", "lines_before", "starts_before")
+    met = placed.join(blocks, ["file", "block"]).withColumn("text", F.decode("line", "ISO-8859-1"))
+    begins = (F.col("before") % 2 == 1) == F.col("odd")
+    starts = F.when(F.col("odd"), F.col("seq") + 1 - F.col("evens")).otherwise(F.col("evens"))
+    met = met.select("file", (F.col("lines_before") + F.col("seq") + 1).alias("line_no"), (F.col("starts_before") + starts).alias("nth"), (begins & (F.col("quotes") % 2 == 0)).alias("whole"), "text")
+    several = met.filter("not whole").groupBy("file", "nth").agg(F.max("line_no").alias("line_no"), F.sort_array(F.collect_list(F.struct("line_no", "text"))).alias("s"))
+    joined = several.select("file", "line_no", F.array_join("s.text", "\n").alias("record"))
+    records = met.filter("whole").select("file", "line_no", F.col("text").alias("record")).unionByName(joined)
+    return records.withColumn("record", F.regexp_replace("record", "\r(?=\n|$)", "")).filter("record <> ''")
+
+
 def register(spark: SparkSession, path: str) -> DataFrame:
-    """(line_no, nine raw fields, extra) of a register file in Windows-1252. Fields may hold line ends, so line numbers are counted by
-    one task a file, which only passes lines through. ``n_fields`` is for the check that follows."""
+    """(nine raw fields, n_fields, line_no) of register files in Windows-1252, each read by many tasks. ``n_fields`` is for the check that follows."""
     header = _header_of(spark, path)
     if tuple(header) != REGISTER_HEADER:
         raise HeaderMismatchError(f"unexpected register header: {header!r}")
-    names = [*RAW, *(f"extra{i}" for i in range(3))]
-    shape = ", ".join(f"{n} string" for n in names)
-    rows = spark.read.csv(path, schema=shape, encoding="iso-8859-1", header=True, multiLine=True, enforceSchema=True, quote='"', escape='"', mode="PERMISSIVE", nullValue="\u0000", emptyValue="")
-    ends = sum((F.char_length(F.coalesce(F.col(c), F.lit(""))) - F.char_length(F.regexp_replace(F.coalesce(F.col(c), F.lit("")), "\n", "")) for c in RAW), F.lit(0))
-
-    def numbered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        line = 1
-        for batch in batches:
-            at = batch["_ends"].cumsum() + range(1, len(batch) + 1) + line
-            line = int(at.iloc[-1]) if len(batch) else line
-            yield batch.assign(line_no=at.astype("int64")).drop(columns="_ends")
-
-    count = sum((F.col(n).isNotNull().cast("int") for n in names), F.lit(0))
-    rows = rows.select(*(western(F.col(c)).alias(c) for c in RAW), count.alias("n_fields"), ends.cast("int").alias("_ends"))
-    return rows.mapInPandas(numbered, ", ".join(f"{n} string" for n in RAW) + ", n_fields int, line_no long")
+    options = {"quote": '"', "escape": '"', "mode": "PERMISSIVE", "nullValue": "\0", "emptyValue": "", "multiLine": "true"}
+    # commas outside quotes part fields; an empty field without quotes is empty too, and null only where the record ends before it
+    commas = F.regexp_replace(F.regexp_replace("record", '"(?:[^"]|"")*+"', ""), "[^,]", "")
+    rows = quoted_records(spark, path).filter("line_no > 1").select("line_no", (F.char_length(commas) + 1).alias("n_fields"), F.from_csv("record", ", ".join(f"{n} string" for n in RAW), options).alias("r"))
+    field = lambda i, c: F.when(F.col("n_fields") > i, F.coalesce(western(F.col(f"r.{c}")), F.lit(""))).alias(c)
+    return rows.select(*(field(i, c) for i, c in enumerate(RAW)), "n_fields", "line_no")
 
 
 def wrong_widths(rows: DataFrame) -> DataFrame:
@@ -86,16 +117,10 @@ def unzipped(spark: SparkSession, path: str, only: str = ".csv") -> DataFrame:
 def single_csv(spark: SparkSession, path: str) -> DataFrame:
     """The one CSV of a zip, or the bare file; several are an error."""
     found = unzipped(spark, path)
-    n = F.count("*").over(_per_archive())
+    n = F.count("*").over(Window.partitionBy("archive"))
     return found.withColumn("n", n).withColumn("content", F.when(F.col("n") == 1, F.col("content")).otherwise(F.raise_error(F.concat(F.lit("several CSV files in "), "archive")))).drop("n")
 
 
-def _per_archive():
-    from pyspark.sql import Window as W
-
-    return W.partitionBy("archive")
-
-
 def changed(spark: SparkSession, path: str, runs: DataFrame) -> DataFrame:
     """(path, sha256) of files whose digest is not that of a run that succeeded."""
     files = spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))
@@ -166,4 +191,5 @@ def boundaries(spark: SparkSession, path: str) -> DataFrame:
     """(code, name, parent, rings) of a Parquet export of a boundary layer: shapes without geometry go, a missing code is an error."""
     rows = spark.read.parquet(path).filter("rings is not null")
     code = F.when(F.col("code").isNotNull(), F.col("code")).otherwise(F.raise_error(F.lit("a boundary has no code")))
-    return rows.withColumn("code", code).groupBy("code").agg(F.first("name", ignorenulls=True).alias("name"), F.first("parent", ignorenulls=True).alias("parent"), F.flatten(F.collect_list("rings")).alias("rings"))
+    # a code in several rows: its first name and parent in order, and all its rings in order
+    return rows.withColumn("code", code).groupBy("code").agg(F.min("name").alias("name"), F.min("parent").alias("parent"), F.flatten(F.array_sort(F.collect_list("rings"))).alias("rings"))

@@ -47,17 +47,17 @@ def sessions(stream: DataFrame, gap: str = "30 minutes") -> DataFrame:
 
 
 class _Views(StatefulProcessor):
-    """Keeps, for each user and item, when the last view that counts was: one number a pair, never dropped (the README names it)."""
+    """Keeps, for each user and item, when the last view that counts was. A timer ends that state once the watermark is a gap later: whatever comes then counts anyway."""
 
     def __init__(self, gap_s: int) -> None:
         self.gap_us = gap_s * 1_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "us long")
+        self.handle, self.last = handle, handle.getValueState("last", "us long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         held = self.last.get()
-        last = held[0] if held else None
+        before = last = held[0] if held else None
         # a key's rows of a micro-batch may come in several Arrow batches, in any order
         batch = pd.concat(list(rows)).sort_values(["us", "event_id"])
         kept = []
@@ -66,9 +66,20 @@ class _Views(StatefulProcessor):
             kept.append(counts)
             last = int(us) if counts else last
         yield pd.DataFrame({"event_id": batch["event_id"].to_numpy(), "kept": kept})
-        if last is not None:
+        if last is not None and last != before:
+            if before is not None:
+                self.handle.deleteTimer(self._ends(before))
+            self.handle.registerTimer(self._ends(last))
             self.last.update((last,))
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.last.clear()
+        return iter(())
+
+    def _ends(self, us: int) -> int:
+        """In milliseconds, rounded up and past the gap."""
+        return (us + self.gap_us) // 1000 + 1
+
     def close(self) -> None:
         pass
 
@@ -76,10 +87,11 @@ class _Views(StatefulProcessor):
 def counted_views(stream: DataFrame, gap_s: int = 1800) -> DataFrame:
     """The sequential view rule with state: a view counts if no counted one of its user and type lies within the gap before it.
 
-    Views of one micro-batch are judged in the order of their times.
+    Views of one micro-batch are judged in the order of their times; views behind the watermark are late and left out, as in all streams
+    here. A key's state goes when the watermark is a gap past its last counted view.
     """
-    rows = stream.select("user_id", "event_type", "event_id", F.unix_micros("ts").alias("us"))
-    return rows.groupBy("user_id", "event_type").transformWithStateInPandas(_Views(gap_s), "event_id long, kept boolean", "Append", "None")
+    rows = stream.select("user_id", "event_type", "event_id", "ts", F.unix_micros("ts").alias("us"))
+    return rows.groupBy("user_id", "event_type").transformWithStateInPandas(_Views(gap_s), "event_id long, kept boolean", "Append", "EventTime")
 
 
 def alerts(stream: DataFrame, matching: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> StreamingQuery:
