@@ -22,11 +22,38 @@ def vat_table(spark: SparkSession) -> DataFrame:
     return spark.range(1, numPartitions=1).select(F.inline(F.array(*rows)))
 
 
-def with_vat_rate(sales: DataFrame, spark: SparkSession) -> DataFrame:
+class RatesError(ValueError):
+    """The file of rates is not what it should be: better no rate than a wrong one."""
+
+
+DWELLINGS = ("any", "qualifying_apartment")
+
+
+def read_rates(spark: SparkSession, path: str) -> DataFrame:
+    """The table of rates from a file with a JSON object a line: applies_from, applies_to (null if open), dwelling and rate, and nothing else.
+
+    A line with other fields, a day or rate that can't be read, an unknown dwelling, a rate outside 0 to 1, a range that ends before it begins, or a
+    file without a general rate is an error that names the line.
+    """
+    names = ("applies_from", "applies_to", "dwelling", "rate")
+    of = lambda c: F.get_json_object("value", f"$.{c}")
+    rows = spark.read.text(path).filter("trim(value) <> ''")
+    rows = rows.select("value", F.json_object_keys("value").alias("keys"), of("applies_from").try_cast("date").alias("applies_from"), of("applies_to").alias("to"), of("applies_to").try_cast("date").alias("applies_to"), of("dwelling").alias("dwelling"), of("rate").try_cast("decimal(5,4)").alias("rate"))
+    known = F.coalesce(F.size(F.array_except("keys", F.array(*map(F.lit, names)))) == 0, F.lit(False)) & F.arrays_overlap("keys", F.array(F.lit("rate")))
+    fits = F.col("applies_from").isNotNull() & (F.col("to").isNull() | (F.col("applies_to") >= F.col("applies_from"))) & F.col("dwelling").isin(*DWELLINGS) & F.col("rate").between(0, 1)
+    bad = rows.filter(~(known & F.coalesce(fits, F.lit(False)))).select("value").first()
+    if bad:
+        raise RatesError(f"not a rate: {bad['value']}")
+    if rows.filter("dwelling = 'any'").isEmpty():
+        raise RatesError("no general rate")
+    return rows.select(*names)
+
+
+def with_vat_rate(sales: DataFrame, spark: SparkSession, rates: DataFrame | None = None) -> DataFrame:
     """Adds rate: that of the sale's day and dwelling; the dwelling's own before the general one, the latest if several apply. Needs row_id, sale_date,
-    dwelling. The table of rates is a handful of rows by law, so it is sent to all."""
+    dwelling. ``rates``: those of ``read_rates``, else the ones in force here. They are a handful of rows by law, so they are sent to all."""
     live = (F.col("applies_from") <= F.col("sale_date")) & (F.col("applies_to").isNull() | (F.col("sale_date") <= F.col("applies_to")))
-    rates = F.broadcast(vat_table(spark).withColumnRenamed("dwelling", "for_dwelling"))
+    rates = F.broadcast((vat_table(spark) if rates is None else rates).withColumnRenamed("dwelling", "for_dwelling"))
     met = sales.join(rates, live & F.col("for_dwelling").isin("any") | live & (F.col("for_dwelling") == F.col("dwelling")), "left")
     best = met.groupBy(*sales.columns).agg(F.max(F.struct((F.col("for_dwelling") != "any").alias("special"), "applies_from", "rate")).alias("b"))
     return best.select(*sales.columns, F.col("b.rate").alias("rate"))

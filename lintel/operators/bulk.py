@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 BIG_CENTS, LEAST_PROPERTIES, LEAST_SAME_LOCALITY, ROUND_CENTS = 500_000_000, 3, 3, 100_000
@@ -12,20 +13,18 @@ def bulk_groups(sales: DataFrame, big: int = BIG_CENTS, least: int = LEAST_PROPE
     """(sale_id, group_id, group_size). ``sales``: sale_id, property_id, sale_date, cents, county, locality; withdrawn ones left out.
 
     Big prices group across counties from two properties on. Others group within a county from ``least`` properties on, if the price is no
-    multiple of ``whole`` or ``same`` of the properties are in one locality. Counts are aggregated by locality, then by county, then by
-    price: three small group-bys that share the shuffle on day and price, instead of joins of the sales with themselves.
+    multiple of ``whole`` or ``same`` of the properties are in one locality. A property lies in one locality of one county, so properties are counted
+    by day, price and locality once; counties and prices add those counts up within one shuffle by day and price, and only
+    the few localities with a group meet the sales again.
     """
     price = ["sale_date", "cents"]
-    by_place = sales.groupBy(*price, "county", "locality", "property_id").agg(F.lit(1).alias("one")).groupBy(*price, "county", "locality").agg(F.count("*").alias("n"))
-    by_property = sales.select(*price, "county", "property_id").distinct()
-    by_county = by_property.groupBy(*price, "county").agg(F.count("*").alias("n"))
-    by_price = by_property.select(*price, "property_id").distinct().groupBy(*price).agg(F.count("*").alias("n"))
-    large = by_price.filter((F.col("cents") > big) & (F.col("n") >= 2)).select(*price, F.lit("*").alias("scope"))
-    most = by_place.groupBy(*price, "county").agg(F.max("n").alias("most"))
-    local = by_county.filter(F.col("n") >= least).join(most, [*price, "county"]).filter((F.col("cents") % whole != 0) | (F.col("most") >= same))
-    members = sales.join(large, price).select("sale_id", *price, "scope")
-    rest = sales.join(large, price, "left_anti").join(local, [*price, "county"]).select("sale_id", *price, F.col("county").alias("scope"))
-    found = members.unionByName(rest)
-    sizes = found.groupBy(*price, "scope").agg(F.count("*").alias("group_size"))
+    places = sales.groupBy(*price, "county", "locality").agg(F.count_distinct("property_id").alias("n"), F.count("*").alias("k"))
+    whole_price, county = W.partitionBy(*price), W.partitionBy(*price, "county")
+    counted = places.select(*price, "county", "locality", *(f(c).over(w).alias(name) for f, c, w, name in ((F.sum, "n", whole_price, "n"), (F.sum, "k", whole_price, "k"), (F.sum, "n", county, "n_county"), (F.max, "n", county, "most"), (F.sum, "k", county, "k_county"))))
+    large = (F.col("cents") > big) & (F.col("n") >= 2)
+    local = (F.col("n_county") >= least) & ((F.col("cents") % whole != 0) | (F.col("most") >= same))
+    scope = F.when(large, F.lit("*")).when(local, F.col("county"))
+    groups = counted.select(F.col("sale_date").alias("_d"), F.col("cents").alias("_c"), F.col("county").alias("_p"), F.col("locality").alias("_l"), scope.alias("scope"), F.when(large, F.col("k")).otherwise(F.col("k_county")).alias("group_size")).filter("scope is not null")
+    met = sales.join(groups, (F.col("sale_date") == F.col("_d")) & (F.col("cents") == F.col("_c")) & F.col("county").eqNullSafe(F.col("_p")) & F.col("locality").eqNullSafe(F.col("_l")))
     name = F.concat_ws("|", F.col("sale_date").cast("string"), F.col("cents").cast("string"), "scope")
-    return found.join(sizes, [*price, "scope"]).select("sale_id", F.conv(F.substring(F.md5(name), 1, 15), 16, 10).cast("long").alias("group_id"), "group_size")
+    return met.select("sale_id", F.conv(F.substring(F.md5(name), 1, 15), 16, 10).cast("long").alias("group_id"), "group_size")

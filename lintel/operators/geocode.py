@@ -42,6 +42,37 @@ def query_parts(display: Column, county: Column) -> Column:
     return T.let(cleaned, lambda ps: F.filter(ps, lambda p, i: (i == 0) | (T.fold(p) != T.fold(F.get(ps, i - 1)))))
 
 
+def town_parts(parts: Column, county: Column) -> Column:
+    """The parts that may name an address's town, the likeliest first: the last one, or the one before a closing county name and that name, which towns bear too.
+    An address of one part has none."""
+    size = F.size(parts)
+    last = F.get(parts, size - 1)
+    two = F.when(size > 2, F.array(F.get(parts, size - 2), last)).otherwise(F.array(last))
+    return F.when(size < 2, F.slice(parts, 1, 0)).when(T.fold(last) == county, two).otherwise(F.array(last))
+
+
+def usual_reason(attempts: DataFrame) -> DataFrame:
+    """(property_id, reason, n): why most attempts of a property were refused; of equally frequent reasons the one that came first. ``attempts``:
+    property_id, attempt_id, reason."""
+    counted = attempts.groupBy("property_id", "reason").agg(F.count("*").alias("n"), F.min("attempt_id").alias("first"))
+    return counted.groupBy("property_id").agg(F.max(F.struct("n", (-F.col("first")).alias("back"), "reason")).alias("m")).select("property_id", "m.reason", "m.n")
+
+
+def rechecked(placed: DataFrame, attempts: DataFrame) -> DataFrame:
+    """(property_id, reason): earlier placements on a building that today's rules refuse. Their properties go through the later steps again.
+
+    ``type``: the building is not a home. ``town``: the query that found it asks for the address's town alone, so that a building is named
+    like a town. ``placed``: property_id, address, county, level, building (null if it was no building), locked; places set by hand
+    and others than streets stay. ``attempts``: property_id, attempt_id, query, accepted: a property's last accepted one counts.
+    """
+    asked = placed.filter(~F.col("locked") & (F.col("level") == STREET) & F.col("building").isNotNull())
+    last = attempts.filter("accepted").groupBy("property_id").agg(F.max_by("query", "attempt_id").alias("query"))
+    met = asked.join(last, "property_id", "left")
+    towns = town_parts(query_parts(F.col("address"), F.col("county")), F.col("county"))
+    reason = F.when(~F.col("building").isin(*HOME_KINDS), "type").when(F.array_contains(towns, F.col("query")), "town")
+    return met.select("property_id", reason.alias("reason")).filter("reason is not null")
+
+
 def ladder(parts: Column, county: Column) -> Column:
     """(step, query, part) from the whole address down to the town. A closing bare county name is tried with and without, never alone."""
 

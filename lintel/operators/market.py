@@ -51,6 +51,15 @@ def previous_plain(sales: DataFrame) -> DataFrame:
     return out.select("*", F.col("before.sale_date").alias("prev_date"), F.col("before.cents").alias("prev_cents"), F.col("before.sale_id").alias("prev_sale_id")).drop("before")
 
 
+def previous_where(rows: DataFrame, sales: DataFrame, condition: Column) -> DataFrame:
+    """``rows`` (sale_id, property_id, sale_date, …) with prev_date and prev_cents: the latest plain sale of the property on an earlier day, looked up only for
+    rows that meet ``condition``. The condition is part of the join, so that other rows stay without meeting any sale."""
+    plain = sales.filter(is_plain()).select(F.col("property_id").alias("_p"), F.col("sale_date").alias("_d"), F.col("sale_id").alias("_s"), F.col("cents").alias("_c"))
+    met = rows.join(plain, condition & (F.col("property_id") == F.col("_p")) & (F.col("_d") < F.col("sale_date")), "left")
+    best = met.groupBy(*rows.columns).agg(F.max(F.when(F.col("_d").isNotNull(), F.struct("_d", "_s", "_c"))).alias("_b"))
+    return best.select(*rows.columns, F.col("_b._d").alias("prev_date"), F.col("_b._c").alias("prev_cents"))
+
+
 def listed_change(sales: DataFrame) -> DataFrame:
     """Adds older_cents: the price of the row just below in a property's list, newest first, if both rows are plain."""
     w = W.partitionBy("property_id").orderBy(F.desc("sale_date"), F.desc("sale_id"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lintel.functions.quantiles import selected
 from lintel.functions.text import csv_safe
 
 VIEW_GAP_S, IDLE_DAYS, TOUCH_S, NEWEST, KEEP_DAYS = 1800, 14, 300, 200, 365
@@ -92,11 +93,11 @@ def private_history(searches: DataFrame) -> DataFrame:
     return masked.groupBy("user_id", "params").agg(F.max("ts").alias("ts"), F.count("*").alias("times"))
 
 
-def export(rows: DataFrame, most: int, notice: str) -> DataFrame:
-    """Rows of a CSV file as one text column: capped by role (a feature), guarded against formulas, each with the notice's licence."""
+def export(rows: DataFrame, most: int, notice: str, *order: str) -> DataFrame:
+    """The first rows by ``order`` as lines of a CSV file: capped by role (a feature), guarded against formulas, each with the notice's licence."""
     cells = [F.coalesce(csv_safe(F.col(c).cast("string")), F.lit("")) for c in rows.columns]
     quoted = [F.when(x.rlike('[",\\n\\r]'), F.concat(F.lit('"'), F.regexp_replace(x, '"', '""'), F.lit('"'))).otherwise(x) for x in cells]
-    return rows.limit(most).select(F.concat_ws(",", *quoted, F.lit(notice)).alias("line"))
+    return rows.orderBy(*order).limit(most).select(F.concat_ws(",", *quoted, F.lit(notice)).alias("line"))
 
 
 def summaries(properties: DataFrame, sales: DataFrame, area_stats: DataFrame, areas: DataFrame, vicinity: DataFrame) -> DataFrame:
@@ -126,7 +127,9 @@ def summaries(properties: DataFrame, sales: DataFrame, area_stats: DataFrame, ar
 
 
 def profile(rows: DataFrame, value: str, by: str) -> DataFrame:
-    """A data report by year: counts, missing values, distinct keys and quantiles."""
-    return rows.groupBy(by).agg(
-        F.count("*").alias("n"), F.count_if(F.col(value).isNull()).alias("missing"), F.count_distinct(value).alias("distinct"), F.min(value).alias("least"), F.max(value).alias("most"), F.percentile(value, F.array(F.lit(0.01), F.lit(0.5), F.lit(0.99))).alias("q")
-    ).select(by, "n", "missing", "distinct", "least", "most", *(F.floor(F.col("q")[i] + 0.5).cast("long").alias(f"p{p}") for i, p in enumerate((1, 50, 99))))
+    """A data report by year: counts, missing values, distinct values and quantiles. Values are counted before they meet, and no task holds a year's values."""
+    counted = rows.groupBy(by, value).agg(F.count("*").alias("k"))
+    held = F.col(value).isNotNull()
+    totals = counted.groupBy(by).agg(F.sum("k").alias("rows"), F.coalesce(F.sum(F.when(~held, F.col("k"))), F.lit(0)).alias("missing"), F.count_if(held).alias("distinct"), F.min(value).alias("least"), F.max(value).alias("most"))
+    found = totals.join(selected(counted.filter(held), [by], (0.01, 0.5, 0.99), value).withColumnRenamed(by, "_by"), F.col(by).eqNullSafe(F.col("_by")), "left")
+    return found.select(by, F.col("rows").alias("n"), "missing", "distinct", "least", "most", *(F.floor(F.col("q")[i] + 0.5).cast("long").alias(f"p{p}") for i, p in enumerate((1, 50, 99))))

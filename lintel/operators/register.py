@@ -142,3 +142,24 @@ def retired(held: DataFrame, moves: DataFrame, staged: DataFrame) -> DataFrame:
     origins = after.unionByName(fresh).groupBy("at").agg(F.count_distinct(F.coalesce("was", F.lit(""))).alias("origins"), F.min(F.coalesce("was", F.lit(""))).alias("origin"))
     met = into.join(origins, F.col("new_id") == F.col("at"))
     return met.select("old_id", "new_id", ((F.col("origins") == 1) & (F.col("origin") == F.col("old_id"))).alias("inherits"))
+
+
+def hidden_after(properties: DataFrame, moves: DataFrame) -> DataFrame:
+    """``properties`` (public_id, suppressed, …): a home hidden on request stays hidden wherever its sales go."""
+    hidden = moves.join(properties.filter("suppressed").select(F.col("public_id").alias("old_id")), "old_id", "left_semi").select(F.col("new_id").alias("_to")).distinct()
+    met = properties.join(hidden, F.col("public_id") == F.col("_to"), "left")
+    return met.select(*((F.col("suppressed") | F.col("_to").isNotNull()).alias(c) if c == "suppressed" else F.col(c) for c in properties.columns))
+
+
+def repointed(items: DataFrame, retired: DataFrame, owner: str | None = None) -> DataFrame:
+    """``items`` (public_id, …) that follow the homes that went into others (``retired``: old_id, new_id).
+
+    With ``owner``, an owner keeps at most one item a home: who holds one of the new home already loses that of the old one, and of several that
+    come together the first by old identifier stays.
+    """
+    met = items.join(retired.select("old_id", "new_id"), F.col("public_id") == F.col("old_id"), "left")
+    moved = met.withColumn("_moved", F.col("new_id").isNotNull()).withColumn("_was", F.col("public_id")).withColumn("public_id", F.coalesce("new_id", "public_id"))
+    if owner is None:
+        return moved.select(*items.columns)
+    order = W.partitionBy(owner, "public_id").orderBy("_moved", "_was")
+    return moved.withColumn("_nth", F.row_number().over(order)).filter("not _moved or _nth = 1").select(*items.columns)

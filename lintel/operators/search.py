@@ -6,6 +6,7 @@ import math
 import re
 from dataclasses import dataclass, fields
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -93,6 +94,49 @@ def near_box(lon: float, lat: float, radius_m: int) -> tuple[float, float, float
     return lon - dx, lat - dy, lon + dx, lat + dy
 
 
+#: Where every place lies, and by how many degrees boxes of areas are widened: outlines are simplified, and places may lie a little outside their county.
+WHOLE_MAP, AREA_MARGIN, COUNTY_MARGIN = (-11.0, 51.0, -5.0, 56.0), 0.01, 0.05
+SIDES = ("west", "south", "east", "north")
+
+
+def circle_box(lon: Column, lat: Column, radius_m: Column) -> Column:
+    """``near_box`` of columns."""
+    dy = radius_m / 111_000
+    dx = F.least(dy / F.cos(F.radians(F.least(F.abs(lat) + dy, F.lit(89.9)))), F.lit(180.0))
+    return F.struct((lon - dx).alias("west"), (lat - dy).alias("south"), (lon + dx).alias("east"), (lat + dy).alias("north"))
+
+
+def envelopes(asked: DataFrame, areas: DataFrame, keys: DataFrame) -> DataFrame:
+    """(ask_id, west, south, east, north): the smallest box that can hold all matches of each asked search; none where the filters can't match anything.
+
+    ``asked``: ask_id and, null where not asked for, county and area (area_id), routing_key, a circle (lon, lat, radius_m) and a map's box (west, south,
+    east, north). ``areas``: area_id, kind and a box; ``keys``: routing_key and a box. Each filter's box cuts the whole map's; an area or
+    key without a box, or boxes that don't meet, leave no row.
+    """
+    box = F.struct(*SIDES)
+    widened = lambda b, by: F.struct(*((b[s] + (by if i > 1 else -by)).alias(s) for i, s in enumerate(SIDES)))
+    known = areas.select("area_id", "kind", box.alias("b"))
+    county = known.filter("kind = 'county'").select(F.col("area_id").alias("county"), F.col("b").alias("_county"))
+    area = known.select(F.col("area_id").alias("area"), F.col("b").alias("_area"), (F.col("kind") == "county").alias("_wide"))
+    met = asked.join(county, "county", "left").join(area, "area", "left").join(keys.select("routing_key", box.alias("_key")), "routing_key", "left")
+    circle = F.when(F.col("lon").isNotNull() & F.col("lat").isNotNull(), circle_box(F.col("lon"), F.col("lat"), F.coalesce("radius_m", F.lit(1000))))
+    found = {
+        "county": F.when(F.col("_county").isNotNull(), widened(F.col("_county"), COUNTY_MARGIN)),
+        "area": F.when(F.col("_area").isNotNull(), widened(F.col("_area"), F.when(F.col("_wide"), COUNTY_MARGIN).otherwise(AREA_MARGIN))),
+        "routing_key": F.col("_key"),
+        "lon": circle,
+        "west": F.when(F.col("west").isNotNull(), box),
+    }
+    possible = _all_of([F.col(c).isNull() | (b.isNotNull() & b["west"].isNotNull()) for c, b in found.items()])
+    parts = F.array_compact(F.array(F.struct(*(F.lit(v).alias(s) for v, s in zip(WHOLE_MAP, SIDES, strict=True))), *found.values()))
+    cut = [(F.array_max if i < 2 else F.array_min)(F.transform(parts, lambda b: b[s])).alias(s) for i, s in enumerate(SIDES)]  # noqa: B023
+    return met.filter(possible).select("ask_id", *cut).filter("west <= east and south <= north")
+
+
+def _all_of(conditions: list[Column]) -> Column:
+    return reduce(Column.__and__, conditions)
+
+
 def in_box(box: tuple[float, float, float, float]) -> Column:
     return F.col("lon").between(box[0], box[2]) & F.col("lat").between(box[1], box[3])
 

@@ -73,6 +73,12 @@ def within(points: DataFrame, targets: DataFrame, key: str, radius_m: int) -> Da
     return met.filter(F.col("m") <= radius_m).drop("c", "tlon", "tlat", "lon", "lat")
 
 
+def counts_object(near: DataFrame, key: str, kind: str = "kind") -> DataFrame:
+    """(key, amenities): how many targets of each kind ``within`` found, as one JSON object in the order of kinds. Kinds are few."""
+    counts = near.groupBy(key, kind).agg(F.count("*").alias("n"))
+    return counts.groupBy(key).agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct(kind, "n"))))).alias("amenities"))
+
+
 def covered(polygons: DataFrame, size: float, buffer: float = 0.0) -> DataFrame:
     """Polygons once for each cell that their box (widened by ``buffer``) touches. ``ring``: closed array of (x, y)."""
     low, high = (lambda d: F.array_min(F.transform("ring", lambda p: p[d])) - buffer), (lambda d: F.array_max(F.transform("ring", lambda p: p[d])) + buffer)

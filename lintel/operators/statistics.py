@@ -41,6 +41,50 @@ def rolling(fanned: DataFrame, sales: DataFrame, months: int = 12) -> DataFrame:
     return stats.withColumn("provisional", F.date_sub(F.add_months("period", 1), 1) >= F.add_months("last_month", -1)).drop("last_month")
 
 
+def rolling_last(fanned: DataFrame, sales: DataFrame, months: int = 12) -> DataFrame:
+    """(area_id, segment, period, n, median, p25, p75, mean) of the one window that ends with the latest month: only its sales are counted, once."""
+    end = register_end(sales)
+    rows = fanned.filter("detail").join(F.broadcast(end)).filter(F.col("sale_date") >= F.add_months("last_month", 1 - months))
+    return group_stats(rows, ["area_id", "segment"]).join(F.broadcast(end)).withColumnRenamed("last_month", "period")
+
+
+def register_version(sales: DataFrame, runs: DataFrame, run: int) -> DataFrame:
+    """One row: the latest sale, the first provisional day, and a version that names the register (its latest sale and the run that read it) and this run
+    of the statistics, so that new figures of an old register have a version of their own. ``runs``: run_id, kind, status. No sales: an error."""
+    last = sales.filter(~F.col("withdrawn")).agg(F.max("sale_date").alias("last_sale"))
+    read = runs.filter("kind = 'register' and status = 'succeeded'").agg(F.max("run_id").alias("run_id"))
+    known = F.when(F.col("last_sale").isNull(), F.raise_error(F.lit("no sales are loaded"))).otherwise(F.col("last_sale")).alias("last_sale")
+    version = F.concat(F.date_format("last_sale", "yyyy-MM-dd"), F.lit(".r"), F.coalesce(F.col("run_id").cast("string"), F.lit("none")), F.lit(f".a{run}"))
+    return last.select(known).join(F.broadcast(read)).select("last_sale", F.add_months(F.trunc("last_sale", "MM"), -1).alias("provisional_from"), version.alias("version"))
+
+
+def complete_windows(fanned: DataFrame, sales: DataFrame, areas: DataFrame) -> DataFrame:
+    """(area_id, kind, since, until, n, median): figures of each area's latest complete window, twelve months for kinds with ``detail``, else a calendar year.
+
+    Complete means without a provisional month: the last two are. Areas without a sale in their window have n = 0.
+    """
+    ends = register_end(sales).select(F.add_months("last_month", -1).alias("open"))  # the first provisional month
+    kinds = fanned.select("area_id", "detail").distinct()
+    until = F.when(F.coalesce("detail", F.lit(False)), F.date_sub("open", 1)).otherwise(F.date_sub(F.trunc("open", "YEAR"), 1))
+    asked = areas.join(kinds, "area_id", "left").join(F.broadcast(ends)).select("area_id", "kind", F.add_months(F.date_add(until, 1), -12).alias("since"), until.alias("until"))
+    rows = fanned.filter("segment = 'all'").join(asked, "area_id").filter(F.col("sale_date").between(F.col("since"), F.col("until")))
+    found = group_stats(rows, ["area_id"]).select("area_id", "n", "median")
+    return asked.join(found, "area_id", "left").na.fill(0, ["n"])
+
+
+def county_table(fanned: DataFrame, sales: DataFrame, areas: DataFrame, centres: DataFrame, months: int = 12) -> DataFrame:
+    """(area_id, name, n, median, x, y, place): each county's figures over its latest window without a provisional month, most sales first. ``centres``: area_id, x, y.
+
+    The last two months are provisional, so the window ends with the month before them.
+    """
+    end = register_end(sales).select(F.add_months("last_month", -1).alias("until"))
+    rows = fanned.filter("segment = 'all'").join(F.broadcast(areas.filter("kind = 'county'").select("area_id")), "area_id", "left_semi").join(F.broadcast(end))
+    rows = rows.filter((F.col("sale_date") < F.col("until")) & (F.col("sale_date") >= F.add_months("until", -months)))
+    found = group_stats(rows, ["area_id"]).join(areas.select("area_id", "name"), "area_id").join(centres, "area_id", "left")
+    # counties are few: one window without a key numbers them
+    return found.select("area_id", "name", "n", "median", "x", "y", F.row_number().over(W.orderBy(F.desc("n"), "name")).alias("place"))
+
+
 def ancestors(areas: DataFrame) -> DataFrame:
     """(area_id, at, depth): every area with itself and all areas above it, however deep the hierarchy is.
 

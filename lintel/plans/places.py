@@ -56,6 +56,23 @@ def amenities_nearby(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.groupBy("property_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "kind", F.col("n").cast("string")))), ",").alias("amenities"))
 
 
+@query(
+    f"""WITH h AS ({_PRECISE}), n AS (SELECT p.property_id, t.kind, count(*) AS n FROM h p, poi t WHERE {geo.metres_sql(geo.distance_sql('p.lon', 'p.lat', 't.lon', 't.lat'))} <= 10000 GROUP BY ALL)
+SELECT property_id, '{{' || string_agg('"' || kind || '":' || n, ',' ORDER BY kind) || '}}' AS amenities FROM n GROUP BY ALL""",
+    "property poi",
+)
+def amenity_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts by kind within 10 km as a JSON object."""
+    return S.counts_object(S.within(precise(spark, sf_dir), B.places_of_interest(spark, sf_dir), "property_id", 10_000), "property_id")
+
+
+@query("SELECT user_id AS property_id, arg_max(event_type, (n, -least)) AS reason, max(n) AS n FROM (SELECT user_id, event_type, count(*) AS n, min(event_id) AS least FROM events GROUP BY ALL) GROUP BY user_id")
+def usual_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reason most given for each property; of several, the one given first."""
+    attempts = B.read(spark, sf_dir, "events").select(F.col("user_id").alias("property_id"), F.col("event_id").alias("attempt_id"), F.col("event_type").alias("reason"))
+    return G.usual_reason(attempts)
+
+
 #: A rectangle for each nation, overlapping its neighbours; metres in the local frame.
 _BOX = "SELECT 100 + n_nationkey AS area_id, (n_nationkey % 5) * 50000 - 140000 AS x0, (n_nationkey // 5) * 80000 - 220000 AS y0, (n_nationkey % 5) * 50000 - 140000 + 52000 AS x1, (n_nationkey // 5) * 80000 - 220000 + 70000 AS y1 FROM nation"
 

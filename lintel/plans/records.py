@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lintel.functions.quantiles import stats_sql
 from lintel.operators import records as R
 from lintel.operators import statistics as S
 from lintel.sources import binding as B
 
-from .places import vicinity
+from .places import _VICINITY, vicinity
 from .registry import query
 from .searching import _USUAL, matches
-from .statistics import _ROLLING, fanned
+from .statistics import _LAST, fanned
 
 _NOW = "TIMESTAMP '2024-02-01 00:00:00'"
 
@@ -131,33 +132,51 @@ def compare_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 def csv_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Export lines: quoted where needed, formulas disarmed, capped by role."""
     segment = F.when(F.col("c_custkey") % 4 == 0, F.concat(F.lit("="), "c_mktsegment")).otherwise(F.col("c_mktsegment"))
-    rows = B.read(spark, sf_dir, "customer").select("c_custkey", segment.alias("segment"), F.concat("c_name", F.lit(', "x"')).alias("name")).orderBy("c_custkey")
-    return R.export(rows, 500, "Licence A")
+    rows = B.read(spark, sf_dir, "customer").select("c_custkey", segment.alias("segment"), F.concat("c_name", F.lit(', "x"')).alias("name"))
+    return R.export(rows, 500, "Licence A", "c_custkey")
+
+
+#: The property page: its sales newest first, the area whose median is published, and the nearest stop and schools of precisely placed properties.
+_SUMMARY = f"""
+y AS (SELECT area_id, n, median FROM (SELECT area_id, {stats_sql()} FROM sale_area WHERE detail AND segment = 'all' AND sale_date >= {_LAST} - INTERVAL 11 MONTH GROUP BY area_id) WHERE median IS NOT NULL),
+shown AS (SELECT * FROM sale WHERE NOT withdrawn AND NOT possible_duplicate), near AS ({_VICINITY}),
+page AS (SELECT p.property_id, p.address, coalesce(a.name, b.name) AS area, coalesce(a.kind, b.kind) AS kind, coalesce(y.median, z.median) AS median, coalesce(y.n, z.n) AS area_n, stop_m, primary_m, post_primary_m
+  FROM property p LEFT JOIN y ON y.area_id = p.settlement_id LEFT JOIN area a ON a.area_id = y.area_id LEFT JOIN y z ON z.area_id = p.county_id LEFT JOIN area b ON b.area_id = z.area_id LEFT JOIN near ON near.property_id = p.property_id)"""
+
+
+def summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = S.rolling_last(fanned(spark, sf_dir), B.sales(spark, sf_dir))
+    return R.summaries(B.properties(spark, sf_dir), B.sales(spark, sf_dir), stats, B.areas(spark, sf_dir), vicinity(spark, sf_dir))
 
 
 @query(
-    f"""WITH x AS ({_ROLLING}), y AS (SELECT * FROM x WHERE period = (SELECT max(period) FROM x) AND segment = 'all' AND median IS NOT NULL),
-s AS (SELECT property_id, count(*) AS n, arg_max(cents, (sale_date, sale_id)) AS cents FROM sale WHERE NOT withdrawn AND NOT possible_duplicate GROUP BY ALL)
-SELECT property_id, address, CAST(coalesce(s.n, 0) AS INTEGER) AS n, s.cents, coalesce(a.name, b.name) AS area, coalesce(y.median, z.median) AS median
-FROM property p LEFT JOIN s USING (property_id) LEFT JOIN y ON y.area_id = p.settlement_id LEFT JOIN area a ON a.area_id = y.area_id LEFT JOIN y z ON z.area_id = p.county_id LEFT JOIN area b ON b.area_id = z.area_id""",
-    "sale property area sale_area",
+    f"""WITH {_SUMMARY}, s AS (SELECT property_id, count(*) AS n, arg_max(cents, (sale_date, sale_id)) AS cents FROM shown GROUP BY ALL)
+SELECT property_id, address, CAST(coalesce(s.n, 0) AS INTEGER) AS n, s.cents, area, median, stop_m, primary_m, post_primary_m FROM page LEFT JOIN s USING (property_id)""",
+    "sale property area sale_area poi",
 )
 def property_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The JSON payload of every property; read back here, so that the rows compare exactly."""
-    stats = S.rolling(fanned(spark, sf_dir), B.sales(spark, sf_dir))
-    stats = stats.join(F.broadcast(stats.agg(F.max("period").alias("period"))), "period")
-    near = B.properties(spark, sf_dir).select("property_id", F.lit(1).alias("stop_m"), F.lit(2).alias("primary_m"), F.lit(3).alias("post_primary_m"))
-    made = R.summaries(B.properties(spark, sf_dir), B.sales(spark, sf_dir), stats, B.areas(spark, sf_dir), near)
-    read = F.from_json("payload", "address string, latestSale struct<cents: long>, previousSales array<struct<cents: long>>, area struct<name: string, median: long>")
-    return made.select("property_id", read.alias("p")).select("property_id", "p.address", (F.size("p.previousSales") + F.col("p.latestSale").isNotNull().cast("int")).alias("n"), "p.latestSale.cents", F.col("p.area.name").alias("area"), "p.area.median")
+    """The JSON payload of every property, read back."""
+    read = F.from_json("payload", "address string, latestSale struct<cents: long>, previousSales array<struct<cents: long>>, area struct<name: string, median: long>, vicinity struct<stop_m: long, primary_m: long, post_primary_m: long>")
+    pages = summaries(spark, sf_dir).select("property_id", read.alias("p"))
+    n = F.size("p.previousSales") + F.col("p.latestSale").isNotNull().cast("int")
+    return pages.select("property_id", "p.address", n.alias("n"), "p.latestSale.cents", F.col("p.area.name").alias("area"), "p.area.median", "p.vicinity.*")
 
 
-@query()
+_FLAG = lambda c: f"CASE WHEN {c} THEN 'true' ELSE 'false' END"
+_SALE = f"""'{{"date":"' || strftime(sale_date, '%Y-%m-%d') || '","cents":' || cents || ',"flags":{{"notFullMarketPrice":' || {_FLAG('not_full_market')} || ',"vatExclusive":' || {_FLAG('vat_exclusive')} || ',"bulk":' || {_FLAG('bulk_group_id IS NOT NULL')} || '}}}}'"""
+
+
+@query(
+    f"""WITH {_SUMMARY}, s AS (SELECT property_id, list({_SALE} ORDER BY sale_date DESC, sale_id DESC) AS l FROM shown GROUP BY property_id)
+SELECT property_id, '{{' || concat_ws(',', '"id":' || property_id, '"address":"' || address || '"', '"latestSale":' || l[1], '"previousSales":[' || coalesce(array_to_string(l[2:], ','), '') || ']',
+  '"area":{{"name":"' || area || '","kind":"' || kind || '","median":' || median || ',"n":' || area_n || '}}',
+  '"vicinity":{{' || concat_ws(',', '"stop_m":' || stop_m, '"primary_m":' || primary_m, '"post_primary_m":' || post_primary_m) || '}}') || '}}' AS payload
+FROM page LEFT JOIN s USING (property_id)""",
+    "sale property area sale_area poi",
+)
 def property_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same payload as JSON text, with distances to stops and schools of precisely placed properties."""
-    stats = S.rolling(fanned(spark, sf_dir), B.sales(spark, sf_dir))
-    stats = stats.join(F.broadcast(stats.agg(F.max("period").alias("period"))), "period")
-    return R.summaries(B.properties(spark, sf_dir), B.sales(spark, sf_dir), stats, B.areas(spark, sf_dir), vicinity(spark, sf_dir))
+    """The payload as JSON text; absent values are left out."""
+    return summaries(spark, sf_dir)
 
 
 @query(

@@ -142,6 +142,37 @@ def register_retired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.retired(held, R.moved(held, file), file)
 
 
+_RETIRED = """place AS (SELECT coalesce(m.new_id, h.public_id) AS at FROM h LEFT JOIN m USING (row_hash)),
+gone AS (SELECT old_id, arg_max(new_id, (sale_date, row_hash)) AS new_id FROM m WHERE old_id NOT IN (SELECT at FROM place) GROUP BY ALL)"""
+
+
+@query(
+    f"""WITH {_REKEYED}, k AS (SELECT DISTINCT public_id FROM h UNION SELECT DISTINCT new_id FROM s), p AS (SELECT public_id, coalesce(TRY_CAST(public_id AS BIGINT) % 3 = 0, false) AS suppressed FROM k)
+SELECT public_id, suppressed OR public_id IN (SELECT new_id FROM m JOIN p o ON o.public_id = m.old_id WHERE o.suppressed) AS suppressed FROM p""",
+    "sale",
+)
+def register_hidden(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Homes hidden on request after a change of the key rules: whatever takes their sales is hidden too."""
+    held, file = _rekeyed(spark, sf_dir)
+    known = held.select("public_id").union(file.select("public_id")).distinct()
+    places = known.select("public_id", F.coalesce(F.expr("try_cast(public_id as bigint) % 3 = 0"), F.lit(False)).alias("suppressed"))
+    return R.hidden_after(places, R.moved(held, file))
+
+
+@query(
+    f"""WITH {_REKEYED}, {_RETIRED}, i AS (SELECT DISTINCT user_id, CAST(n AS VARCHAR) AS public_id FROM (SELECT user_id, unnest([event_id % 150 + 1, event_id % 140 + 2]) AS n FROM events)),
+t AS (SELECT user_id, public_id AS was, coalesce(new_id, public_id) AS public_id, new_id IS NOT NULL AS moved FROM i LEFT JOIN gone ON public_id = old_id)
+SELECT user_id, public_id, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY user_id, public_id ORDER BY moved, was) AS nth FROM t) WHERE NOT moved OR nth = 1 GROUP BY ALL""",
+    "sale",
+)
+def register_saved_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Saved homes of each user after homes went into others: they follow, once for each user."""
+    held, file = _rekeyed(spark, sf_dir)
+    numbers = F.array(*((F.col("event_id") % n + a).cast("string") for n, a in ((150, 1), (140, 2))))
+    items = B.read(spark, sf_dir, "events").select("user_id", F.explode(numbers).alias("public_id")).distinct()
+    return R.repointed(items, R.retired(held, R.moved(held, file), file), "user_id").groupBy("user_id", "public_id").agg(F.count("*").alias("n"))
+
+
 _BULK = """
 a AS (SELECT s.sale_id, property_id, sale_date, cents - cents % 2500000 AS cents, county, string_split(lower(address), ', ')[-2] AS locality FROM sale s JOIN property USING (property_id) WHERE NOT withdrawn),
 big AS (SELECT sale_date, cents FROM a WHERE cents > 40000000 GROUP BY ALL HAVING count(DISTINCT property_id) >= 2),

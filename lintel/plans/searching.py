@@ -158,19 +158,53 @@ def search_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.totals(matches(spark, sf_dir))
 
 
+#: What each property's search asks for: its county, its settlement (one that isn't there for some), its routing key, a circle and a map.
+_ASKS = """asks AS (SELECT property_id AS ask_id, CASE WHEN property_id % 2 = 0 THEN county_id END AS county, CASE WHEN property_id % 3 = 0 THEN settlement_id WHEN property_id % 31 = 1 THEN 999 WHEN property_id % 11 = 1 THEN county_id END AS area,
+  CASE WHEN property_id % 5 < 2 THEN routing_key END AS routing_key, CASE WHEN property_id % 4 = 1 THEN lon END AS lon, CASE WHEN property_id % 4 = 1 THEN lat END AS lat, property_id % 20 * 1000 + 1000 AS radius_m,
+  CASE WHEN property_id % 7 = 0 THEN lon - 0.3::DOUBLE END AS west, CASE WHEN property_id % 7 = 0 THEN lat - 0.2::DOUBLE END AS south, CASE WHEN property_id % 7 = 0 THEN lon + 0.1::DOUBLE END AS east, CASE WHEN property_id % 7 = 0 THEN lat + 0.2::DOUBLE END AS north FROM property)"""
+_EXTENT = "min(lon) AS w, min(lat) AS s, max(lon) AS e, max(lat) AS n"
+_DY = "radius_m / 111000.0::DOUBLE"
+_DX = f"least({_DY} / cos(radians(least(abs(lat) + {_DY}, 89.9::DOUBLE))), 180.0)"
+_SIDE = lambda side, sign, d: f"a.{side[1]}, c.{side[0]} {sign} 0.05::DOUBLE, x.{side[0]} {sign} x.by, k.{side[0]}, {d}"
+
+
 @query(
-    """WITH c AS (SELECT min(lon) - 0.05::DOUBLE AS w, min(lat) - 0.05::DOUBLE AS s, max(lon) + 0.05::DOUBLE AS e, max(lat) + 0.05::DOUBLE AS n FROM property WHERE county = 'europe'),
-k AS (SELECT min(lon) AS w, min(lat) AS s, max(lon) AS e, max(lat) AS n FROM property WHERE routing_key = 'A01' AND precision <= 2)
-SELECT greatest(c.w, k.w) AS west, greatest(c.s, k.s) AS south, least(c.e, k.e) AS east, least(c.n, k.n) AS north FROM c, k WHERE greatest(c.w, k.w) < least(c.e, k.e) AND greatest(c.s, k.s) < least(c.n, k.n)""",
+    f"""WITH {_ASKS}, area_box AS (SELECT county_id AS id, 0.05::DOUBLE AS by, {_EXTENT} FROM property GROUP BY ALL UNION ALL SELECT settlement_id, 0.01::DOUBLE, {_EXTENT} FROM property GROUP BY ALL),
+key_box AS (SELECT routing_key, {_EXTENT} FROM property WHERE precision <= 2 GROUP BY ALL),
+cut AS (SELECT ask_id, greatest(-11.0::DOUBLE, {_SIDE('w west'.split(), '-', f'lon - {_DX}')}) AS west, greatest(51.0::DOUBLE, {_SIDE('s south'.split(), '-', f'lat - {_DY}')}) AS south,
+  least(-5.0::DOUBLE, {_SIDE('e east'.split(), '+', f'lon + {_DX}')}) AS east, least(56.0::DOUBLE, {_SIDE('n north'.split(), '+', f'lat + {_DY}')}) AS north
+  FROM asks a LEFT JOIN area_box c ON c.id = a.county LEFT JOIN area_box x ON x.id = a.area LEFT JOIN key_box k ON k.routing_key = a.routing_key
+  WHERE (a.county IS NULL OR c.id IS NOT NULL) AND (a.area IS NULL OR x.id IS NOT NULL) AND (a.routing_key IS NULL OR k.routing_key IS NOT NULL))
+SELECT ask_id, round(west, 6) AS west, round(south, 6) AS south, round(east, 6) AS east, round(north, 6) AS north FROM cut WHERE west <= east AND south <= north""",
     "property",
 )
 def search_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where a search has to look: the county's box with a margin, cut by a routing key's box; no row if they don't meet."""
+    """Where the search of each property's surroundings has to look; no row where its filters can't meet."""
     places = B.properties(spark, sf_dir)
-    c = S.box_of(places.filter("county = 'europe'")).select((F.col("west") - 0.05).alias("w"), (F.col("south") - 0.05).alias("s"), (F.col("east") + 0.05).alias("e"), (F.col("north") + 0.05).alias("n"))
-    k = S.box_of(places.filter("routing_key = 'A01' and precision <= 2"))
-    met = c.join(F.broadcast(k)).select(F.greatest("w", "west").alias("west"), F.greatest("s", "south").alias("south"), F.least("e", "east").alias("east"), F.least("n", "north").alias("north"))
-    return met.filter("west < east and south < north")
+    pick = lambda c, v: F.when(c, v)
+    i, lon, lat = F.col("property_id"), F.col("lon"), F.col("lat")
+    area = F.when(i % 3 == 0, F.col("settlement_id")).when(i % 31 == 1, F.lit(999)).when(i % 11 == 1, F.col("county_id"))
+    asked = places.select(
+        i.alias("ask_id"), pick(i % 2 == 0, F.col("county_id")).alias("county"), area.alias("area"), pick(i % 5 < 2, F.col("routing_key")).alias("routing_key"), pick(i % 4 == 1, lon).alias("lon"), pick(i % 4 == 1, lat).alias("lat"),
+        (i % 20 * 1000 + 1000).alias("radius_m"), pick(i % 7 == 0, lon - 0.3).alias("west"), pick(i % 7 == 0, lat - 0.2).alias("south"), pick(i % 7 == 0, lon + 0.1).alias("east"), pick(i % 7 == 0, lat + 0.2).alias("north"),
+    )
+    boxes = lambda key, kind: S.box_of(places.groupBy(F.col(key).alias("area_id"))).withColumn("kind", F.lit(kind))
+    keys = S.box_of(places.filter("precision <= 2").groupBy("routing_key"))
+    found = S.envelopes(asked, boxes("county_id", "county").unionByName(boxes("settlement_id", "settlement")), keys)
+    return found.select("ask_id", *(F.round(s, 6).alias(s) for s in S.SIDES))
+
+
+@query(
+    """WITH b AS (SELECT a.sale_id, arg_max(b.sale_date, (b.sale_date, b.sale_id)) AS prev_date, arg_max(b.cents, (b.sale_date, b.sale_id)) AS prev_cents FROM sale a JOIN plain b ON b.property_id = a.property_id AND b.sale_date < a.sale_date
+  WHERE NOT a.not_full_market AND NOT a.vat_exclusive AND a.bulk_group_id IS NULL GROUP BY ALL)
+SELECT sale_id, prev_date, prev_cents FROM sale LEFT JOIN b USING (sale_id) WHERE NOT withdrawn AND NOT possible_duplicate""",
+    "sale market plain",
+)
+def shown_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sale that is shown, with the plain sale before it; for sales that are not plain none is looked up."""
+    sale = B.sales(spark, sf_dir)
+    shown = sale.filter("not withdrawn and not possible_duplicate").select("sale_id", "property_id", "sale_date", "not_full_market", "vat_exclusive", F.col("bulk_group_id").isNotNull().alias("bulk"))
+    return M.previous_where(shown, sale, ~(F.col("not_full_market") | F.col("vat_exclusive") | F.col("bulk"))).select("sale_id", "prev_date", "prev_cents")
 
 
 @query("SELECT kind, name FROM area WHERE starts_with(name, 'nation_1') OR contains(name, ' nation_1') ORDER BY name = 'nation_1' DESC, starts_with(name, 'nation_1') DESC, length(name), name LIMIT 8", "area")

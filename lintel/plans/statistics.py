@@ -146,6 +146,44 @@ def national_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.overview(fanned(spark, sf_dir), B.sales(spark, sf_dir))
 
 
+@query(
+    f"""WITH e AS (SELECT {_LAST} - INTERVAL 1 MONTH AS until), s AS (SELECT area_id, {stats_sql()} FROM sale_area, e WHERE segment = 'all' AND sale_date < until AND sale_date >= until - INTERVAL 12 MONTH GROUP BY area_id),
+c AS (SELECT county_id AS area_id, CAST(floor(avg(x) + 0.5) AS BIGINT) AS x, CAST(floor(avg(y) + 0.5) AS BIGINT) AS y FROM (SELECT county_id, {to_metres_sql('lon', 'lat')} FROM property) GROUP BY ALL)
+SELECT area_id, name, n, median, x, y, CAST(row_number() OVER (ORDER BY n DESC, name) AS INTEGER) AS place FROM s JOIN area USING (area_id) LEFT JOIN c USING (area_id) WHERE kind = 'county'""",
+    "sale sale_area area property",
+)
+def overview_counties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counties of the overview by their latest twelve months that are complete, with a point to label them at."""
+    places = B.properties(spark, sf_dir).select(F.col("county_id").alias("area_id"), *to_metres(F.col("lon"), F.col("lat")))
+    whole = lambda c: F.floor(F.avg(c) + 0.5).cast("long").alias(c)
+    return S.county_table(fanned(spark, sf_dir), B.sales(spark, sf_dir), B.areas(spark, sf_dir), places.groupBy("area_id").agg(whole("x"), whole("y")))
+
+
+@query(
+    f"""WITH r AS (SELECT max(event_id) AS run_id FROM events WHERE event_type = 'purchase' AND user_id % 3 <> 0), s AS (SELECT max(sale_date) AS last_sale FROM sale WHERE NOT withdrawn)
+SELECT last_sale, CAST(date_trunc('month', last_sale) - INTERVAL 1 MONTH AS DATE) AS provisional_from, strftime(last_sale, '%Y-%m-%d') || '.r' || run_id || '.a18' AS version FROM r, s""",
+    "sale",
+)
+def register_version(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The register's dates and version; every event stands for a run."""
+    status = F.when(F.col("user_id") % 3 != 0, "succeeded").otherwise("failed")
+    runs = B.read(spark, sf_dir, "events").select(F.col("event_id").alias("run_id"), F.when(F.col("event_type") == "purchase", "register").otherwise("other").alias("kind"), status.alias("status"))
+    return S.register_version(B.sales(spark, sf_dir), runs, 18)
+
+
+@query(
+    f"""WITH e AS (SELECT CAST({_LAST} - INTERVAL 1 MONTH AS DATE) AS open), d AS (SELECT DISTINCT area_id, detail FROM sale_area),
+w AS (SELECT a.area_id, a.kind, CASE WHEN coalesce(d.detail, false) THEN CAST(open - INTERVAL 1 DAY AS DATE) ELSE CAST(date_trunc('year', open) - INTERVAL 1 DAY AS DATE) END AS until FROM all_area a LEFT JOIN d USING (area_id) CROSS JOIN e),
+x AS (SELECT *, CAST(until + INTERVAL 1 DAY - INTERVAL 12 MONTH AS DATE) AS since FROM w),
+s AS (SELECT area_id, {stats_sql()} FROM sale_area JOIN x USING (area_id) WHERE segment = 'all' AND sale_date BETWEEN since AND until GROUP BY area_id)
+SELECT area_id, kind, since, until, coalesce(n, 0) AS n, median FROM x LEFT JOIN s USING (area_id)""",
+    "sale sale_area area all_area",
+)
+def complete_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The window that heads each area's page, of all six kinds."""
+    return S.complete_windows(fanned(spark, sf_dir), B.sales(spark, sf_dir), B.all_areas(spark, sf_dir))
+
+
 _GRID = f"""
 WITH l AS (SELECT m.*, {to_metres_sql('lon', 'lat')} FROM market m JOIN property p USING (property_id) WHERE p.precision <= 1),
 c AS (SELECT s.size, CAST(floor(x / s.size) AS BIGINT) AS i, CAST(floor(y / s.size) AS BIGINT) AS j, w."window", g.segment, cents

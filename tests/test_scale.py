@@ -159,3 +159,23 @@ def test_view_state_expires(spark, tmp_path):
             want[e] = u not in last or s - last[u] > 600
             last[u] = s if want[e] else last[u]
     assert found == want
+
+
+def test_rates_of_a_checked_file(spark, tmp_path):
+    from lintel.functions import finance
+
+    def held(*lines):
+        path = tmp_path / f"rates{len(list(tmp_path.iterdir()))}.json"
+        path.write_text("\n".join(lines))
+        return finance.read_rates(spark, str(path))
+
+    one = '{"applies_from": "2003-01-01", "applies_to": null, "dwelling": "any", "rate": "0.135"}'
+    two = '{"applies_from": "2025-10-08", "applies_to": "2030-12-31", "dwelling": "qualifying_apartment", "rate": "0.09"}'
+    assert sorted(map(str, held(one, "", two).collect())) == sorted(map(str, finance.vat_table(spark).collect()))
+    sales = spark.createDataFrame([(1, "2026-01-01", "qualifying_apartment"), (2, "2026-01-01", "any"), (3, "1999-01-01", "any")], "row_id int, sale_date string, dwelling string").withColumn("sale_date", F.col("sale_date").cast("date"))
+    rates = {r["row_id"]: r["rate"] and float(r["rate"]) for r in finance.with_vat_rate(sales, spark, held(one, two)).collect()}
+    assert rates == {1: 0.09, 2: 0.135, 3: None}
+    wrong = (two, "not json", one.replace("0.135", "1.35"), one.replace("0.135", "x"), one.replace("2003-01-01", "soon"), one.replace("null", '"2001-01-01"'), one.replace('"any"', '"all"'), one.replace("}", ', "note": 1}'), '{"applies_from": "2003-01-01", "dwelling": "any"}')
+    for line in wrong:
+        with pytest.raises(finance.RatesError):
+            held(*([one] if line != two else []), line).collect()
