@@ -214,6 +214,7 @@ def decode(rows: DataFrame, path: str, pattern: str, ids_col: str = "ids", out_c
         for batch in batches:
             for first in range(0, batch.num_rows, 256):
                 some = batch.slice(first, 256)
-                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(one.decode(some.column(at)), pa.binary())], [*batch.schema.names, name])
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(one.decode(some.column(at)), pa.binary())], [*batch.schema.names, "decoded"])
 
-    return rows.mapInArrow(decoded, rows.limit(0).withColumn(name, F.lit(b"").cast("binary")).schema)
+    plain = rows.toDF(*(f"c{i}" for i in range(len(rows.columns))))  # names with dots are none that tasks in Arrow can have
+    return plain.mapInArrow(decoded, plain.withColumn("decoded", F.lit(None).cast("binary")).schema).toDF(*rows.columns, name)

@@ -83,8 +83,8 @@ def shares(count: np.ndarray, below: np.ndarray) -> np.ndarray:
     return out + 1
 
 
-def _tile(batches):
-    """Values of all pairs of two blocks' sources, over chunks that come one after the other.
+def _tile(batches, low: int, high: int):
+    """Values of all pairs of two blocks' sources, over chunks that come one after the other. A block may be empty.
 
     Rows are (source, block, total, terms, chunk, size, at, n): first, with chunk -1, one for each source, then its vectors by chunk. The
     submatrix is of the lower block's sources by the higher one's; of one block with itself, it has all pairs.
@@ -97,13 +97,13 @@ def _tile(batches):
     current, width = -1, 0
 
     def begin():
-        low = min(h[1] for h in heads)
-        high = max(h[1] for h in heads)
         rows = [[i for i, h in enumerate(heads) if h[1] == b] for b in (low, high)]
         return (rows, np.zeros((len(rows[0]), len(rows[1])), np.int64), np.array([h[2] for h in heads], np.int64) + 5 * terms)
 
     def add():
         """One chunk: sources without a vector have no count there."""
+        if not sums.size:
+            return
         none = np.zeros(width, np.int64)
         left, right = (np.stack([shares(dense.get(i, none), below[i]) for i in side]) for side in sides)
         for i in range(len(left)):
@@ -131,7 +131,7 @@ def _tile(batches):
     if dense:
         add()
         done += width
-    if terms > done:  # chunks that no source of the two blocks has a term of
+    if terms > done and sums.size:  # chunks that no source of the two blocks has a term of
         none = np.zeros(1, np.int64)
         flat = [np.array([shares(none, below[i])[0] for i in side]) for side in sides]
         sums += np.abs(flat[0][:, None] - flat[1][None, :]) * (terms - done)
@@ -226,7 +226,7 @@ def _tiles(batches):
     while held["next"] is not None:
         key, part = held["next"]
         held["next"] = None
-        for out in _tile(of_key(key, part)):
+        for out in _tile(of_key(key, part), key[1], key[2]):
             keys = [pa.array([k] * out.num_rows, kind) for k, kind in zip(key, (pa.string(), pa.int32(), pa.int32()), strict=True)]
             yield pa.RecordBatch.from_arrays([*keys, *out.columns], ["lang", "low", "high", *out.schema.names])
 
