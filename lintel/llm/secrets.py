@@ -1,15 +1,17 @@
 """Operator 2, secret scans: fixed patterns, plus character Markov models of random strings and of ordinary identifiers.
 
 The patterns give the base spans (kinds assign, access, hex). The method adds spans of kind ``markov``: every other run of
-20 or more characters of ``[A-Za-z0-9+/_=-]`` that the model of random strings explains better than the model of
-identifiers, by a log-likelihood ratio of at least ``least_ratio`` in all and ``per_char`` a character.
+8 or more characters of ``[A-Za-z0-9+/_=-]``, words apart, that a model of random strings explains better than the model of identifiers. The
+log-likelihood ratio has to reach ``least_ratio`` in all and ``per_char`` for each character and ``SHORT`` more, so that short runs need more a character.
+Words are runs of under 20 letters with no capital but the first.
 
-Both models are first-order chains over characters, counted by Spark from labelled samples: values that the patterns
+The models are first-order chains over characters, counted by Spark from labelled samples: values that the patterns
 found in at most ``max_rows`` of the rows that hold such a value (label random; by a hash of the identifier) and the other words of those rows (label
-identifier), smoothed by a uniform prior.
+identifier). Random strings have one chain for each alphabet that keys are written in, counted from the samples whose smallest
+alphabet it is and smoothed towards an even choice of its characters; the best chain counts, less the price of choosing among them.
 
 Defined cases: null counts as empty; positions are code points, ends exclusive; base spans always stay, and a markov span never
-overlaps one. An empty sample leaves both models at their prior, which adds no span. Rows are independent, so repeated
+overlaps one. An empty sample leaves all models at their priors, which add no span. Rows are independent, so repeated
 rows give repeated results; other columns are not read. An empty table gives an empty result.
 """
 
@@ -26,17 +28,21 @@ from pyspark.sql import functions as F
 
 from .common import bounded_sample
 
-MAX_ROWS, LEAST, LEAST_RATIO, PER_CHAR = 10_000, 20, 12.0, 0.5
+MAX_ROWS, LEAST, LEAST_RATIO, PER_CHAR, SHORT = 10_000, 8, 12.0, 0.6, 16
 KINDS = ("assign", "access", "hex", "markov")
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 #: Every text with a base span matches this, in Java's reading too; a few others may.
 MAY_HOLD = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{6}|AKIA[A-Z0-9]{16}|[0-9a-f]{24}"""
-TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST)
+#: A run of the characters that keys are made of, but for words.
+TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])(?![A-Z]?[a-z]{7,18}(?![A-Za-z0-9+/_=-]))[A-Za-z0-9+/_=-]{%d,}" % LEAST)
 WORD = re.compile(r"[A-Za-z0-9+/_=-]{4,}")
 _CLASSES = {c: i for i, c in enumerate("0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_=-")}
 _N = len(_CLASSES)
+_DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: The alphabets of random strings, smaller ones first.
+ALPHABETS = (_DIGITS + _LOWER[:6], _DIGITS + _UPPER[:6], _LOWER, _UPPER, _DIGITS + _LOWER, _DIGITS + _UPPER, _DIGITS + _LOWER + _UPPER, "".join(_CLASSES))
 _CODE = np.full(128, 0, np.int64)
 for _c, _i in _CLASSES.items():
     _CODE[ord(_c)] = _i
@@ -57,20 +63,39 @@ def pairs_of(token: str) -> np.ndarray:
     return code[:-1] * _N + code[1:]
 
 
-def log_ratio(counts_random: np.ndarray, counts_ordinary: np.ndarray, prior: float = 0.5) -> np.ndarray:
-    """log P(next | previous, random) - log P(next | previous, ordinary), by pair code."""
-    logs = []
-    for counts in (counts_random, counts_ordinary):
-        table = counts.reshape(_N, _N) + prior
-        logs.append(np.log(table / table.sum(axis=1, keepdims=True)))
-    return (logs[0] - logs[1]).ravel()
+def alphabet_of(token: str) -> int:
+    """The smallest alphabet that has all of its characters."""
+    return next(i for i, chars in enumerate(ALPHABETS) if set(token) <= set(chars))
+
+
+def log_ratios(counts: np.ndarray, prior: float = 5.0, ordinary_prior: float = 0.5) -> np.ndarray:
+    """log P(next | previous, random) - log P(next | previous, ordinary) by alphabet and pair code; pairs outside an alphabet are far below any bound.
+
+    ``counts``: a row of pair counts for each alphabet and, last, for identifiers. Without identifiers there is nothing to tell apart: all zero.
+    """
+    chances = lambda table: np.log(table / table.sum(axis=1, keepdims=True))
+    out = np.full((len(ALPHABETS), _N, _N), -1e9)
+    if not counts[-1].any():
+        return np.zeros((len(ALPHABETS), _N * _N))
+    ordinary = chances(counts[-1].reshape(_N, _N) + ordinary_prior)
+    for i, chars in enumerate(ALPHABETS):
+        at = np.ix_(*[[_CLASSES[c] for c in chars]] * 2)
+        out[i][at] = chances(counts[i].reshape(_N, _N)[at] + prior) - ordinary[at]
+    return out.reshape(len(ALPHABETS), -1)
+
+
+def ratio_of(token: str, ratios: np.ndarray) -> float:
+    """The log-likelihood ratio of the alphabet that explains a run best, less the price of the choice."""
+    return float(ratios[:, pairs_of(token)].sum(axis=1).max()) - float(np.log(len(ALPHABETS)))
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS) -> np.ndarray:
-    """Log-likelihood ratios by character pair. What comes to the driver is one count a pair and label."""
+    """Log-likelihood ratios by alphabet and character pair. What comes to the driver is one count a pair and label."""
+
+    labels = len(ALPHABETS) + 1
 
     def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = np.zeros((2, _N * _N), np.int64)
+        both = np.zeros((labels, _N * _N), np.int64)
         for batch in batches:
             words: list[Counter] = [Counter(), Counter()]
             for value in batch.column(0):
@@ -82,19 +107,19 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_r
                     words[0][token] += 1
                     at = max(at, end)
                 words[1].update(WORD.findall(text[at:]))
-            for label in (0, 1):
-                for token, n in words[label].items():
+            for kind, found in enumerate(words):
+                for token, n in found.items():
                     if len(token) > 1:
-                        np.add.at(both[label], pairs_of(token), n)
+                        np.add.at(both[-1 if kind else alphabet_of(token)], pairs_of(token), n)
         label, pair = np.nonzero(both)
         yield pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array(pair, pa.int32()), pa.array(both[label, pair], pa.int64())], ["label", "pair", "n"])
 
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).filter(F.col("text").rlike(MAY_HOLD))
     rows = bounded_sample(rows, "id", max_rows).select("text")
-    counts = np.zeros((2, _N * _N))
+    counts = np.zeros((labels, _N * _N))
     for r in rows.mapInArrow(labelled, "label int, pair int, n long").groupBy("label", "pair").agg(F.sum("n").alias("n")).collect():
-        counts[r["label"], r["pair"]] = r["n"]  # at most 2 * 67 * 67 rows
-    return log_ratio(counts[0], counts[1])
+        counts[r["label"], r["pair"]] = r["n"]  # at most 9 * 67 * 67 rows
+    return log_ratios(counts)
 
 
 def spans_of(text: str, ratio: np.ndarray, least_ratio: float = LEAST_RATIO, per_char: float = PER_CHAR) -> tuple[list, list]:
@@ -105,8 +130,8 @@ def spans_of(text: str, ratio: np.ndarray, least_ratio: float = LEAST_RATIO, per
         start, end = m.span()
         if any(s < end and start < e for s, e, _ in base):
             continue
-        total = float(ratio[pairs_of(m[0])].sum())
-        if total >= least_ratio and total >= per_char * (end - start):
+        total = ratio_of(m[0], ratio)
+        if total >= least_ratio and total >= per_char * (end - start + SHORT):
             more.append((start, end, "markov"))
     return base, sorted(base + more, key=lambda x: (x[0], KINDS.index(x[2])))
 
@@ -146,7 +171,7 @@ def redact(docs: DataFrame, ratio: np.ndarray, text_col: str = "text", mark: str
             out.append(text)
         return pa.array(out, pa.string())
 
-    return docs.withColumn(text_col, redacted(F.col(text_col).cast("string")))
+    return docs.withColumn(text_col, redacted(F.col(f"`{text_col}`").cast("string")))
 
 
 def joined(spans: str) -> Column:

@@ -4,10 +4,12 @@ Score = sigmoid(bias + sum of w_i + sum over pairs of <v_i, v_j>) over the hashe
 learns what an additive model misses, such as an insult that only counts together with the mention of a group.
 
 Fitting uses at most ``max_rows`` labelled rows (by a hash of the identifier; rare labels first, the machine's bias is set back to the label shares of all
-rows). The machine's inputs are hashed terms of two kinds, ``terms`` in all: those whose document rates differ between the labels by
-LEAST_ERRORS standard errors, and those of pairs that tell more together than either term alone: over the ``candidates`` terms of most documents, pairs
-whose joint document rates differ by PAIR_GAIN standard errors more than those of their terms. So a term that says nothing by itself gets in with
-its partner. Then the machine is fitted by gradient steps on the log loss. Scoring reads all rows and whole texts.
+rows). The machine's inputs are hashed terms of two kinds, as many as pass: those whose document rates differ between the labels by
+LEAST_ERRORS standard errors, and those of pairs that tell more together than either term alone: pairs whose joint document rates differ by
+PAIR_ERRORS standard errors, and by PAIR_GAIN more than those of their terms. So a term that says nothing by itself gets in with
+its partner, however large the vocabulary is. Pairs are sought by pruning: Spark counts terms and leaves those out that could not pass if all their
+documents of one label were the pair's; terms of the same documents are counted as one; and the pair's documents of that label alone are
+counted first. Then the machine is fitted by gradient steps on the log loss. Scoring reads all rows and whole texts.
 
 Defined cases: null and empty texts hold no term and score the machine's bias; terms count once a text, so length does not
 matter; if no labelled row or only one label is found, every score is the share of label 1 (0 without labels). A null
@@ -22,14 +24,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, stratified_sample
 
-BUCKETS, TERMS, FACTORS, MAX_ROWS, EPOCHS = 1 << 22, 1024, 4, 20_000, 8
+BUCKETS, FACTORS, MAX_ROWS, EPOCHS = 1 << 22, 4, 20_000, 8
 LEAST_DOCS, LEAST_ERRORS, MEMO = 8, 5.0, 200_000
-CANDIDATES, PAIR_ERRORS, PAIR_GAIN = 2048, 7.0, 4.0
+PAIR_ERRORS, PAIR_GAIN = 7.0, 4.0
 _WORD = re.compile(r"\w+")
 
 
@@ -75,51 +77,77 @@ def _sizes(rows: DataFrame) -> tuple[int, int]:
     return n.get(1, 0), n.get(0, 0)
 
 
-def select_inputs(rows: DataFrame, terms: int, candidates: int) -> tuple[list[int], list[int]]:
-    """(telling buckets, frequent buckets). Telling: document rates that differ between the labels by LEAST_ERRORS standard errors or more; the most
-    distinct first, ``terms`` at most. Frequent: the ``candidates`` buckets of most documents that are not among them.
+def select_inputs(rows: DataFrame) -> tuple[list[int], list[int]]:
+    """(telling buckets, hopeful buckets). Telling: document rates that differ between the labels by LEAST_ERRORS standard errors or more, the most
+    distinct first. Hopeful: the others of which a pair could differ by PAIR_ERRORS if it had all their documents of one label and none of the other.
 
     ``rows``: x (array of buckets), y. Counted by Spark: only the chosen buckets come to the driver.
     """
     n1, n0 = _sizes(rows)
     if not n1 or not n0:
         return [], []
-    counts = rows.select("y", F.explode("x").alias("bucket")).groupBy("bucket").agg(F.sum("y").alias("k"), F.count("*").alias("docs")).filter(F.col("docs") >= LEAST_DOCS)
-    p = F.col("docs") / (n1 + n0)
-    spread = F.sqrt(F.greatest(p * (1 - p) * (1 / n1 + 1 / n0), F.lit(1e-12)))
-    errors = F.abs(F.col("k") / n1 - (F.col("docs") - F.col("k")) / n0) / spread
-    best = counts.select("bucket", errors.alias("errors")).filter(F.col("errors") >= LEAST_ERRORS).orderBy(F.desc("errors"), "bucket").limit(terms)
-    telling = [r["bucket"] for r in best.collect()]
-    frequent = counts.filter(F.col("docs") < n1 + n0).orderBy(F.desc("docs"), "bucket").limit(candidates).collect()
-    return telling, [r["bucket"] for r in frequent if r["bucket"] not in set(telling)]
+    counts = rows.select("y", F.explode("x").alias("bucket")).groupBy("bucket").agg(F.sum("y").alias("k1"), F.count("*").alias("docs")).filter(F.col("docs") >= LEAST_DOCS)
+
+    def errors(k1: Column, k0: Column) -> Column:
+        p = (k1 + k0) / (n1 + n0)
+        return F.abs(k1 / n1 - k0 / n0) / F.sqrt(F.greatest(p * (1 - p) * (1 / n1 + 1 / n0), F.lit(1e-12)))
+
+    k1, k0, none = F.col("k1"), F.col("docs") - F.col("k1"), F.lit(0)
+    judged = counts.select("bucket", errors(k1, k0).alias("errors"), F.greatest(errors(k1, none), errors(none, k0)).alias("hope"))
+    found = judged.filter((F.col("errors") >= LEAST_ERRORS) | (F.col("hope") >= PAIR_ERRORS)).collect()
+    telling = [r["bucket"] for r in sorted(found, key=lambda r: (-r["errors"], r["bucket"])) if r["errors"] >= LEAST_ERRORS]
+    return telling, sorted(r["bucket"] for r in found if r["errors"] < LEAST_ERRORS)
+
+
+def _bits(rows: list[np.ndarray], n: int) -> np.ndarray:
+    """For each place below ``n`` the rows that hold it, as bits of 64-bit words."""
+    parts = []
+    for at in range(0, max(len(rows), 1), 1024):
+        held = np.zeros((n, 1024), bool)
+        for i, r in enumerate(rows[at : at + 1024]):
+            held[r, i] = True
+        parts.append(np.packbits(held, axis=1).view(np.uint64))
+    return np.concatenate(parts, axis=1)
 
 
 def telling_pairs(x: list[np.ndarray], labels: np.ndarray, n: int) -> list[int]:
     """Places below ``n`` that tell the labels apart with a partner better than alone, those of the best pairs first."""
-    sides = []
-    for label in (1, 0):
-        rows = [r for r, y in zip(x, labels, strict=True) if (y > 0.5) == bool(label)]
-        held = np.zeros((n, max(len(rows), 1)), bool)
-        for i, r in enumerate(rows):
-            held[r, i] = True
-        words = np.packbits(np.pad(held, ((0, 0), (0, -held.shape[1] % 64))), axis=1).view(np.uint64)
-        sides.append((words, len(rows)))
-    (on, n1), (off, n0) = sides
-    if not n1 or not n0:
+    rows = [[r for r, y in zip(x, labels, strict=True) if (y > 0.5) == side] for side in (True, False)]
+    sizes = tuple(map(len, rows))
+    if not all(sizes) or not n:
         return []
 
     def errors(k1: np.ndarray, k0: np.ndarray) -> np.ndarray:
-        p = (k1 + k0) / (n1 + n0)
-        return np.abs(k1 / n1 - k0 / n0) / np.sqrt(np.maximum(p * (1 - p) * (1 / n1 + 1 / n0), 1e-12))
-
-    alone = errors(*(np.bitwise_count(w).sum(axis=1, dtype=np.int64) for w in (on, off)))
-    found = []
-    for i in range(n - 1):
-        k1, k0 = (np.bitwise_count(w[i] & w[i + 1 :]).sum(axis=1, dtype=np.int64) for w in (on, off))
-        z = np.where(k1 + k0 >= LEAST_DOCS, errors(k1, k0), 0)
-        gain = z - np.maximum(alone[i], alone[i + 1 :])
-        found += [(-gain[j], i, i + 1 + j) for j in np.flatnonzero((z >= PAIR_ERRORS) & (gain >= PAIR_GAIN))]
-    return list(dict.fromkeys(place for _, i, j in sorted(found) for place in (i, j)))
+        p = (k1 + k0) / sum(sizes)
+        return np.abs(k1 / sizes[0] - k0 / sizes[1]) / np.sqrt(np.maximum(p * (1 - p) * (1 / sizes[0] + 1 / sizes[1]), 1e-12))
+
+    bits = [_bits(side, n) for side in rows]
+    both = np.ascontiguousarray(np.concatenate(bits, axis=1))
+    _, first, of = np.unique(both.view([("", np.uint64)] * both.shape[1]).ravel(), return_index=True, return_inverse=True)
+    members = [[] for _ in first]
+    for place, k in enumerate(of.tolist()):
+        members[k].append(place)
+    bits = [side[first] for side in bits]  # terms of the same documents once
+    count = lambda w: np.bitwise_count(w).sum(axis=-1, dtype=np.int64)
+    held = [count(side) for side in bits]
+    alone = errors(*held)
+    found = {}
+    for one, other in ((0, 1), (1, 0)):  # pairs that are commoner in the first label, then in the second
+        most = errors(*((np.arange(sizes[one] + 1), 0) if one == 0 else (0, np.arange(sizes[one] + 1))))  # by documents of that label
+        enough = int(np.argmax(most >= PAIR_ERRORS)) if (most >= PAIR_ERRORS).any() else sizes[one] + 1
+        able = np.flatnonzero(held[one] >= enough)
+        mine, theirs, bound = bits[one][able], bits[other][able], alone[able]
+        for i in range(len(able) - 1):
+            k = count(mine[i] & mine[i + 1 :])
+            need = np.maximum(np.maximum(bound[i], bound[i + 1 :]) + PAIR_GAIN, PAIR_ERRORS)
+            hopeful = np.flatnonzero(most[k] >= need)
+            k, rest = k[hopeful], count(theirs[i] & theirs[i + 1 + hopeful])
+            z = np.where(k + rest >= LEAST_DOCS, errors(*((k, rest) if one == 0 else (rest, k))), 0)
+            for j in np.flatnonzero(z >= need[hopeful]):
+                pair = able[i], able[i + 1 + hopeful[j]]
+                found[pair] = z[j] - max(alone[pair[0]], alone[pair[1]])
+    ranked = sorted((-gain, *sorted((members[i], members[j]))) for (i, j), gain in found.items())
+    return list(dict.fromkeys(place for _, left, right in ranked for place in (*left, *right)))
 
 
 def fit(x: list[np.ndarray], labels: np.ndarray, chosen: list[int], factors: int = FACTORS, epochs: int = EPOCHS, seed: int = 5) -> Machine:
@@ -150,7 +178,7 @@ def fit(x: list[np.ndarray], labels: np.ndarray, chosen: list[int], factors: int
     return Machine(inputs, float(bias), w, v)
 
 
-def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_ROWS, terms: int = TERMS, candidates: int = CANDIDATES) -> Machine:
+def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_ROWS) -> Machine:
     """Fits on at most ``max_rows`` rows of ``labelled``, equal texts counting once. What comes to the driver are the chosen buckets, and for each
     row the places of those that it holds."""
 
@@ -160,13 +188,13 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
             found = [sorted(hashed_terms(t.as_py() or "", memo)) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), batch.column(1)], ["x", "y"])
 
-    rows = labelled.filter(F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("int").alias("y"))
+    rows = labelled.filter(F.col(f"`{label_col}`").isNotNull()).select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{label_col}`").cast("int").alias("y"))
     scratch = Scratch(labelled.sparkSession, "toxicity")
     sample, taken = stratified_sample(rows, "id", "y", max_rows)
     held = scratch.keep(sample.select("text", "y").mapInArrow(hashed, "x array<int>, y int"), "terms")
     once = held.groupBy(F.xxhash64("x"), "y").agg(F.first("x").alias("x")).select("x", "y")
-    telling, frequent = select_inputs(once, terms, candidates)
-    places = {b: i for i, b in enumerate([*telling, *frequent])}
+    telling, hopeful = select_inputs(once)
+    places = {b: i for i, b in enumerate([*telling, *hopeful])}
 
     def placed(batches):
         for batch in batches:
@@ -176,11 +204,10 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     got = once.select("x", "y").mapInArrow(placed, "x binary, y int").toPandas().sort_values(["x", "y"])
     scratch.drop(held)
     x, y = [np.frombuffer(v, np.uint32).astype(np.int64) for v in got["x"]], got["y"].to_numpy(float)
-    # the pairs' terms after the telling ones, as far as there is room
-    chosen = list(dict.fromkeys([*range(len(telling)), *telling_pairs(x, y, len(places))]))[:terms]
+    chosen = list(dict.fromkeys([*range(len(telling)), *telling_pairs(x, y, len(places))]))  # the pairs' terms after the telling ones
     new = np.full(len(places), -1)
     new[chosen] = np.arange(len(chosen))
-    buckets = [*telling, *frequent]
+    buckets = [*telling, *hopeful]
     machine = fit([r[r >= 0] for r in (new[r] for r in x)], y, [buckets[i] for i in chosen])
     if taken.get(0) and taken.get(1):  # labels that were sampled more thinly are that much more frequent
         machine.bias += float(np.log(taken[0] / taken[1]))

@@ -72,6 +72,19 @@ def test_machine_learns_what_a_sum_cannot(spark, documents, clean):
     assert sum((score[i] >= 0.5) == bool(label(i)) for i in texts) > 0.98 * len(texts)
 
 
+def test_pairs_of_a_large_vocabulary(spark, documents):
+    """400 of 4,000 rows hold one of four balanced pairs, among 3,000 other words of some 270 rows each."""
+    rng = np.random.default_rng(6)
+    words = rng.integers(0, 3000, (4000, 270 * 3000 // 4000))
+    texts = [" ".join(f"v{k}" for k in row) + (f" {PAIRS[i % 4][0]} {PAIRS[i % 4][1]}" if i < 400 else "") for i, row in enumerate(words)]
+    label = lambda i: PAIRS[i % 4][2] if i < 400 else i % 2
+    docs = documents(*enumerate(texts))
+    machine = toxicity.train(docs.join(spark.createDataFrame([(i, label(i)) for i in range(4000)], "doc_id long, toxic int"), "doc_id"))
+    score = {r["doc_id"]: r["score"] for r in toxicity.scored(docs.filter("doc_id < 400"), machine).collect()}
+    assert sum((score[i] >= 0.5) == bool(label(i)) for i in score) >= 0.95 * 400
+    assert len(machine.inputs) < 40
+
+
 def test_telling_pairs_against_brute_force():
     rng = np.random.default_rng(4)
     rates = rng.uniform(0.05, 0.7, 12)
