@@ -22,7 +22,8 @@ def register_end(sales: DataFrame) -> DataFrame:
 def area_stats(fanned: DataFrame, sales: DataFrame, span: str) -> DataFrame:
     """Figures by area, segment and period; periods that reach into the last two months are provisional. Months are for areas with ``detail``."""
     fanned = fanned.filter("detail") if span == "month" else fanned
-    stats = group_stats(fanned.withColumn("period", F.trunc("sale_date", span)), ["area_id", "segment", "period"])
+    # a country's year may have more distinct prices than a task should hold
+    stats = group_stats(fanned.withColumn("period", F.trunc("sale_date", span)), ["area_id", "segment", "period"], wide=span != "month")
     ends = F.date_sub(F.add_months("period", SPANS[span]), 1)
     return stats.join(F.broadcast(register_end(sales))).withColumn("provisional", ends >= F.add_months("last_month", -1)).drop("last_month")
 

@@ -142,8 +142,8 @@ def register_retired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.retired(held, R.moved(held, file), file)
 
 
-_RETIRED = """place AS (SELECT coalesce(m.new_id, h.public_id) AS at FROM h LEFT JOIN m USING (row_hash)),
-gone AS (SELECT old_id, arg_max(new_id, (sale_date, row_hash)) AS new_id FROM m WHERE old_id NOT IN (SELECT at FROM place) GROUP BY ALL)"""
+_RETIRED = """place AS (SELECT coalesce(m.new_id, h.public_id) AS spot FROM h LEFT JOIN m USING (row_hash)),
+gone AS (SELECT old_id, arg_max(new_id, (sale_date, row_hash)) AS new_id FROM m WHERE old_id NOT IN (SELECT spot FROM place) GROUP BY ALL)"""
 
 
 @query(

@@ -14,6 +14,7 @@ from lintel.functions.geo import distance_sql, tile_box
 from lintel.operators import market as M
 from lintel.operators import search as S
 from lintel.operators import tiles as T
+from lintel.operators import vector_tiles as V
 from lintel.operators.trigram import TrigramIndex
 from lintel.sources import binding as B
 from lintel.sources.scratch import root_of
@@ -355,3 +356,41 @@ SELECT x AS lon, y AS lat, min(precision) AS precision, count(*) AS n, CASE WHEN
 def sales_tile_stacks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Coarse points, here rounded to a tenth of a degree so that some coincide."""
     return T.stacks(matches(spark, sf_dir).withColumn("lon", F.round("lon", 1)).withColumn("lat", F.round("lat", 1)))
+
+
+def _varint_sql(n: str) -> str:
+    byte = lambda i: f"lpad(to_hex(((({n})::BIGINT >> {7 * i}) & 127) + CASE WHEN {n} >= {1 << 7 * (i + 1)} THEN 128 ELSE 0 END), 2, '0')"
+    return f"concat({byte(0)}, " + ", ".join(f"CASE WHEN {n} >= {1 << 7 * i} THEN {byte(i)} END" for i in range(1, 5)) + ")"
+
+
+def _held_sql(number: int, wire: int, body: str) -> str:
+    key = f"{number << 3 | wire:02X}"
+    return f"('{key}' || {_varint_sql(f'(length({body}) // 2)')} || {body})" if wire == 2 else f"('{key}' || {body})"
+
+
+TILES = (8, ("price", "day", "precision"))
+
+
+def _tiles_sql() -> str:
+    z, names = TILES
+    size = 2 * V.HALF / 2**z
+    tags = " || ".join(f"{_varint_sql(str(i))} || {_varint_sql(f'(nth * {len(names)} + {i})')}" for i in range(len(names)))
+    values = " || ".join(_held_sql(4, 2, _held_sql(5, 0, _varint_sql(c))) for c in names)
+    text = lambda t: "'" + t.encode().hex().upper() + "'"
+    keys = " || ".join(_held_sql(3, 2, text(n)) for n in names)
+    return f"""WITH m AS ({_USUAL}), p AS (SELECT property_id, CAST(floor(cents / 100 + 0.5) AS BIGINT) AS price, CAST(strftime(sale_date, '%Y%m%d') AS INTEGER) AS day, precision,
+  (radians(lon) * 6378137.0::DOUBLE + {V.HALF!r}::DOUBLE) / {size!r}::DOUBLE AS a, ({V.HALF!r}::DOUBLE - ln(tan(radians(lat) / 2 + pi() / 4)) * 6378137.0::DOUBLE) / {size!r}::DOUBLE AS d FROM m WHERE precision <= 1),
+t AS (SELECT *, CAST(floor(a) AS INTEGER) AS x, CAST(floor(d) AS INTEGER) AS y FROM p), u AS (SELECT *, CAST(floor((a - x) * 4096) AS BIGINT) AS u, CAST(floor((d - y) * 4096) AS BIGINT) AS v, row_number() OVER (PARTITION BY x, y ORDER BY property_id) - 1 AS nth FROM t),
+g AS (SELECT *, {tags} AS tags, '09' || {_varint_sql('(u * 2)')} || {_varint_sql('(v * 2)')} AS moved FROM u),
+f AS (SELECT x, y, nth, {_held_sql(1, 0, _varint_sql('property_id'))} || {_held_sql(2, 2, 'tags')} || '1801' || {_held_sql(4, 2, 'moved')} AS feature, {values} AS vals FROM g),
+h AS (SELECT x, y, nth, {_held_sql(2, 2, 'feature')} AS feature, vals FROM f),
+b AS (SELECT x, y, count(*) AS n, '7802' || {_held_sql(1, 2, text('sales'))} || string_agg(feature, '' ORDER BY nth) || {keys} || string_agg(vals, '' ORDER BY nth) || '28' || {_varint_sql('4096')} AS body FROM h GROUP BY x, y)
+SELECT {z} AS z, x, y, n, sha256(unhex({_held_sql(3, 2, 'body')})) AS tile_sha256 FROM b"""
+
+
+@query(_tiles_sql(), "sale property")
+def sales_vector_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vector tiles at zoom 8 of all precisely placed sales that match."""
+    z, names = TILES
+    found = matches(spark, sf_dir).filter("precision <= 1").select("property_id", "lon", "lat", F.floor(F.col("cents") / 100 + 0.5).cast("long").alias("price"), F.date_format("sale_date", "yyyyMMdd").cast("int").alias("day"), "precision")
+    return V.tiles(found, z, "sales", "property_id", names).select("z", "x", "y", "n", F.sha2("tile", 256).alias("tile_sha256"))

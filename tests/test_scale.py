@@ -179,3 +179,71 @@ def test_rates_of_a_checked_file(spark, tmp_path):
     for line in wrong:
         with pytest.raises(finance.RatesError):
             held(*([one] if line != two else []), line).collect()
+
+
+def read_tile(data):
+    """A tile by the format's definition: {layer: [(id, {key: value}, (x, y))]}."""
+
+    def varint(at):
+        n = shift = 0
+        while True:
+            n, shift, more = n | (data[at] & 127) << shift, shift + 7, data[at] >> 7
+            at += 1
+            if not more:
+                return n, at
+
+    def parts(at, end):
+        while at < end:
+            key, at = varint(at)
+            if key & 7 == 2:
+                size, at = varint(at)
+                yield key >> 3, (at, at + size)
+                at += size
+            else:
+                n, at = varint(at)
+                yield key >> 3, n
+
+    def numbers(span):
+        at, out = span[0], []
+        while at < span[1]:
+            n, at = varint(at)
+            out.append(n)
+        return out
+
+    out = {}
+    for number, span in parts(0, len(data)):
+        assert number == 3
+        fields = [*parts(*span)]
+        of = lambda n: [v for k, v in fields if k == n]  # noqa: B023, E731
+        (name,) = (data[a:b].decode() for a, b in of(1))
+        keys, values = [data[a:b].decode() for a, b in of(3)], [dict(parts(*v))[5] for v in of(4)]
+        assert of(15) == [2] and of(5) == [4096]
+        found = []
+        for feature in of(2):
+            f = dict(parts(*feature))
+            tags, (command, x, y) = numbers(f[2]), numbers(f[4])
+            assert f[3] == 1 and command == 9
+            found.append((f[1], {keys[k]: values[v] for k, v in zip(tags[::2], tags[1::2], strict=True)}, (x >> 1, y >> 1)))
+        out[name] = found
+    return out
+
+
+def test_tiles_read_back(spark):
+    from lintel.operators import vector_tiles
+
+    rng = random.Random(5)
+    rows = [(i * 977, rng.uniform(-10, -6), rng.uniform(51.5, 55.4), rng.choice((0, 127, 128, 350_000, 2**31, None)), i % 3) for i in range(300)] + [(2**33, 0.0, 0.0, 5, 1)]
+    points = spark.createDataFrame(rows, "id long, lon double, lat double, price long, kind int")
+    got = {(r["x"], r["y"]): (r["n"], read_tile(bytes(r["tile"]))["sales"]) for r in vector_tiles.tiles(points, 7, "sales", "id", ("price", "kind")).collect()}
+    want = {}
+    for i, lon, lat, price, kind in sorted(rows):
+        a, d = (lon / 360 + 0.5) * 128, (0.5 - math.log(math.tan(math.radians(lat) / 2 + math.pi / 4)) / (2 * math.pi)) * 128
+        tags = {k: v for k, v in (("price", price), ("kind", kind)) if v is not None}
+        want.setdefault((int(a), int(d)), []).append((i, tags, (int((a - int(a)) * 4096), int((d - int(d)) * 4096))))
+    near = lambda p, q: all(abs(a - b) <= 1 for a, b in zip(p, q, strict=True))
+    assert got.keys() == want.keys()
+    for tile, features in want.items():
+        assert got[tile][0] == len(features)
+        for mine, theirs in zip(got[tile][1], features, strict=True):
+            assert mine[:2] == theirs[:2] and near(mine[2], theirs[2])
+    assert vector_tiles.tiles(points.limit(0), 7, "sales", "id", ("price",)).count() == 0
