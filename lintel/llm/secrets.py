@@ -3,7 +3,7 @@
 The patterns give the base spans (kinds assign, access, hex). The method adds spans of kind ``markov``: every other run of
 8 or more characters of ``[A-Za-z0-9+/_=-]``, words apart, that a model of random strings explains better than the model of identifiers. The
 log-likelihood ratio has to reach ``least_ratio`` in all and ``per_char`` for each character and ``SHORT`` more, so that short runs need more a character.
-Words are runs of under 20 letters with no capital but the first.
+Words are runs of under 20 letters, with no capital but the first or in capitals throughout; identifiers also count as they look in capitals.
 
 The models are first-order chains over characters, counted by Spark from labelled samples: values that the patterns
 found in at most ``max_rows`` of the rows that hold such a value (label random; by a hash of the identifier) and the other words of those rows (label
@@ -36,7 +36,7 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 #: Every text with a base span matches this, in Java's reading too; a few others may.
 MAY_HOLD = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{6}|AKIA[A-Z0-9]{16}|[0-9a-f]{24}"""
 #: A run of the characters that keys are made of, but for words.
-TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])(?![A-Z]?[a-z]{7,18}(?![A-Za-z0-9+/_=-]))[A-Za-z0-9+/_=-]{%d,}" % LEAST)
+TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])(?!(?:[A-Za-z][a-z]{7,18}|[A-Z]{8,19})(?![A-Za-z0-9+/_=-]))[A-Za-z0-9+/_=-]{%d,}" % LEAST)
 WORD = re.compile(r"[A-Za-z0-9+/_=-]{4,}")
 _CLASSES = {c: i for i, c in enumerate("0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_=-")}
 _N = len(_CLASSES)
@@ -77,7 +77,11 @@ def log_ratios(counts: np.ndarray, prior: float = 5.0, ordinary_prior: float = 0
     out = np.full((len(ALPHABETS), _N, _N), -1e9)
     if not counts[-1].any():
         return np.zeros((len(ALPHABETS), _N * _N))
-    ordinary = chances(counts[-1].reshape(_N, _N) + ordinary_prior)
+    ordinary = counts[-1].reshape(_N, _N)
+    capital = [_CLASSES[c.upper()] for c in _CLASSES]  # what identifiers look like in capitals, a tenth as often
+    in_capitals = np.zeros((_N, _N))
+    np.add.at(in_capitals, np.ix_(capital, capital), ordinary)
+    ordinary = chances(ordinary + 0.1 * in_capitals + ordinary_prior)
     for i, chars in enumerate(ALPHABETS):
         at = np.ix_(*[[_CLASSES[c] for c in chars]] * 2)
         out[i][at] = chances(counts[i].reshape(_N, _N)[at] + prior) - ordinary[at]

@@ -205,15 +205,58 @@ def test_markov_models_tell_random_strings(spark, documents):
     assert sum(hits) > 180 and not any(false)
 
 
-def test_secrets_of_the_whole_table(spark, sf_dir):
-    """Base spans by their definition, and markov spans with the ratio summed pair by pair, of every text."""
+CHARS = {"hex": "0123456789abcdef", "capital hex": "0123456789ABCDEF", "lower": "abcdefghijklmnopqrstuvwxyz", "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
+CHARS |= {"lower and digits": "0123456789" + CHARS["lower"], "upper and digits": "0123456789" + CHARS["upper"], "base 32": CHARS["upper"] + "234567", "letters and digits": "0123456789" + CHARS["lower"] + CHARS["upper"]}
+CHARS["base 64"] = CHARS["letters and digits"] + "+/"
+
+
+def planted(n_each, size):
+    """Texts with a random string that no pattern knows, by alphabet."""
+    import random
+
+    rnd = random.Random(size)
+    made = {name: ["".join(rnd.choice(chars) for _ in range(size)) for _ in range(n_each)] for name, chars in CHARS.items() if name != "hex" or size < 24}
+    return [(name, token) for name, tokens in made.items() for token in tokens]
+
+
+@pytest.mark.parametrize("size", [22, 32])
+def test_planted_secrets_by_alphabet(spark, documents, size):
+    """Nine of ten random strings of each alphabet are found, and no word or identifier of the texts around them."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = planted(60, size)
+    names = ("application_configuration_manager", "computeMonthlyStatisticsTable", "HTTP_STATUS_CODE_NOT_FOUND", "src/main/java/com/example", "customer/order/123456", "INTERNATIONALIZATION", "libfoo-1.2.3-x86_64", "XMLHttpRequest")
+    texts = documents(*((10_000 + i, f"{names[i % len(names)]} and {token} in {names[i % 3]}") for i, (_, token) in enumerate(rows)))
+    found = secrets.scan(docs.select(texts.columns).unionByName(texts), secrets.train(docs)).filter("doc_id >= 10000").collect()
+    hits = {name: [] for name, _ in rows}
+    for r in found:
+        name, token = rows[r["doc_id"] - 10_000]
+        at = len(f"{names[(r['doc_id'] - 10_000) % len(names)]} and ")
+        spans = [(s["start"], s["end"]) for s in r["spans"]]
+        hits[name].append((at, at + size) in spans)
+        assert not [s for s in spans if s != (at, at + size)], token
+    assert all(sum(h) >= 0.85 * len(h) for h in hits.values()), {k: sum(v) / len(v) for k, v in hits.items()}
+    assert sum(sum(h) for h in hits.values()) >= 0.93 * len(rows)
+
+
+def test_no_markov_span_in_prose(spark):
+    """The test tables hold no secret but those of the patterns."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    assert secrets.scan(docs, secrets.train(docs)).filter("exists(spans, s -> s.kind = 'markov')").count() == 0
+
+
+def test_secrets_of_the_whole_table(spark, sf_dir, documents, tmp_path):
+    """Base spans by their definition, and markov spans with the ratio summed pair by pair and alphabet by alphabet, of every text. Some hold random strings."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = docs.unionByName(documents(*((10_000 + i, f"Some text {token} (and more)") for i, (_, token) in enumerate(planted(2, 30)))).select(docs.columns))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    docs, sf_dir = spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)
     ratio = secrets.train(docs)
     letters = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_=-"
     at = {x: i for i, x in enumerate(letters)}
     texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
     found = queries.op2_secrets(spark, sf_dir).collect()
     assert len(found) == len(texts)
+    markov = 0
     base_rows = {r["doc_id"]: r["b"] for r in secrets.scan(docs, ratio).select("doc_id", secrets.joined("base").alias("b")).collect()}
     for r in found:
         text, base = texts[r["doc_id"]], brute_spans(texts[r["doc_id"]])
@@ -222,13 +265,17 @@ def test_secrets_of_the_whole_table(spark, sf_dir):
         more = []
         for m in re.finditer("[A-Za-z0-9+/_=-]+", text):
             token = m[0]
-            if len(token) >= secrets.LEAST and not any(s < m.end() and m.start() < e for s, e in taken):
-                total = sum(ratio[at[x] * len(letters) + at[y]] for x, y in zip(token, token[1:], strict=False))
-                if total >= secrets.LEAST_RATIO and total >= secrets.PER_CHAR * len(token):
+            word = len(token) < 20 and token.isalpha() and (token[1:].islower() or token.isupper())
+            if len(token) >= secrets.LEAST and not word and not any(s < m.end() and m.start() < e for s, e in taken):
+                of = lambda table: sum(table[at[x] * len(letters) + at[y]] for x, y in zip(token, token[1:], strict=False))  # noqa: B023, E731
+                total = max(of(table) for chars, table in zip(secrets.ALPHABETS, ratio, strict=True) if set(token) <= set(chars)) - np.log(len(secrets.ALPHABETS))
+                if total >= secrets.LEAST_RATIO and total >= secrets.PER_CHAR * (len(token) + secrets.SHORT):
+                    markov += 1
                     more.append((m.start(), 3, f"markov:{m.start()}:{m.end()}"))
         all_spans = sorted(more + [(int(s.split(":")[1]), secrets.KINDS.index(s.split(":")[0]), s) for s in base.split(",") if s])
         assert r["spans"] == ",".join(s[2] for s in all_spans)
         assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(sum(s.startswith(k) for s in base.split(",")) for k in ("assign", "access", "hex"))
+    assert markov >= 8
 
 
 def test_redact_awkward_rows(spark, awkward, clashing):
