@@ -119,25 +119,31 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
             found = [features(t.as_py(), buckets).astype(np.float32).tobytes() for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), batch.column(1)], ["x", "lang"])
 
-    rows = labelled.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    rows, _ = stratified_sample(rows.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")), "id", "lang", max_rows)
+    text, lang = F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang")
+    rows = labelled.filter(text.isNotNull() & lang.isNotNull())
+    rows, _ = stratified_sample(rows.select(F.col(f"`{id_col}`").alias("id"), text, lang), "id", "lang", max_rows)
     got = rows.select("text", "lang").mapInArrow(featured, "x binary, lang string").toPandas().sort_values(["lang", "x"])
     x = np.array([np.frombuffer(v, np.float32) for v in got["x"]]).reshape(-1, buckets)
     order = np.random.default_rng(11).permutation(len(x))
     return fit(x[order], [got["lang"].iloc[i] for i in order])
 
 
+def _judged(texts: pa.Array, model: Model | None, buckets: int):
+    """(places, what ``decode`` says) of the texts with a letter, 256 at a time: only those are held as text and features."""
+    for at in range(0, len(texts) if model else 0, 256):
+        part = [(i, t) for i, v in enumerate(texts[at : at + 256], at) if has_letter(t := v.as_py() or "")]
+        if part:
+            yield [i for i, _ in part], model.decode(np.array([features(t, buckets) for _, t in part]))
+
+
 def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", margin: float = MARGIN, buckets: int = BUCKETS) -> DataFrame:
     """Per row: doc_id, lang_pred, score, ambiguous."""
 
     def predicted(batches):
         for batch in batches:
-            texts = [t.as_py() or "" for t in batch.column(1)]
-            langs, scores, doubt = ["und"] * len(texts), [0.0] * len(texts), [True] * len(texts)
-            known = [i for i, t in enumerate(texts) if model and has_letter(t)]
-            for at in range(0, len(known), 256):
-                part = known[at : at + 256]
-                best, score, apart = model.decode(np.array([features(texts[i], buckets) for i in part]))
+            n = batch.num_rows
+            langs, scores, doubt = ["und"] * n, [0.0] * n, [True] * n
+            for part, (best, score, apart) in _judged(batch.column(1), model, buckets):
                 for i, k, s, a in zip(part, best, score, apart, strict=True):
                     langs[i], scores[i], doubt[i] = model.langs[k], float(s), bool(a < margin)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs), pa.array(scores), pa.array(doubt)], ["doc_id", "lang_pred", "score", "ambiguous"])
@@ -151,17 +157,14 @@ def keep_known(docs: DataFrame, model: Model | None, text_col: str = "text", mar
 
     @F.arrow_udf("boolean")
     def known(texts: pa.Array) -> pa.Array:
-        values = [t.as_py() or "" for t in texts]
-        out = [False] * len(values)
-        lettered = [i for i, t in enumerate(values) if model and has_letter(t)]
-        for at in range(0, len(lettered), 256):
-            part = lettered[at : at + 256]
-            for i, apart in zip(part, model.decode(np.array([features(values[i], buckets) for i in part]))[2], strict=True):
-                out[i] = bool(apart >= margin)
+        out = [False] * len(texts)
+        for part, (_, _, apart) in _judged(texts, model, buckets):
+            for i, a in zip(part, apart, strict=True):
+                out[i] = bool(a >= margin)
         return pa.array(out, pa.bool_())
 
-    return docs.filter(known(F.col(text_col).cast("string")))
+    return docs.filter(known(F.col(f"`{text_col}`").cast("string")))
 
 
 def held_out(id_col: str = "doc_id", folds: int = 5, fold: int = 0) -> Column:
-    return F.coalesce(F.crc32(F.col(id_col).cast("string")) % folds == fold, F.lit(False))
+    return F.coalesce(F.crc32(F.col(f"`{id_col}`").cast("string")) % folds == fold, F.lit(False))
