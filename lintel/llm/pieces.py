@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MARK, MEMO, BATCH, CHUNK = "▁", 150_000, 1_000, 1 << 18
+MARK, MEMO, BATCH, CHUNK = "▁", 60_000, 1_000, 1 << 18
 
 
 class CharacterMap:
