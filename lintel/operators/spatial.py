@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lintel.functions.geo import METRES_LAT, METRES_LON, ORIGIN, distance_km, in_ring, metres, segment_distance, to_metres
@@ -62,6 +63,63 @@ def nearest(points: DataFrame, targets: DataFrame, key: str, target_key: str, ri
     return reduce(DataFrame.unionByName, done)
 
 
+#: The quadtree's square (metres in the frame, both ways from its origin), and how often it is halved at most.
+TREE_REACH, TREE_DEPTH = 1 << 20, 24
+
+
+def _tree_places(rows: DataFrame) -> DataFrame:
+    """Adds x, y and the whole-number place u, v in the quadtree's finest grid."""
+    fine = (1 << TREE_DEPTH) / (2.0 * TREE_REACH)
+    place = lambda c: F.greatest(F.lit(0), F.least(F.lit((1 << TREE_DEPTH) - 1), F.floor((F.col(c) + TREE_REACH) * fine))).cast("long")
+    return rows.select("*", *_frame()).withColumns({"u": place("x"), "v": place("y")})
+
+
+def nearest_by_density(points: DataFrame, targets: DataFrame, key: str, target_key: str, group: str | None = None, most: int = 64) -> DataFrame:
+    """(key, group, target_key, m): the nearest target of each group for each point, ties to the smallest key, however targets crowd.
+
+    A quadtree of the targets: a cell is halved both ways while it holds more than ``most``. Points go down it level by level together with the cells
+    that may hold their nearest target: each cell's first target bounds the distance from above, its box from below, and cells beyond
+    the best bound are left. Only leaves that are still in question meet the points with their targets. So the cells follow the density of each group,
+    and a point compares a few cells a level and a few leaves of ``most`` targets, whether its nearest target is in a crowd or far out.
+    """
+    groups = [group] if group else []
+    left = kept(_tree_places(targets.select(target_key, *groups, "lon", "lat")), "targets")
+    cell = lambda d: [F.shiftright(c, TREE_DEPTH - d).alias(f"c{c}") for c in ("u", "v")]
+    nodes, leaves = [], []
+    for depth in range(1, TREE_DEPTH + 1):
+        held = left.select("*", *cell(depth))
+        one = held.groupBy(*groups, "cu", "cv").agg(F.count("*").alias("n"), F.min_by(F.struct("lon", "lat"), target_key).alias("first"))
+        one = kept(one.withColumn("leaf", (F.col("n") <= most) | F.lit(depth == TREE_DEPTH)), "nodes")
+        nodes.append(one)
+        met = held.join(one.select(*groups, "cu", "cv", "leaf"), [*groups, "cu", "cv"])
+        leaves.append(met.filter("leaf").select(F.lit(depth).alias("depth"), *groups, "cu", "cv", target_key, F.col("lon").alias("tlon"), F.col("lat").alias("tlat")))
+        if one.filter("not leaf").isEmpty():
+            break
+        left = kept(met.filter("not leaf").drop("cu", "cv", "leaf"), "targets")
+    here = points.select(key, "lon", "lat", *_frame())
+    if group:  # one row has the groups, which are kinds of targets and few
+        here = here.join(F.broadcast(targets.agg(F.collect_set(group).alias("_groups")))).withColumn(group, F.explode("_groups")).drop("_groups")
+    asked = here.select("*", F.lit(0).cast("long").alias("pu"), F.lit(0).cast("long").alias("pv"), F.lit(float(1 << 40)).alias("bound"))
+    found = []
+    for depth, one in enumerate(nodes, 1):
+        size = 2.0 * TREE_REACH / (1 << depth)
+        child = one.select(*groups, "cu", "cv", "first", "leaf", F.shiftright("cu", 1).alias("pu"), F.shiftright("cv", 1).alias("pv"))
+        met = asked.join(child, [*groups, "pu", "pv"])
+        to_first = distance_km(F.col("lon"), F.col("lat"), F.col("first.lon"), F.col("first.lat")) * 1000
+        gap = lambda c, p: F.greatest(F.col(c) * size - TREE_REACH - F.col(p), F.col(p) - (F.col(c) + 1) * size + TREE_REACH, F.lit(0.0))  # noqa: E731, B023
+        away = F.sqrt(gap("cu", "x") * gap("cu", "x") + gap("cv", "y") * gap("cv", "y")) * SAFE
+        best = F.min(F.least("bound", to_first)).over(W.partitionBy(key, *groups))
+        met = met.withColumns({"bound": best, "away": away}).filter(F.col("away") <= F.col("bound") + 1)  # a metre, as distances are rounded
+        met = kept(met.select(key, *groups, "lon", "lat", "x", "y", "cu", "cv", "leaf", "bound", "away"), "asked")
+        found.append(met.filter("leaf").select(key, *groups, "lon", "lat", F.lit(depth).alias("depth"), "cu", "cv", "bound", "away"))
+        asked = met.filter("not leaf").select(key, *groups, "lon", "lat", "x", "y", F.col("cu").alias("pu"), F.col("cv").alias("pv"), "bound")
+    last = F.min("bound").over(W.partitionBy(key, *groups))
+    open_ = reduce(DataFrame.unionByName, found).withColumn("bound", last).filter(F.col("away") <= F.col("bound") + 1)
+    met = open_.join(reduce(DataFrame.unionByName, leaves), ["depth", *groups, "cu", "cv"])
+    m = metres(distance_km(F.col("lon"), F.col("lat"), F.col("tlon"), F.col("tlat")))
+    return met.groupBy(key, *groups).agg(F.min(F.struct(m.alias("m"), target_key)).alias("b")).select(key, *groups, f"b.{target_key}", "b.m")
+
+
 def within(points: DataFrame, targets: DataFrame, key: str, radius_m: int) -> DataFrame:
     """Every target within the radius of a point, with m: one pass over cells a little larger than the radius."""
     size = int(radius_m / SAFE) + 1

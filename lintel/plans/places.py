@@ -73,6 +73,23 @@ def usual_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.usual_reason(attempts)
 
 
+#: Properties drawn together towards the middle of their county, so that they crowd there.
+_CROWD = "SELECT property_id, county, -8.0::DOUBLE + county_id * 0.2::DOUBLE + (lon + 8) * (lon + 8) * (lon + 8) / 200 AS lon, 53.0::DOUBLE + (lat - 53.4) * (lat - 53.4) * (lat - 53.4) / 200 AS lat FROM property"
+
+
+@query(
+    f"""WITH t AS ({_CROWD}), d AS (SELECT p.property_id AS p, t.county, t.property_id AS t, {geo.metres_sql(geo.distance_sql('p.lon', 'p.lat', 't.lon', 't.lat'))} AS m FROM property p, t)
+SELECT p AS property_id, county, min({{'m': m, 't': t}}).t AS nearest_id, min({{'m': m, 't': t}}).m AS m FROM d GROUP BY p, county""",
+    "property",
+)
+def nearest_in_crowds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest place of each county for every property, by a quadtree of the places."""
+    p = B.properties(spark, sf_dir)
+    cube = lambda c, o: (F.col(c) - o) * (F.col(c) - o) * (F.col(c) - o) / 200
+    crowd = p.select(F.col("property_id").alias("nearest_id"), "county", (F.lit(-8.0) + F.col("county_id") * 0.2 + cube("lon", -8)).alias("lon"), (F.lit(53.0) + cube("lat", 53.4)).alias("lat"))
+    return S.nearest_by_density(p.select("property_id", "lon", "lat"), crowd, "property_id", "nearest_id", "county", most=16)
+
+
 #: A rectangle for each nation, overlapping its neighbours; metres in the local frame.
 _BOX = "SELECT 100 + n_nationkey AS area_id, (n_nationkey % 5) * 50000 - 140000 AS x0, (n_nationkey // 5) * 80000 - 220000 AS y0, (n_nationkey % 5) * 50000 - 140000 + 52000 AS x1, (n_nationkey // 5) * 80000 - 220000 + 70000 AS y1 FROM nation"
 

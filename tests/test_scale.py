@@ -247,3 +247,26 @@ def test_tiles_read_back(spark):
         for mine, theirs in zip(got[tile][1], features, strict=True):
             assert mine[:2] == theirs[:2] and near(mine[2], theirs[2])
     assert vector_tiles.tiles(points.limit(0), 7, "sales", "id", ("price",)).count() == 0
+
+
+@pytest.mark.parametrize("most", [1, 8])
+def test_nearest_by_density(spark, monkeypatch, most):
+    """Crowds a metre wide, a lone far target, targets on one spot, and points among and far from them: as all pairs say, without making them."""
+    rng = random.Random(most)
+    spots = [(-8.0 + rng.gauss(0, 1e-5), 53.5 + rng.gauss(0, 1e-5), "a") for _ in range(400)] + [(-8.5, 52.0, "a")] * 30 + [(-9.9, 55.0, "b")] + [(-8 + rng.random(), 53 + rng.random(), "b") for _ in range(50)]
+    targets = [(i, x, y, g) for i, (x, y, g) in enumerate(spots)]
+    points = [(i, -8.0 + rng.gauss(0, 2e-5), 53.5 + rng.gauss(0, 2e-5)) for i in range(40)] + [(40 + i, -10 + 4 * rng.random(), 51.5 + 3.8 * rng.random()) for i in range(60)]
+    made = []
+    real = spatial.kept
+
+    def counted(df, name="step"):
+        out = real(df, name)
+        made.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(spatial, "kept", counted)
+    frame = lambda rows, shape: spark.createDataFrame(rows, shape)
+    found = spatial.nearest_by_density(frame(points, "p long, lon double, lat double"), frame(targets, "t long, lon double, lat double, g string"), "p", "t", "g", most)
+    want = {(p, g): min((math.floor(km((x, y), (u, v)) * 1000 + 0.5), t) for t, u, v, h in targets if h == g) for p, x, y in points for g in "ab"}
+    assert {(r["p"], r["g"]): (r["m"], r["t"]) for r in found.collect()} == want
+    assert max(n for name, n in made if name == "asked") < 200 * 12
