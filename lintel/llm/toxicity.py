@@ -5,8 +5,8 @@ learns what an additive model misses, such as an insult that only counts togethe
 
 Fitting uses at most ``max_rows`` labelled rows (by a hash of the identifier; rare labels first, the machine's bias is set back to the label shares of all
 rows). The machine's inputs are hashed terms of two kinds, as many as pass: those whose document rates differ between the labels by
-LEAST_ERRORS standard errors, and those of pairs that tell more together than either term alone: pairs whose joint document rates differ by
-PAIR_ERRORS standard errors, and by PAIR_GAIN more than those of their terms. So a term that says nothing by itself gets in with
+LEAST_ERRORS standard errors, and those of pairs that tell more together than either term alone: pairs of at least PAIR_DOCS documents whose
+rates differ by PAIR_ERRORS standard errors, and by PAIR_GAIN more than those of their terms. So a term that says nothing by itself gets in with
 its partner, however large the vocabulary is. Pairs are sought by pruning: Spark counts terms and leaves those out that could not pass if all their
 documents of one label were the pair's; terms of the same documents are counted as one; and the pair's documents of that label alone are
 counted first. Then the machine is fitted by gradient steps on the log loss. Scoring reads all rows and whole texts.
@@ -18,6 +18,7 @@ identifier counts as not held out. Identifiers may be of any type; other columns
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from dataclasses import dataclass
@@ -31,7 +32,7 @@ from .common import Scratch, stratified_sample
 
 BUCKETS, FACTORS, MAX_ROWS, EPOCHS = 1 << 22, 4, 20_000, 8
 LEAST_DOCS, LEAST_ERRORS, MEMO = 8, 5.0, 200_000
-PAIR_ERRORS, PAIR_GAIN = 7.0, 4.0
+PAIR_DOCS, PAIR_ERRORS, PAIR_GAIN = 40, 9.0, 5.0
 _WORD = re.compile(r"\w+")
 
 
@@ -93,7 +94,8 @@ def select_inputs(rows: DataFrame) -> tuple[list[int], list[int]]:
         return F.abs(k1 / n1 - k0 / n0) / F.sqrt(F.greatest(p * (1 - p) * (1 / n1 + 1 / n0), F.lit(1e-12)))
 
     k1, k0, none = F.col("k1"), F.col("docs") - F.col("k1"), F.lit(0)
-    judged = counts.select("bucket", errors(k1, k0).alias("errors"), F.greatest(errors(k1, none), errors(none, k0)).alias("hope"))
+    hope = F.when(F.col("docs") >= PAIR_DOCS, F.greatest(errors(k1, none), errors(none, k0))).otherwise(0.0)
+    judged = counts.select("bucket", errors(k1, k0).alias("errors"), hope.alias("hope"))
     found = judged.filter((F.col("errors") >= LEAST_ERRORS) | (F.col("hope") >= PAIR_ERRORS)).collect()
     telling = [r["bucket"] for r in sorted(found, key=lambda r: (-r["errors"], r["bucket"])) if r["errors"] >= LEAST_ERRORS]
     return telling, sorted(r["bucket"] for r in found if r["errors"] < LEAST_ERRORS)
@@ -122,12 +124,13 @@ def telling_pairs(x: list[np.ndarray], labels: np.ndarray, n: int) -> list[int]:
         return np.abs(k1 / sizes[0] - k0 / sizes[1]) / np.sqrt(np.maximum(p * (1 - p) * (1 / sizes[0] + 1 / sizes[1]), 1e-12))
 
     bits = [_bits(side, n) for side in rows]
-    both = np.ascontiguousarray(np.concatenate(bits, axis=1))
-    _, first, of = np.unique(both.view([("", np.uint64)] * both.shape[1]).ravel(), return_index=True, return_inverse=True)
-    members = [[] for _ in first]
-    for place, k in enumerate(of.tolist()):
-        members[k].append(place)
-    bits = [side[first] for side in bits]  # terms of the same documents once
+    classes: dict[bytes, list[int]] = {}  # terms of the same documents, by a digest of those
+    for place in range(n):
+        classes.setdefault(hashlib.blake2b(bits[0][place].tobytes() + bits[1][place].tobytes(), digest_size=16).digest(), []).append(place)
+    members = list(classes.values())
+    first = np.array([m[0] for m in members])
+    for i in (0, 1):
+        bits[i] = bits[i][first]  # terms of the same documents once
     count = lambda w: np.bitwise_count(w).sum(axis=-1, dtype=np.int64)
     held = [count(side) for side in bits]
     alone = errors(*held)
@@ -142,7 +145,7 @@ def telling_pairs(x: list[np.ndarray], labels: np.ndarray, n: int) -> list[int]:
             need = np.maximum(np.maximum(bound[i], bound[i + 1 :]) + PAIR_GAIN, PAIR_ERRORS)
             hopeful = np.flatnonzero(most[k] >= need)
             k, rest = k[hopeful], count(theirs[i] & theirs[i + 1 + hopeful])
-            z = np.where(k + rest >= LEAST_DOCS, errors(*((k, rest) if one == 0 else (rest, k))), 0)
+            z = np.where(k + rest >= PAIR_DOCS, errors(*((k, rest) if one == 0 else (rest, k))), 0)
             for j in np.flatnonzero(z >= need[hopeful]):
                 pair = able[i], able[i + 1 + hopeful[j]]
                 found[pair] = z[j] - max(alone[pair[0]], alone[pair[1]])
@@ -203,7 +206,7 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 
     got = once.select("x", "y").mapInArrow(placed, "x binary, y int").toPandas().sort_values(["x", "y"])
     scratch.drop(held)
-    x, y = [np.frombuffer(v, np.uint32).astype(np.int64) for v in got["x"]], got["y"].to_numpy(float)
+    x, y = [np.frombuffer(v, np.uint32) for v in got["x"]], got["y"].to_numpy(float)
     chosen = list(dict.fromkeys([*range(len(telling)), *telling_pairs(x, y, len(places))]))  # the pairs' terms after the telling ones
     new = np.full(len(places), -1)
     new[chosen] = np.arange(len(chosen))

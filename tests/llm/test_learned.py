@@ -96,7 +96,7 @@ def test_telling_pairs_against_brute_force():
         n1, n0 = (y == 1).sum(), (y == 0).sum()
         k1, k0 = (on & (y == 1)).sum(), (on & (y == 0)).sum()
         p = (k1 + k0) / 900
-        return abs(k1 / n1 - k0 / n0) / np.sqrt(max(p * (1 - p) * (1 / n1 + 1 / n0), 1e-12)) if k1 + k0 >= toxicity.LEAST_DOCS else 0
+        return abs(k1 / n1 - k0 / n0) / np.sqrt(max(p * (1 - p) * (1 / n1 + 1 / n0), 1e-12)) if k1 + k0 >= toxicity.PAIR_DOCS else 0
 
     pairs = [(errors(x[:, i] & x[:, j]) - max(errors(x[:, i]), errors(x[:, j])), i, j) for i in range(12) for j in range(i + 1, 12)]
     want = [p for p in pairs if p[0] >= toxicity.PAIR_GAIN and errors(x[:, p[1]] & x[:, p[2]]) >= toxicity.PAIR_ERRORS]
