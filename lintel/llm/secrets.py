@@ -68,7 +68,7 @@ def alphabet_of(token: str) -> int:
     return next(i for i, chars in enumerate(ALPHABETS) if set(token) <= set(chars))
 
 
-def log_ratios(counts: np.ndarray, prior: float = 5.0, ordinary_prior: float = 0.5) -> np.ndarray:
+def log_ratios(counts: np.ndarray, prior: float = 5.0, ordinary_prior: float = 0.2) -> np.ndarray:
     """log P(next | previous, random) - log P(next | previous, ordinary) by alphabet and pair code; pairs outside an alphabet are far below any bound.
 
     ``counts``: a row of pair counts for each alphabet and, last, for identifiers. Without identifiers there is nothing to tell apart: all zero.

@@ -222,11 +222,11 @@ def planted(n_each, size):
 @pytest.mark.parametrize("size", [22, 32])
 def test_planted_secrets_by_alphabet(spark, documents, size):
     """Nine of ten random strings of each alphabet are found, and no word or identifier of the texts around them."""
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     rows = planted(60, size)
     names = ("application_configuration_manager", "computeMonthlyStatisticsTable", "HTTP_STATUS_CODE_NOT_FOUND", "src/main/java/com/example", "customer/order/123456", "INTERNATIONALIZATION", "libfoo-1.2.3-x86_64", "XMLHttpRequest")
     texts = documents(*((10_000 + i, f"{names[i % len(names)]} and {token} in {names[i % 3]}") for i, (_, token) in enumerate(rows)))
-    found = secrets.scan(docs.select(texts.columns).unionByName(texts), secrets.train(docs)).filter("doc_id >= 10000").collect()
+    found = secrets.scan(texts, secrets.train(docs)).collect()
     hits = {name: [] for name, _ in rows}
     for r in found:
         name, token = rows[r["doc_id"] - 10_000]
@@ -234,8 +234,8 @@ def test_planted_secrets_by_alphabet(spark, documents, size):
         spans = [(s["start"], s["end"]) for s in r["spans"]]
         hits[name].append((at, at + size) in spans)
         assert not [s for s in spans if s != (at, at + size)], token
-    assert all(sum(h) >= 0.85 * len(h) for h in hits.values()), {k: sum(v) / len(v) for k, v in hits.items()}
-    assert sum(sum(h) for h in hits.values()) >= 0.93 * len(rows)
+    assert all(sum(h) >= 0.9 * len(h) for h in hits.values()), {k: sum(v) / len(v) for k, v in hits.items()}
+    assert sum(sum(h) for h in hits.values()) >= 0.95 * len(rows)
 
 
 def test_no_markov_span_in_prose(spark):
@@ -247,7 +247,7 @@ def test_no_markov_span_in_prose(spark):
 def test_secrets_of_the_whole_table(spark, sf_dir, documents, tmp_path):
     """Base spans by their definition, and markov spans with the ratio summed pair by pair and alphabet by alphabet, of every text. Some hold random strings."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    docs = docs.unionByName(documents(*((10_000 + i, f"Some text {token} (and more)") for i, (_, token) in enumerate(planted(2, 30)))).select(docs.columns))
+    docs = docs.unionByName(documents(*((10_000 + i, f"Some text {token} (and more)") for i, (_, token) in enumerate(planted(2, 30))), *((20_000 + i, f"The application reads configuration values of every customer, token={token}") for i, (_, token) in enumerate(planted(40, 31)))).select(docs.columns))
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     docs, sf_dir = spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)
     ratio = secrets.train(docs)
