@@ -107,7 +107,8 @@ def nearest_by_density(points: DataFrame, targets: DataFrame, key: str, target_k
         met = asked.join(child, [*groups, "pu", "pv"])
         to_first = distance_km(F.col("lon"), F.col("lat"), F.col("first.lon"), F.col("first.lat")) * 1000
         gap = lambda c, p: F.greatest(F.col(c) * size - TREE_REACH - F.col(p), F.col(p) - (F.col(c) + 1) * size + TREE_REACH, F.lit(0.0))  # noqa: E731, B023
-        away = F.sqrt(gap("cu", "x") * gap("cu", "x") + gap("cv", "y") * gap("cv", "y")) * SAFE
+        # no target of a cell is nearer than its box, nor than its first target by more than the cell's width
+        away = F.greatest(F.sqrt(gap("cu", "x") * gap("cu", "x") + gap("cv", "y") * gap("cv", "y")) * SAFE, to_first - F.lit(size * 2**0.5 / SAFE))
         best = F.min(F.least("bound", to_first)).over(W.partitionBy(key, *groups))
         met = met.withColumns({"bound": best, "away": away}).filter(F.col("away") <= F.col("bound") + 1)  # a metre, as distances are rounded
         met = kept(met.select(key, *groups, "lon", "lat", "x", "y", "cu", "cv", "leaf", "bound", "away"), "asked")

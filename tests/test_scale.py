@@ -251,11 +251,11 @@ def test_tiles_read_back(spark):
 
 @pytest.mark.parametrize("most", [1, 8])
 def test_nearest_by_density(spark, monkeypatch, most):
-    """Crowds a metre wide, a lone far target, targets on one spot, and points among and far from them: as all pairs say, without making them."""
+    """A crowd some hundred metres wide, a lone far target, targets on one spot, and points among and far from them: as all pairs say, without making them."""
     rng = random.Random(most)
-    spots = [(-8.0 + rng.gauss(0, 1e-5), 53.5 + rng.gauss(0, 1e-5), "a") for _ in range(400)] + [(-8.5, 52.0, "a")] * 30 + [(-9.9, 55.0, "b")] + [(-8 + rng.random(), 53 + rng.random(), "b") for _ in range(50)]
+    spots = [(-8.0 + rng.gauss(0, 1e-3), 53.5 + rng.gauss(0, 1e-3), "a") for _ in range(400)] + [(-8.5, 52.0, "a")] * 30 + [(-9.9, 55.0, "b")] + [(-8 + rng.random(), 53 + rng.random(), "b") for _ in range(50)]
     targets = [(i, x, y, g) for i, (x, y, g) in enumerate(spots)]
-    points = [(i, -8.0 + rng.gauss(0, 2e-5), 53.5 + rng.gauss(0, 2e-5)) for i in range(40)] + [(40 + i, -10 + 4 * rng.random(), 51.5 + 3.8 * rng.random()) for i in range(60)]
+    points = [(i, -8.0 + rng.gauss(0, 2e-3), 53.5 + rng.gauss(0, 2e-3)) for i in range(40)] + [(40 + i, -10 + 4 * rng.random(), 51.5 + 3.8 * rng.random()) for i in range(60)]
     made = []
     real = spatial.kept
 
