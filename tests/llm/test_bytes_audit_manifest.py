@@ -197,7 +197,7 @@ def test_op13_awkward(spark, awkward, clashing, tmp_path):
     assert digests_of(spark, clashing(docs), tmp_path) == want
 
 
-@pytest.mark.parametrize(("fanout", "levels"), [(2, 1), (2, 3), (3, 2), (16, 1)])
+@pytest.mark.parametrize(("fanout", "levels"), [(2, 3), (3, 2), (16, 1)])
 def test_rounds_of_superblocks(spark, documents, fanout, levels):
     """Several rounds, trees of different heights, and last runs of one node give the roots and proofs of plain trees."""
     docs = documents(*((i, f"t{i}") for i in range(90))).withColumn("source", F.expr("case when doc_id < 60 then 'a' when doc_id < 85 then 'b' when doc_id < 88 then 'c' else cast(doc_id as string) end"))
