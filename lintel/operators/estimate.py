@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from lintel.functions import text as T
 
+from .blocks import ranked_within
 from .geocode import PLAIN_STREET_WORDS
 from .market import is_market, is_plain, latest
-from .spatial import within
 
 LEAST_CENTS, LEAST_GAP_MONTHS, RECENT_MONTHS, LEAST_PAIRS, ROUND_TO = 1_000_000, 6, 6, 150, 1000
 QUANTILES = (0.1, 0.5, 0.9)
@@ -86,7 +86,7 @@ def estimates(properties: DataFrame, sales: DataFrame, index: DataFrame, calibra
 def comparables(wanted: DataFrame, properties: DataFrame, sales: DataFrame, places: DataFrame, since: Column, radius_m: int = 500, size: int = 20, least: int = 5) -> DataFrame:
     """For each wanted property (property_id, lon, lat, address): its nearest latest market sales since a day, and their median.
 
-    Properties within the radius meet through cells. The median is of prices that hold the tax and needs ``least`` of them; the list has
+    Properties within the radius meet in blocks and are never listed as pairs (``ranked_within``). The median is of prices that hold the tax and needs ``least`` of them; the list has
     those that share a street part first, then the nearest, then the newest. A part that names one of ``places`` (name) says where and
     not which street, unless it has a street word in it.
     """
@@ -96,11 +96,7 @@ def comparables(wanted: DataFrame, properties: DataFrame, sales: DataFrame, plac
     elsewhere = parts.filter(~F.col("part").rlike(_STREET_WORD)).join(places.select(F.lower("name").alias("part")).distinct(), "part", "left_semi")
     streets = parts.join(elsewhere.withColumn("_out", F.lit(True)), ["property_id", "part"], "left").filter("_out is null")
     mine = streets.groupBy("property_id").agg(F.collect_set("part").alias("own"))
-    near = within(wanted.select("property_id", "lon", "lat"), there, "property_id", radius_m).filter(F.col("property_id") != F.col("other_id"))
-    near = near.join(mine, "property_id", "left").withColumn("same_street", F.coalesce(F.arrays_overlap("own", "streets"), F.lit(False)))
-    full = ~F.col("vat_exclusive")
-    sums = near.groupBy("property_id").agg(F.count("*").alias("total"), F.count_if(full).alias("median_n"), F.expr("percentile(if(vat_exclusive, null, cents), 0.5D)").alias("q"))
-    place = F.row_number().over(W.partitionBy("property_id").orderBy(F.desc("same_street"), "m", F.desc("sale_date"), "other_id"))
-    listed = near.withColumn("place", place).filter(F.col("place") <= size)
-    sums = sums.select("property_id", "total", "median_n", F.when(F.col("median_n") >= least, F.floor(F.col("q") + 0.5).cast("long")).alias("median"))
-    return listed.join(sums, "property_id").select("property_id", "place", "other_id", F.col("m").alias("distance_m"), "same_street", "sale_date", "cents", "total", "median_n", "median")
+    here = wanted.select("property_id", "lon", "lat").join(mine, "property_id", "left")
+    near = ranked_within(here, there.withColumn("full", F.coalesce(~F.col("vat_exclusive"), F.lit(False))), "property_id", radius_m, size)
+    median = F.when(F.col("full_n") >= least, F.col("median")).alias("median")
+    return near.select("property_id", "place", "other_id", F.col("m").alias("distance_m"), F.col("same").alias("same_street"), "sale_date", "cents", "total", F.col("full_n").alias("median_n"), median)
