@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lintel.functions import geo, text
 from lintel.operators import geocode as G
 from lintel.operators import spatial as S
+from lintel.operators.blocks import counts_within
 from lintel.sources import binding as B
 
 from .registry import query
@@ -51,8 +52,7 @@ SELECT property_id, string_agg(kind || ':' || CAST(n AS VARCHAR), ',' ORDER BY k
 )
 def amenities_nearby(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts by kind within 20 km."""
-    near = S.within(precise(spark, sf_dir), B.places_of_interest(spark, sf_dir), "property_id", 20_000)
-    counts = near.groupBy("property_id", "kind").agg(F.count("*").alias("n"))
+    counts = counts_within(precise(spark, sf_dir), B.places_of_interest(spark, sf_dir), "property_id", "kind", 20_000)
     return counts.groupBy("property_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "kind", F.col("n").cast("string")))), ",").alias("amenities"))
 
 
@@ -63,7 +63,7 @@ SELECT property_id, '{{' || string_agg('"' || kind || '":' || n, ',' ORDER BY ki
 )
 def amenity_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts by kind within 10 km as a JSON object."""
-    return S.counts_object(S.within(precise(spark, sf_dir), B.places_of_interest(spark, sf_dir), "property_id", 10_000), "property_id")
+    return S.counts_object(counts_within(precise(spark, sf_dir), B.places_of_interest(spark, sf_dir), "property_id", "kind", 10_000), "property_id")
 
 
 @query("SELECT user_id AS property_id, arg_max(event_type, (n, -least)) AS reason, max(n) AS n FROM (SELECT user_id, event_type, count(*) AS n, min(event_id) AS least FROM events GROUP BY ALL) GROUP BY user_id")
