@@ -53,6 +53,12 @@ def featured(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFra
     return rows.select("doc_id", *more, "tokens", F.concat(words, shapes).alias("buckets"))
 
 
+def bucketed(rows: DataFrame) -> DataFrame:
+    """(domain, bucket) for each bucket of a row, of which each has some. A plain ``explode`` would add a filter on them that Spark moves below
+    the join with the sample, where every text is split for it."""
+    return rows.select("domain", F.explode_outer("buckets").alias("bucket"))
+
+
 def _speaks(k: int, m: int, others: int, rest: int) -> bool:
     """Whether k of a domain's m documents and ``others`` of the ``rest`` have clearly different rates."""
     if not rest:
@@ -72,7 +78,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sizes = {r["domain"]: r["n"] for r in rows.groupBy("domain").agg(F.count("*").alias("n")).orderBy("domain").collect()}
     if not sizes:
         return ["all"], [0.0], [[0.0] * (BUCKETS + 2 * SHAPES)]
-    counts = rows.select("domain", F.explode("buckets").alias("bucket")).groupBy("bucket").pivot("domain", list(sizes)).count().na.fill(0).collect()  # a row a bucket at most
+    counts = bucketed(rows).groupBy("bucket").pivot("domain", list(sizes)).count().na.fill(0).collect()  # a row a bucket at most
     total = sum(sizes.values())
     logs = [[0.0] * (BUCKETS + 2 * SHAPES) for _ in sizes]
     all_rows = {d: n / max(taken.get(d, 1.0), 1e-9) for d, n in sizes.items()}

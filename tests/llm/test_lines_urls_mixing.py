@@ -294,3 +294,13 @@ def test_equals_sql(spark, duck, sf_dir, name):
     from tests.compare import rows_of, rows_of_sql
 
     assert rows_of(queries.QUERIES[name](spark, sf_dir)) == rows_of_sql(duck, queries.ORACLES[name])
+
+
+def test_buckets_are_made_of_the_sample_only(spark, documents):
+    """No filter on the buckets, which splits every text, goes below the join with the sampled labels."""
+    labels = spark.createDataFrame([(1, "high")], "doc_id long, domain string")
+    docs = documents((1, "some words here"), (2, "others there"))
+    rows = mixing.featured(docs.join(labels.hint("broadcast"), "doc_id"), "doc_id", "text", "domain").select("domain", "buckets")
+    plan = mixing.bucketed(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan and "split" not in plan.split("Join")[1]
+    assert mixing.bucketed(rows).count() == 5
