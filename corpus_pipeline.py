@@ -2,7 +2,7 @@
 
 1. language: documents whose language cannot be told (no letter, or a tie between two languages) go;
 2. lines: lines that repeat an earlier line, or are one edit away from it, go from their texts;
-3. near: of each group of near copies (five-word Jaccard of 0.8 or more) the document with the smallest doc_id stays;
+3. near: of each group of near copies (SimHash of five-word shingles within two bits, or their Jaccard 0.8 or more) the document with the smallest doc_id stays;
 4. mixing: rates that bring the expected domain token totals to their targets; each document stays as often as its rate says;
 5. pieces: the texts as SentencePiece ids, with the digests of ids and decoded text.
 

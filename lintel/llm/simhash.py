@@ -9,8 +9,8 @@ Its members list themselves under the 65 numbers that differ from them in at mos
 within two bits exactly if such lists meet, and all that meet in one number are within two bits of each other, so
 each is linked to the smallest one. That is linear in the group and loses no link.
 
-``near_pairs`` is the form for whole texts (``keep_one`` with ``least``): five-word shingles, a wider bit bound and a verified Jaccard
-similarity. Texts at 0.8 differ in about 10 of 64 bits, where no blocks of a SimHash are both shared and selective, so its blocks are
+``near_pairs`` is the form for whole texts (``keep_one`` with ``least``): the same links, of fingerprints of five-word shingles, and besides them
+links by a wider bit bound and a verified Jaccard similarity. Two bits alone miss most pairs at 0.8; such texts differ in about 10 of 64 bits, where no blocks of a SimHash are both shared and selective, so its blocks are
 25 hashes of five minima each over the same shingle hashes: a pair at 0.8 shares one with probability 0.99995, a more similar pair
 with a higher one. Pairs of a block within ``NEAR_BITS`` bits are verified on the whole shingle sets. Equal sets are one node.
 
@@ -179,8 +179,19 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float, scratch: Scratch,
     return scratch.keep(both.filter(shared >= F.lit(least) * (F.size("x") + F.size("y") - shared) - F.lit(1e-9)).select("a", "b"), f"{name}-edges")
 
 
+def print_links(hashed: DataFrame, scratch: Scratch) -> DataFrame:
+    """Edges (a, b) between the nodes whose fingerprints are equal or within two bits, by ``links``: enough to join all of them."""
+    prints = scratch.keep(hashed.select("fp", "node").distinct(), "prints")
+    first = scratch.keep(prints.groupBy("fp").agg(F.min("node").alias("first")), "first")
+    edges = links(first.select("fp"), scratch)
+    end = lambda c: first.select(F.col("fp").alias(c), F.col("first").alias(f"_{c}"))
+    met = edges.join(end("a"), "a").join(end("b"), "b").select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"))
+    equal = prints.join(first, "fp").filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    return scratch.keep(met.unionByName(equal), "print-links")
+
+
 def near_pairs(hashed: DataFrame, scratch: Scratch, least: float = NEAR_LEAST, max_bits: int = NEAR_BITS) -> DataFrame:
-    """(node, label) of the nodes that have a near copy: label is the smallest node reachable over verified links."""
+    """(node, label) of the nodes that have a near copy: label is the smallest node reachable over links by fingerprint or by verified similarity."""
     listed = hashed.select("node", "fp", F.size("shingles").alias("m"), F.explode("keys").alias("key")).distinct()
     blocks = scratch.keep(listed.groupBy("key").agg(F.count("*").alias("n"), F.min("m").alias("smallest")).filter("n > 1"), "blocks")
     members = scratch.keep(listed.join(blocks, "key"), "members")
@@ -212,13 +223,14 @@ def near_pairs(hashed: DataFrame, scratch: Scratch, least: float = NEAR_LEAST, m
     meet = (F.col("label_x") < F.col("label_y")) & close(F.col("fp_x"), F.col("fp_y")) & enough(F.least("rest_x", "rest_y"), F.col("m_x"), F.col("m_y"))
     met = a.join(b, (F.col("s_x") == F.col("s_y")) & meet)
     rest = _verified(met.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")), sets, least, scratch, "rest")
-    out = components(scratch.keep(stars.unionByName(rest), "links"), scratch)
+    near = stars.unionByName(rest).unionByName(print_links(hashed, scratch))
+    out = components(scratch.keep(near, "links"), scratch)
     scratch.drop(blocks, members, nodes, sets, tops, stars, labels, named, open_blocks, left, tokens, common, prefix, rest)
     return out
 
 
 def near_copies(docs: DataFrame, least: float = NEAR_LEAST, id_col: str = "doc_id", text_col: str = "text", width: int = NEAR_WIDTH, max_bits: int = NEAR_BITS) -> DataFrame:
-    """(doc_id, row_key, component_id) for every row; component_id is the smallest doc_id reachable over pairs of Jaccard ``least`` or more."""
+    """(doc_id, row_key, component_id) for every row; component_id is the smallest doc_id reachable over pairs within two bits or of Jaccard ``least`` or more."""
     scratch = Scratch(docs.sparkSession, "near")
     hashed = scratch.keep(shingled(docs, id_col, text_col, width), "shingles")
     labels = near_pairs(hashed, scratch, least, max_bits)

@@ -203,3 +203,14 @@ def test_near_copies_against_brute_jaccard(spark, documents, awkward, clashing):
     kept = simhash.keep_one(clashing(docs), least=0.8)
     assert sorted({r["doc_id"] for r in kept.filter("doc_id is not null").collect()}) == sorted(i for i in sets if top(i) == i)
     assert simhash.keep_one(docs.limit(0), least=0.8).count() == 0
+
+
+def test_near_copies_take_simhash_links(spark, documents):
+    """Whatever is within two bits by pigeonhole blocks is linked, also where the minima of two texts and their similarity say nothing."""
+    from lintel.llm.common import Scratch
+
+    rows = [(1, "a", 0b1011, 11), (2, "b", 0b1000, 12), (3, "c", 0b1000, 13), (4, "d", -1, 14), (5, "e", -4, 15), (6, "f", 0x0FF00FF00FF00FF0, 16)]
+    hashed = spark.createDataFrame([(i, k.encode(), n, fp, [n], [100 + n]) for i, k, fp, n in rows], "doc_id long, row_key binary, node long, fp long, shingles array<long>, keys array<long>")
+    found = simhash.near_pairs(hashed, Scratch(spark, "test"))
+    assert {(r["node"], r["label"]) for r in found.collect()} >= {(12, 11), (13, 11), (15, 14)}
+    assert {r["node"]: r["label"] for r in found.collect()}.get(16, 16) == 16
