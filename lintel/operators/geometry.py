@@ -6,6 +6,7 @@ grow with the logarithm of a ring's corners (simplification: with the depth of i
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -90,6 +91,46 @@ def inside_parts(points: DataFrame, parts: DataFrame, key: str, polygon_key: str
     return met.groupBy(key).agg(F.min(polygon_key).alias(polygon_key))
 
 
+def inside_sectors(points: DataFrame, polygons: DataFrame, key: str, polygon_key: str, size: float) -> DataFrame:
+    """(key, polygon_key): the smallest key of a polygon that holds the point (its edge included), by sectors of the rings. Points have whole x and y.
+
+    Around the middle of its box a ring is dealt to as many equal sectors as it has sides, and a side is listed in those that it reaches into. A
+    point looks outwards along the line from the middle, so it meets the sides of its own sector only: one or two where the ring goes
+    round its middle once, however long and thin its spikes are. Points and rings meet by cells of ``size``.
+    """
+    rings = kept(polygons.select(polygon_key, "ring").withColumn("_ring", F.monotonically_increasing_id()), "rings")
+    n = corners(F.col("ring"))
+    sides = rings.filter(n > 0).select("_ring", F.explode(F.arrays_zip(F.slice("ring", F.lit(1), n).alias("a"), F.slice("ring", F.lit(2), n).alias("b"))).alias("s"))
+    sides = sides.select("_ring", *(F.col(f"s.{p}.{c}").alias(f"{p}{c}") for p in "ab" for c in "xy"))
+    bounds = sides.groupBy("_ring").agg(F.min("ax").alias("x0"), F.max("ax").alias("x1"), F.min("ay").alias("y0"), F.max("ay").alias("y1"), F.count("*").alias("sectors"))
+    # halves, so that no point is the middle itself
+    middle = [(F.floor((F.col(f"{c}0") + F.col(f"{c}1")) / 2) + F.lit(0.5)).alias(f"o{c}") for c in "xy"]
+    heads = kept(bounds.join(rings.select("_ring", polygon_key), "_ring").select("*", *middle), "rings")
+    angle = lambda x, y: F.atan2(F.col(y) - F.col("oy"), F.col(x) - F.col("ox")) + math.pi
+    sector = lambda a: F.floor(a / (2 * math.pi) * F.col("sectors")).cast("long")
+    turns = sides.join(heads.select("_ring", "sectors", "ox", "oy"), "_ring").withColumns({"_a": angle("ax", "ay"), "_b": angle("bx", "by")})
+    low, high = F.least("_a", "_b"), F.greatest("_a", "_b")
+    # a side spans less than half a turn; one through the middle, just that, is listed all round
+    first, last = F.when(high - low > math.pi, high).otherwise(low), F.when(high - low > math.pi, low + 2 * math.pi).otherwise(high)
+    through = F.abs(high - low - math.pi) < 1e-6
+    turns = turns.withColumns({"_first": F.when(through, F.lit(0)).otherwise(sector(first - 1e-9)), "_last": F.when(through, F.col("sectors") - 1).otherwise(sector(last + 1e-9))})
+    reached = F.sequence("_first", F.least(F.col("_last"), F.col("_first") + F.col("sectors") - 1))
+    listed = turns.withColumn("_s", F.explode(reached)).select("_ring", F.pmod("_s", "sectors").alias("sector"), "ax", "ay", "bx", "by", "ox", "oy")
+    cell = lambda c: F.floor(F.col(c) / size).cast("long")
+    boxes = heads.withColumn("i", F.explode(F.sequence(cell("x0"), cell("x1")))).withColumn("j", F.explode(F.sequence(cell("y0"), cell("y1"))))
+    here = points.select(key, "x", "y").distinct().withColumns({"i": cell("x"), "j": cell("y")})
+    asked = here.join(boxes, ["i", "j"]).filter("x between x0 and x1 and y between y0 and y1")
+    asked = asked.select(key, "x", "y", "_ring", polygon_key, F.pmod(sector(angle("x", "y")), F.col("sectors")).alias("sector"))
+    x, y, ax, ay, bx, by = (F.col(c) for c in ("x", "y", "ax", "ay", "bx", "by"))
+    dx, dy = x - F.col("ox"), y - F.col("oy")
+    left = lambda px, py: dx * (py - F.col("oy")) - dy * (px - F.col("ox")) > 0
+    turn = (bx - ax) * (y - ay) - (by - ay) * (x - ax)
+    crossed = (left(ax, ay) != left(bx, by)) & (left(ax, ay) == (turn < 0))
+    touched = (turn == 0) & x.between(F.least(ax, bx), F.greatest(ax, bx)) & y.between(F.least(ay, by), F.greatest(ay, by))
+    met = asked.join(listed, ["_ring", "sector"]).groupBy("_ring", "sector", key, "x", "y", polygon_key).agg(F.sum(crossed.cast("int")).alias("crossed"), F.bool_or(touched).alias("touched"))
+    return met.filter("touched or crossed % 2 = 1").groupBy(key).agg(F.min(polygon_key).alias(polygon_key))
+
+
 def _edges(polygons: DataFrame, code: str) -> DataFrame:
     """(code, ax, ay, bx, by): the sides of all rings, turned against the clock; sides without length go."""
     ring = F.when(twice_area(F.col("ring")) < 0, F.reverse("ring")).otherwise(F.col("ring"))

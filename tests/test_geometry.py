@@ -50,6 +50,47 @@ def test_points_in_parts_equal_points_in_rings(spark):
     assert 50 < len(whole) < 600
 
 
+def holds(closed, x, y):
+    """Even and odd crossings of a level ray; on a side is inside."""
+    crossed = False
+    for (ax, ay), (bx, by) in zip(closed, closed[1:], strict=False):
+        if (bx - ax) * (y - ay) == (by - ay) * (x - ax) and min(ax, bx) <= x <= max(ax, bx) and min(ay, by) <= y <= max(ay, by):
+            return True
+        crossed ^= (ay > y) != (by > y) and x < (bx - ax) * (y - ay) / (by - ay) + ax
+    return crossed
+
+
+def test_points_in_sectors_equal_points_in_rings(spark):
+    """Spikes, a turned ring, a spiral that a ray from its middle meets often, a ring whose middle is outside, sides through the middle; points on corners, sides and outside."""
+    rng = random.Random(5)
+    bow = [(0, 0), (101, 101), (101, 0), (0, 101)]
+    moon = [(0, 0), (400, 0), (400, 40), (40, 40), (40, 400), (0, 400)]
+    spiral = [(round(r * math.cos(t / 5)), round(r * math.sin(t / 5))) for r, t in ((20 + 6 * t, t) for t in range(90))]
+    band = spiral + [(round(x * 0.93), round(y * 0.93)) for x, y in reversed(spiral)]
+    shapes = [(1, star(120, 5)), (2, [(x + 2000, y) for x, y in reversed(star(90, 6))]), (3, bow), (4, [(x - 300, y) for x, y in moon]), (5, band), (6, square(-50, -50, 100)), (6, square(900, 900, 3))]
+    corners = [p for _, r in shapes for p in r[:20]]
+    spots = corners + [(50, 50), (0, 0), (-50, 10), (10, 50), (-100, 0), (901, 900)] + [(rng.randint(-3500, 5500), rng.randint(-3500, 3500)) for _ in range(500)] + [(rng.randint(-450, 450), rng.randint(-450, 450)) for _ in range(400)]
+    points = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate([*spots, *spots[:5]])], "p long, x double, y double")
+    points = points.unionByName(points.limit(9))  # rows filed twice
+    rings = made(spark, *shapes)
+    held = {(i, k) for i, p in enumerate([*spots, *spots[:5]]) for k, r in shapes if holds([*r, r[0]], *p)}
+    assert {k for _, k in held} == set(range(1, 7))
+    for keys in (range(1, 7), (3, 6), (4,), (5,)):
+        whole = {(i, min(k for j, k in held if j == i and k in keys)) for i in {i for i, k in held if k in keys}}
+        assert {tuple(r) for r in G.inside_sectors(points, rings.filter(F.col("area_id").isin(*keys)), "p", "area_id", 700).collect()} == whole
+    assert G.inside_sectors(points, rings.limit(0), "p", "area_id", 700).count() == 0
+
+
+def test_ring_of_spikes_meets_few_sides(spark):
+    """Three thousand spikes and as many points: by parts of the ring this took minutes."""
+    ring = [(round(400_000 * (1 + i % 2) * math.cos(i * math.pi / 1500)), round(400_000 * (1 + i % 2) * math.sin(i * math.pi / 1500))) for i in range(3000)]
+    rng = random.Random(6)
+    spots = [(i, rng.randint(-800_000, 800_000), rng.randint(-800_000, 800_000)) for i in range(3000)]
+    points = spark.createDataFrame([(i, float(x), float(y)) for i, x, y in spots], "p long, x double, y double")
+    want = {i for i, x, y in spots if holds([*ring, ring[0]], x, y)}
+    assert {r["p"] for r in G.inside_sectors(points, made(spark, (1, ring)), "p", "area_id", 300_000).collect()} == want
+
+
 def test_ring_of_one_place(spark):
     """Corners that no line can part stay together."""
     ring = [(5, 5), (6, 5), (6, 6)] * 10
