@@ -1,4 +1,4 @@
-"""Polygons as closed arrays of (x, y): parts of few corners, unions by code, simplified outlines. Columns, joins and aggregates only.
+"""Polygons as closed arrays of (x, y): parts of few corners, unions by code, simplified outlines. Columns, joins and aggregates; cutting is numpy inside tasks.
 
 Whatever follows a ring (cutting, joining, thinning) runs in rounds over all rings at once; a round is a written table, and rounds
 grow with the logarithm of a ring's corners (simplification: with the depth of its splits). Rings are gathered as arrays at the end only.
@@ -7,8 +7,11 @@ grow with the logarithm of a ring's corners (simplification: with the depth of i
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,51 +39,103 @@ def twice_area(ring: Column) -> Column:
 
 def box(ring: Column) -> tuple[Column, Column, Column, Column]:
     """Least x, least y, greatest x, greatest y."""
-    of = lambda pick, axis: pick(F.transform(ring, lambda p: p[axis]))
+    of = lambda pick, axis: pick(ring[axis])
     return of(F.array_min, "x"), of(F.array_min, "y"), of(F.array_max, "x"), of(F.array_max, "y")
 
 
-def clipped(ring: Column, axis: str, at: Column, above: bool) -> Column:
-    """The ring's share on one side of a line across ``axis``. Where it comes back to the line, the ring runs along it: areas and crossings stay right.
-    Of a run of corners on the line, the first and the last stay. Null if nothing is left."""
-    other = "y" if axis == "x" else "x"
+def _share(u: np.ndarray, v: np.ndarray, ring: np.ndarray, at: np.ndarray, above: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What closed rings have on one side of their lines u = at: corners, closed again, and whose they are. ``ring``: the number of each corner's ring, ascending.
 
-    def inside(p: Column) -> Column:
-        return p[axis] >= at if above else p[axis] <= at
-
-    def step(i: Column) -> Column:
-        a, b = F.element_at(ring, i), F.element_at(ring, i + 1)
-        along = a[other] + (at - a[axis]) / (b[axis] - a[axis]) * (b[other] - a[other])
-        cut = F.struct(*(v.alias(n) for n, v in sorted(((axis, at), (other, along)))))
-        crosses = ((a[axis] < at) & (b[axis] > at)) | ((a[axis] > at) & (b[axis] < at))
-        return F.array_compact(F.array(F.when(inside(a), a), F.when(crosses, cut)))
-
-    def thinned(points: Column) -> Column:
-        before = lambda i: F.element_at(points, F.when(i == 0, F.size(points)).otherwise(i))
-        after = lambda i: F.element_at(points, F.when(i == F.size(points) - 1, 1).otherwise(i + 2))
-        return F.filter(points, lambda p, i: ~((p[axis] == at) & (before(i)[axis] == at) & (after(i)[axis] == at)))
-
-    bound = F.array(F.flatten(F.transform(F.sequence(F.lit(1), corners(ring)), step)))  # so that the points are worked out once
-    closed = F.transform(F.transform(bound, thinned), lambda p: F.when(F.size(p) >= 3, F.concat(p, F.slice(p, 1, 1))))
-    return F.get(closed, F.lit(0))
+    Where a ring comes back to its line, it runs along it: areas and crossings stay right. Of a run of corners on the line, the first and the last stay.
+    """
+    a = np.flatnonzero(ring[:-1] == ring[1:])
+    line, au, bu, av, bv = at[ring[a]], u[a], u[a + 1], v[a], v[a + 1]
+    crosses = ((au < line) & (bu > line)) | ((au > line) & (bu < line))
+    with np.errstate(all="ignore"):  # sides that don't cross
+        cut = av + (line - au) / (bu - au) * (bv - av)
+    pairs = lambda p, q: np.column_stack((p, q)).ravel()
+    held = pairs(au >= line if above else au <= line, crosses)
+    u, v, of = pairs(au, line)[held], pairs(av, cut)[held], np.repeat(ring[a], 2)[held]
+    n = np.bincount(of, minlength=len(at))
+    last = np.cumsum(n)[of] - 1
+    first, i, on = last - n[of] + 1, np.arange(len(of)), u == at[of]
+    stays = ~(on & on[np.where(i == first, last, i - 1)] & on[np.where(i == last, first, i + 1)])
+    u, v, of = u[stays], v[stays], of[stays]
+    whole = np.bincount(of, minlength=len(at))[of] >= 3
+    u, v, of = u[whole], v[whole], of[whole]
+    starts = np.flatnonzero(np.diff(of, prepend=-1))
+    ends = np.append(starts[1:], len(of))[: len(starts)]
+    return np.insert(u, ends, u[starts]), np.insert(v, ends, v[starts]), np.insert(of, ends, of[starts])
+
+
+def _quartered(x: np.ndarray, y: np.ndarray, ring: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Closed rings' corners, cut once where they are large: x, y, the ring they are of and the number of the part, ascending, in up to five lots."""
+    if not len(ring):
+        return
+    starts = np.flatnonzero(np.diff(ring, prepend=-1))
+    low, high = ([f.reduceat(c, starts) for c in (x, y)] for f in (np.minimum, np.maximum))
+    large = (np.diff(np.append(starts, len(ring))) - 1 > most) & (np.maximum(high[0] - low[0], high[1] - low[1]) > 2)
+    nth = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(ring))))
+    yield x[~large[nth]], y[~large[nth]], ring[~large[nth]], nth[~large[nth]]
+    cx, cy = (np.floor((a + b) / 2) + 0.5 for a, b in zip(low, high, strict=True))
+    x, y, owner, nth = x[large[nth]], y[large[nth]], ring[starts], nth[large[nth]]
+    for right in (False, True):
+        hx, hy, half = _share(x, y, nth, cx, right)
+        for upper in (False, True):
+            qy, qx, part = _share(hy, hx, half, cy, upper)
+            yield qx, qy, owner[part], part
+
+
+def _cut(most: int, levels: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Cuts each batch's rings (key, ring) to quarters up to ``levels`` times; adds whether a part is still large."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rings = batch.column(1)
+            points = dict(zip(("x", "y"), rings.flatten().flatten(), strict=True))
+            x, y = (points[c].to_numpy(zero_copy_only=False) for c in "xy")
+            owner = part = np.repeat(np.arange(len(rings)), rings.value_lengths().to_numpy(zero_copy_only=False))
+            for _ in range(levels):
+                lots, before = [], 0
+                for qx, qy, whose, nth in _quartered(x, y, part, most):
+                    # whose: the part it was cut from
+                    lots.append((qx, qy, whose, nth + before))
+                    before += int(part[-1]) + 1 if len(part) else 0
+                if not lots:
+                    break
+                x, y, whose, fresh = (np.concatenate(c) for c in zip(*lots, strict=True))
+                of_part = np.zeros(int(part[-1]) + 1, dtype=np.int64)
+                of_part[part] = owner
+                owner, part = of_part[whose], np.cumsum(np.diff(fresh, prepend=fresh[:1]) != 0) if len(fresh) else fresh
+            starts = np.flatnonzero(np.diff(part, prepend=-1)) if len(part) else np.zeros(0, np.int64)
+            size = np.diff(np.append(starts, len(part)))
+            wide = np.maximum(*(np.maximum.reduceat(c, starts) - np.minimum.reduceat(c, starts) for c in (x, y))) if len(starts) else np.zeros(0)
+            corner = pa.StructArray.from_arrays([pa.array(x), pa.array(y)], ["x", "y"])
+            ring = pa.ListArray.from_arrays(pa.array(np.append(starts, len(part)), pa.int32()), corner)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner[starts])), ring, pa.array((size - 1 > most) & (wide > 2))], [batch.schema.names[0], "ring", "_large"])
+
+    return run
+
+
+#: How often a part is cut before the parts are dealt anew.
+LEVELS = 3
 
 
 def subdivided(polygons: DataFrame, key: str, most: int = MOST_CORNERS) -> DataFrame:
     """(key, ring): parts of at most ``most`` corners that together are the polygons.
 
-    A part with more corners is cut to the four quarters of its box, along lines between whole metres, until none has more; all parts of a round
-    are cut at once. A part of less than two metres stays as it is.
+    A part with more corners is cut to the four quarters of its box, along lines between whole metres, until none has more. A part of less than two
+    metres stays as it is. In each round tasks cut the parts they got a few times; what is still large is dealt anew, so that the parts of one
+    ring are cut in many tasks. A ring whose long sides all cross its middle makes parts by the square of its corners.
     """
-    parts, done = kept(polygons.select(key, "ring"), "parts"), []
+    ring = F.transform("ring", lambda p: F.struct(p["x"].cast("double").alias("x"), p["y"].cast("double").alias("y")))
+    parts = kept(polygons.filter("ring is not null").select(key, ring.alias("ring"), F.lit(True).alias("_large")), "parts")
+    done, schema, tasks = [], parts.schema, 4 * polygons.sparkSession.sparkContext.defaultParallelism
     while True:
-        x0, y0, x1, y1 = box(F.col("ring"))
-        large = (corners(F.col("ring")) > most) & (F.greatest(x1 - x0, y1 - y0) > 2)
-        done.append(parts.filter(~large))
-        more = parts.filter(large).withColumns({"cx": F.floor((x0 + x1) / 2) + F.lit(0.5), "cy": F.floor((y0 + y1) / 2) + F.lit(0.5)})
-        halves = more.withColumn("half", F.explode(F.array(*(clipped(F.col("ring"), "x", F.col("cx"), above) for above in (False, True)))))
-        quarters = halves.filter("half is not null").select(key, F.explode(F.array(*(clipped(F.col("half"), "y", F.col("cy"), above) for above in (False, True)))).alias("ring"))
-        parts = kept(quarters.filter("ring is not null"), "parts")
-        if parts.isEmpty():
+        large = parts.filter("_large").select(key, "ring").repartition(tasks)
+        parts = kept(large.mapInArrow(_cut(most, LEVELS), schema), "parts")
+        done.append(parts.filter("not _large").select(key, "ring"))
+        if parts.filter("_large").isEmpty():
             return reduce(DataFrame.unionByName, done)
 
 

@@ -39,6 +39,17 @@ def test_parts_add_up(spark, most):
         assert sum(twice(p) for k, p in parts if k == key) == pytest.approx(twice([*ring, ring[0]]), rel=1e-9)
 
 
+def test_a_ring_is_cut_in_many_tasks(spark):
+    """All rings came from one task's file, and were cut in that task to the end."""
+    from pyspark.sql.functions import spark_partition_id
+
+    parts = G.subdivided(made(spark, (1, star(900, 7, 100_000))), "area_id", 12)
+    large = parts.select(F.input_file_name().alias("file"), (F.size("ring") - 1).alias("n"))
+    assert large.agg(F.max("n")).first()[0] <= 12
+    assert large.select("file").distinct().count() >= 2 * spark.sparkContext.defaultParallelism
+    assert parts.select(spark_partition_id()).distinct().count() > 1
+
+
 def test_points_in_parts_equal_points_in_rings(spark):
     from lintel.operators.spatial import inside
 
