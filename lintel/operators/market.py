@@ -35,6 +35,19 @@ def fan_out(sales: DataFrame, properties: DataFrame) -> DataFrame:
     return located.withColumn("a", F.explode(areas)).withColumn("segment", F.explode(segments)).select("*", "a.*").drop("a", *AREA_KEYS)
 
 
+def monthly_counts(sales: DataFrame, properties: DataFrame) -> DataFrame:
+    """(area_id, segment, m, cents, c): how many market sales an area with months has in a month at a price.
+
+    Sales are counted by their own areas, month and price before the counts go to areas and segments: what is fanned out are counts, not rows.
+    """
+    located = sales.filter(is_market()).join(properties.select("property_id", *DETAILED), "property_id")
+    own = located.groupBy(*DETAILED, "is_new", F.trunc("sale_date", "MM").alias("m"), "cents").agg(F.count("*").alias("c"))
+    areas = F.array_compact(F.array(F.lit(0).cast("long"), *DETAILED))
+    segments = F.array(F.lit("all"), F.when(F.col("is_new"), "new").otherwise("second_hand"))
+    fanned = own.withColumn("area_id", F.explode(areas)).withColumn("segment", F.explode(segments))
+    return fanned.groupBy("area_id", "segment", "m", "cents").agg(F.sum("c").alias("c"))
+
+
 def latest(rows: DataFrame, key: str, *order: str) -> DataFrame:
     """The last row of each key by ``order`` (which must decide ties), as an aggregate with partial maxima and no sort of the group."""
     rest = [c for c in rows.columns if c != key]

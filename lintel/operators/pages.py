@@ -12,6 +12,8 @@ from .statistics import register_end
 
 #: Rolling figures before a full first year of the register are not shown.
 REGISTER_START = "2010-12-01"
+#: The windows that headlines show: the last complete one and the one a year before it, in months before the latest month.
+HEADLINE_LAGS = (2, 14)
 
 
 def since_start(rolling: DataFrame, start: str = REGISTER_START) -> DataFrame:
@@ -24,7 +26,7 @@ def headlines(rolling: DataFrame, sales: DataFrame, areas: DataFrame, index: Dat
     Complete means up to two months before the end of the register. ``index``: area_id, period, value; the latest month against the same
     month a year earlier.
     """
-    end = F.broadcast(register_end(sales).select(F.add_months("last_month", -2).alias("end")))
+    end = F.broadcast(register_end(sales).select(F.add_months("last_month", -HEADLINE_LAGS[0]).alias("end")))
     wanted = rolling.filter("segment = 'all'").join(end, F.col("period").isin(F.col("end"), F.add_months("end", -12)))
     now = wanted.filter("period = end").select("area_id", "end", "n", "median")
     before = wanted.filter("period < end").select("area_id", F.col("median").alias("median_before"))

@@ -28,17 +28,23 @@ def area_stats(fanned: DataFrame, sales: DataFrame, span: str) -> DataFrame:
     return stats.join(F.broadcast(register_end(sales))).withColumn("provisional", ends >= F.add_months("last_month", -1)).drop("last_month")
 
 
-def rolling(fanned: DataFrame, sales: DataFrame, months: int = 12) -> DataFrame:
+def rolling(monthly: DataFrame, sales: DataFrame, months: int = 12, lags: tuple[int, ...] | None = None) -> DataFrame:
     """Figures over the ``months`` months up to each month, for areas with ``detail``. A window is named by its last month, and provisional if that month is.
 
-    Sales are counted by month and price first, and only those counts fan out.
+    ``monthly`` (``market.monthly_counts``): only counts fan out. With ``lags``, only the windows that end so many months before the latest one are
+    worked out: counts outside them are left, and counts are copied no more often than windows overlap.
     """
     keys = ["area_id", "segment"]
-    monthly = fanned.filter("detail").groupBy(*keys, F.trunc("sale_date", "MM").alias("m"), "cents").agg(F.count("*").alias("c"))
-    wide = monthly.withColumn("period", F.explode(F.transform(F.sequence(F.lit(0), F.lit(months - 1)), lambda i: F.add_months("m", i))))
-    wide = wide.join(F.broadcast(register_end(sales)), F.col("period") <= F.col("last_month"))
+    end = F.broadcast(register_end(sales))
+    if lags is None:
+        wide = monthly.withColumn("period", F.explode(F.transform(F.sequence(F.lit(0), F.lit(months - 1)), lambda i: F.add_months("m", i))))
+        wide = wide.join(end, F.col("period") <= F.col("last_month"))
+    else:
+        windows = [F.add_months("last_month", -lag) for lag in lags]
+        held = lambda w: F.when((F.col("m") <= w) & (F.col("m") > F.add_months(w, -months)), w)
+        wide = monthly.join(end).withColumn("period", F.explode(F.array_compact(F.array(*map(held, windows)))))
     counted = wide.groupBy(*keys, "period", "cents").agg(F.sum("c").alias("k"))
-    stats = counted_stats(counted, [*keys, "period"]).join(F.broadcast(register_end(sales)))
+    stats = counted_stats(counted, [*keys, "period"]).join(end)
     return stats.withColumn("provisional", F.date_sub(F.add_months("period", 1), 1) >= F.add_months("last_month", -1)).drop("last_month")
 
 

@@ -12,7 +12,7 @@ from lintel.operators import statistics as S
 from lintel.sources import binding as B
 
 from .registry import query
-from .statistics import _LAST, _ROLLING, fanned
+from .statistics import _LAST, _ROLLING, monthly
 
 
 @query(
@@ -25,13 +25,13 @@ SELECT z.area_id, z.kind, z.name, CASE WHEN n.n IS NOT NULL THEN CAST(e.p + INTE
 )
 def area_headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = B.price_index(spark, sf_dir).select((F.col("series").cast("long") + 1).alias("area_id"), "period", "value")
-    return P.headlines(S.rolling(fanned(spark, sf_dir), B.sales(spark, sf_dir)), B.sales(spark, sf_dir), B.areas(spark, sf_dir), index)
+    return P.headlines(S.rolling(monthly(spark, sf_dir).filter("segment = 'all'"), B.sales(spark, sf_dir), lags=P.HEADLINE_LAGS), B.sales(spark, sf_dir), B.areas(spark, sf_dir), index)
 
 
 @query(f"WITH r AS ({_ROLLING}) SELECT * FROM r WHERE period >= DATE '1996-01-01'", "sale sale_area")
 def area_rolling_since(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rolling figures from a first full year on (the test register begins earlier than the real one)."""
-    return P.since_start(S.rolling(fanned(spark, sf_dir), B.sales(spark, sf_dir)), "1996-01-01")
+    return P.since_start(S.rolling(monthly(spark, sf_dir), B.sales(spark, sf_dir)), "1996-01-01")
 
 
 @query(

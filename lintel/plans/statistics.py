@@ -18,6 +18,10 @@ def fanned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.fan_out(B.sales(spark, sf_dir), B.properties(spark, sf_dir))
 
 
+def monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.monthly_counts(B.sales(spark, sf_dir), B.properties(spark, sf_dir))
+
+
 _LAST = "(SELECT date_trunc('month', max(sale_date)) FROM sale)"
 
 
@@ -51,7 +55,7 @@ WHERE period <= {_LAST} GROUP BY ALL"""
 
 @query(_ROLLING, "sale sale_area")
 def area_stats_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.rolling(fanned(spark, sf_dir), B.sales(spark, sf_dir))
+    return S.rolling(monthly(spark, sf_dir), B.sales(spark, sf_dir))
 
 
 @query(

@@ -270,3 +270,29 @@ def test_nearest_by_density(spark, monkeypatch, most):
     want = {(p, g): min((math.floor(km((x, y), (u, v)) * 1000 + 0.5), t) for t, u, v, h in targets if h == g) for p, x, y in points for g in "ab"}
     assert {(r["p"], r["g"]): (r["m"], r["t"]) for r in found.collect()} == want
     assert max(n for name, n in made if name == "asked") < 200 * 12
+
+
+def test_rolling_windows_copy_counts_not_rows(spark):
+    """Equal sales are counted before they go to areas; two windows asked for are those of all windows, and hold a count once each."""
+    from lintel.operators import market as M
+    from lintel.operators import statistics as S
+
+    rows = [(i, i % 4, f"20{10 + i % 3}-{i // 3 % 12 + 1:02d}-03", (i % 7) * 1000 + 5, i % 2 == 0) for i in range(600)]
+    sales = spark.createDataFrame(rows, "sale_id long, property_id long, sale_date string, cents long, is_new boolean")
+    sales = sales.withColumn("sale_date", F.col("sale_date").cast("date"))
+    for flag in ("withdrawn", "not_full_market", "possible_duplicate"):
+        sales = sales.withColumn(flag, F.lit(False))
+    sales = sales.withColumn("bulk_group_id", F.lit(None).cast("long"))
+    places = spark.createDataFrame([(p, 1 + p % 2, 100 + p, 1000 + p if p else None, None, None) for p in range(4)], "property_id long, county_id long, settlement_id long, ed_id long, small_area_id long, townland_id long")
+    monthly = M.monthly_counts(sales, places)
+    rows_of = lambda df: sorted(map(tuple, df.collect()))
+    fanned = M.fan_out(sales, places).filter("detail").groupBy("area_id", "segment", F.trunc("sale_date", "MM").alias("m"), "cents").agg(F.count("*").alias("c"))
+    assert rows_of(monthly) == rows_of(fanned)
+    every = S.rolling(monthly, sales)
+    end = F.lit("2012-12-01").cast("date")
+    assert every.agg(F.max("period")).first()[0].isoformat() == "2012-12-01"
+    two = S.rolling(monthly, sales, lags=(2, 14))
+    want = rows_of(every.filter(F.col("period").isin(F.add_months(end, -2), F.add_months(end, -14))))
+    assert want and rows_of(two) == want
+    near = S.rolling(monthly, sales, lags=(0, 3))  # windows that overlap
+    assert rows_of(near) == rows_of(every.filter(F.col("period").isin(end, F.add_months(end, -3))))
