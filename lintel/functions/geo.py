@@ -76,7 +76,7 @@ def national_grid(lon: Column, lat: Column) -> tuple[Column, Column]:
 
 
 def in_ring(x: Column, y: Column, ring: Column) -> Column:
-    """Whether a point is inside a closed ring of (x, y) points, by counting crossings of a ray; a point on an edge counts as inside."""
+    """Whether a point is inside a closed ring of (x, y) points, by counting crossings of a ray; a point on an edge counts as inside. Edges are looked at only where its box holds the point."""
     edges = F.transform(F.sequence(F.lit(1), F.size(ring) - 1), lambda i: F.struct(F.element_at(ring, i).alias("a"), F.element_at(ring, i + 1).alias("b")))
 
     def crossed(e: Column) -> Column:
@@ -87,7 +87,8 @@ def in_ring(x: Column, y: Column, ring: Column) -> Column:
         ax, ay, bx, by = e["a"]["x"], e["a"]["y"], e["b"]["x"], e["b"]["y"]
         return ((bx - ax) * (y - ay) == (by - ay) * (x - ax)) & x.between(F.least(ax, bx), F.greatest(ax, bx)) & y.between(F.least(ay, by), F.greatest(ay, by))
 
-    return F.exists(edges, touched) | (F.size(F.filter(edges, crossed)) % 2 == 1)
+    boxed = x.between(F.array_min(ring["x"]), F.array_max(ring["x"])) & y.between(F.array_min(ring["y"]), F.array_max(ring["y"]))
+    return boxed & (F.exists(edges, touched) | (F.size(F.filter(edges, crossed)) % 2 == 1))
 
 
 def segment_distance(x: Column, y: Column, ring: Column) -> Column:

@@ -296,3 +296,16 @@ def test_rolling_windows_copy_counts_not_rows(spark):
     assert want and rows_of(two) == want
     near = S.rolling(monthly, sales, lags=(0, 3))  # windows that overlap
     assert rows_of(near) == rows_of(every.filter(F.col("period").isin(end, F.add_months(end, -3))))
+
+
+def test_points_placed_by_hand_are_dealt_out(spark):
+    """Points of one small file meet the areas in many tasks; a point on the box or side of an area is in it."""
+    from lintel.operators import geocode
+
+    ring = [(0.0, 0.0), (10.0, 0.0), (10.0, 10.0), (0.0, 0.0)]
+    polygons = spark.createDataFrame([(7, "settlement", ring), (8, "townland", ring)], "area_id long, kind string, ring array<struct<x: double, y: double>>")
+    points = [(1, 0.0, 0.0), (2, 10.0, 5.0), (3, 5.0, 5.0), (4, 5.0, 6.0), (5, 11.0, 5.0), (6, 8.0, 1.0)]
+    manual = spark.createDataFrame([(*p, True) for p in points], "property_id long, x double, y double, precise boolean").coalesce(1)
+    found = geocode.rejoined(manual, polygons, 4)
+    assert {r["property_id"]: r["settlement_id"] for r in found.collect()} == {1: 7, 2: 7, 3: 7, 4: None, 5: None, 6: 7}
+    assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().toString()
