@@ -90,11 +90,12 @@ def stage(rows: DataFrame, counties: tuple[str, ...]) -> DataFrame:
 
 
 def properties_of(staged: DataFrame) -> DataFrame:
-    """One row a property (county, key, unit): display fields of the latest sale, the latest known eircode and district."""
+    """One row a property (county, key, unit): display fields of the latest sale, the latest known eircode and district. The identifier follows from the group, so it is worked out once."""
     order = F.struct("sale_date", "line_no")
     latest = lambda c: F.max_by(c, order).alias(c)
     known = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), order)).alias(c)
-    return staged.groupBy("county", "key", "unit").agg(F.min("public_id").alias("public_id"), latest("display"), latest("normalised"), latest("house_number"), known("district"), known("eircode"))
+    found = staged.groupBy("county", "key", "unit").agg(latest("display"), latest("normalised"), latest("house_number"), known("district"), known("eircode"))
+    return found.withColumn("public_id", T.public_id(F.col("county"), F.col("key"), F.col("unit")))
 
 
 def upserted(held: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

@@ -331,3 +331,14 @@ def test_points_placed_by_hand_are_dealt_out(spark):
     found = geocode.rejoined(manual, polygons, 4)
     assert {r["property_id"]: r["settlement_id"] for r in found.collect()} == {1: 7, 2: 7, 3: 7, 4: None, 5: None, 6: 7}
     assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().toString()
+
+
+def test_identifiers_are_made_for_properties_not_sales(spark):
+    from lintel.functions import text as T
+    from lintel.operators import register as R
+
+    staged = spark.range(60).select(F.col("id").alias("line_no"), F.lit("2020-01-01").cast("date").alias("sale_date"), F.lit("cork").alias("county"), F.concat(F.lit("k"), F.col("id") % 3).alias("key"), F.when(F.col("id") % 2 == 0, "flat 1").alias("unit"))
+    staged = staged.withColumns({c: F.lit("x") for c in ("display", "normalised", "house_number", "district", "eircode")})
+    want = staged.select("key", "unit", T.public_id(F.col("county"), F.col("key"), F.col("unit")).alias("public_id")).distinct()
+    rows_of = lambda df: sorted(map(tuple, df.collect()), key=str)
+    assert rows_of(R.properties_of(staged).select("key", "unit", "public_id")) == rows_of(want) and want.count() == 6
