@@ -15,8 +15,12 @@ from .records import VIEWS_SQL
 from .registry import query
 
 
+#: All files of a table at once: they need not lie in the order of time, so that a later file's rows would be behind the watermark of the one before.
+_ALL_FILES = 2**31 - 1
+
+
 def _source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return J.events(spark, f"{sf_dir}/events.parquet*")
+    return J.events(spark, f"{sf_dir}/events.parquet*", files_per_batch=_ALL_FILES)
 
 
 def _drained(stream: DataFrame, mode: str, *keys: str) -> DataFrame:
