@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lintel.functions import text as T
+from lintel.sources.scratch import kept
 
 RAW = ("raw_date", "raw_address", "raw_county", "raw_eircode", "raw_price", "raw_nfmp", "raw_vat", "raw_description", "raw_size")
 SEPARATOR = "\u001f"
@@ -70,32 +71,70 @@ def with_repeats(parsed: DataFrame) -> DataFrame:
     return rows.withColumn("row_hash", F.sha2(F.concat_ws(SEPARATOR, "_canon", F.col("occurrence").cast("string")), 256)).drop("_canon", "_sale")
 
 
-def stage(rows: DataFrame, counties: tuple[str, ...]) -> DataFrame:
-    """Adds display, normalised, key, unit, house_number, district, eircode and public_id.
-
-    An address without house number and unit names no dwelling: its key gets the sale's own mark, so that only repeat filings
-    of one sale share it. The expanded parts are worked out once, as a column.
-    """
-    raw, county = F.col("raw_address"), F.col("county")
+def _addressed(rows: DataFrame, counties: tuple[str, ...]) -> DataFrame:
+    """Adds what follows from raw_address and county alone: display, normalised, unit, house_number, _key, _vague (names no dwelling) and _city (the postal district that
+    the address names). The expanded parts are worked out once, as a column."""
+    raw, county, found = F.col("raw_address"), F.col("county"), F.col("_found")
     rows = rows.withColumn("_found", T.expanded(raw, counties))
-    found = F.col("_found")
     rows = rows.withColumns({"display": T.display(raw), "normalised": F.array_join(found, ", "), "unit": T.unit_of(found), "_rest": T.without_county(T.without_unit(found), county)})
-    rows = rows.withColumns({"house_number": T.house_number(F.col("_rest")), "_key": T.key_of(F.col("_rest")), "eircode": T.eircode(F.col("raw_eircode"))})
-    mark = F.substring(F.sha2(F.concat_ws("|", T.squeeze(F.col("raw_date")), F.lower(T.squeeze(raw)), T.squeeze(F.col("raw_price"))), 256), 1, 12)
+    rows = rows.withColumns({"house_number": T.house_number(F.col("_rest")), "_key": T.key_of(F.col("_rest")), "_city": T.city_district(F.col("normalised"), county)})
     vague = (F.col("_key") == "") | (F.col("house_number").isNull() & F.col("unit").isNull())
-    rows = rows.withColumn("key", F.when(vague, F.concat_ws("~", "_key", mark)).otherwise(F.col("_key")))
-    by_code = F.when(county == "dublin", T.district_of_eircode(F.col("eircode")))
-    rows = rows.withColumn("district", F.coalesce(T.city_district(F.col("normalised"), county), by_code))
-    return rows.withColumn("public_id", T.public_id(county, F.col("key"), F.col("unit"))).drop("_found", "_rest", "_key")
+    return rows.withColumn("_vague", F.coalesce(vague, F.lit(False))).drop("_found", "_rest")
+
+
+def _marked() -> Column:
+    """The key of an address without house number and unit, which names no dwelling: it gets the sale's own mark, so that only repeat filings of one sale share it."""
+    mark = F.substring(F.sha2(F.concat_ws("|", T.squeeze(F.col("raw_date")), F.lower(T.squeeze(F.col("raw_address"))), T.squeeze(F.col("raw_price"))), 256), 1, 12)
+    return F.concat_ws("~", "_key", mark)
+
+
+def _district_by(code: Column) -> Column:
+    return F.when(F.col("county") == "dublin", T.district_of_eircode(code))
+
+
+def stage(rows: DataFrame, counties: tuple[str, ...]) -> DataFrame:
+    """Adds display, normalised, key, unit, house_number, district, eircode and public_id."""
+    rows = _addressed(rows, counties).withColumn("eircode", T.eircode(F.col("raw_eircode")))
+    rows = rows.withColumn("key", F.when(F.col("_vague"), _marked()).otherwise(F.col("_key")))
+    rows = rows.withColumn("district", F.coalesce("_city", _district_by(F.col("eircode"))))
+    return rows.withColumn("public_id", T.public_id(F.col("county"), F.col("key"), F.col("unit"))).drop("_key", "_city", "_vague")
+
+
+def _known(order: Column, value: Column) -> Column:
+    """A value with its place in the order, null where there is none: the largest one is the latest known value."""
+    return F.when(value.isNotNull(), F.struct(order.alias("at"), value.alias("is")))
+
+
+def _latest(filed: DataFrame) -> DataFrame:
+    """One row a property of rows with _order, the texts, and the known _district and _eircode. The identifier follows from the group, so it is worked out once."""
+    texts = F.struct("display", "normalised", "house_number")
+    found = filed.groupBy("county", "key", "unit").agg(F.max_by(texts, "_order").alias("_texts"), F.max("_district").alias("_district"), F.max("_eircode").alias("_eircode"))
+    found = found.select("county", "key", "unit", "_texts.*", F.col("_district.is").alias("district"), F.col("_eircode.is").alias("eircode"))
+    return found.withColumn("public_id", T.public_id(F.col("county"), F.col("key"), F.col("unit")))
 
 
 def properties_of(staged: DataFrame) -> DataFrame:
-    """One row a property (county, key, unit): display fields of the latest sale, the latest known eircode and district. The identifier follows from the group, so it is worked out once."""
+    """One row a property (county, key, unit): display fields of the latest sale, the latest known eircode and district."""
     order = F.struct("sale_date", "line_no")
-    latest = lambda c: F.max_by(c, order).alias(c)
-    known = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), order)).alias(c)
-    found = staged.groupBy("county", "key", "unit").agg(latest("display"), latest("normalised"), latest("house_number"), known("district"), known("eircode"))
-    return found.withColumn("public_id", T.public_id(F.col("county"), F.col("key"), F.col("unit")))
+    return _latest(staged.withColumns({"_order": order, "_district": _known(order, F.col("district")), "_eircode": _known(order, F.col("eircode"))}))
+
+
+def properties_filed(parsed: DataFrame, counties: tuple[str, ...]) -> DataFrame:
+    """``properties_of`` of what ``stage`` makes of good rows, with the text of each address worked out once, after its sales were put together.
+
+    Sales at addresses that name no dwelling are properties of their own: their rows are read again and meet the texts of their addresses.
+    """
+    order, code = F.struct("sale_date", "line_no"), T.eircode(F.col("raw_eircode"))
+    # a filter on what parsing finds would be moved below it and parse every row twice
+    rows = kept(parsed.select("error", "sale_date", "line_no", "county", "raw_address", "raw_eircode", "raw_date", "raw_price"), "parsed").filter("error is null")
+    rows = rows.select("raw_address", "county", "raw_date", "raw_price", order.alias("_order"), _known(order, code).alias("_eircode"), _known(order, _district_by(code)).alias("_by_code"))
+    latest = [F.max(c).alias(c) for c in ("_order", "_eircode", "_by_code")]
+    texts = kept(_addressed(rows.groupBy("raw_address", "county").agg(*latest), counties), "addresses")
+    # a table of its own, so that Spark knows how small it is
+    vague = kept(texts.filter("_vague").drop("_order", "_eircode", "_by_code").withColumnsRenamed({"raw_address": "_raw", "county": "_in"}), "vague")
+    single = rows.join(vague, F.col("raw_address").eqNullSafe(F.col("_raw")) & F.col("county").eqNullSafe(F.col("_in")))
+    shape = lambda df, key: df.select("county", key.alias("key"), "unit", "display", "normalised", "house_number", "_order", F.coalesce(_known(F.col("_order"), F.col("_city")), "_by_code").alias("_district"), "_eircode")
+    return _latest(shape(texts.filter("not _vague"), F.col("_key")).unionByName(shape(single, _marked())))
 
 
 def upserted(held: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

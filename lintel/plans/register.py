@@ -63,7 +63,7 @@ def register_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
     "sale property register parsed filed",
 )
 def register_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.properties_of(staged(spark, sf_dir)).select("county", "key", "unit", "display", "house_number", "eircode")
+    return R.properties_filed(parsed(spark, sf_dir), COUNTIES).select("county", "key", "unit", "display", "house_number", "eircode")
 
 
 @query(
@@ -73,7 +73,7 @@ SELECT county, key, unit, array_to_string(list_transform(range(12), lambda i: su
 )
 def public_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base-32 identifiers of properties."""
-    return R.properties_of(staged(spark, sf_dir)).select("county", "key", "unit", "public_id")
+    return R.properties_filed(parsed(spark, sf_dir), COUNTIES).select("county", "key", "unit", "public_id")
 
 
 _HELD = "SELECT property_id, CAST(property_id % 40 + 1 AS VARCHAR) || ' ' || county AS name, CASE WHEN property_id % 3 = 0 THEN NULL ELSE routing_key END AS code FROM property WHERE property_id % 10 <> 9"

@@ -401,3 +401,26 @@ def test_equal_addresses_are_looked_up_once(spark, monkeypatch):
     wanted = addresses.select(F.col("property_id").alias("wanted_id"), "county", F.when(F.col("property_id") % 2 == 0, "Tullow").alias("name"))
     names = geocode.unique_names(features.filter("kind <> 'address'").select("feature_id", "county", "name"), wanted)
     assert sorted(map(tuple, names.collect())) == [(k, 1) for k in range(0, 90, 2)]
+
+
+def test_addresses_of_sales_are_read_once(spark, monkeypatch):
+    """Texts of addresses are worked out once an address; sales at addresses that name no dwelling, or none, stay apart."""
+    from lintel.operators import register as R
+
+    places = ("12 Main St, Cork", "Apt 3, 12 Main St., Cork", "The Glebe, Dublin 6", "14 Oak Rd, Dublin 6", "14 Oak Road, Dublin 6", "", None)
+    codes = ("D6W XY45", "", "D04 AB12", "none")
+    rows = [(i, f"{i % 9 + 1:02}/03/2020", places[i % 7], "Cork" if i % 7 < 2 else "Dublin", codes[i % 4], "€100.00" if i % 3 else "bad", "No", "No", "New x", "") for i in range(210)]
+    raw = spark.createDataFrame(rows, "line_no long, raw_date string, raw_address string, raw_county string, raw_eircode string, raw_price string, raw_nfmp string, raw_vat string, raw_description string, raw_size string")
+    parsed, sizes, kept = R.parse(raw, ("cork", "dublin")), {}, R.kept
+
+    def counted(df, name="step"):
+        out = kept(df, name)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(R, "kept", counted)
+    found = R.properties_filed(parsed, ("cork", "dublin"))
+    want = R.properties_of(R.stage(parsed.filter("error is null"), ("cork", "dublin")))
+    rows_of = lambda df: sorted(map(tuple, df.collect()), key=str)
+    assert found.columns == want.columns and rows_of(found) == rows_of(want)
+    assert sizes == {"parsed": 210, "addresses": 7, "vague": 3} and found.filter("key like '%~%'").count() > 3
