@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lintel.functions.quantiles import narrow_range_of
 
 #: A property's areas below the country, and those of them that get months and rolling windows.
 AREA_KEYS = ("county_id", "settlement_id", "ed_id", "small_area_id", "townland_id")
@@ -40,12 +41,24 @@ def monthly_counts(sales: DataFrame, properties: DataFrame) -> DataFrame:
 
     Sales are counted by their own areas, month and price before the counts go to areas and segments: what is fanned out are counts, not rows.
     """
+    return spread_counts(own_counts(sales, properties)).groupBy("area_id", "segment", "m", "cents").agg(F.sum("c").alias("c"))
+
+
+def own_counts(sales: DataFrame, properties: DataFrame) -> DataFrame:
+    """(county_id, settlement_id, ed_id, is_new, m, cents, c): how many market sales there are in a month at a price, by the areas they lie in.
+
+    Like prices of a month lie together, so that tasks that count them by area, month and range of prices meet the same few ranges again and again.
+    """
     located = sales.filter(is_market()).join(properties.select("property_id", *DETAILED), "property_id")
-    own = located.groupBy(*DETAILED, "is_new", F.trunc("sale_date", "MM").alias("m"), "cents").agg(F.count("*").alias("c"))
+    rows = located.select(*DETAILED, "is_new", F.trunc("sale_date", "MM").alias("m"), narrow_range_of(F.col("cents"), F.lit(6)).alias("like"), "cents")
+    return rows.repartition("m", "like").groupBy(*DETAILED, "is_new", "m", "like", "cents").agg(F.count("*").alias("c")).drop("like")
+
+
+def spread_counts(own: DataFrame) -> DataFrame:
+    """(area_id, segment, m, cents, c): each row of ``own_counts`` for each of its areas and segments; equal prices of an area stay apart."""
     areas = F.array_compact(F.array(F.lit(0).cast("long"), *DETAILED))
     segments = F.array(F.lit("all"), F.when(F.col("is_new"), "new").otherwise("second_hand"))
-    fanned = own.withColumn("area_id", F.explode(areas)).withColumn("segment", F.explode(segments))
-    return fanned.groupBy("area_id", "segment", "m", "cents").agg(F.sum("c").alias("c"))
+    return own.withColumn("area_id", F.explode(areas)).withColumn("segment", F.explode(segments)).select("area_id", "segment", "m", "cents", "c")
 
 
 def latest(rows: DataFrame, key: str, *order: str) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lintel.functions.quantiles import counted_stats, group_stats
+from lintel.functions.quantiles import group_stats, window_stats
 from lintel.sources.scratch import kept
 
 #: Upper bounds of price bands in whole currency units; the last band is open.
@@ -31,20 +33,23 @@ def area_stats(fanned: DataFrame, sales: DataFrame, span: str) -> DataFrame:
 def rolling(monthly: DataFrame, sales: DataFrame, months: int = 12, lags: tuple[int, ...] | None = None) -> DataFrame:
     """Figures over the ``months`` months up to each month, for areas with ``detail``. A window is named by its last month, and provisional if that month is.
 
-    ``monthly`` (``market.monthly_counts``): only counts fan out. With ``lags``, only the windows that end so many months before the latest one are
-    worked out: counts outside them are left, and counts are copied no more often than windows overlap.
+    ``monthly`` (``market.spread_counts`` or ``monthly_counts``) is read several times. Counts of ranges of prices go to the windows, and prices only where
+    a window looks into their range. With ``lags``, only the windows that end so many months before the latest one are worked out, and counts outside them are left.
     """
-    keys = ["area_id", "segment"]
-    end = F.broadcast(register_end(sales))
-    if lags is None:
-        wide = monthly.withColumn("period", F.explode(F.transform(F.sequence(F.lit(0), F.lit(months - 1)), lambda i: F.add_months("m", i))))
-        wide = wide.join(end, F.col("period") <= F.col("last_month"))
-    else:
-        windows = [F.add_months("last_month", -lag) for lag in lags]
+    end = F.broadcast(kept(register_end(sales), "end"))
+
+    def windows(rows: DataFrame) -> DataFrame:
+        if lags is None:
+            wide = rows.withColumn("period", F.explode(F.transform(F.sequence(F.lit(0), F.lit(months - 1)), lambda i: F.add_months("m", i))))
+            return wide.join(end, F.col("period") <= F.col("last_month")).drop("last_month", "m")
+        ends = [F.add_months("last_month", -lag) for lag in lags]
         held = lambda w: F.when((F.col("m") <= w) & (F.col("m") > F.add_months(w, -months)), w)
-        wide = monthly.join(end).withColumn("period", F.explode(F.array_compact(F.array(*map(held, windows)))))
-    counted = wide.groupBy(*keys, "period", "cents").agg(F.sum("c").alias("k"))
-    stats = counted_stats(counted, [*keys, "period"]).join(end)
+        return rows.join(end).withColumn("period", F.explode(F.array_compact(F.array(*map(held, ends))))).drop("last_month", "m")
+
+    if lags is not None:
+        inside = lambda lag: (F.col("m") <= F.add_months("last_month", -lag)) & (F.col("m") > F.add_months("last_month", -lag - months))
+        monthly = monthly.join(end, reduce(Column.__or__, map(inside, lags))).drop("last_month")
+    stats = window_stats(monthly.withColumnRenamed("c", "k"), ["area_id", "segment"], windows).join(end)
     return stats.withColumn("provisional", F.date_sub(F.add_months("period", 1), 1) >= F.add_months("last_month", -1)).drop("last_month")
 
 

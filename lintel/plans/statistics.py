@@ -10,6 +10,7 @@ from lintel.functions.quantiles import stats_sql
 from lintel.operators import market as M
 from lintel.operators import statistics as S
 from lintel.sources import binding as B
+from lintel.sources.scratch import kept
 
 from .registry import query
 
@@ -19,7 +20,7 @@ def fanned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.monthly_counts(B.sales(spark, sf_dir), B.properties(spark, sf_dir))
+    return M.spread_counts(kept(M.own_counts(B.sales(spark, sf_dir), B.properties(spark, sf_dir)), "own"))
 
 
 _LAST = "(SELECT date_trunc('month', max(sale_date)) FROM sale)"

@@ -424,3 +424,49 @@ def test_addresses_of_sales_are_read_once(spark, monkeypatch):
     rows_of = lambda df: sorted(map(tuple, df.collect()), key=str)
     assert found.columns == want.columns and rows_of(found) == rows_of(want)
     assert sizes == {"parsed": 210, "addresses": 7, "vague": 3} and found.filter("key like '%~%'").count() > 3
+
+
+def test_narrow_ranges_are_ordered_and_apart(spark):
+    edges = sorted({s * (2**b + d) for b in range(0, 62) for d in (-1, 0, 1) for s in (1, -1)})
+    for bits in (1, 6, 12):
+        rows = spark.createDataFrame([(v,) for v in edges], "v long").select("v", Q.narrow_range_of(F.col("v"), F.lit(bits)).alias("r")).orderBy("v").collect()
+        assert all(a["r"] <= b["r"] and a["r"] <= a["v"] for a, b in zip(rows, rows[1:], strict=False))
+        assert all(a["v"] - a["r"] <= max(0, abs(a["v"]) >> bits) + 1 for a in rows)
+
+
+def shuffled_rows(spark):
+    store, gateway = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+    stages = store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_prices_that_never_repeat_are_not_copied_to_windows(spark):
+    """Every price went to the twelve windows of its month before any window was looked at. Gaps, negative and missing prices and months are in."""
+    from lintel.operators import statistics as S
+
+    rng = random.Random(8)
+    rows = [(a, "all", f"20{10 + m // 12}-{m % 12 + 1:02d}-01", rng.randint(10**6, 10**8), rng.randint(1, 2)) for a, n in ((0, 30_000), (1, 300), (2, 7)) for m in (rng.choice((*range(20), 40)) for _ in range(n))]
+    rows += [(2, "all", "2011-02-01", None, 3), (2, "all", None, 5, 9), (3, "new", "2010-05-01", None, 6), (4, "new", "2010-05-01", -70, 5), (4, "new", "2010-04-01", -71, 1), (4, "new", "2010-04-01", -71, 1)]
+    monthly = spark.createDataFrame(rows, "area_id long, segment string, m string, cents long, c long").withColumn("m", F.col("m").cast("date"))
+    sales = spark.createDataFrame([("2013-06-20",)], "sale_date string").withColumn("sale_date", F.col("sale_date").cast("date"))
+    before = shuffled_rows(spark)
+    found = {(r["area_id"], r["segment"], r["period"].isoformat()): tuple(r)[3:8] for r in S.rolling(monthly, sales).collect()}
+    assert shuffled_rows(spark) - before < 3 * len(rows)
+    groups = {}
+    for a, g, m, cents, c in rows:
+        for i in range(12) if m else ():
+            at = int(m[:4]) * 12 + int(m[5:7]) - 1 + i
+            if at <= 2013 * 12 + 5:
+                groups.setdefault((a, g, f"{at // 12}-{at % 12 + 1:02d}-01"), []).extend([cents] * c)
+
+    def at(v, p):
+        low, high = v[math.floor(p * (len(v) - 1))], v[math.ceil(p * (len(v) - 1))]
+        return math.floor(low + (high - low) * (p * (len(v) - 1) % 1) + 0.5)
+
+    def figures(v):
+        held = sorted(x for x in v if x is not None)
+        if len(v) < 5 or not held:
+            return (len(v), None, None, None, None)
+        return (len(v), *(at(held, p) for p in (0.5, 0.25, 0.75)), int((2 * sum(held) + len(v)) / (2 * len(v))) if sum(held) < 0 else (2 * sum(held) + len(v)) // (2 * len(v)))
+
+    assert found == {k: figures(v) for k, v in groups.items()}
