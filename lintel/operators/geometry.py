@@ -12,6 +12,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,82 +44,172 @@ def box(ring: Column) -> tuple[Column, Column, Column, Column]:
     return of(F.array_min, "x"), of(F.array_min, "y"), of(F.array_max, "x"), of(F.array_max, "y")
 
 
-def _share(u: np.ndarray, v: np.ndarray, ring: np.ndarray, at: np.ndarray, above: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """What closed rings have on one side of their lines u = at: corners, closed again, and whose they are. ``ring``: the number of each corner's ring, ascending.
+def _halves(u: np.ndarray, v: np.ndarray, size: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """What rings have below and above their lines u = at: corners, how many each part has, and the numbers of the rings that have a part there.
+    Rings come and go without the corner that closes them, one after the other, ``size`` corners each.
 
     Where a ring comes back to its line, it runs along it: areas and crossings stay right. Of a run of corners on the line, the first and the last stay.
     """
-    a = np.flatnonzero(ring[:-1] == ring[1:])
-    line, au, bu, av, bv = at[ring[a]], u[a], u[a + 1], v[a], v[a + 1]
-    crosses = ((au < line) & (bu > line)) | ((au > line) & (bu < line))
-    with np.errstate(all="ignore"):  # sides that don't cross
-        cut = av + (line - au) / (bu - au) * (bv - av)
-    pairs = lambda p, q: np.column_stack((p, q)).ravel()
-    held = pairs(au >= line if above else au <= line, crosses)
-    u, v, of = pairs(au, line)[held], pairs(av, cut)[held], np.repeat(ring[a], 2)[held]
-    n = np.bincount(of, minlength=len(at))
-    last = np.cumsum(n)[of] - 1
-    first, i, on = last - n[of] + 1, np.arange(len(of)), u == at[of]
-    stays = ~(on & on[np.where(i == first, last, i - 1)] & on[np.where(i == last, first, i + 1)])
-    u, v, of = u[stays], v[stays], of[stays]
-    whole = np.bincount(of, minlength=len(at))[of] >= 3
-    u, v, of = u[whole], v[whole], of[whole]
-    starts = np.flatnonzero(np.diff(of, prepend=-1))
-    ends = np.append(starts[1:], len(of))[: len(starts)]
-    return np.insert(u, ends, u[starts]), np.insert(v, ends, v[starts]), np.insert(of, ends, of[starts])
-
-
-def _quartered(x: np.ndarray, y: np.ndarray, ring: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Closed rings' corners, cut once where they are large: x, y, the ring they are of and the number of the part, ascending, in up to five lots."""
-    if not len(ring):
-        return
-    starts = np.flatnonzero(np.diff(ring, prepend=-1))
-    low, high = ([f.reduceat(c, starts) for c in (x, y)] for f in (np.minimum, np.maximum))
-    large = (np.diff(np.append(starts, len(ring))) - 1 > most) & (np.maximum(high[0] - low[0], high[1] - low[1]) > 2)
-    nth = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(ring))))
-    yield x[~large[nth]], y[~large[nth]], ring[~large[nth]], nth[~large[nth]]
-    cx, cy = (np.floor((a + b) / 2) + 0.5 for a, b in zip(low, high, strict=True))
-    x, y, owner, nth = x[large[nth]], y[large[nth]], ring[starts], nth[large[nth]]
-    for right in (False, True):
-        hx, hy, half = _share(x, y, nth, cx, right)
-        for upper in (False, True):
-            qy, qx, part = _share(hy, hx, half, cy, upper)
-            yield qx, qy, owner[part], part
-
-
-def _cut(most: int, levels: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Cuts each batch's rings (key, ring) to quarters up to ``levels`` times; adds whether a part is still large."""
+    ends = np.cumsum(size) - 1
+    starts = ends - size + 1
+    line = np.repeat(at, size)
+    below, above = u < line, u > line
+    on_line = ~(below | above)
+
+    def following(x: np.ndarray) -> np.ndarray:
+        out = np.empty_like(x)
+        out[:-1] = x[1:]
+        out[ends] = x[starts]
+        return out
+
+    crosses = (below & following(above)) | (above & following(below))
+    c = np.flatnonzero(crosses)
+    whose = np.searchsorted(ends, c)
+    after = np.where(c == ends[whose], starts[whose], c + 1)
+    line_c, u_c, v_c = line[c], u[c], v[c]
+    cut = v_c + (line_c - u_c) / (u[after] - u_c) * (v[after] - v_c)
+    for held in (~above, ~below):
+        made = held.view(np.int8) + crosses.view(np.int8)
+        upto = np.cumsum(made, dtype=np.int64)
+        n = np.add.reduceat(made, starts, dtype=np.int64)
+        h = np.flatnonzero(held)
+        place, place_c = upto[h] - 1 - crosses[h], upto[c] - 1
+        p, q, on = np.empty(upto[-1]), np.empty(upto[-1]), np.empty(upto[-1], bool)
+        p[place], p[place_c], q[place], q[place_c] = u[h], line_c, v[h], cut
+        on[place], on[place_c] = on_line[h], True
+        # corners on the line between two others on it
+        last = np.cumsum(n) - 1
+        i = np.flatnonzero(on)
+        of = np.searchsorted(last, i)
+        first_of, last_of = (last - n + 1)[of], last[of]
+        between = on[np.where(i == first_of, last_of, i - 1)] & on[np.where(i == last_of, first_of, i + 1)]
+        fewer = n - np.bincount(of[between], minlength=len(n))
+        whole = fewer >= 3
+        if between.any() or not whole.all():
+            stays = np.repeat(whole, n)
+            stays[i[between]] = False
+            p, q = p[stays], q[stays]
+        rings = np.flatnonzero(whole)
+        yield p, q, fewer[rings], rings
+
+
+def _spans(x: np.ndarray, y: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
+    """Least x, least y, greatest x and greatest y of each ring."""
+    starts = np.cumsum(size) - size
+    return [pick.reduceat(c, starts) for pick in (np.minimum, np.maximum) for c in (x, y)]
+
+
+#: Rings: x, y, corners of each, and the number of the polygon each is of.
+Lot = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+#: Corners that are cut at a time: arrays of a megabyte, which stay near the processor.
+LOT = 1 << 17
+
+
+def _lots(lot: Lot) -> Iterator[Lot]:
+    """The same rings in lots of some ``LOT`` corners."""
+    x, y, size, owner = lot
+    ends = np.cumsum(size)
+    edges = np.flatnonzero(np.diff((ends - 1) // LOT)) + 1
+    for rings, corner in zip(np.split(np.arange(len(size)), edges), np.split(np.arange(len(x)), ends[edges - 1]), strict=True):
+        if len(rings):
+            at, to = slice(rings[0], rings[-1] + 1), slice(corner[0], corner[-1] + 1)
+            yield x[to], y[to], size[at], owner[at]
+
+
+def _parts(lot: Lot, most: int, levels: int | None) -> Iterator[Lot]:
+    """Parts of rings that are cut to the quarters of their boxes until none has more than ``most`` corners, or ``levels`` times.
+
+    What was cut last is cut on first, so that no more than a few lots a level are held however many parts there are.
+    """
+    held = [(0, part) for part in _lots(lot)]
+    while held:
+        level, lot = held.pop()
+        same, corners_held = [lot], len(lot[0])
+        while held and held[-1][0] == level and corners_held + len(held[-1][1][0]) <= LOT:
+            same.append(held.pop()[1])
+            corners_held += len(same[-1][0])
+        x, y, size, owner = lot if len(same) == 1 else (np.concatenate(c) for c in zip(*same, strict=True))
+        x0, y0, x1, y1 = _spans(x, y, size)
+        large = (size > most) & (np.maximum(x1 - x0, y1 - y0) > 2) & (level != levels)
+        if not large.all():
+            done = np.repeat(~large, size)
+            yield x[done], y[done], size[~large], owner[~large]
+            x, y, size, owner, x0, y0, x1, y1 = x[~done], y[~done], *(c[large] for c in (size, owner, x0, y0, x1, y1))
+        if not len(size):
+            continue
+        cx, cy = (np.floor((a + b) / 2) + 0.5 for a, b in ((x0, x1), (y0, y1)))
+        quarters = []
+        for hx, hy, half, of in _halves(x, y, size, cx):
+            if len(half):
+                quarters += [(qx, qy, n, owner[of[part]]) for qy, qx, n, part in _halves(hy, hx, half, cy[of])]
+        held += [(level + 1, part) for part in _lots(tuple(np.concatenate(c) for c in zip(*quarters, strict=True)))] if quarters else []
+
+
+def _rings_of(batch: pa.RecordBatch) -> Lot:
+    rings = batch.column(1)
+    x, y = (pa.compute.struct_field(rings.flatten(), c).to_numpy(zero_copy_only=False) for c in "xy")
+    size = rings.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    open_, stays = size - 1, np.ones(len(x), bool)
+    stays[np.cumsum(size) - 1] = False
+    return x[stays], y[stays], open_, np.arange(len(size))
+
+
+def _rings(lot: Lot, most: int) -> list[pa.Array]:
+    """Rings closed again, their corners and whether they have more than ``most`` and are not tiny."""
+    x, y, size, _ = lot
+    ends = np.cumsum(size)
+    corner = pa.StructArray.from_arrays([pa.array(np.insert(c, ends, c[ends - size])) for c in (x, y)], ["x", "y"])
+    x0, y0, x1, y1 = _spans(x, y, size)
+    offsets = np.append(0, np.cumsum(size + 1))
+    return [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), corner), pa.array(size, pa.int32()), pa.array((size > most) & (np.maximum(x1 - x0, y1 - y0) > 2))]
+
+
+def _figures(lot: Lot, _: int) -> list[pa.Array]:
+    """Least x and y, corners and twice the area (``twice_area``, summed in the same order)."""
+    x, y, size, _ = lot
+    ends = np.cumsum(size) - 1
+    starts = ends - size + 1
+    dx, dy = x - np.repeat(x[starts], size), y - np.repeat(y[starts], size)
+    cross = np.zeros(len(x))
+    cross[:-1] = dx[:-1] * dy[1:] - dx[1:] * dy[:-1]
+    cross[ends] = 0.0  # the side to the first corner
+    x0, y0, _, _ = _spans(x, y, size)
+    return [pa.array(x0), pa.array(y0), pa.array(size, pa.int32()), pa.array(np.bincount(np.repeat(np.arange(len(size)), size), cross, len(size)))]
+
+
+def _cut(most: int, levels: int | None, said: Callable[[Lot, int], list[pa.Array]], names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For tasks: (key, ring) to the key and what is ``said`` of each part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rings = batch.column(1)
-            points = dict(zip(("x", "y"), rings.flatten().flatten(), strict=True))
-            x, y = (points[c].to_numpy(zero_copy_only=False) for c in "xy")
-            owner = part = np.repeat(np.arange(len(rings)), rings.value_lengths().to_numpy(zero_copy_only=False))
-            for _ in range(levels):
-                lots, before = [], 0
-                for qx, qy, whose, nth in _quartered(x, y, part, most):
-                    # whose: the part it was cut from
-                    lots.append((qx, qy, whose, nth + before))
-                    before += int(part[-1]) + 1 if len(part) else 0
-                if not lots:
-                    break
-                x, y, whose, fresh = (np.concatenate(c) for c in zip(*lots, strict=True))
-                of_part = np.zeros(int(part[-1]) + 1, dtype=np.int64)
-                of_part[part] = owner
-                owner, part = of_part[whose], np.cumsum(np.diff(fresh, prepend=fresh[:1]) != 0) if len(fresh) else fresh
-            starts = np.flatnonzero(np.diff(part, prepend=-1)) if len(part) else np.zeros(0, np.int64)
-            size = np.diff(np.append(starts, len(part)))
-            wide = np.maximum(*(np.maximum.reduceat(c, starts) - np.minimum.reduceat(c, starts) for c in (x, y))) if len(starts) else np.zeros(0)
-            corner = pa.StructArray.from_arrays([pa.array(x), pa.array(y)], ["x", "y"])
-            ring = pa.ListArray.from_arrays(pa.array(np.append(starts, len(part)), pa.int32()), corner)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner[starts])), ring, pa.array((size - 1 > most) & (wide > 2))], [batch.schema.names[0], "ring", "_large"])
+            if batch.num_rows:
+                for lot in _parts(_rings_of(batch), most, levels):
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(lot[3])), *said(lot, most)], [batch.schema.names[0], *names])
 
     return run
 
 
-#: How often a part is cut before the parts are dealt anew.
-LEVELS = 3
+#: How often a part is cut before the parts are dealt anew; corners of parts that one task cuts to the end; corners a task begins with.
+LEVELS, ONE_TASK, BEGIN = 3, 8192, 1 << 19
+_RING = "array<struct<x: double, y: double>>"
+
+
+def _dealt(polygons: DataFrame, key: str, most: int) -> DataFrame:
+    """(key, ring): parts that are small enough to be cut to the end in one task each, dealt to many tasks."""
+    ring = F.transform("ring", lambda p: F.struct(p["x"].cast("double").alias("x"), p["y"].cast("double").alias("y")))
+    least = 4 * polygons.sparkSession.sparkContext.defaultParallelism
+    parts = kept(polygons.filter("size(ring) > 1").select(key, ring.alias("ring"), corners(F.col("ring")).alias("_n"), F.lit(True).alias("_large")), "parts")
+    count = lambda df: df.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    enough = lambda n: max(least, n // BEGIN + 1)
+    total = count(parts)
+    small = max(most, min(ONE_TASK, total // (4 * least)))
+    ready, schema, names = [], parts.schema, ["ring", "_n", "_large"]
+    while total:
+        parts = kept(parts.filter("_large").select(key, "ring").repartition(enough(total)).mapInArrow(_cut(small, LEVELS, _rings, names), schema), "parts")
+        ready.append(parts.filter("not _large"))
+        total = count(parts.filter("_large"))
+    pieces = reduce(DataFrame.unionByName, ready) if ready else parts
+    return pieces.select(key, "ring").repartition(enough(count(pieces)))
 
 
 def subdivided(polygons: DataFrame, key: str, most: int = MOST_CORNERS) -> DataFrame:
@@ -126,17 +217,20 @@ def subdivided(polygons: DataFrame, key: str, most: int = MOST_CORNERS) -> DataF
 
     A part with more corners is cut to the four quarters of its box, along lines between whole metres, until none has more. A part of less than two
     metres stays as it is. In each round tasks cut the parts they got a few times; what is still large is dealt anew, so that the parts of one
-    ring are cut in many tasks. A ring whose long sides all cross its middle makes parts by the square of its corners.
+    ring are cut in many tasks, and small ones are then cut to the end. A ring whose long sides all cross its middle makes parts by the square of its corners.
     """
-    ring = F.transform("ring", lambda p: F.struct(p["x"].cast("double").alias("x"), p["y"].cast("double").alias("y")))
-    parts = kept(polygons.filter("ring is not null").select(key, ring.alias("ring"), F.lit(True).alias("_large")), "parts")
-    done, schema, tasks = [], parts.schema, 4 * polygons.sparkSession.sparkContext.defaultParallelism
-    while True:
-        large = parts.filter("_large").select(key, "ring").repartition(tasks)
-        parts = kept(large.mapInArrow(_cut(most, LEVELS), schema), "parts")
-        done.append(parts.filter("not _large").select(key, "ring"))
-        if parts.filter("_large").isEmpty():
-            return reduce(DataFrame.unionByName, done)
+    schema = polygons.limit(0).select(key, F.lit(None).cast(_RING).alias("ring"), F.lit(0).alias("_n"), F.lit(True).alias("_large")).schema
+    parts = kept(_dealt(polygons, key, most).mapInArrow(_cut(most, None, _rings, ["ring", "_n", "_large"]), schema), "parts").select(key, "ring")
+    return parts.unionByName(polygons.filter("size(ring) = 1").select(key, F.col("ring").cast(_RING).alias("ring")))  # points have no sides
+
+
+def part_figures(polygons: DataFrame, key: str, most: int = MOST_CORNERS) -> DataFrame:
+    """(key, x0, y0, corners, area2): the least x and y, the corners and twice the area of each part of ``subdivided``.
+
+    The tasks that cut the parts work out their figures, so that corners are written for parts of up to ``ONE_TASK`` corners only and not for every part.
+    """
+    schema = polygons.limit(0).select(key, *(F.lit(0.0).alias(c) for c in ("x0", "y0")), F.lit(0).alias("corners"), F.lit(0.0).alias("area2")).schema
+    return _dealt(polygons, key, most).mapInArrow(_cut(most, None, _figures, ["x0", "y0", "corners", "area2"]), schema)
 
 
 def inside_parts(points: DataFrame, parts: DataFrame, key: str, polygon_key: str, size: float) -> DataFrame:

@@ -189,3 +189,41 @@ def test_cleaning_and_centroids(spark):
     assert [(r["area_id"], points_of(r)) for r in G.cleaned(rings).collect()] == [(1, [(0, 0), (4, 0), (4, 4), (0, 4), (0, 0)])]
     holed = made(spark, (1, square(0, 0, 4)), (1, square(0, 0, 2, back=True)))
     assert [tuple(r) for r in G.centroids(holed, "area_id").collect()] == [(1, pytest.approx((2 * 16 - 1 * 4) / 12), pytest.approx((2 * 16 - 1 * 4) / 12), 12.0)]
+
+
+def test_corners_of_small_parts_are_not_written(spark, monkeypatch):
+    """Every part's corners were written, round by round, before its figures were worked out."""
+    from lintel.plans import shapes
+
+    rings = made(spark, *((k, star(1500, k, 100_000)) for k in (1, 2)))
+    parts = G.subdivided(rings, "area_id", shapes.MOST).select("area_id", (G.box(F.col("ring"))[0] * 1000).alias("x"), (F.size("ring") - 1).alias("n"), G.twice_area(F.col("ring")).alias("a"))
+    want = sorted((r["area_id"], math.floor(r["x"] + 0.5), r["n"], math.floor(r["a"] + 0.5)) for r in parts.collect())
+    written, real = [], G.kept
+
+    def counted(df, name="step"):
+        out = real(df, name)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(G, "kept", counted)
+    monkeypatch.setattr(shapes, "concave_rings", lambda *_: rings)
+    found = sorted((r["area_id"], r["x0"], r["corners"], r["area2"]) for r in shapes.subdivided_parts(spark, "").collect())
+    assert found == want
+    assert sum(written) < len(found) / 4
+
+
+def test_parts_in_hand_are_few(monkeypatch):
+    """A ring of spikes makes parts by the square of its corners; what is held while they are cut doesn't grow so."""
+    import tracemalloc
+
+    import numpy as np
+
+    monkeypatch.setattr(G, "LOT", 1 << 12)
+    peaks, corners = [], []
+    for n in (1000, 4000):
+        x, y = (np.array(c, float) for c in zip(*star(n, 3, 1_000_000), strict=True))
+        tracemalloc.start()
+        corners.append(sum(len(lot[0]) for lot in G._parts((x, y, np.array([len(x)]), np.array([0])), 24, None)))
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert corners[1] > 8 * corners[0] and peaks[1] < 3 * peaks[0] and peaks[1] < corners[1] * 16 / 2
